@@ -46,6 +46,31 @@ def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
 
 
+MAX_BITMAP = 27
+
+
+def bitmap_bits(n: int) -> int:
+    """Bits of a bitmap's size for n hashes: 32 slots each, within fixed bounds."""
+    return max(16, min(MAX_BITMAP, (32 * max(n, 1)).bit_length()))
+
+
+def bitmap(hashes: DataFrame, bits: int) -> bytes:
+    """A one-hash Bloom filter of the long column, 2**bits slots (16 MB at most, whatever the
+    input): made in segments on the executors. It only thins rows before an exact join."""
+    size = 1 << 16
+
+    def segment(t: pa.Table) -> pa.Table:
+        x = np.zeros(size, bool)
+        x[t.column("slot").to_numpy() % size] = True
+        return pa.table({"seg": pa.array([t.column("seg")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(x).tobytes()], pa.binary())})
+
+    slots = hashes.select(F.pmod(hashes.columns[0], F.lit(1 << bits)).alias("slot")).distinct().withColumn("seg", F.expr(f"slot div {size}"))
+    out = bytearray((1 << bits) // 8)
+    for r in slots.groupBy("seg").applyInArrow(segment, "seg long, bits binary").collect():
+        out[r.seg * size // 8 : (r.seg + 1) * size // 8] = r.bits
+    return bytes(out)
+
+
 # --- connected components -----------------------------------------------------------------
 
 

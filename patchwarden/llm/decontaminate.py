@@ -28,12 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as K
-from ._shared import materialize
+from ._shared import bitmap, bitmap_bits, materialize
 
 SPAN = 10
 KGRAM = 6
 BROADCAST_BYTES = 32 << 20
-MAX_BITMAP = 27
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
@@ -164,27 +163,11 @@ def _judge_in_map(windows, ids_only: bool):
     return judge
 
 
-def _bitmap(fps: DataFrame, bits: int) -> bytes:
-    """A bitmap of 2**bits slots, made in segments on the executors; bounded by MAX_BITMAP."""
-    size = 1 << 16
-
-    def segment(t: pa.Table) -> pa.Table:
-        x = np.zeros(size, bool)
-        x[t.column("slot").to_numpy() % size] = True
-        return pa.table({"seg": pa.array([t.column("seg")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(x).tobytes()], pa.binary())})
-
-    slots = fps.select(F.pmod("fp", F.lit(1 << bits)).alias("slot")).distinct().withColumn("seg", F.expr(f"slot div {size}"))
-    out = bytearray((1 << bits) // 8)
-    for r in slots.groupBy("seg").applyInArrow(segment, "seg long, bits binary").collect():
-        out[r.seg * size // 8 : (r.seg + 1) * size // 8] = r.bits
-    return bytes(out)
-
-
-def _find_in_map(bitmap, bits: int, short: list[int]):
+def _find_in_map(slots, bits: int, short: list[int]):
     """Documents to one row of counts, with the candidate windows that pass the bitmap."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(bitmap.value, np.uint8)).astype(bool)
+        table = np.unpackbits(np.frombuffer(slots.value, np.uint8)).astype(bool)
         known = lambda x: table[(x & np.uint64((1 << bits) - 1)).astype(np.int64)]
         item = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("window", pa.string())]))
         for b in batches:
@@ -207,10 +190,10 @@ def _by_join(docs: DataFrame, bench: DataFrame, short: list[int]) -> DataFrame:
     """The way for benchmarks of any size: bitmap, equi-join on the window, aggregate by document."""
     spark = docs.sparkSession
     n = bench.count()
-    bits = max(16, min(MAX_BITMAP, (32 * max(n, 1)).bit_length()))
-    bitmap = spark.sparkContext.broadcast(_bitmap(bench, bits))
+    bits = bitmap_bits(n)
+    slots = spark.sparkContext.broadcast(bitmap(bench.select("fp"), bits))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text", F.monotonically_increasing_id()).alias("row_key"))
-    marked = materialize(rows.mapInArrow(_find_in_map(bitmap, bits, short), "doc_id long, row_key long, n_words long, hits array<struct<start:int,len:int,window:string>>"), "decon-marked")
+    marked = materialize(rows.mapInArrow(_find_in_map(slots, bits, short), "doc_id long, row_key long, n_words long, hits array<struct<start:int,len:int,window:string>>"), "decon-marked")
     windows = bench.select("window").distinct()
     spans = materialize(marked.select("doc_id", "row_key", F.explode("hits").alias("h")).select("doc_id", "row_key", "h.*").join(windows, "window"), "decon-spans")
     covered = spans.select("row_key", F.explode(F.sequence("start", F.expr("start + len - 1"))).alias("w")).groupBy("row_key").agg(F.count_distinct("w").alias("n_hit"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import language_id, quality_rules, token_counts, url_filter
+from . import html_extract, language_id, line_dedup, ngram_join, quality_rules, token_counts, url_filter
 from ._shared import table
 from .sql import ORACLES
 
@@ -22,6 +23,19 @@ def tokenizer_path(name: str) -> str:
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_extract(table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
@@ -47,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_counts, op7_decontamination, op8_language_id, op9_url_filter, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op3_line_dedup, op4_html_extraction, op6_token_counts, op7_decontamination, op8_language_id, op9_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import html_extract, language_id, line_dedup, ngram_join, quality_rules, token_counts, url_filter
+from . import cotrain, html_extract, language_id, line_dedup, ngram_join, quality_rules, sp_codec, token_counts, url_filter
 from ._shared import table
 from .sql import ORACLES
 
@@ -27,6 +27,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.codec_report(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -36,6 +40,10 @@ def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.html_extract(table(spark, sf_dir, "pages"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
@@ -61,7 +69,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_line_dedup, op4_html_extraction, op6_token_counts, op7_decontamination, op8_language_id, op9_url_filter, op10_quality_rules)}
+    found = (
+        op1_ngram_jaccard, op2_sentencepiece, op3_line_dedup, op4_html_extraction, op5_quality_classifier,
+        op6_token_counts, op7_decontamination, op8_language_id, op9_url_filter, op10_quality_rules,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

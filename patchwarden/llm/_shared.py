@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -128,54 +128,174 @@ def _digest(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
-# --- links from posting lists -------------------------------------------------------------
+# --- links between sets -------------------------------------------------------------------
+
+BLOCK = 512
 
 
 def _hub_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (tok, order): every member of a list paired with the list's first."""
-    tok = hub = None
+    """Rows (tok, node, comp) sorted by tok and order: every member of a list paired with the
+    list's first, unless they are of one component."""
+    tok = hub = label = None
     for b in batches:
         if not b.num_rows:
             continue
-        t, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+        t, n, c = (b.column(k).to_numpy() for k in range(3))
         new = np.empty(len(t), bool)
         new[1:] = t[1:] != t[:-1]
         new[0] = tok is None or t[0] != tok
         at = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
         hubs = np.where(at >= 0, n[at], np.int64(hub if hub is not None else 0))
-        tok, hub = t[-1], hubs[-1]
-        keep = hubs != n
+        labels = np.where(at >= 0, c[at], np.int64(label if label is not None else 0))
+        tok, hub, label = t[-1], hubs[-1], labels[-1]
+        keep = labels != c
         pairs = np.unique(np.stack([np.minimum(hubs[keep], n[keep]), np.maximum(hubs[keep], n[keep])], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
 
 
-def link_postings(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """(node, comp) of all nodes that have a verified link; comp is the smallest linked node.
-
-    postings: (tok long, node long, ell int), node once per tok. Two nodes are candidates if
-    they share at least min(ell) tokens. verify: pairs (a, b) to the pairs that are links.
-
-    A list of m nodes would give m*m/2 pairs. Only connectivity is asked for, so first each
-    list's members are compared with one hub, which is linear, and components are contracted.
-    Then every candidate pair whose ends still lie in different components is compared: none
-    that could join two components is left out, and none inside a component is generated.
+def _similar(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -> bool:
+    """Jaccard of two sorted sets of sizes nx and ny whose elements beyond x and y are not shared."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (nx + ny - common)
+
+
+def longs(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, "<i8")
+
+
+def _verify_pairs(percent: int, decode):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = b.column(2).to_pylist(), b.column(3).to_pylist()
+            keep = [i for i, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())) if _similar(decode(x), decode(y), na[i], nb[i], percent)]
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
+
+    return verify
+
+
+def _pack_sets(t: pa.Table) -> pa.Table:
+    """One row for a block of sets."""
+    one = lambda c, d: pa.array([t.column(c).to_numpy().astype(d).tobytes()], pa.binary())
+    toks = t.column("toks").to_pylist()
+    prefix = t.column("prefix").combine_chunks()
+    return pa.table({
+        "grp": t.column("grp").slice(0, 1), "blk": t.column("blk").slice(0, 1), "nodes": one("node", "<i8"), "comps": one("comp", "<i8"), "ns": one("n", "<i8"), "ells": one("ell", "<i8"),
+        "lens": pa.array([np.array([len(x) for x in toks], "<i8").tobytes()], pa.binary()), "toks": pa.array([b"".join(toks)], pa.binary()),
+        "plens": pa.array([prefix.value_lengths().to_numpy().astype("<i8").tobytes()], pa.binary()), "prefix": pa.array([prefix.flatten().to_numpy().astype("<i8").tobytes()], pa.binary()),
+    })
+
+
+_PACKED = "grp long, blk int, nodes binary, comps binary, ns binary, ells binary, lens binary, toks binary, plens binary, prefix binary"
+
+
+def _overlaps(x: np.ndarray, xl: np.ndarray, y: np.ndarray, yl: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all sets of two blocks: elements x in runs of lengths xl."""
+    out = np.zeros((len(xl), len(yl)), np.float32)
+    common = np.intersect1d(x, y)
+    xr, yr = np.repeat(np.arange(len(xl)), xl), np.repeat(np.arange(len(yl)), yl)
+    for i in range(0, len(common), 4096):
+        part = common[i : i + 4096]
+        m = []
+        for v, r, n in ((x, xr, len(xl)), (y, yr, len(yl))):
+            at = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            ok = part[at] == v
+            d = np.zeros((n, len(part)), np.float32)
+            d[r[ok], at[ok]] = 1
+            m.append(d)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _cut(payloads: bytes, lens: np.ndarray, rows: np.ndarray, decode) -> dict[int, np.ndarray]:
+    """The decoded sets of some rows of a block, by row."""
+    end = np.cumsum(lens)
+    return {k: decode(payloads[end[k] - lens[k] : end[k]]) for k in np.unique(rows).tolist()}
+
+
+def _block_links(percent: int, decode):
+    """Pairs of blocks to the links that join components: candidates share min(ell) prefix elements,
+    each is verified exactly, and of the links found a spanning forest is enough."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns)):
+                same, r = r[0], [v if k in (5, 13) else longs(v) for k, v in enumerate(r[1:])]
+                (nodes, comps, ns, ells, lens, toks, plens, prefix), (nodes2, comps2, ns2, ells2, lens2, toks2, plens2, prefix2) = r[:8], r[8:]
+                cand = _overlaps(prefix, plens, prefix2, plens2) >= np.minimum(ells[:, None], ells2[None, :])
+                cand &= comps[:, None] != comps2[None, :]
+                if same:
+                    cand = np.triu(cand, 1)
+                i, j = np.nonzero(cand)
+                if not len(i):
+                    continue
+                one, two = _cut(toks, lens, i, decode), _cut(toks2, lens2, j, decode)
+                if len(i) > 4 * (len(nodes) + len(nodes2)):
+                    xs, ys = list(one), list(two)  # ascending
+                    x, y = ([d[k] for k in ks] for d, ks in ((one, xs), (two, ys)))
+                    common = _overlaps(np.concatenate(x), np.array(list(map(len, x))), np.concatenate(y), np.array(list(map(len, y))))[np.searchsorted(xs, i), np.searchsorted(ys, j)]
+                    ok = 100 * common >= percent * (ns[i] + ns2[j] - common)
+                else:
+                    ok = np.array([_similar(one[p], two[q], int(ns[p]), int(ns2[q]), percent) for p, q in zip(i.tolist(), j.tolist())], bool)
+                # components that links join, and the links as edges between components
+                yield from _forest([pa.RecordBatch.from_arrays([pa.array(comps[i[ok]]), pa.array(comps2[j[ok]])], names=["u", "v"])])
+
+    return links
+
+
+def link_sets(sets: DataFrame, percent: int, name: str, rounds: int = 2, decode=longs) -> DataFrame:
+    """(node, comp) of all nodes that have a verified link; comp is the smallest node linked.
+
+    sets: (node long, n long, toks binary, ell int, prefix array<long>, off double). n is the set's
+    size, toks its elements, which ``decode`` makes distinct longs (at least those that other sets may
+    hold), prefix the elements to find candidates by: two sets are candidates if they share min(ell) of their prefixes. off says
+    how far from its neighbours a set is likely to be.
+
+    A posting list of m sets stands for m * m / 2 pairs. Only connectivity is asked for, so first
+    each list's members meet one hub, its most central member and later another one, which is linear; what
+    links is contracted. Lists inside one component are done. What remains falls into clusters of sets
+    that share open lists, and each cluster is compared in blocks: a pair of packed blocks is one
+    row, its candidates are found and verified by matrix products in one task, and a forest of the links
+    comes back. No pair between two components is left out, and no list of pairs is ever written.
     """
-    spark, n = postings.sparkSession, partitions(postings.sparkSession)
-    hubs = postings.select("tok", "node", F.xxhash64("node").alias("o")).repartition(n, "tok").sortWithinPartitions("tok", "o", "node").select("tok", "node").mapInArrow(_hub_pairs, "a long, b long").distinct()
-    tried = materialize(hubs, f"{name}-hubs")
-    links = materialize(verify(tried), f"{name}-links")
-    comp = components(links, f"{name}-hub")
-    named = materialize(postings.join(comp, "node", "left").select("tok", "node", "ell", F.coalesce("comp", "node").alias("comp")), f"{name}-named")
-    mixed = named.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-    open_ = materialize(named.join(mixed, "tok", "left_semi"), f"{name}-open")
-    c = open_.select("tok", "comp").distinct()
-    cross = c.select("tok", F.col("comp").alias("ca")).join(c.select("tok", F.col("comp").alias("cb")), "tok").where("ca < cb")
-    left = open_.select("tok", F.col("comp").alias("ca"), F.col("node").alias("x"), F.col("ell").alias("ex"))
-    right = open_.select("tok", F.col("comp").alias("cb"), F.col("node").alias("y"), F.col("ell").alias("ey"))
-    pairs = (
-        cross.join(left, ["tok", "ca"]).join(right, ["tok", "cb"])
-        .groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .agg(F.count("*").alias("shared"), F.min(F.least("ex", "ey")).alias("need")).where("shared >= need").select("a", "b")
+    spark, n = sets.sparkSession, partitions(sets.sparkSession)
+    payload = sets.select("node", "n", "toks")
+    postings = sets.select(F.explode("prefix").alias("tok"), "node", "off")
+    comp = None
+    links = None
+    for r in range(rounds):
+        order = F.struct("off", F.xxhash64("node")) if r == 0 else F.struct(F.lit(0.0), F.xxhash64("node", F.lit(r)))
+        hubs = postings.select("tok", "node", F.col("node").alias("comp"), order.alias("o")) if comp is None else named.select("tok", "node", "comp", order.alias("o"))
+        pairs = hubs.repartition(n, "tok").sortWithinPartitions("tok", "o").select("tok", "node", "comp").mapInArrow(_hub_pairs, "a long, b long").distinct()
+        left, right = (payload.withColumnsRenamed({"node": x, "n": f"n_{x}", "toks": f"t_{x}"}) for x in "ab")
+        found = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_verify_pairs(percent, decode), "a long, b long")
+        links = materialize(found if links is None else links.union(found), f"{name}-links")
+        comp = components(links, f"{name}-hub")
+        labels = postings.join(comp, "node", "left").select("tok", "node", "off", F.coalesce("comp", "node").alias("comp"))
+        mixed = labels.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
+        named = materialize(labels.join(mixed, "tok", "left_semi"), f"{name}-open")
+    # clusters of sets that share open lists
+    chain = named.select("tok", "node", F.col("node").alias("comp"), F.xxhash64("node").alias("o")).repartition(n, "tok").sortWithinPartitions("tok", "o").select("tok", "node", "comp").mapInArrow(_hub_pairs, "a long, b long")
+    cluster = components(chain, f"{name}-cluster")
+    member = cluster.select("node", F.col("comp").alias("cluster")).union(cluster.select("comp", "comp").distinct())
+    sizes = member.groupBy("cluster").agg(F.count("*").alias("m"))
+    open_sets = named.groupBy("node").agg(F.min("comp").alias("comp"), F.collect_list("tok").alias("open"))
+    small = F.col("m") <= BLOCK // 4
+    total = materialize(member.join(sizes, "cluster"), f"{name}-members")
+    bins = -(-total.where(small).count() // (BLOCK // 2)) or 1
+    # small clusters share bins; a large one is dealt over blocks of its own
+    dealt = total.select(
+        "node", F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")).alias("key"), small.alias("small"),
+        F.when(small, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK))).cast("int").alias("blk"),
+    ).select("node", F.xxhash64("small", "key").alias("grp"), "blk")
+    packed = materialize(
+        dealt.join(open_sets, "node").join(sets.select("node", "n", "toks", "ell"), "node").withColumnRenamed("open", "prefix").select("grp", "blk", "node", "comp", "n", "ell", "toks", "prefix").groupBy("grp", "blk").applyInArrow(_pack_sets, _PACKED),
+        f"{name}-blocks",
     )
-    more = verify(pairs.join(tried, ["a", "b"], "left_anti"))
+    fields = ["nodes", "comps", "ns", "ells", "lens", "toks", "plens", "prefix"]
+    other = packed.select("grp", F.col("blk").alias("blk2"), *(F.col(f).alias(f"{f}2") for f in fields))
+    pairs = packed.join(other, "grp").where("blk <= blk2").select((F.col("blk") == F.col("blk2")).alias("same"), *fields, *(f"{f}2" for f in fields))
+    more = pairs.repartition(n).mapInArrow(_block_links(percent, decode), "u long, v long")
     return components(materialize(links.union(more), f"{name}-all"), name)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as K
-from ._shared import bitmap, bitmap_bits, link_postings, materialize, partitions
+from ._shared import bitmap, bitmap_bits, link_sets, materialize, partitions
 
 WIDTH = 8
 BANDS, ROWS, BINS = 12, 5, 64
@@ -69,10 +69,10 @@ def signatures(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 def _bands(sig: np.ndarray) -> np.ndarray:
-    """(lines x BANDS) hashes."""
+    """(lines x BANDS) hashes; a band's bins stand far apart, as neighbours may hold one borrowed value."""
     h = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(sig), 0)
     for r in range(ROWS):
-        h = h * np.uint64(0xE7037ED1A0B428DB) + sig[:, r : BANDS * ROWS : ROWS]
+        h = h * np.uint64(0xE7037ED1A0B428DB) + sig[:, r * BANDS : (r + 1) * BANDS]
     return K.mix64(h)
 
 
@@ -165,7 +165,8 @@ def _bucket(t: pa.Table) -> pa.Table:
 
 
 def _fetch(slots, bits: int, min_bytes: int):
-    """(doc_id, text) to (key, id, line, text) of the lines whose key passes the bitmap."""
+    """(doc_id, text) to (key, id, line, text) of the lines whose key passes the bitmap; the text goes
+    with the first of a block's equal lines only."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(np.frombuffer(slots.value, np.uint8)).astype(bool)
@@ -177,7 +178,9 @@ def _fetch(slots, bits: int, min_bytes: int):
                 at, key = at[hit], key[hit]
                 doc = ln.doc[at]
                 raw = low.tobytes()
-                texts = [raw[s:e] for s, e in zip(ln.starts[at].tolist(), ln.ends[at].tolist())]
+                texts: list = [None] * len(at)
+                for i in np.unique(key, return_index=True)[1].tolist():
+                    texts[i] = raw[ln.starts[at[i]] : ln.ends[at[i]]]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + doc]), pa.array((at - ln.first[doc]).astype(np.int32)), pa.array(texts, pa.binary())], names=["key", "id", "line", "text"])
 
     return fetch
@@ -186,22 +189,13 @@ def _fetch(slots, bits: int, min_bytes: int):
 def _shingles(line: bytes) -> np.ndarray:
     b = np.frombuffer(line, np.uint8)
     n = len(b) - WIDTH + 1
-    return np.unique(np.ndarray((max(n, 0),), "<u8", np.concatenate([b, np.zeros(WIDTH, np.uint8)]), strides=(1,)).copy())
+    return np.unique(np.ndarray((max(n, 0),), "<i8", np.concatenate([b, np.zeros(WIDTH, np.uint8)]), strides=(1,)).copy())
 
 
-def _verify(percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
-                s, t = _shingles(x), _shingles(y)
-                common = len(s) + len(t) - len(np.unique(np.concatenate([s, t])))
-                if 100 * common >= percent * (len(s) + len(t) - common):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
-
-    return verify
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = [len(_shingles(x)) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=["key", "text", "n"])
 
 
 def _without(schema_names: list[str]):
@@ -234,18 +228,16 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     packed = rows.mapInArrow(_pack(buckets, min_bytes), "bucket int, low binary, high binary, nodes binary, occ binary")
     found = materialize(packed.groupBy("bucket").applyInArrow(_bucket, "tok long, key long, id long, line int"), "lines-buckets")
-    postings = found.where("tok IS NOT NULL").select("tok", F.col("key").alias("node"), F.lit(1).alias("ell"))
+    postings = found.where("tok IS NOT NULL").select("tok", F.col("key").alias("node"))
     nodes = materialize(postings.select(F.col("node").alias("key")).distinct(), "lines-nodes")
     bits = bitmap_bits(nodes.count())
     slots = spark.sparkContext.broadcast(bitmap(nodes, bits))
     fetched = materialize(rows.mapInArrow(_fetch(slots, bits, min_bytes), "key long, id long, line int, text binary").join(nodes, "key", "left_semi"), "lines-texts")
-    payload = fetched.groupBy("key").agg(F.min("text").alias("text"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (payload.withColumnsRenamed({"key": x, "text": f"t_{x}"}) for x in "ab")
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "t_a", "t_b").mapInArrow(_verify(percent), "a long, b long")
-
-    comp = link_postings(postings, verify, "lines")
+    texts = fetched.where("text IS NOT NULL").groupBy("key").agg(F.min("text").alias("text"))
+    bands = postings.groupBy(F.col("node").alias("key")).agg(F.collect_list("tok").alias("prefix"))
+    sized = texts.mapInArrow(_sizes, "key long, text binary, n long")
+    sets = sized.join(bands, "key").select(F.col("key").alias("node"), "n", F.col("text").alias("toks"), F.lit(1).alias("ell"), "prefix", F.lit(0.0).alias("off"))
+    comp = link_sets(materialize(sets, "lines-sets"), percent, "lines", decode=_shingles)
     linked = comp.select("node", "comp").union(comp.select("comp", "comp")).distinct()
     once = found.where("tok IS NULL").select("key", "id", "line")
     occ = once.union(fetched.join(linked.select(F.col("node").alias("key")), "key", "left_semi").select("key", "id", "line")).distinct()

@@ -14,7 +14,7 @@ hashes of 48 bits plus the bits of the bucket:
    shared - T + l shingles. The length l is chosen per document by the estimated cost: the
    prefix's posting lists against the verifications that survive when l matches are required.
    Two linked sets share at least min(l, l') of their prefixes' shingles.
-4. ``link_postings`` verifies candidates exactly and finds components; in a group of
+4. ``link_sets`` verifies candidates exactly and finds components; in a group of
    thousands of near copies it compares with hubs first and never emits the group's pairs.
 
 Defined results: null or wordless texts have no shingles and form their own component; rows with
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as K
-from ._shared import link_postings, materialize, partitions
+from ._shared import link_sets, materialize, partitions
 
 SHINGLE = 5
 PERCENT = 75
@@ -204,22 +204,6 @@ def _prefixes(percent: int, max_ell: int):
     return prefixes
 
 
-def _verify(percent: int):
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a_n, b_n = b.column(2).to_numpy(), b.column(3).to_numpy()
-            keep = []
-            for i, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())):
-                both = np.concatenate([np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (int(a_n[i]) + int(b_n[i]) - common):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
-
-    return verify
-
-
 def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, max_ell: int = MAX_ELL) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, and rep, the smallest doc_id with
     the same set."""
@@ -232,14 +216,8 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
         F.min("rep").alias("rep"), F.max("n").alias("n"), F.sum(F.octet_length("toks")).alias("b"), F.collect_list("toks").alias("toks"), F.collect_list("dfs").alias("dfs")
     ).where(f"100 * (b div 8) >= {percent} * n")
     cand = materialize(sets.select("node", "rep", "n", "toks", "dfs").mapInArrow(_prefixes(percent, max_ell), "node long, rep long, n long, toks binary, ell int, prefix array<long>"), "ngram-sets")
-    postings = cand.select(F.explode("prefix").alias("tok"), "node", "ell")
-    payload = cand.select("node", "n", "toks")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (payload.withColumnsRenamed({"node": x, "n": f"n_{x}", "toks": f"t_{x}"}) for x in "ab")
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_verify(percent), "a long, b long")
-
-    comp = link_postings(postings, verify, "ngram")
+    off = 1 - F.octet_length("toks") / (8 * F.col("n"))
+    comp = link_sets(cand.select("node", "n", "toks", "ell", "prefix", off.alias("off")), percent, "ngram")
     named = comp.join(cand.select("node", "rep"), "node").unionByName(comp.select(F.col("comp").alias("node"), "comp").distinct().join(cand.select("node", "rep"), "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("least"))
     moved = named.join(least, "comp").where("rep <> least").select("rep", "least").groupBy("rep").agg(F.min("least").alias("least"))

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -74,58 +74,76 @@ def bitmap(hashes: DataFrame, bits: int) -> bytes:
 # --- connected components -----------------------------------------------------------------
 
 
+#: edges that one task may contract: 16 MB
+LOCAL_EDGES = 1 << 20
+
+
+def _contract(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Union-find: the same connections with at most one edge a node, from each to the smallest
+    node of its component."""
+    nodes, x = np.unique(np.concatenate([u, v]), return_inverse=True)
+    parent = np.arange(len(nodes))
+    a, c = x[: len(u)], x[len(u) :]
+    while True:  # min-label hooking with pointer jumping
+        ra, rc = parent[a], parent[c]
+        lo, hi = np.minimum(ra, rc), np.maximum(ra, rc)
+        if (lo == hi).all():
+            break
+        np.minimum.at(parent, hi, lo)
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+    child = np.flatnonzero(parent != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[child], pa.int64()), pa.array(nodes[parent[child]], pa.int64())], names=["u", "v"])
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of a batch: the same connections with at most one edge a node,
-    each to the smallest node of its local component."""
     for b in batches:
-        u, v = b.column(0).to_numpy(), b.column(1).to_numpy()
-        nodes, x = np.unique(np.concatenate([u, v]), return_inverse=True)
-        parent = np.arange(len(nodes))
-        a, c = x[: len(u)], x[len(u) :]
-        while True:  # min-label hooking with pointer jumping
-            pa_, pc = parent[a], parent[c]
-            lo, hi = np.minimum(pa_, pc), np.maximum(pa_, pc)
-            if (lo == hi).all():
-                break
-            np.minimum.at(parent, hi, lo)
-            while True:
-                up = parent[parent]
-                if (up == parent).all():
-                    break
-                parent = up
-        child = np.flatnonzero(parent != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[child], pa.int64()), pa.array(nodes[parent[child]], pa.int64())], names=["u", "v"])
-
-
-def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, comp): comp is the smallest node reachable over the edges (two long columns).
-
-    Distributed union-find: edges are contracted inside each partition, then alternating
-    large-star and small-star rounds point every node at its component's smallest node. Rounds
-    grow with the logarithm of a component's diameter; every round is a written table, so a
-    lost executor costs one round's tasks, and nothing but three numbers reaches the driver.
+        yield _contract(b.column(0).to_numpy(), b.column(1).to_numpy())
+
+
+def _one_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All batches of the only partition together."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        yield _contract(*(np.concatenate(x) for x in zip(*parts)))
+
+
+def components(edges: DataFrame, name: str, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, comp) of every node but the smallest of its component; comp is that smallest node.
+
+    Distributed union-find over edges of two long columns. Edges are contracted inside each
+    partition to a forest. A forest of up to local_edges edges (counted first) is contracted by
+    one task. A larger one goes through alternating large-star and small-star rounds, whose
+    number grows with the logarithm of a component's diameter; every round is a written table,
+    so a lost executor costs one round's tasks. Nothing but counts and checksums reaches the driver.
     """
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long")
-    e = materialize(e, f"{name}-forest")
+    e, state = _observed(e, f"{name}-forest")
+    if state[0] <= local_edges:
+        return e.repartition(1).mapInArrow(_one_forest, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("comp"))
     # edges always point from the larger node u to the smaller node v
-    state = _digest(e)
-    while state[0]:
+    while True:
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = materialize(small, f"{name}-round")
-        new = _digest(e)
-        if new == state:
-            break
-        state = new
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        before = state
+        e, state = _observed(small, f"{name}-round")
+        if state == before:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
-def _digest(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
+def _observed(e: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """e materialized, with its number of edges and two checksums, which come with the write."""
+    seen = Observation()
+    out = materialize(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("v", "u")).alias("x")), name)
+    got = seen.get
+    return out, (got["n"], got["s"], got["x"])
 
 
 # --- links between sets -------------------------------------------------------------------
@@ -168,8 +186,17 @@ def longs(payload: bytes) -> np.ndarray:
 def _verify_pairs(percent: int, decode):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            known: dict[bytes, np.ndarray] = {}  # a hub is in many pairs
+
+            def read(x: bytes) -> np.ndarray:
+                if x not in known:
+                    if len(known) > 64:
+                        known.clear()
+                    known[x] = decode(x)
+                return known[x]
+
             na, nb = b.column(2).to_pylist(), b.column(3).to_pylist()
-            keep = [i for i, (x, y) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist())) if _similar(decode(x), decode(y), na[i], nb[i], percent)]
+            keep = [i for i, (x, y) in enumerate(zip(b.column(4), b.column(5))) if _similar(read(x.as_py()), read(y.as_py()), na[i], nb[i], percent)]
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
 
@@ -245,7 +272,7 @@ def _block_links(percent: int, decode):
     return links
 
 
-def link_sets(sets: DataFrame, percent: int, name: str, rounds: int = 2, decode=longs) -> DataFrame:
+def link_sets(sets: DataFrame, percent: int, name: str, rounds: int = 1, decode=longs) -> DataFrame:
     """(node, comp) of all nodes that have a verified link; comp is the smallest node linked.
 
     sets: (node long, n long, toks binary, ell int, prefix array<long>, off double). n is the set's
@@ -254,8 +281,8 @@ def link_sets(sets: DataFrame, percent: int, name: str, rounds: int = 2, decode=
     how far from its neighbours a set is likely to be.
 
     A posting list of m sets stands for m * m / 2 pairs. Only connectivity is asked for, so first
-    each list's members meet one hub, its most central member and later another one, which is linear; what
-    links is contracted. Lists inside one component are done. What remains falls into clusters of sets
+    each list's members meet one hub, its most central member (in further rounds another one), which is
+    linear; what links is contracted. Lists inside one component are done. What remains falls into clusters of sets
     that share open lists, and each cluster is compared in blocks: a pair of packed blocks is one
     row, its candidates are found and verified by matrix products in one task, and a forest of the links
     comes back. No pair between two components is left out, and no list of pairs is ever written.

@@ -165,8 +165,8 @@ def _bucket(t: pa.Table) -> pa.Table:
 
 
 def _fetch(slots, bits: int, min_bytes: int):
-    """(doc_id, text) to (key, id, line, text) of the lines whose key passes the bitmap; the text goes
-    with the first of a block's equal lines only."""
+    """(doc_id, text) to (key, id, line, text, n) of the lines whose key passes the bitmap; the text and
+    the number of its shingles go with the first of a block's equal lines only."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(np.frombuffer(slots.value, np.uint8)).astype(bool)
@@ -179,9 +179,11 @@ def _fetch(slots, bits: int, min_bytes: int):
                 doc = ln.doc[at]
                 raw = low.tobytes()
                 texts: list = [None] * len(at)
+                sizes: list = [None] * len(at)
                 for i in np.unique(key, return_index=True)[1].tolist():
                     texts[i] = raw[ln.starts[at[i]] : ln.ends[at[i]]]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + doc]), pa.array((at - ln.first[doc]).astype(np.int32)), pa.array(texts, pa.binary())], names=["key", "id", "line", "text"])
+                    sizes[i] = len(_shingles(texts[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + doc]), pa.array((at - ln.first[doc]).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "id", "line", "text", "n"])
 
     return fetch
 
@@ -192,12 +194,6 @@ def _shingles(line: bytes) -> np.ndarray:
     return np.unique(np.ndarray((max(n, 0),), "<i8", np.concatenate([b, np.zeros(WIDTH, np.uint8)]), strides=(1,)).copy())
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = [len(_shingles(x)) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], names=["key", "text", "n"])
-
-
 def _without(schema_names: list[str]):
     """Rows with a list of line numbers to texts without these lines."""
 
@@ -232,11 +228,10 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_
     nodes = materialize(postings.select(F.col("node").alias("key")).distinct(), "lines-nodes")
     bits = bitmap_bits(nodes.count())
     slots = spark.sparkContext.broadcast(bitmap(nodes, bits))
-    fetched = materialize(rows.mapInArrow(_fetch(slots, bits, min_bytes), "key long, id long, line int, text binary").join(nodes, "key", "left_semi"), "lines-texts")
-    texts = fetched.where("text IS NOT NULL").groupBy("key").agg(F.min("text").alias("text"))
+    fetched = materialize(rows.mapInArrow(_fetch(slots, bits, min_bytes), "key long, id long, line int, text binary, n long").join(nodes, "key", "left_semi"), "lines-texts")
+    texts = fetched.where("text IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"), F.first("n").alias("n"))
     bands = postings.groupBy(F.col("node").alias("key")).agg(F.collect_list("tok").alias("prefix"))
-    sized = texts.mapInArrow(_sizes, "key long, text binary, n long")
-    sets = sized.join(bands, "key").select(F.col("key").alias("node"), "n", F.col("text").alias("toks"), F.lit(1).alias("ell"), "prefix", F.lit(0.0).alias("off"))
+    sets = texts.join(bands, "key").select(F.col("key").alias("node"), "n", F.col("text").alias("toks"), F.lit(1).alias("ell"), "prefix", F.lit(0.0).alias("off"))
     comp = link_sets(materialize(sets, "lines-sets"), percent, "lines", decode=_shingles)
     linked = comp.select("node", "comp").union(comp.select("comp", "comp")).distinct()
     once = found.where("tok IS NULL").select("key", "id", "line")
@@ -248,10 +243,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """docs with its lines' duplicates removed, and two more columns: n_lines and n_removed."""
+    """docs with its lines' duplicates removed, and two more columns: n_lines and n_removed. The last
+    join is a sort-merge join at every size: the documents that lose lines grow with the input."""
     base = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     drop = materialize(removed_lines(docs, percent, min_bytes), "lines-drop")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(K.NO_ID))
-    joined = docs.select(*base).join(drop.select(F.col("id").alias("__id"), F.col("drop").alias("__drop")), key == F.col("__id"), "left").drop("__id")
+    joined = docs.select(*base).join(drop.select(F.col("id").alias("__id"), F.col("drop").alias("__drop")).hint("merge"), key == F.col("__id"), "left").drop("__id")
     schema = T.StructType([*(f for f in docs.schema if f.name in base), T.StructField("__lines", T.LongType()), T.StructField("__removed", T.LongType())])
     return joined.mapInArrow(_without([f.name for f in schema]), schema).withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"})

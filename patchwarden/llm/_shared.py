@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from . import _text as K
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only a local master without the setting gets a
@@ -267,6 +269,8 @@ def _block_links(percent: int, decode):
                 else:
                     ok = np.array([_similar(one[p], two[q], int(ns[p]), int(ns2[q]), percent) for p, q in zip(i.tolist(), j.tolist())], bool)
                 # components that links join, and the links as edges between components
+                del cand, one, two
+                K.release()
                 yield from _forest([pa.RecordBatch.from_arrays([pa.array(comps[i[ok]]), pa.array(comps2[j[ok]])], names=["u", "v"])])
 
     return links

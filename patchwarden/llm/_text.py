@@ -8,6 +8,7 @@ and a document larger than the block size is a block of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,6 +172,21 @@ def code_points(buf: np.ndarray) -> np.ndarray:
     return (buf & 0xC0) != 0x80
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between stages, and an executor
+    has several."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
 def per_doc(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Count of True bytes in each document."""
     s = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])

@@ -32,7 +32,7 @@ WIDTH = 8
 BANDS, ROWS, BINS = 12, 5, 64
 PERCENT = 80
 MIN_BYTES = 32
-FLUSH = 200_000
+FLUSH = 100_000
 _OCC = np.dtype([("key", "<i8"), ("id", "<i8"), ("line", "<i4")])
 
 
@@ -125,8 +125,10 @@ def _pack(buckets: int, min_bytes: int):
                 if seen >= FLUSH:
                     yield flush()
                     seen = 0
+            K.release()
         if occ:
             yield flush()
+        K.release()
 
     return pack
 
@@ -158,6 +160,7 @@ def _bucket(t: pa.Table) -> pa.Table:
         dup[:-1] |= eq
     o = o[dup]
     a, c = len(tok), len(o)
+    K.release()
     return pa.table({
         "tok": pa.chunked_array([pa.array(tok), pa.nulls(c, pa.int64())]), "key": pa.chunked_array([pa.array(node), pa.array(np.ascontiguousarray(o["key"]))]),
         "id": pa.chunked_array([pa.nulls(a, pa.int64()), pa.array(np.ascontiguousarray(o["id"]))]), "line": pa.chunked_array([pa.nulls(a, pa.int32()), pa.array(np.ascontiguousarray(o["line"]))]),
@@ -184,6 +187,7 @@ def _fetch(slots, bits: int, min_bytes: int):
                     texts[i] = raw[ln.starts[at[i]] : ln.ends[at[i]]]
                     sizes[i] = len(_shingles(texts[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + doc]), pa.array((at - ln.first[doc]).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "id", "line", "text", "n"])
+            K.release()
 
     return fetch
 
@@ -244,10 +248,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
     """docs with its lines' duplicates removed, and two more columns: n_lines and n_removed. The last
-    join is a sort-merge join at every size: the documents that lose lines grow with the input."""
+    join is a shuffled hash join at every size (the line numbers are hashed, the texts not sorted):
+    the documents that lose lines grow with the input."""
     base = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     drop = materialize(removed_lines(docs, percent, min_bytes), "lines-drop")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(K.NO_ID))
-    joined = docs.select(*base).join(drop.select(F.col("id").alias("__id"), F.col("drop").alias("__drop")).hint("merge"), key == F.col("__id"), "left").drop("__id")
+    joined = docs.select(*base).join(drop.select(F.col("id").alias("__id"), F.col("drop").alias("__drop")).hint("shuffle_hash"), key == F.col("__id"), "left").drop("__id")
     schema = T.StructType([*(f for f in docs.schema if f.name in base), T.StructField("__lines", T.LongType()), T.StructField("__removed", T.LongType())])
     return joined.mapInArrow(_without([f.name for f in schema]), schema).withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"})

@@ -117,8 +117,10 @@ def _pack(k: int, buckets: int):
                 if size >= FLUSH:
                     yield flush()
                     size = 0
+            K.release()
         if ids:
             yield flush()
+        K.release()
 
     return pack
 
@@ -133,7 +135,10 @@ def _bucket(t: pa.Table) -> pa.Table:
     heads = np.concatenate([np.frombuffer(x, _HEAD) for x in t.column("heads").to_pylist()])
     low = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("low").to_pylist()])
     high = np.concatenate([np.frombuffer(x, "<u2") for x in t.column("high").to_pylist()])
-    tok = low.astype(np.int64) | high.astype(np.int64) << 32
+    tok = high.astype(np.int64)
+    tok <<= 32
+    tok |= low
+    del low, high
     by = np.lexsort((heads["id"], heads["d2"], heads["d1"]))
     s = heads[by]
     new = np.concatenate([[True], (s["d1"][1:] != s["d1"][:-1]) | (s["d2"][1:] != s["d2"][:-1])])
@@ -147,18 +152,23 @@ def _bucket(t: pa.Table) -> pa.Table:
     runs = runs[heads["k"][runs] > 0]
     chosen = np.zeros(len(heads), bool)
     chosen[runs] = True
-    run = np.repeat(np.arange(len(heads)), heads["k"])
-    keep = chosen[run]
-    tok, run = tok[keep], run[keep]
+    run = np.repeat(np.arange(len(heads), dtype=np.int32), heads["k"])
+    if not chosen.all():
+        keep = chosen[run]
+        tok, run = tok[keep], run[keep]
+        del keep
     x = np.sort(tok)
     twice = np.unique(x[1:][x[1:] == x[:-1]])
     if len(twice):
-        at = np.minimum(np.searchsorted(twice, tok), len(twice) - 1)
-        hit = twice[at] == tok
+        hit = np.zeros(len(tok), bool)
+        for i in range(0, len(tok), 1 << 18):
+            part = tok[i : i + (1 << 18)]
+            hit[i : i + (1 << 18)] = twice[np.minimum(np.searchsorted(twice, part), len(twice) - 1)] == part
         tok, run = tok[hit], run[hit]
         df = np.searchsorted(x, tok, "right") - np.searchsorted(x, tok, "left")
     else:
-        tok, run, df = tok[:0], run[:0], run[:0]
+        tok, run, df = tok[:0], run[:0], tok[:0]
+    del x
     tok |= np.int64(bucket) << 48
     first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else run
     end = np.append(first[1:], len(run))
@@ -174,6 +184,8 @@ def _bucket(t: pa.Table) -> pa.Table:
         "toks": [pa.nulls(m, pa.binary()), pa.array([toks[8 * a : 8 * e] for a, e in zip(first.tolist(), end.tolist())], pa.binary())],
         "dfs": [pa.nulls(m, pa.binary()), pa.array([dfs[4 * a : 4 * e] for a, e in zip(first.tolist(), end.tolist())], pa.binary())],
     }
+    del tok, run, df
+    K.release()
     return pa.table({k: pa.chunked_array(v) for k, v in part.items()})
 
 

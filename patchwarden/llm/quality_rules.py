@@ -76,6 +76,8 @@ def _with_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = b.schema.names
         parts = [_block_stats(buf, off) for _, _, buf, off in K.blocks(b.column(names.index("text")))]
         cols = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(len(STATS))]
+        del parts
+        K.release()
         keep = [(c, x) for c, x in zip(names, b.columns) if c not in STATS]
         yield pa.RecordBatch.from_arrays([x for _, x in keep] + [pa.array(c.astype(np.int64)) for c in cols], names=[c for c, _ in keep] + STATS)
 

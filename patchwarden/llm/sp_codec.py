@@ -31,7 +31,9 @@ from pyspark.sql import types as T
 from . import _text as K
 
 LONG = 128
-_NONE = np.int64(np.iinfo(np.int64).max)
+_NONE = np.int32(np.iinfo(np.int32).max)
+#: bytes of texts whose words run through the agenda together; small enough for the cache
+BLOCK = 1 << 17
 _SPACE = 0x2581
 _M = (1 << 64) - 1
 
@@ -103,7 +105,7 @@ class PieceModel:
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(slots in the table, whether the pair has an entry)."""
-        key = (a << 20) | b
+        key = (a.astype(np.int64) << 20) | b
         at = self._slot(key)
         got = self.table_key[at]
         ok = got == key
@@ -190,7 +192,7 @@ class Encoder:
 
     def _ranks(self, sym, nxt, pos, mid, end, base, rel):
         at, ok = self.m.merged(sym, nxt)
-        rank = np.full(len(sym), _NONE)
+        rank = np.full(len(sym), _NONE, np.int32)
         i = np.flatnonzero(ok)
         if self.rate and len(i):
             i = i[_keep(base[i], pos[i] - rel[i], mid[i] - rel[i], end[i] - rel[i], self.rate)]
@@ -198,24 +200,24 @@ class Encoder:
         return rank, at
 
     def _agenda(self, out, sym_all, use, starts, length, doc, first, base) -> None:
-        pos = np.flatnonzero(use)
+        pos = np.flatnonzero(use).astype(np.int32)
         out[pos] = -2
         if not len(pos):
             return
-        sym = sym_all[pos]
-        seg = np.repeat(np.arange(len(starts)), length)
+        sym = sym_all[pos].astype(np.int32)
+        seg = np.repeat(np.arange(len(starts), dtype=np.int32), length)
         seg_doc = doc[starts]
         seg_base, seg_rel = base[seg_doc], first[seg_doc]
         stop = np.cumsum(length)  # rows' end of each segment
-        end = np.append(pos[1:], 0)
+        end = np.append(pos[1:], np.int32(0))
         seg_end = starts + length
         end[stop - 1] = seg_end
         last = np.zeros(len(pos), bool)
         last[stop - 1] = True
 
         def ranked(rows):
-            r = np.full(len(rows), _NONE)
-            slot = np.zeros(len(rows), np.int64)
+            r = np.full(len(rows), _NONE, np.int32)
+            slot = np.zeros(len(rows), np.int32)
             ok = ~last[rows]
             i = rows[ok]
             g = seg[i]
@@ -223,34 +225,28 @@ class Encoder:
             return r, slot
 
         rank, slot = ranked(np.arange(len(pos)))
-        head = stop - length
+        count = length
         while True:
-            key = np.where(rank == _NONE, _NONE, rank << 32 | np.arange(len(rank)))
-            best = np.minimum.reduceat(key, head)
-            live = best != _NONE
-            if not live.all():  # finished words leave
-                gone = np.repeat(~live, np.diff(np.append(head, len(rank))))
-                out[pos[gone]] = sym[gone]
-                if not live.any():
-                    return
-                keep = ~gone
-                n = np.diff(np.append(head, len(rank)))[live]
-                shift = np.cumsum(gone)
-                at = (best[live] & 0xFFFFFFFF)
-                at -= shift[at]
-                sym, seg, pos, end, last, rank, slot = (x[keep] for x in (sym, seg, pos, end, last, rank, slot))
-                head = np.cumsum(n) - n
-            else:
-                at = best & 0xFFFFFFFF
+            head = np.cumsum(count) - count
+            best = np.minimum.reduceat(rank.astype(np.int64) << 32 | np.arange(len(rank)), head)
+            live = best >> 32 != _NONE
+            if not live.any():
+                out[pos] = sym
+                return
+            at = best[live] & 0xFFFFFFFF
             sym[at] = self.m.table_id[slot[at]]
             end[at] = end[at + 1]
             last[at] = last[at + 1]
-            keep = np.ones(len(sym), bool)
+            keep = np.repeat(live, count)
+            if not live.all():  # finished words leave
+                gone = np.flatnonzero(~keep)
+                out[pos[gone]] = sym[gone]
             keep[at + 1] = False
-            sym, seg, pos, end, last, rank, slot = (x[keep] for x in (sym, seg, pos, end, last, rank, slot))
-            at = at - np.arange(len(at))
-            head = head - np.arange(len(head))
-            before = at[at > head] - 1
+            at = np.cumsum(keep)[at] - 1
+            rows = np.flatnonzero(keep)
+            sym, seg, pos, end, last, rank, slot = (x[rows] for x in (sym, seg, pos, end, last, rank, slot))
+            count = count[live] - 1
+            before = at[at > np.cumsum(count) - count] - 1
             rows = np.concatenate([at, before])
             rank[rows], slot[rows] = ranked(rows)
 
@@ -316,12 +312,13 @@ def sp_encode(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int
         for b in batches:
             texts = b.column(names.index("text"))
             keys = b.column(key).cast(pa.int64()).fill_null(K.NO_ID).to_numpy()
-            for lo, hi, _, _ in K.blocks(texts):
+            for lo, hi, _, _ in K.blocks(texts, BLOCK):
                 part = texts.slice(lo, hi - lo)
                 ids, counts = enc.block([t or "" for t in part.to_pylist()], keys[lo:hi])
                 off = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32)), mask=part.is_null())
                 yield pa.RecordBatch.from_arrays([*(x.slice(lo, hi - lo) for x in b.columns), lists], names=[*names, column])
+            K.release()
 
     return rows.mapInArrow(encode, T.StructType([*rows.schema, T.StructField(column, T.ArrayType(T.IntegerType()))]))
 
@@ -341,6 +338,7 @@ def sp_decode(rows: DataFrame, model_file: str, column: str = "token_ids", into:
                 counts = lists.value_lengths().fill_null(0).to_numpy()
                 texts = pa.array([None if n else t for t, n in zip(decode_block(m, ids, counts), lists.is_null().to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*names, into])
+            K.release()
 
     return rows.mapInArrow(decode, T.StructType([*rows.schema, T.StructField(into, T.StringType())]))
 

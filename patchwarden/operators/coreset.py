@@ -74,7 +74,7 @@ def _reduce(k: int):
         dim = t.column("dim")[0].as_py()
         x = np.concatenate([A.unpack(b, dim) for b in t.column("x").to_pylist()])
         x = x[N.farthest_first(x, min(k, len(x)))]
-        return pa.table({"level": [t.column("level")[0].as_py() + 1], "slot": [t.column("slot")[0].as_py() // 2], "dim": [dim], "x": pa.array([A.pack(x)], pa.binary())})
+        return pa.table({"level": pa.array([t.column("level")[0].as_py() + 1], pa.int32()), "slot": [t.column("slot")[0].as_py() // 2], "dim": pa.array([dim], pa.int32()), "x": pa.array([A.pack(x)], pa.binary())})
 
     return reduce
 

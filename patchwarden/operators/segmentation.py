@@ -25,11 +25,19 @@ def cells(df: DataFrame, column: str, width: int) -> DataFrame:
 def patchify(df: DataFrame, column: str, height: int, width: int, k: int = 3, stride: int = 1, out: str = "patch") -> DataFrame:
     """df's other columns with (row, col, patch) for each position of a k x k window, zero-padded."""
     keys = [c for c in df.columns if c != column]
-    p = (k - 1) // 2
-    rows, cols = (height + 2 * p - k) // stride + 1, (width + 2 * p - k) // stride + 1
-    at = lambda r, c: F.col(column)[r * width + c] if 0 <= r < height and 0 <= c < width else F.lit(0.0)
-    windows = [F.struct(F.lit(i).alias("row"), F.lit(j).alias("col"), F.array(*(at(i * stride - p + a, j * stride - p + b) for a in range(k) for b in range(k))).alias(out)) for i in range(rows) for j in range(cols)]
-    return df.select(*keys, F.explode(F.array(*windows)).alias("w")).select(*keys, "w.*")
+    schema = T.StructType([*(df.schema[c] for c in keys), T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField(out, T.ArrayType(T.DoubleType()))])
+    cols = (width + 2 * ((k - 1) // 2) - k) // stride + 1
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = N.patchify(A.matrix(b.column(len(keys))).reshape(-1, 1, height, width), k, stride)
+                n, p = x.shape[:2]
+                take = pa.array(np.repeat(np.arange(n), p))
+                at = np.tile(np.arange(p), n)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(keys))), pa.array((at // cols).astype(np.int32)), pa.array((at % cols).astype(np.int32)), A.lists(x.reshape(n * p, -1))], names=[f.name for f in schema])
+
+    return df.select(*keys, column).mapInArrow(windows, schema)
 
 
 def resize(df: DataFrame, column: str, shape: tuple[int, int], to: tuple[int, int], sigma: float = 0.0, out: str = "resized") -> DataFrame:

@@ -169,6 +169,7 @@ b AS (SELECT t2 * ((n - 1) / n) ** 2 AS t2, t * (n - 1) / n AS t, n, d, q FROM t
         "online_moments": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type",
         "stream_moments": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type",
         "farthest_first": _picks("SELECT vec_id, f, list_distance(f, m) AS a FROM x, mu", 20) + "SELECT n::BIGINT AS bank_id, round(f[1], 6) + 0.0 AS x0, round(f[2], 6) + 0.0 AS x1, round(f[3], 6) + 0.0 AS x2 FROM s",
+        "greedy_exact": _picks("SELECT a.vec_id, any_value(a.f) AS f, sum(list_distance(a.f, b.f) ** 2) AS a FROM x a, x b GROUP BY a.vec_id", 10) + "SELECT n::BIGINT AS bank_id, round(f[1], 6) + 0.0 AS x0, round(f[2], 6) + 0.0 AS x1, round(f[3], 6) + 0.0 AS x2 FROM s",
         "tail_residual_topk": f"WITH {P}, {BANK}, {KN} SELECT vec_id, round(sqrt(d), 6) AS tail_score FROM kn WHERE rank = 1 ORDER BY d DESC, vec_id LIMIT 50",
         "tail_pruning_gap": f"WITH {P}, {BANK}, {_bank('mn', 'label')}, a AS (SELECT vec_id, min(list_distance(p.f, bank.f)) AS d FROM p, bank GROUP BY vec_id), b AS (SELECT vec_id, min(list_distance(p.f, mn.f)) AS d FROM p, mn GROUP BY vec_id) SELECT vec_id, round(greatest(0, b.d - a.d), 6) AS tail_score FROM a JOIN b USING (vec_id)",
         "chi2_tail_band": f"""WITH {P}, st AS (SELECT [{", ".join(f"avg(f[{i}])" for i in range(1, DIM + 1))}] AS m, [{", ".join(f"stddev_samp(f[{i}])" for i in range(1, DIM + 1))}] AS s FROM p),

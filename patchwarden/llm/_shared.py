@@ -27,10 +27,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither recompute it nor
-    depend on the executors that made it."""
+    depend on the executors that made it. small: a table much smaller than the input is written
+    by a quarter of the partitions, as every file costs the file system more than its rows do."""
     spark = df.sparkSession
+    if small:
+        df = df.coalesce(max(8, partitions(spark) // 4))
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -113,8 +116,9 @@ def _one_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _contract(*(np.concatenate(x) for x in zip(*parts)))
 
 
-def components(edges: DataFrame, name: str, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(node, comp) of every node but the smallest of its component; comp is that smallest node.
+def components(edges: DataFrame, name: str, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, int]:
+    """(node, comp) of every node but the smallest of its component, comp being that smallest node;
+    and a number of edges that is at least the number of these rows.
 
     Distributed union-find over edges of two long columns. Edges are contracted inside each
     partition to a forest. A forest of up to local_edges edges (counted first) is contracted by
@@ -126,7 +130,7 @@ def components(edges: DataFrame, name: str, local_edges: int = LOCAL_EDGES) -> D
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long")
     e, state = _observed(e, f"{name}-forest")
     if state[0] <= local_edges:
-        return e.repartition(1).mapInArrow(_one_forest, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("comp"))
+        return e.repartition(1).mapInArrow(_one_forest, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("comp")), state[0]
     # edges always point from the larger node u to the smaller node v
     while True:
         both = e.union(e.select("v", "u"))
@@ -137,13 +141,13 @@ def components(edges: DataFrame, name: str, local_edges: int = LOCAL_EDGES) -> D
         before = state
         e, state = _observed(small, f"{name}-round")
         if state == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
+            return e.select(F.col("u").alias("node"), F.col("v").alias("comp")), state[0]
 
 
 def _observed(e: DataFrame, name: str) -> tuple[DataFrame, tuple]:
     """e materialized, with its number of edges and two checksums, which come with the write."""
     seen = Observation()
-    out = materialize(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("v", "u")).alias("x")), name)
+    out = materialize(e.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("v", "u")).alias("x")), name, True)
     got = seen.get
     return out, (got["n"], got["s"], got["x"])
 
@@ -294,39 +298,37 @@ def link_sets(sets: DataFrame, percent: int, name: str, rounds: int = 1, decode=
     spark, n = sets.sparkSession, partitions(sets.sparkSession)
     payload = sets.select("node", "n", "toks")
     postings = sets.select(F.explode("prefix").alias("tok"), "node", "off")
-    comp = None
-    links = None
+    comp = named = None
     for r in range(rounds):
         order = F.struct("off", F.xxhash64("node")) if r == 0 else F.struct(F.lit(0.0), F.xxhash64("node", F.lit(r)))
         hubs = postings.select("tok", "node", F.col("node").alias("comp"), order.alias("o")) if comp is None else named.select("tok", "node", "comp", order.alias("o"))
         pairs = hubs.repartition(n, "tok").sortWithinPartitions("tok", "o").select("tok", "node", "comp").mapInArrow(_hub_pairs, "a long, b long").distinct()
         left, right = (payload.withColumnsRenamed({"node": x, "n": f"n_{x}", "toks": f"t_{x}"}) for x in "ab")
         found = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_verify_pairs(percent, decode), "a long, b long")
-        links = materialize(found if links is None else links.union(found), f"{name}-links")
-        comp = components(links, f"{name}-hub")
+        # what is linked so far is as good as its components
+        comp, _ = components(found if comp is None else found.union(comp), f"{name}-hub")
         labels = postings.join(comp, "node", "left").select("tok", "node", "off", F.coalesce("comp", "node").alias("comp"))
         mixed = labels.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-        named = materialize(labels.join(mixed, "tok", "left_semi"), f"{name}-open")
+        named = materialize(labels.join(mixed, "tok", "left_semi"), f"{name}-open", True)
     # clusters of sets that share open lists
     chain = named.select("tok", "node", F.col("node").alias("comp"), F.xxhash64("node").alias("o")).repartition(n, "tok").sortWithinPartitions("tok", "o").select("tok", "node", "comp").mapInArrow(_hub_pairs, "a long, b long")
-    cluster = components(chain, f"{name}-cluster")
+    cluster, edges = components(chain, f"{name}-cluster")
     member = cluster.select("node", F.col("comp").alias("cluster")).union(cluster.select("comp", "comp").distinct())
     sizes = member.groupBy("cluster").agg(F.count("*").alias("m"))
     open_sets = named.groupBy("node").agg(F.min("comp").alias("comp"), F.collect_list("tok").alias("open"))
     small = F.col("m") <= BLOCK // 4
-    total = materialize(member.join(sizes, "cluster"), f"{name}-members")
-    bins = -(-total.where(small).count() // (BLOCK // 2)) or 1
+    bins = -(-2 * edges // (BLOCK // 2)) or 1  # a cluster of m sets has m - 1 edges at least
     # small clusters share bins; a large one is dealt over blocks of its own
-    dealt = total.select(
+    dealt = member.join(sizes, "cluster").select(
         "node", F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")).alias("key"), small.alias("small"),
         F.when(small, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK))).cast("int").alias("blk"),
     ).select("node", F.xxhash64("small", "key").alias("grp"), "blk")
     packed = materialize(
         dealt.join(open_sets, "node").join(sets.select("node", "n", "toks", "ell"), "node").withColumnRenamed("open", "prefix").select("grp", "blk", "node", "comp", "n", "ell", "toks", "prefix").groupBy("grp", "blk").applyInArrow(_pack_sets, _PACKED),
-        f"{name}-blocks",
+        f"{name}-blocks", True,
     )
     fields = ["nodes", "comps", "ns", "ells", "lens", "toks", "plens", "prefix"]
     other = packed.select("grp", F.col("blk").alias("blk2"), *(F.col(f).alias(f"{f}2") for f in fields))
     pairs = packed.join(other, "grp").where("blk <= blk2").select((F.col("blk") == F.col("blk2")).alias("same"), *fields, *(f"{f}2" for f in fields))
     more = pairs.repartition(n).mapInArrow(_block_links(percent, decode), "u long, v long")
-    return components(materialize(links.union(more), f"{name}-all"), name)
+    return components(more.union(comp), name)[0]

@@ -212,7 +212,7 @@ def _by_join(docs: DataFrame, bench: DataFrame, short: list[int]) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
-    bench = materialize(bench_windows(benchmark), "decon-bench")
+    bench = materialize(bench_windows(benchmark), "decon-bench", True)
     size, longest = bench.agg(F.coalesce(F.sum(F.octet_length("window") + 32), F.lit(0)), F.count("*")).first()
     short = sorted(r.len for r in bench.where(F.col("len") < SPAN).select("len").distinct().collect())  # at most SPAN - 1 values
     if size > broadcast_bytes:
@@ -230,5 +230,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit_share: float =
     """docs without the rows of which more than max_hit_share of the words stand in a benchmark
     window; same columns. Judged rows are joined back by doc_id where any were found."""
     verdict = contamination(docs, benchmark).where("contaminated").where(F.col("n_hit") > F.col("n_words") * max_hit_share)
-    bad = materialize(verdict.select(F.col("doc_id").alias("bad_id")).distinct(), "decon-bad")
+    bad = materialize(verdict.select(F.col("doc_id").alias("bad_id")).distinct(), "decon-bad", True)
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti").select(*docs.columns)

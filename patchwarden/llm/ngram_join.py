@@ -227,7 +227,7 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     sets = found.where("node IS NOT NULL").groupBy("node").agg(
         F.min("rep").alias("rep"), F.max("n").alias("n"), F.sum(F.octet_length("toks")).alias("b"), F.collect_list("toks").alias("toks"), F.collect_list("dfs").alias("dfs")
     ).where(f"100 * (b div 8) >= {percent} * n")
-    cand = materialize(sets.select("node", "rep", "n", "toks", "dfs").mapInArrow(_prefixes(percent, max_ell), "node long, rep long, n long, toks binary, ell int, prefix array<long>"), "ngram-sets")
+    cand = materialize(sets.select("node", "rep", "n", "toks", "dfs").mapInArrow(_prefixes(percent, max_ell), "node long, rep long, n long, toks binary, ell int, prefix array<long>"), "ngram-sets", True)
     off = 1 - F.octet_length("toks") / (8 * F.col("n"))
     comp = link_sets(cand.select("node", "n", "toks", "ell", "prefix", off.alias("off")), percent, "ngram")
     named = comp.join(cand.select("node", "rep"), "node").unionByName(comp.select(F.col("comp").alias("node"), "comp").distinct().join(cand.select("node", "rep"), "node"))
@@ -241,5 +241,5 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component (that whose doc_id names it), same columns.
     Rows without shingles stay."""
-    drop = materialize(ngram_components(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct(), "ngram-drop")
+    drop = materialize(ngram_components(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct(), "ngram-drop", True)
     return docs.join(drop, docs["doc_id"] == drop["drop_id"], "left_anti").select(*docs.columns)

@@ -163,13 +163,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     Texts are read once; counts and thresholds are small written tables, so the plan of the last
     join knows their sizes (broadcast where small, else a join that splits skewed keys)."""
     stats = materialize(text_stats(docs).drop("text"), "quality-stats")
-    return judge(stats, materialize(thresholds(stats), "quality-fences"))
+    return judge(stats, materialize(thresholds(stats), "quality-fences", True))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
     """docs without the rejected rows, same columns. Counts are made anew next to the text in
     the second pass, which is cheaper than shuffling the texts to a join by document."""
-    fences = materialize(thresholds(materialize(text_stats(docs.select("text", "lang", "source")).drop("text"), "quality-stats")), "quality-fences")
+    fences = materialize(thresholds(materialize(text_stats(docs.select("text", "lang", "source")).drop("text"), "quality-stats")), "quality-fences", True)
     alias = {c: f"__{c}" for c in docs.columns if c in STATS}
     out = judge(text_stats(docs.withColumnsRenamed(alias)), fences).where("kept").drop(*STATS, "base_failed", "kept")
     return out.withColumnsRenamed({v: k for k, v in alias.items()}).select(*docs.columns)

@@ -97,7 +97,7 @@ def test_components_against_union_find(spark):
         parent[max(a, b)] = min(a, b)
     want = {x: find(x) for x in parent if find(x) != x}
     for limit in (1 << 20, 0):
-        got = components(spark.createDataFrame(edges, "u long, v long").repartition(7), "t", limit).collect()
+        got = components(spark.createDataFrame(edges, "u long, v long").repartition(7), "t", limit)[0].collect()
         assert {r.node: r.comp for r in got} == want and len(got) == len(want)
 
 

@@ -175,7 +175,7 @@ b AS (SELECT t2 * ((n - 1) / n) ** 2 AS t2, t * (n - 1) / n AS t, n, d, q FROM t
         "chi2_tail_band": f"""WITH {P}, st AS (SELECT [{", ".join(f"avg(f[{i}])" for i in range(1, DIM + 1))}] AS m, [{", ".join(f"stddev_samp(f[{i}])" for i in range(1, DIM + 1))}] AS s FROM p),
 q AS (SELECT vec_id, list_sum(list_transform(range(1, {DIM + 1}), lambda i: ((f[i] - m[i]) / s[i]) ** 2)) / 2 AS h FROM p, st),
 c AS (SELECT vec_id, exp(-h) * sum(exp(i * ln(h) - lgamma(i + 1))) AS tail_p FROM q, range(0, {DIM // 2}) t(i) GROUP BY vec_id, h)
-SELECT vec_id, round(tail_p, 6) AS tail_p FROM c WHERE tail_p BETWEEN 0 AND 0.2""",
+SELECT vec_id, round(tail_p, 6) AS tail_p FROM c WHERE tail_p BETWEEN 0.45 AND 0.55""",
         "dedup_exact": f"SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY {_Q2}",
         "dedup_quantized": f"SELECT min(vec_id) AS vec_id, round(arg_min(embedding[1]::DOUBLE, vec_id), 6) + 0.0 AS x0 FROM embeddings GROUP BY {_Q2}",
         "dedup_tolerance": """WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, (embedding::DOUBLE[])[1:2] AS f FROM embeddings),

@@ -42,7 +42,7 @@ def read_csv(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
     if not len(found):
         return None
     part = None
-    at = r"/([^/]+)/([^/]+)/metrics/[^/]+$"
+    at = r"/([^/]+)/([^/]+)/metrics/[^/]+(?:/[^/]+)?$"
     by_header: dict[tuple, list[str]] = {}
     for f in found:  # files of one header make one scan
         p = str(f.getPath())

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,8 +76,8 @@ class Model:
         return keys[at] == h, scores[at]
 
 
-def _hash_strings(strings: list[str]) -> np.ndarray:
-    buf, off = K.text_buffer(pa.array(strings, pa.string()))
+def _hash_strings(strings: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    buf, off = K.text_buffer(strings)
     return K.span_hash(K.prefix_hash(buf), off[:-1], off[1:])
 
 
@@ -91,19 +92,17 @@ def fit(train: DataFrame, per_lang: int = PER_LANG, vocabulary: int = VOCABULARY
     counts = chosen.select("lang", "text").mapInArrow(_gram_counts, "lang string, ord int, gram string, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
     whole = Window.partitionBy("lang", "ord")
     top = counts.withColumn("r", F.row_number().over(whole.orderBy(F.desc("n"), "gram"))).where(F.col("r") <= vocabulary)
-    rows = top.select("lang", "ord", "gram", "n").toPandas()  # bounded by languages x orders x vocabulary
-    totals = {(r.lang, r.ord): (r.t, r.v) for r in counts.groupBy("lang", "ord").agg(F.sum("n").alias("t"), F.count("*").alias("v")).collect()}
+    rows = top.select("lang", "ord", "gram", "n").toArrow()  # bounded by languages x orders x vocabulary
+    totals = {(r.lang, r.ord): r.t for r in counts.groupBy("lang", "ord").agg(F.sum("n").alias("t")).collect()}
+    number = {g: j for j, g in enumerate(langs)}
     orders = []
     for o in range(ORDER + 1):
-        part = rows[rows.ord == o]
-        grams, at = np.unique(part.gram.to_numpy(str), return_inverse=True) if len(part) else (np.zeros(0, str), np.zeros(0, int))
-        n = np.zeros((len(grams), len(langs)))
-        np.add.at(n, (at, np.searchsorted(langs, part.lang.to_numpy(str)) if len(part) else at), part.n.to_numpy())
-        t = np.array([sum(totals.get((g, o), (0, 0))) + 1.0 for g in langs])
-        scores = np.log((n + 0.5) / t)
-        h = _hash_strings(grams.tolist())
-        by = np.argsort(h)
-        orders.append((h[by], scores[by].astype(np.float32)))
+        part = rows.filter(pc.equal(rows.column("ord"), o))
+        keys, at = np.unique(_hash_strings(part.column("gram")), return_inverse=True)
+        n = np.zeros((len(keys), len(langs)))
+        np.add.at(n, (at, np.array([number[g] for g in part.column("lang").to_pylist()], int)), part.column("n").to_numpy())
+        t = np.array([totals.get((g, o), 0) + 1.0 for g in langs])
+        orders.append((keys, np.log((n + 0.5) / t).astype(np.float32)))
     return Model(langs, orders)
 
 

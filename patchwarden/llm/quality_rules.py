@@ -10,8 +10,8 @@ small source falls back to the merged sketch of its language, then of the whole
 
 Defined results: null text has no words (base_failed); null lang or source is a group of its own;
 repeated rows are judged one by one, each counting in the sketches; an empty table gives an
-empty result. Extra columns pass through ``quality_filter``; a column named like one of the
-counts is replaced in ``text_stats``.
+empty result. Extra columns pass through, whatever their names, but that ``text_stats`` and
+``quality_rules`` replace those named like one of their own.
 """
 
 from __future__ import annotations
@@ -149,11 +149,11 @@ def judge(stats: DataFrame, fences: DataFrame) -> DataFrame:
     """stats with base_failed and kept; fences joined by language and source."""
     bad = F.lit(False)
     for m, (*_, lower) in METRICS.items():
-        bad = bad | F.coalesce(_value(m) > F.col(f"hi_{m}"), F.lit(False))
+        bad = bad | F.coalesce(_value(m) > F.col(f"__hi_{m}"), F.lit(False))
         if lower:
-            bad = bad | F.coalesce(_value(m) < F.col(f"lo_{m}"), F.lit(False))
-    f = fences.withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
-    joined = stats.join(f, F.expr("lang <=> f_lang and source <=> f_source"), "left")
+            bad = bad | F.coalesce(_value(m) < F.col(f"__lo_{m}"), F.lit(False))
+    f = fences.withColumnsRenamed({c: f"__{c}" for c in fences.columns})
+    joined = stats.join(f, F.expr("lang <=> __lang and source <=> __source"), "left")
     return joined.select(*(stats[c] for c in stats.columns), base_failed().alias("base_failed"), (~base_failed() & ~bad).alias("kept"))
 
 
@@ -162,7 +162,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
     Texts are read once; counts and thresholds are small written tables, so the plan of the last
     join knows their sizes (broadcast where small, else a join that splits skewed keys)."""
-    stats = materialize(text_stats(docs).drop("text"), "quality-stats")
+    stats = materialize(text_stats(docs.drop("base_failed", "kept")).drop("text"), "quality-stats")
     return judge(stats, materialize(thresholds(stats), "quality-fences", True))
 
 
@@ -170,6 +170,6 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     """docs without the rejected rows, same columns. Counts are made anew next to the text in
     the second pass, which is cheaper than shuffling the texts to a join by document."""
     fences = materialize(thresholds(materialize(text_stats(docs.select("text", "lang", "source")).drop("text"), "quality-stats")), "quality-fences", True)
-    alias = {c: f"__{c}" for c in docs.columns if c in STATS}
+    alias = {c: f"__{c}" for c in docs.columns if c in (*STATS, "base_failed", "kept")}
     out = judge(text_stats(docs.withColumnsRenamed(alias)), fences).where("kept").drop(*STATS, "base_failed", "kept")
     return out.withColumnsRenamed({v: k for k, v in alias.items()}).select(*docs.columns)

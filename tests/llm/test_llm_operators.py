@@ -55,6 +55,24 @@ def model():
     return queries.tokenizer_path(queries.PIECE_MODEL)
 
 
+def test_clashing_columns(spark):
+    """Extra columns with the operators' own names neither crash nor change anything."""
+    names = ["n_words", "n_lines", "n_removed", "kept", "base_failed", "f_lang", "lo_symbol_pct", "rep", "id", "drop", "tok", "node", "comp", "bad_id", "drop_id", "hits", "score", "quality", "toxic", "decoded", "bucket", "window"]
+    rows = [(i, " ".join(words(40, i % 3)), "en", "s", 1, *["x"] * len(names)) for i in range(6)]
+    d = spark.createDataFrame(rows, T.StructType([*DOCS, *(T.StructField(c, T.StringType()) for c in names)]))
+    bench = spark.createDataFrame([(1, "alpha beta gamma", "x")], "item_id long, text string, window string")
+    lab = spark.createDataFrame([(0, 1, 0, "x")], "doc_id long, quality int, toxic int, text string")
+    assert ngram_join.keep_one(d).columns == quality_rules.quality_filter(d).columns == decontaminate.decontaminate(d, bench).columns == d.columns
+    assert [r.doc_id for r in ngram_join.keep_one(d).orderBy("doc_id").collect()] == [0, 1, 2]
+    assert quality_rules.quality_filter(d).where("kept = 'x' AND n_words = 'x'").count() == 6
+    lines = line_dedup.line_dedup(d)
+    assert lines.columns == [c for c in d.columns if c not in ("n_lines", "n_removed")] + ["n_lines", "n_removed"] and lines.agg({"n_removed": "sum"}).first()[0] == 3
+    for limit in (1 << 20, 0):
+        assert decontaminate.contamination(d, bench, limit).count() == 6
+    assert sp_codec.sp_decode(sp_codec.sp_encode(d, model()), model()).where("decoded = text").count() == 6
+    assert token_counts.token_counts(d, model()).count() == language_id.language_id(d).count() == cotrain.quality_classifier(d, lab).count() == quality_rules.quality_rules(d).count() == 6
+
+
 # --- kernels -----------------------------------------------------------------------------
 
 

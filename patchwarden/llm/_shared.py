@@ -30,10 +30,10 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither recompute it nor
     depend on the executors that made it. small: a table much smaller than the input is written
-    by a quarter of the partitions, as every file costs the file system more than its rows do."""
+    by an eighth of the partitions, as every file costs the file system more than its rows do."""
     spark = df.sparkSession
     if small:
-        df = df.coalesce(max(8, partitions(spark) // 4))
+        df = df.coalesce(max(2, partitions(spark) // 8))
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -229,7 +229,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_
     packed = rows.mapInArrow(_pack(buckets, min_bytes), "bucket int, low binary, high binary, nodes binary, occ binary")
     found = materialize(packed.groupBy("bucket").applyInArrow(_bucket, "tok long, key long, id long, line int"), "lines-buckets")
     postings = found.where("tok IS NOT NULL").select("tok", F.col("key").alias("node"))
-    nodes = materialize(postings.select(F.col("node").alias("key")).distinct(), "lines-nodes", True)
+    nodes = postings.select(F.col("node").alias("key")).distinct()
     bits = bitmap_bits(nodes.count())
     slots = spark.sparkContext.broadcast(bitmap(nodes, bits))
     fetched = materialize(rows.mapInArrow(_fetch(slots, bits, min_bytes), "key long, id long, line int, text binary, n long").join(nodes, "key", "left_semi"), "lines-texts")
@@ -240,7 +240,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_
     linked = comp.select("node", "comp").union(comp.select("comp", "comp")).distinct()
     once = found.where("tok IS NULL").select("key", "id", "line")
     occ = once.union(fetched.join(linked.select(F.col("node").alias("key")), "key", "left_semi").select("key", "id", "line")).distinct()
-    grouped = materialize(occ.join(linked, F.col("key") == F.col("node"), "left").select("id", "line", F.coalesce("comp", "key").alias("g")), "lines-occ", True)
+    grouped = occ.join(linked, F.col("key") == F.col("node"), "left").select("id", "line", F.coalesce("comp", "key").alias("g"))
     first = grouped.groupBy("g").agg(F.min(F.struct("id", "line")).alias("first"))
     gone = grouped.join(first, "g").where("id <> first.id OR line <> first.line")
     return gone.groupBy("id").agg(F.collect_set("line").alias("drop"))
@@ -251,7 +251,7 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYT
     join is a shuffled hash join at every size (the line numbers are hashed, the texts not sorted):
     the documents that lose lines grow with the input."""
     base = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    drop = materialize(removed_lines(docs, percent, min_bytes), "lines-drop", True)
+    drop = removed_lines(docs, percent, min_bytes)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(K.NO_ID))
     joined = docs.select(*base).join(drop.select(F.col("id").alias("__id"), F.col("drop").alias("__drop")).hint("shuffle_hash"), key == F.col("__id"), "left").drop("__id")
     schema = T.StructType([*(f for f in docs.schema if f.name in base), T.StructField("__lines", T.LongType()), T.StructField("__removed", T.LongType())])

@@ -138,3 +138,33 @@ def grid_neighbours(cells: DataFrame, kernel: int, exclude_self: bool = False) -
     found = n.join(grid.select(F.col("row").alias("nrow"), F.col("col").alias("ncol")), ["nrow", "ncol"])
     alone = grid.join(found.select("row", "col").distinct(), ["row", "col"], "left_anti").select("row", "col", F.col("row").alias("nrow"), F.col("col").alias("ncol"))
     return found.select("row", "col", "nrow", "ncol").union(alone)
+
+
+FAMILIES = {"nearest": {"bank_id", "features"}, "density": {"component_id", "weight", "mean", "variance"}, "local": {"row", "col", "bank_id", "features"}}
+
+
+def bank_family(bank: DataFrame) -> str:
+    """nearest, density or local, by the bank's columns; raises ValueError for others."""
+    for name in ("local", "density", "nearest"):
+        if FAMILIES[name] <= set(bank.columns):
+            return name
+    raise ValueError(f"no bank has the columns {bank.columns}")
+
+
+def query_bank(queries: DataFrame, bank: DataFrame, k: int) -> DataFrame:
+    """Neighbours, components or same-position neighbours of queries, as the bank's family asks."""
+    family = bank_family(bank)
+    if family == "density":
+        from .scoring import density_join
+
+        return density_join(queries, bank)
+    return position_knn(queries, bank, ["row", "col"], k) if family == "local" else knn_join(queries, bank, k)
+
+
+def materialize_bank(bank: DataFrame, self_distances: bool = False) -> DataFrame:
+    """The bank, with ``self_distance`` where asked; that needs two rows or more."""
+    if not self_distances:
+        return bank
+    if bank.limit(2).count() < 2:
+        raise ValueError("self distances need two rows")
+    return bank.join(self_distance(bank), "bank_id")

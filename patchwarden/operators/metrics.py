@@ -46,7 +46,8 @@ def confusion(df: DataFrame, label: str, score: str, threshold: Column | float,
 
 
 def by_score(df: DataFrame, label: str, score: str, keys: list[str] | None = None) -> DataFrame:
-    """(keys, score, pos, neg) with running totals tp, fp from the highest score down and the totals P and N."""
+    """(keys, score, pos, neg) with running totals tp, fp from the highest score down and the totals P and N.
+    The ranking metrics take it as ``sweep``, so that several share one (persisted) table."""
     keys = keys or []
     y = F.col(label) > 0
     counts = df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(y.cast("long")).alias("pos"), F.sum((~y).cast("long")).alias("neg"))
@@ -74,39 +75,39 @@ def _running_totals(counts: DataFrame, buckets: int = 64) -> DataFrame:
     return y.select("score", "pos", "neg", (F.col("ap") + F.sum("pos").over(down)).alias("tp"), (F.col("an") + F.sum("neg").over(down)).alias("fp"), "P", "N")
 
 
-def best_f1(df: DataFrame, label: str, score: str, keys: list[str] | None = None) -> DataFrame:
+def best_f1(df: DataFrame, label: str, score: str, keys: list[str] | None = None, sweep: DataFrame | None = None) -> DataFrame:
     """(keys, threshold, f1): the score whose ``>=`` predictions have the best F1, the highest of those
     within 1e-12 of it."""
     keys = keys or []
-    s = by_score(df, label, score, keys).withColumn("f1", ratio(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P")))
+    s = (by_score(df, label, score, keys) if sweep is None else sweep).withColumn("f1", ratio(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P")))
     top = s.groupBy(*keys).agg(F.max("f1").alias("top"))
     near = s.join(top, keys) if keys else s.crossJoin(F.broadcast(top))  # one row
     return near.where(F.col("f1") >= F.col("top") - 1e-12).groupBy(*keys).agg(F.max("score").alias("threshold"), F.max_by("f1", "score").alias("f1"))
 
 
-def threshold_for(df: DataFrame, label: str, score: str, policy: str = "best_f1") -> float:
+def threshold_for(df: DataFrame, label: str, score: str, policy: str = "best_f1", sweep: DataFrame | None = None) -> float:
     """0.5 for ``fixed_0_5`` and where there are no rows."""
     if policy == "fixed_0_5":
         return 0.5
     if policy != "best_f1":
         raise ValueError(f"unknown policy {policy}")
-    r = best_f1(df, label, score).first()
+    r = best_f1(df, label, score, sweep=sweep).first()
     return 0.5 if r is None or r.threshold is None else float(r.threshold)
 
 
-def auroc(df: DataFrame, label: str, score: str, keys: list[str] | None = None) -> DataFrame:
+def auroc(df: DataFrame, label: str, score: str, keys: list[str] | None = None, sweep: DataFrame | None = None) -> DataFrame:
     """(keys, auroc): ties count half; NaN with one class."""
     keys = keys or []
-    s = by_score(df, label, score, keys)
+    s = by_score(df, label, score, keys) if sweep is None else sweep
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
     p, n = F.max("P"), F.max("N")
     return s.groupBy(*keys).agg(F.when((p > 0) & (n > 0), area / (p * n)).otherwise(F.lit(NAN)).alias("auroc"))
 
 
-def average_precision(df: DataFrame, label: str, score: str, keys: list[str] | None = None) -> DataFrame:
+def average_precision(df: DataFrame, label: str, score: str, keys: list[str] | None = None, sweep: DataFrame | None = None) -> DataFrame:
     """(keys, average_precision): the sum of recall steps times precision; NaN with one class."""
     keys = keys or []
-    s = by_score(df, label, score, keys)
+    s = by_score(df, label, score, keys) if sweep is None else sweep
     step = F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp"))))
     p, n = F.max("P"), F.max("N")
     return s.groupBy(*keys).agg(F.when((p > 0) & (n > 0), step / p).otherwise(F.lit(NAN)).alias("average_precision"))

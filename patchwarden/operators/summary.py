@@ -55,3 +55,9 @@ def fastest_slowest(summary: DataFrame, column: str, k: int = 5, ids: list[str]
         top = x.orderBy(order, *ids).limit(k)
         both.append(top.select(F.lit(kind).alias("kind"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order, *ids)).alias("rank"), *ids, "value"))
     return both[0].union(both[1])
+
+
+def phase_map(timings: DataFrame, keys: list[str], phase: str = "phase", duration: str = "duration_s") -> DataFrame:
+    """(keys, phases): a map of each phase to its summed duration."""
+    sums = timings.groupBy(*keys, phase).agg(F.sum(duration).alias("d"))
+    return sums.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(phase, "d")))).alias("phases"))

@@ -20,6 +20,9 @@ from .pipeline import fit
 from .profiling import Profiler
 
 
+PHASES = ("fit", "calibration", "infer", "total")
+
+
 def banner(c: RunConfig) -> str:
     """The run's stages in order."""
     f = c.fit
@@ -59,21 +62,27 @@ def run_category(spark: SparkSession, c: RunConfig, category: str, folder: str,
                 maps = maps.withColumn("map", F.transform("map", lambda v: (v - pixel.m) / pixel.s))
             table = scores.join(maps, "image_idx").join(images.select("image_idx", "path", "label", F.col("mask").cast("array<int>").alias("mask")), "image_idx").persist()
             table.count()
+        began = time.monotonic()
         pixels = table.select(F.explode(F.arrays_zip("map", "mask")).alias("x")).select(F.col("x.map").alias("score"), F.col("x.mask").alias("label"))
         policy = lambda p: "best_f1" if p.startswith("best_f1") else p
-        it, pt = M.threshold_for(table, "label", "score", policy(e.image_threshold)), M.threshold_for(pixels, "label", "score", policy(e.pixel_threshold))
+        sweeps = [M.by_score(x, "label", "score").persist() for x in (table, pixels)]
+        it, pt = (M.threshold_for(x, "label", "score", policy(p), w) for x, p, w in ((table, e.image_threshold, sweeps[0]), (pixels, e.pixel_threshold, sweeps[1])))
         row: dict = {"dataset": category, "num_images": table.count(), "num_anomalous_images": table.where("label > 0").count()}
-        for prefix, df, t in (("image", table, it), ("pixel", pixels, pt)):
-            parts = [M.confusion(df, "label", "score", t), M.auroc(df, "label", "score"), M.average_precision(df, "label", "score"), M.best_f1(df, "label", "score").withColumnsRenamed({"threshold": "best_threshold", "f1": "best_f1"})]
-            row |= {f"{prefix}_{k}": v for p in parts for k, v in p.first().asDict().items()} | {f"{prefix}_threshold": t}
         nan = float("nan")
+        for prefix, df, t, w in (("image", table, it, sweeps[0]), ("pixel", pixels, pt, sweeps[1])):
+            c1 = M.confusion(df, "label", "score", t).first()
+            row |= {f"{prefix}_auroc": M.auroc(df, "label", "score", sweep=w).first()[0], f"{prefix}_ap": M.average_precision(df, "label", "score", sweep=w).first()[0]}
+            row |= {f"{prefix}_{k}": c1[k] for k in ("f1", "precision", "recall", "accuracy")} | {f"{prefix}_weighted_accuracy": c1.balanced_accuracy, f"{prefix}_threshold": t}
+            row |= {f"{prefix}_{k}": c1[k] for k in ("tp", "fp", "fn", "tn")}
         row["image_aupro"] = M.aupro(M.image_cells(table, "label", "score"), e.max_fpr, e.num_thresholds).first()[0] if e.image_aupro else nan
         row["pixel_aupro"] = M.aupro(M.pixel_cells(table, "map", "mask", *loader.crop), e.max_fpr, e.num_thresholds).first()[0] if e.pixel_aupro else nan
         per_image = M.map_rows(table.select("image_idx", F.col("label").alias("image_label"), F.col("score").alias("image_score"), "map", "mask"), "map", "mask", pt)
         per_image = per_image.select(F.lit(category).alias("dataset"), F.col("image_idx").alias("image_index"), "image_label", "image_score", M.positive(F.col("image_score"), it).alias("image_pred"), "pixel_gt_positive_ratio", "pixel_pred_positive_ratio", "pixel_map_max", "pixel_map_mean")
+        prof.timings.append((category, "metrics", time.monotonic() - began))
         if c.artifacts["enabled"]:
-            _artifacts(table.join(images.select("image_idx", "image"), "image_idx"), c, folder, category, loader.crop, pt)
-    row |= {f"time_{p}_s": d for _, p, d in prof.timings}
+            with prof.phase("artifacts"):
+                _artifacts(table.join(images.select("image_idx", "image"), "image_idx"), c, folder, category, loader.crop, pt)
+    row |= {f"time_{p}_s": d for _, p, d in prof.timings if p in PHASES}
     return row, per_image, prof
 
 

@@ -17,8 +17,8 @@ from ..operators import tail as T
 from ..operators.moments import fit_moments, fourth_moment
 from ..operators.reduction import PCAModel, pca_of
 from ..operators.whitening import WhiteningConfig, WhiteningModel, whitening_of
+from .registry import build_bank, check_bank
 
-BANKS = {"kcenter": ("STREAMING",), "budgeted": ("STREAMING",), "tail_aware": ("STREAMING",), "greedy": ("OFFLINE",), "kmeans": ("OFFLINE", "STREAMING")}
 IMAGE_MODES = ("GLOBAL_ONLY", "TOPK_SOFT", "TOPP_MEAN")
 
 
@@ -49,10 +49,7 @@ class FitConfig:
     def __post_init__(self):
         if self.contract not in ("OFFLINE", "STREAMING"):
             raise ValueError(f"unknown contract {self.contract}")
-        if self.bank not in BANKS:
-            raise ValueError(f"unknown bank {self.bank}")
-        if self.contract not in BANKS[self.bank]:
-            raise ValueError(f"{self.bank} does not support {self.contract}")
+        check_bank(self.bank, self.contract)
         if self.bank == "tail_aware" and self.tail is None:
             raise ValueError("tail_aware needs its configuration")
         if self.epochs < 1 or self.k < 1 or self.reweight < 1:
@@ -146,16 +143,7 @@ def fit(patches: DataFrame, config: FitConfig, batch: str = "batch", order: str
     model = Model(c, pca, whitening, x)
     z = model.transform(x)
     n = B.cluster_count(c.n_clusters, c.cluster_range, c.contract, 0 if c.contract == "STREAMING" else z.count())
-    if c.bank == "kcenter":
-        bank = B.merge_reduce(z, "features", "batch", "seq", n, c.chunk)
-    elif c.bank == "budgeted":
-        bank = B.budgeted_kcenter(z, "features", "seq", n, c.threshold)
-    elif c.bank == "greedy":
-        bank = B.greedy(z, "features", "seq", c.coreset_share, seed=c.seed)
-    elif c.bank == "kmeans":
-        bank = B.kmeans(z, "features", n, c.seed) if c.contract == "OFFLINE" else B.minibatch_kmeans(z, "features", "seq", n, seed=c.seed)
-    else:
-        bank = T.tail_aware_bank(z, "features", "batch", "seq", c.tail)
+    bank = build_bank(z, c, n)
     # the bank is bounded by its budget; pinned as a local table, later joins know its size
     rows = bank.collect()
     model.bank = patches.sparkSession.createDataFrame(rows, B.BANK)

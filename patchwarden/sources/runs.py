@@ -15,7 +15,8 @@ from ..operators import summary as S
 
 FILES = ("per_dataset", "summary", "per_image", "profiling_samples", "profiling_timings")
 SERIES = ["ram_mb", "vram_mb", "cpu_pct", "gpu_util_pct"]
-METRICS = ["image_auroc", "image_average_precision", "image_f1", "image_aupro", "pixel_auroc", "pixel_average_precision", "pixel_f1", "pixel_aupro"]
+METRICS = ["image_auroc", "image_ap", "image_f1", "pixel_auroc", "pixel_ap", "pixel_f1"]
+PHASES = ("fit", "calibration", "infer", "metrics", "artifacts", "total")
 
 
 def number(c: Column) -> Column:
@@ -70,10 +71,11 @@ def summarize(spark: SparkSession, root: str, metrics: list[str] | None = None)
         out = out.join(S.resource_aggregates(p.select(*run, *((number(F.col(c)) if c in p.columns else nan).alias(c) for c in SERIES)), run, SERIES), run, "left")
     t = read_csv(spark, root, "profiling_timings")
     if t is not None:
-        out = out.join(S.phase_pivot(t.select(*run, "phase", number(F.col("duration_s")).alias("duration_s")), run), run, "left")
+        times = S.phase_pivot(t.select(*run, "phase", number(F.col("duration_s")).alias("duration_s")), run, PHASES)
+        out = out.join(times.withColumnsRenamed({f"time_{p}_s": "run_total_time_s" if p == "total" else f"sum_{p}_s" for p in PHASES}), run, "left")
     lost = F.col("from_mean").isNull()
     out = out.withColumn("status", F.when(lost, "failed").otherwise("ok")).withColumn("error", F.when(lost, "summary.csv is missing or unreadable"))
-    return S.summary_table([out])
+    return S.summary_table([out]).withColumnsRenamed({"experiment": "experiment_name", "timestamp": "run_timestamp"}).drop("run")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -87,9 +89,9 @@ def markdown_table(rows: list, columns: list[str]) -> str:
     return "\n".join(lines + ["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in rows])
 
 
-def markdown_report(summary: DataFrame, metrics: list[str], time: str = "time_total_s", k: int = 10) -> str:
+def markdown_report(summary: DataFrame, metrics: list[str], time: str = "run_total_time_s", k: int = 10) -> str:
     """Leaderboards, fastest and slowest runs and failures of a summary; all parts are top-k or failures."""
-    ids = ["experiment", "run"]
+    ids = ["experiment_name", "run_dir"]
     parts = ["# Experiment summary", f"{summary.count()} runs"]
     board = S.leaderboard(summary, metrics, k, ids).orderBy("metric", "rank").collect()
     for m in metrics:

@@ -7,7 +7,8 @@ line of a component, by doc_id and line number, stays; the others go from their
 
 At the threshold 0.8 a pair is found with probability 1 - (1 - 0.8^5)^12 = 0.99, at 0.9 with
 0.9999. Equal lines are found by their 64-bit hash alone and are one node, whatever their
-number, so a line that stands in a third of all documents makes no pairs. Bands travel packed
+number, so a line that stands in a third of all documents makes no pairs, and it is counted once
+a run of documents before anything is shuffled. Bands travel packed
 in binary rows, 14 bytes each, and only those met by two different lines become rows.
 
 Lines of fewer than ``min_bytes`` bytes are left alone. Defined results: null and empty texts
@@ -33,7 +34,7 @@ BANDS, ROWS, BINS = 12, 5, 64
 PERCENT = 80
 MIN_BYTES = 32
 FLUSH = 100_000
-_OCC = np.dtype([("key", "<i8"), ("id", "<i8"), ("line", "<i4")])
+_COUNT = np.dtype([("key", "<i8"), ("n", "<i4")])
 
 
 def _long_lines(buf: np.ndarray, off: np.ndarray, min_bytes: int) -> tuple[np.ndarray, K.Spans, np.ndarray, np.ndarray]:
@@ -77,22 +78,25 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _pack(buckets: int, min_bytes: int):
-    """(doc_id, text) to (bucket, low, high, nodes, occ): bands and occurrences of lines."""
+    """text to (bucket, low, high, nodes, counts): bands of a run's distinct lines, and how often
+    each occurs in the run, so a line of many documents travels once a run."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         bands: list[np.ndarray] = []
-        occ: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         seen = 0
 
         def flush() -> pa.RecordBatch:
-            key, first = np.unique(np.concatenate(keys), return_index=True)
+            key, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             h = np.concatenate(bands)[first].ravel()
             node = np.repeat(key, BANDS)
             bucket = ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint16)
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            o = np.concatenate(occ)
+            o = np.zeros(len(key), _COUNT)
+            o["key"] = key
+            np.add.at(o["n"], back, np.concatenate(counts))
             ob = ((o["key"].view(np.uint64) >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint16)
             oby = np.argsort(ob, kind="stable")
             oedges = np.searchsorted(ob[oby], np.arange(buckets + 1))
@@ -105,28 +109,24 @@ def _pack(buckets: int, min_bytes: int):
                         c.append(v)
             keys.clear()
             bands.clear()
-            occ.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "low", "high", "nodes", "occ"])
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "low", "high", "nodes", "counts"])
 
         for b in batches:
-            ids = b.column(0).fill_null(K.NO_ID).to_numpy()
-            for lo, _, buf, off in K.blocks(b.column(1)):
+            for _, _, buf, off in K.blocks(b.column(0)):
                 low, ln, at, key = _long_lines(buf, off, min_bytes)
                 if not len(at):
                     continue
-                o = np.empty(len(at), _OCC)
-                doc = ln.doc[at]
-                o["key"], o["id"], o["line"] = key, ids[lo + doc], at - ln.first[doc]
-                _, first = np.unique(key, return_index=True)
-                keys.append(key[first])
+                key, first, n = np.unique(key, return_index=True, return_counts=True)
+                keys.append(key)
+                counts.append(n)
                 bands.append(_bands(signatures(low, ln.starts[at[first]], ln.ends[at[first]])))
-                occ.append(o)
                 seen += len(at)
                 if seen >= FLUSH:
                     yield flush()
                     seen = 0
             K.release()
-        if occ:
+        if keys:
             yield flush()
         K.release()
 
@@ -134,8 +134,8 @@ def _pack(buckets: int, min_bytes: int):
 
 
 def _bucket(t: pa.Table) -> pa.Table:
-    """A bucket's postings (tok, key) of bands that different lines share, and the occurrences
-    (key, id, line) of keys that occur more than once."""
+    """A bucket's postings (tok, key) of bands that different lines share, and the keys (null, key) of
+    lines that occur more than once."""
     bucket = t.column("bucket")[0].as_py()
     cat = lambda c, d: np.concatenate([np.frombuffer(x, d) for x in t.column(c).to_pylist()])
     tok = cat("low", "<u4").astype(np.int64) | cat("high", "<u2").astype(np.int64) << 32
@@ -151,39 +151,32 @@ def _bucket(t: pa.Table) -> pa.Table:
         same[1:] |= eq
         same[:-1] |= eq
     tok, node = tok[same] | np.int64(bucket & 0x7FFF) << 48, node[same]
-    o = cat("occ", _OCC)
-    o = o[np.argsort(o["key"], kind="stable")]
-    dup = np.zeros(len(o), bool)
-    if len(o):
-        eq = o["key"][1:] == o["key"][:-1]
-        dup[1:] |= eq
-        dup[:-1] |= eq
-    o = o[dup]
-    a, c = len(tok), len(o)
+    o = cat("counts", _COUNT)
+    key, back = np.unique(o["key"], return_inverse=True)
+    again = key[np.bincount(back, o["n"], len(key)) > 1]
     K.release()
-    return pa.table({
-        "tok": pa.chunked_array([pa.array(tok), pa.nulls(c, pa.int64())]), "key": pa.chunked_array([pa.array(node), pa.array(np.ascontiguousarray(o["key"]))]),
-        "id": pa.chunked_array([pa.nulls(a, pa.int64()), pa.array(np.ascontiguousarray(o["id"]))]), "line": pa.chunked_array([pa.nulls(a, pa.int32()), pa.array(np.ascontiguousarray(o["line"]))]),
-    })
+    return pa.table({"tok": pa.chunked_array([pa.array(tok), pa.nulls(len(again), pa.int64())]), "key": pa.chunked_array([pa.array(node), pa.array(again)])})
 
 
 def _fetch(slots, bits: int, min_bytes: int):
-    """(doc_id, text) to (key, id, line, text, n) of the lines whose key passes the bitmap; the text and
-    the number of its shingles go with the first of a block's equal lines only."""
+    """(doc_id, text) to (key, id, line, text, n) of the lines whose key passes the first bitmap; the
+    text and the number of its shingles go with the first of a block's equal lines, and only if
+    the key passes the second."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(slots.value, np.uint8)).astype(bool)
+        wanted, compared = (np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in slots.value)
         for b in batches:
             ids = b.column(0).fill_null(K.NO_ID).to_numpy()
             for lo, _, buf, off in K.blocks(b.column(1)):
                 low, ln, at, key = _long_lines(buf, off, min_bytes)
-                hit = table[key & ((1 << bits) - 1)]
+                hit = wanted[key & ((1 << bits) - 1)]
                 at, key = at[hit], key[hit]
                 doc = ln.doc[at]
                 raw = low.tobytes()
                 texts: list = [None] * len(at)
                 sizes: list = [None] * len(at)
-                for i in np.unique(key, return_index=True)[1].tolist():
+                first = np.unique(key, return_index=True)[1]
+                for i in first[compared[key[first] & ((1 << bits) - 1)]].tolist():
                     texts[i] = raw[ln.starts[at[i]] : ln.ends[at[i]]]
                     sizes[i] = len(_shingles(texts[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + doc]), pa.array((at - ln.first[doc]).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "id", "line", "text", "n"])
@@ -226,20 +219,22 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_
     spark = docs.sparkSession
     buckets = max(32, min(partitions(spark), 1 << 15))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    packed = rows.mapInArrow(_pack(buckets, min_bytes), "bucket int, low binary, high binary, nodes binary, occ binary")
-    found = materialize(packed.groupBy("bucket").applyInArrow(_bucket, "tok long, key long, id long, line int"), "lines-buckets")
+    packed = rows.select("text").mapInArrow(_pack(buckets, min_bytes), "bucket int, low binary, high binary, nodes binary, counts binary")
+    found = materialize(packed.groupBy("bucket").applyInArrow(_bucket, "tok long, key long"), "lines-buckets")
     postings = found.where("tok IS NOT NULL").select("tok", F.col("key").alias("node"))
     nodes = postings.select(F.col("node").alias("key")).distinct()
-    bits = bitmap_bits(nodes.count())
-    slots = spark.sparkContext.broadcast(bitmap(nodes, bits))
-    fetched = materialize(rows.mapInArrow(_fetch(slots, bits, min_bytes), "key long, id long, line int, text binary, n long").join(nodes, "key", "left_semi"), "lines-texts")
+    again = found.where("tok IS NULL").select("key")
+    wanted = nodes.union(again).distinct()
+    bits = bitmap_bits(wanted.count())
+    slots = spark.sparkContext.broadcast((bitmap(wanted, bits), bitmap(nodes, bits)))
+    fetched = materialize(rows.mapInArrow(_fetch(slots, bits, min_bytes), "key long, id long, line int, text binary, n long").join(wanted, "key", "left_semi"), "lines-texts")
     texts = fetched.where("text IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"), F.first("n").alias("n"))
     bands = postings.groupBy(F.col("node").alias("key")).agg(F.collect_list("tok").alias("prefix"))
     sets = texts.join(bands, "key").select(F.col("key").alias("node"), "n", F.col("text").alias("toks"), F.lit(1).alias("ell"), "prefix", F.lit(0.0).alias("off"))
     comp = link_sets(materialize(sets, "lines-sets", True), percent, "lines", decode=_shingles)
     linked = comp.select("node", "comp").union(comp.select("comp", "comp")).distinct()
-    once = found.where("tok IS NULL").select("key", "id", "line")
-    occ = once.union(fetched.join(linked.select(F.col("node").alias("key")), "key", "left_semi").select("key", "id", "line")).distinct()
+    keys = again.union(linked.select("node")).distinct()
+    occ = fetched.select("key", "id", "line").join(keys, "key", "left_semi").distinct()
     grouped = occ.join(linked, F.col("key") == F.col("node"), "left").select("id", "line", F.coalesce("comp", "key").alias("g"))
     first = grouped.groupBy("g").agg(F.min(F.struct("id", "line")).alias("first"))
     gone = grouped.join(first, "g").where("id <> first.id OR line <> first.line")

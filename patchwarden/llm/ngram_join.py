@@ -4,6 +4,8 @@ A document is the set of its distinct word shingles; two link when their Jaccard
 reaches the threshold. Steps, all distributed and exact up to 128-bit set digests and shingle
 hashes of 48 bits plus the bits of the bucket:
 
+0. Shingles with more than about 1/65,000 of all occurrences are found from counts that every run of documents
+   pre-aggregates; there are 131,072 at most. They never meet in a bucket: a set carries its own ones.
 1. Shingles are hashed and packed, per run of documents and hash bucket, into binary rows: a
    shuffle of some 7 bytes a shingle rather than of a row each.
 2. In its bucket, a shingle's document frequency is counted over distinct sets, so exact copies
@@ -38,7 +40,10 @@ SHINGLE = 5
 PERCENT = 75
 MAX_ELL = 4
 FLUSH = 1 << 19
-_HEAD = np.dtype([("id", "<i8"), ("d1", "<u8"), ("d2", "<u8"), ("n", "<u4"), ("k", "<u4"), ("home", "u1")])
+#: a shingle is frequent from 1 / FREQUENT of all occurrences
+FREQUENT = 1 << 17
+FREQUENT_DF = (1 << 32) - 1
+_HEAD = np.dtype([("id", "<i8"), ("d1", "<u8"), ("d2", "<u8"), ("n", "<u4"), ("k", "<u4"), ("f", "<u4"), ("home", "u1")])
 _MASK = np.uint64((1 << 48) - 1)
 
 
@@ -61,10 +66,53 @@ def _sets(buf: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def _pack(k: int, buckets: int):
-    """(doc_id, text) to (bucket, heads, low, high): the shingles of a run of documents."""
+def _local_counts(k: int):
+    """text to (tok, n): shingles that have 1 / FREQUENT of a run of about FLUSH of them, and occur
+    twice in it, with their counts; tok null has the count of all. A shingle with 2 / FREQUENT of all
+    occurrences loses less than half of them to runs where it is rarer."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: list[np.ndarray] = []
+        size = total = 0
+
+        def flush() -> pa.RecordBatch:
+            x = np.sort(np.concatenate(sets))
+            at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+            n = np.diff(np.append(at, len(x)))
+            many = n >= max(2, len(x) / FREQUENT)
+            return pa.RecordBatch.from_arrays([pa.array(x[at[many]].view(np.int64)), pa.array(n[many].astype(np.int64))], names=["tok", "n"])
+
+        for b in batches:
+            for _, _, buf, off in K.blocks(b.column(0)):
+                sets += _sets(buf, off, k)
+                size = sum(map(len, sets[-(len(off) - 1) :])) + size
+                if size >= FLUSH:
+                    yield flush()
+                    total, size = total + size, 0
+                    sets.clear()
+            K.release()
+        if sets:
+            yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total + size], pa.int64())], names=["tok", "n"])
+
+    return counts
+
+
+def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of the shingles with at least 1 / FREQUENT of all occurrences counted; FREQUENT at most."""
+    n = docs.select("text").mapInArrow(_local_counts(k), "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
+    n = materialize(n, "ngram-counts", True)
+    total = n.where("tok IS NULL").agg(F.sum("n")).first()[0] or 0
+    top = n.where("tok IS NOT NULL").where(F.col("n") >= max(2, -(-total // FREQUENT))).select("tok").toArrow()
+    return np.sort(top.column("tok").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _pack(k: int, buckets: int, frequent=None):
+    """(doc_id, text) to (bucket, heads, low, high, own): the shingles of a run of documents. own are
+    the frequent ones of the documents at home in the bucket, after each other."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.zeros(0, np.uint64) if frequent is None else frequent.value
         ids: list[int] = []
         sets: list[np.ndarray] = []
         size = 0
@@ -81,12 +129,19 @@ def _pack(k: int, buckets: int):
                 head[name] = K.mix64(s[e] - s[e - n] + n.astype(np.uint64) * np.uint64(salt))
             # a document is at home in its first shingle's bucket, or one by its id if it has none
             bucket = ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint16)
+            often = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
+            own = [h[e - c : e][often[e - c : e]] for e, c in zip(np.cumsum(n).tolist(), n.tolist())] if len(hot) else [h[:0]] * len(n)
+            head["f"] = [len(x) for x in own]
             home = np.array([bucket[e - c] if c else i % buckets for e, c, i in zip(np.cumsum(n).tolist(), n.tolist(), ids)], np.uint16)
-            by = np.argsort(bucket, kind="stable")
+            rare = np.flatnonzero(~often)
+            by = rare[np.argsort(bucket[rare], kind="stable")]
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            rows: tuple[list, ...] = ([], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            # documents without a rare shingle in their home bucket stand there without one
+            there = np.zeros(len(n), bool)
+            there[doc[rare[bucket[rare] == home[doc[rare]]]]] = True
             lone = {}
-            for i in np.flatnonzero(n == 0).tolist():
+            for i in np.flatnonzero(~there).tolist():
                 lone.setdefault(int(home[i]), []).append(i)
             for b in range(buckets):
                 at = by[edges[b] : edges[b + 1]]
@@ -101,11 +156,13 @@ def _pack(k: int, buckets: int):
                     part = np.concatenate([part, head[lone[b]]])
                     part["home"][-len(lone[b]) :] = 1
                 t = h[at] & _MASK
-                for c, v in zip(rows, (b, part.tobytes(), (t & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (t >> np.uint64(32)).astype("<u2").tobytes())):
+                mine = np.concatenate([d[first][home[d[first]] == b] if len(d) else d, np.array(lone.get(b, []), np.int64)]).astype(np.int64)
+                mine = np.concatenate([own[i] for i in mine.tolist()] or [h[:0]])
+                for c, v in zip(rows, (b, part.tobytes(), (t & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (t >> np.uint64(32)).astype("<u2").tobytes(), mine.astype("<u8").tobytes())):
                     c.append(v)
             ids.clear()
             sets.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "heads", "low", "high"])
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "heads", "low", "high", "own"])
 
         for b in batches:
             doc_ids = b.column(0).fill_null(K.NO_ID).to_pylist()
@@ -128,7 +185,12 @@ def _pack(k: int, buckets: int):
 _SHARED = "node long, id long, n long, rep long, toks binary, dfs binary"
 
 
-def _bucket(t: pa.Table) -> pa.Table:
+def _tokens(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Hashes as the bucket's number over the lower 48 bits."""
+    return ((h & _MASK) | (((h >> np.uint64(48)) % np.uint64(buckets)) << np.uint64(48))).view(np.int64)
+
+
+def _bucket(t: pa.Table, buckets: int) -> pa.Table:
     """All shingles of a bucket: a home row (id, n, rep) for each document, and for each distinct
     set with shared shingles here a row (node, n, toks, dfs)."""
     bucket = t.column("bucket")[0].as_py()
@@ -149,6 +211,12 @@ def _bucket(t: pa.Table) -> pa.Table:
     h_rep = np.where(none, s["id"], rep)[home]
     # one run for each distinct set
     runs = by[start]
+    # frequent shingles of the distinct sets at home here
+    own = np.concatenate([np.frombuffer(x, "<u8") for x in t.column("own").to_pylist()])
+    count = np.where(heads["home"] > 0, heads["f"], 0).astype(np.int64)
+    stop = np.cumsum(count)
+    mine = runs[count[runs] > 0]
+    extra = [_tokens(own[stop[i] - count[i] : stop[i]], buckets) for i in mine.tolist()]
     runs = runs[heads["k"][runs] > 0]
     chosen = np.zeros(len(heads), bool)
     chosen[runs] = True
@@ -175,14 +243,15 @@ def _bucket(t: pa.Table) -> pa.Table:
     r = run[first]
     toks, dfs = tok.astype("<i8").tobytes(), df.astype("<u4").tobytes()
     m = int(home.sum())
+    both = np.concatenate([r, mine])
     nulls = lambda k: pa.nulls(k, pa.int64())
     part = {
-        "node": [nulls(m), pa.array(heads["d1"][r].view(np.int64))],
-        "id": [pa.array(s["id"][home]), nulls(len(r))],
-        "n": [pa.array(s["n"][home].astype(np.int64)), pa.array(heads["n"][r].astype(np.int64))],
-        "rep": [pa.array(h_rep), pa.array(heads["id"][r])],
-        "toks": [pa.nulls(m, pa.binary()), pa.array([toks[8 * a : 8 * e] for a, e in zip(first.tolist(), end.tolist())], pa.binary())],
-        "dfs": [pa.nulls(m, pa.binary()), pa.array([dfs[4 * a : 4 * e] for a, e in zip(first.tolist(), end.tolist())], pa.binary())],
+        "node": [nulls(m), pa.array(heads["d1"][both].view(np.int64))],
+        "id": [pa.array(s["id"][home]), nulls(len(both))],
+        "n": [pa.array(s["n"][home].astype(np.int64)), pa.array(heads["n"][both].astype(np.int64))],
+        "rep": [pa.array(h_rep), pa.array(heads["id"][both])],
+        "toks": [pa.nulls(m, pa.binary()), pa.array([toks[8 * a : 8 * e] for a, e in zip(first.tolist(), end.tolist())] + [x.astype("<i8").tobytes() for x in extra], pa.binary())],
+        "dfs": [pa.nulls(m, pa.binary()), pa.array([dfs[4 * a : 4 * e] for a, e in zip(first.tolist(), end.tolist())] + [np.full(len(x), FREQUENT_DF, "<u4").tobytes() for x in extra], pa.binary())],
     }
     del tok, run, df
     K.release()
@@ -221,8 +290,9 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     the same set."""
     n = partitions(docs.sparkSession)
     buckets = max(32, min(n, 1 << 15))
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(shingle, buckets), "bucket int, heads binary, low binary, high binary")
-    found = materialize(packed.groupBy("bucket").applyInArrow(_bucket, _SHARED), "ngram-buckets")
+    hot = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(shingle, buckets, hot), "bucket int, heads binary, low binary, high binary, own binary")
+    found = materialize(packed.groupBy("bucket").applyInArrow(lambda t: _bucket(t, buckets), _SHARED), "ngram-buckets")
     home = found.where("node IS NULL").select("id", "n", "rep")
     sets = found.where("node IS NOT NULL").groupBy("node").agg(
         F.min("rep").alias("rep"), F.max("n").alias("n"), F.sum(F.octet_length("toks")).alias("b"), F.collect_list("toks").alias("toks"), F.collect_list("dfs").alias("dfs")

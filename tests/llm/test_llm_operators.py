@@ -161,8 +161,12 @@ def brute_components(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("ell", [1, 4])
-def test_ngram_components(docs, ell):
+@pytest.mark.parametrize("ell,frequent,flush", [(1, 1 << 17, 1 << 19), (4, 1 << 17, 1 << 19), (4, 700, 1 << 19), (2, 1500, 500)])
+def test_ngram_components(docs, ell, frequent, flush, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "FLUSH", flush)
+    if frequent < 1000:
+        assert len(ngram_join.frequent_shingles(docs, 5)) > 0
     got = ngram_join.ngram_components(docs, max_ell=ell).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute_components(corpus())
 

@@ -185,6 +185,18 @@ def _pack(k: int, buckets: int, frequent=None):
 _SHARED = "node long, id long, n long, rep long, toks binary, dfs binary"
 
 
+def _repeated(x: np.ndarray) -> np.ndarray:
+    """Whether each element occurs more than once."""
+    s = np.sort(x)
+    twice = np.unique(s[1:][s[1:] == s[:-1]])
+    hit = np.zeros(len(x), bool)
+    if len(twice):
+        for i in range(0, len(x), 1 << 18):
+            part = x[i : i + (1 << 18)]
+            hit[i : i + (1 << 18)] = twice[np.minimum(np.searchsorted(twice, part), len(twice) - 1)] == part
+    return hit
+
+
 def _tokens(h: np.ndarray, buckets: int) -> np.ndarray:
     """Hashes as the bucket's number over the lower 48 bits."""
     return ((h & _MASK) | (((h >> np.uint64(48)) % np.uint64(buckets)) << np.uint64(48))).view(np.int64)
@@ -197,10 +209,6 @@ def _bucket(t: pa.Table, buckets: int) -> pa.Table:
     heads = np.concatenate([np.frombuffer(x, _HEAD) for x in t.column("heads").to_pylist()])
     low = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("low").to_pylist()])
     high = np.concatenate([np.frombuffer(x, "<u2") for x in t.column("high").to_pylist()])
-    tok = high.astype(np.int64)
-    tok <<= 32
-    tok |= low
-    del low, high
     by = np.lexsort((heads["id"], heads["d2"], heads["d1"]))
     s = heads[by]
     new = np.concatenate([[True], (s["d1"][1:] != s["d1"][:-1]) | (s["d2"][1:] != s["d2"][:-1])])
@@ -223,20 +231,16 @@ def _bucket(t: pa.Table, buckets: int) -> pa.Table:
     run = np.repeat(np.arange(len(heads), dtype=np.int32), heads["k"])
     if not chosen.all():
         keep = chosen[run]
-        tok, run = tok[keep], run[keep]
+        low, high, run = low[keep], high[keep], run[keep]
         del keep
+    hit = _repeated(low)  # by the lower 32 bits first: most shingles stand alone, and go here
+    tok, run = high[hit].astype(np.int64) << 32 | low[hit], run[hit]
+    del low, high, hit
+    hit = _repeated(tok)
+    tok, run = tok[hit], run[hit]
     x = np.sort(tok)
-    twice = np.unique(x[1:][x[1:] == x[:-1]])
-    if len(twice):
-        hit = np.zeros(len(tok), bool)
-        for i in range(0, len(tok), 1 << 18):
-            part = tok[i : i + (1 << 18)]
-            hit[i : i + (1 << 18)] = twice[np.minimum(np.searchsorted(twice, part), len(twice) - 1)] == part
-        tok, run = tok[hit], run[hit]
-        df = np.searchsorted(x, tok, "right") - np.searchsorted(x, tok, "left")
-    else:
-        tok, run, df = tok[:0], run[:0], tok[:0]
-    del x
+    df = np.searchsorted(x, tok, "right") - np.searchsorted(x, tok, "left")
+    del x, hit
     tok |= np.int64(bucket) << 48
     first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else run
     end = np.append(first[1:], len(run))

@@ -301,9 +301,10 @@ def load(model_file: str) -> PieceModel:
     return _models[model_file]
 
 
-def sp_encode(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 0, column: str = "token_ids") -> DataFrame:
-    """docs and a column array<int> of token ids. One map, without a shuffle."""
-    names = [c for c in docs.columns if c != column]
+def sp_encode(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 0, column: str = "token_ids", proof: str | None = None) -> DataFrame:
+    """docs and a column array<int> of token ids. One map, without a shuffle. With proof, one more
+    column of that name: whether the ids decode to the text, found in the same worker."""
+    names = [c for c in docs.columns if c not in (column, proof)]
     rows = docs.select(*names)
     key = rows.columns.index("doc_id")
 
@@ -314,13 +315,16 @@ def sp_encode(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int
             keys = b.column(key).cast(pa.int64()).fill_null(K.NO_ID).to_numpy()
             for lo, hi, _, _ in K.blocks(texts, BLOCK):
                 part = texts.slice(lo, hi - lo)
-                ids, counts = enc.block([t or "" for t in part.to_pylist()], keys[lo:hi])
+                whole = [t or "" for t in part.to_pylist()]
+                ids, counts = enc.block(whole, keys[lo:hi])
                 off = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32)), mask=part.is_null())
-                yield pa.RecordBatch.from_arrays([*(x.slice(lo, hi - lo) for x in b.columns), lists], names=[*names, column])
+                more = [pa.array([x == t for x, t in zip(decode_block(enc.m, ids, counts), whole)], pa.bool_())] if proof else []
+                yield pa.RecordBatch.from_arrays([*(x.slice(lo, hi - lo) for x in b.columns), lists, *more], names=[*names, column, *([proof] if proof else [])])
             K.release()
 
-    return rows.mapInArrow(encode, T.StructType([*rows.schema, T.StructField(column, T.ArrayType(T.IntegerType()))]))
+    fields = [T.StructField(column, T.ArrayType(T.IntegerType())), *([T.StructField(proof, T.BooleanType())] if proof else [])]
+    return rows.mapInArrow(encode, T.StructType([*rows.schema, *fields]))
 
 
 def sp_decode(rows: DataFrame, model_file: str, column: str = "token_ids", into: str = "decoded") -> DataFrame:
@@ -345,8 +349,8 @@ def sp_decode(rows: DataFrame, model_file: str, column: str = "token_ids", into:
 
 def codec_report(docs: DataFrame, model_file: str, dropout: float = 0.1, seed: int = 0) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, ids_hash, lossless): encoded, decoded and compared."""
-    coded = sp_decode(sp_encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model_file, dropout, seed), model_file)
+    coded = sp_encode(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model_file, dropout, seed, proof="lossless")
     return coded.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(F.size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"),
-        F.xxhash64("token_ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+        F.xxhash64("token_ids").alias("ids_hash"), "lossless",
     )

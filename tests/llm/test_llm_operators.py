@@ -187,7 +187,9 @@ def test_codec_round_trip(docs, dropout):
     coded = sp_codec.sp_decode(sp_codec.sp_encode(docs, model(), dropout, 11), model())
     for r in coded.collect():
         assert r.decoded == r.text and (r.token_ids is None) == (r.text is None)
-    again = {(r.doc_id, r.text): r.token_ids for r in sp_codec.sp_encode(docs.repartition(2), model(), dropout, 11).collect()}
+    proved = sp_codec.sp_encode(docs.repartition(2), model(), dropout, 11, proof="ok").collect()
+    assert all(r.ok for r in proved)
+    again = {(r.doc_id, r.text): r.token_ids for r in proved}
     assert all(again[r.doc_id, r.text] == r.token_ids for r in coded.collect())
 
 

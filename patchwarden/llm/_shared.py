@@ -31,11 +31,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: rows that go to a Python worker at once; texts are long, and Spark's default of 10,000 is not meant for them
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of a session that has not bounded them itself: both the JVM and the worker
+    hold a batch as a whole, beside what they make of it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither recompute it nor
     depend on the executors that made it. small: a table much smaller than the input is written
     by an eighth of the partitions, as every file costs the file system more than its rows do."""
     spark = df.sparkSession
+    small_batches(spark)
     if small:
         df = df.coalesce(max(2, partitions(spark) // 8))
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -44,6 +57,7 @@ def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

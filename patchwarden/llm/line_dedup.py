@@ -11,8 +11,9 @@ number, so a line that stands in a third of all documents makes no pairs, and it
 a run of documents before anything is shuffled. Bands travel packed
 in binary rows, 14 bytes each, and only those met by two different lines become rows.
 
-Lines of fewer than ``min_bytes`` bytes are left alone. Defined results: null and empty texts
-stay as they are; rows with equal doc_id and text count as one document and keep the same
+Lines of fewer than ``min_bytes`` bytes have too few shingles for MinHash: they are joined with
+equal lines only, by the same hash. Shorter lines of nothing but white space are left alone. Defined
+results: null and empty texts stay as they are; rows with equal doc_id and text count as one document and keep the same
 lines; null doc_id stands behind all others; an empty table gives an empty result; other columns pass through.
 """
 
@@ -37,12 +38,15 @@ FLUSH = 100_000
 _COUNT = np.dtype([("key", "<i8"), ("n", "<i4")])
 
 
-def _long_lines(buf: np.ndarray, off: np.ndarray, min_bytes: int) -> tuple[np.ndarray, K.Spans, np.ndarray, np.ndarray]:
-    """(lower-cased bytes, all lines, numbers of the long ones, their keys)."""
+def _keyed_lines(buf: np.ndarray, off: np.ndarray, min_bytes: int) -> tuple[np.ndarray, K.Spans, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, all lines, numbers of those that are long or hold a word, their keys,
+    whether they are long)."""
     low = K.LOWER[buf]
     ln = K.lines(low, off)
-    at = np.flatnonzero(ln.ends - ln.starts >= min_bytes)
-    return low, ln, at, K.span_hash(K.prefix_hash(low), ln.starts[at], ln.ends[at]).view(np.int64)
+    size = ln.ends - ln.starts
+    seen = np.concatenate([[0], np.cumsum(K.NOT_SPACE[low], dtype=np.int64)])
+    at = np.flatnonzero((size >= min_bytes) | (seen[ln.ends] > seen[ln.starts]))
+    return low, ln, at, K.span_hash(K.prefix_hash(low), ln.starts[at], ln.ends[at]).view(np.int64), size[at] >= min_bytes
 
 
 def signatures(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -78,19 +82,21 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _pack(buckets: int, min_bytes: int):
-    """text to (bucket, low, high, nodes, counts): bands of a run's distinct lines, and how often
-    each occurs in the run, so a line of many documents travels once a run."""
+    """text to (bucket, low, high, nodes, counts): bands of a run's distinct long lines, and how often
+    each line, short ones too, occurs in the run, so a line of many documents travels once a run."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
         bands: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         seen = 0
 
         def flush() -> pa.RecordBatch:
-            key, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            node, first = np.unique(np.concatenate(nodes), return_index=True)
             h = np.concatenate(bands)[first].ravel()
-            node = np.repeat(key, BANDS)
+            node = np.repeat(node, BANDS)
             bucket = ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint16)
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
@@ -108,18 +114,21 @@ def _pack(buckets: int, min_bytes: int):
                     for c, v in zip(rows, (b, (t & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (t >> np.uint64(32)).astype("<u2").tobytes(), node[at].tobytes(), o[oat].tobytes())):
                         c.append(v)
             keys.clear()
+            nodes.clear()
             bands.clear()
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "low", "high", "nodes", "counts"])
 
         for b in batches:
             for _, _, buf, off in K.blocks(b.column(0)):
-                low, ln, at, key = _long_lines(buf, off, min_bytes)
+                low, ln, at, key, long = _keyed_lines(buf, off, min_bytes)
                 if not len(at):
                     continue
                 key, first, n = np.unique(key, return_index=True, return_counts=True)
                 keys.append(key)
                 counts.append(n)
+                nodes.append(key[long[first]])
+                first = first[long[first]]
                 bands.append(_bands(signatures(low, ln.starts[at[first]], ln.ends[at[first]])))
                 seen += len(at)
                 if seen >= FLUSH:
@@ -168,15 +177,15 @@ def _fetch(slots, bits: int, min_bytes: int):
         for b in batches:
             ids = b.column(0).fill_null(K.NO_ID).to_numpy()
             for lo, _, buf, off in K.blocks(b.column(1)):
-                low, ln, at, key = _long_lines(buf, off, min_bytes)
+                low, ln, at, key, long = _keyed_lines(buf, off, min_bytes)
                 hit = wanted[key & ((1 << bits) - 1)]
-                at, key = at[hit], key[hit]
+                at, key, long = at[hit], key[hit], long[hit]
                 doc = ln.doc[at]
                 raw = low.tobytes()
                 texts: list = [None] * len(at)
                 sizes: list = [None] * len(at)
                 first = np.unique(key, return_index=True)[1]
-                for i in first[compared[key[first] & ((1 << bits) - 1)]].tolist():
+                for i in first[long[first] & compared[key[first] & ((1 << bits) - 1)]].tolist():
                     texts[i] = raw[ln.starts[at[i]] : ln.ends[at[i]]]
                     sizes[i] = len(_shingles(texts[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + doc]), pa.array((at - ln.first[doc]).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "id", "line", "text", "n"])

@@ -248,6 +248,14 @@ def test_line_dedup(docs, empty):
     assert line_dedup.line_dedup(empty).collect() == []
 
 
+def test_line_dedup_short_lines(spark):
+    """Equal short lines go like long ones, up to case; blank lines and similar short lines stay."""
+    texts = ["All rights reserved.\n\none line of its own\n日本語です", "ALL RIGHTS RESERVED.\n\nanother line of its own\n日本語です\nx", "all rights reserved!\n \nX\nx", "\n\nall rights reserved."]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.line_dedup(d).collect()}
+    assert got == {0: (texts[0], 4, 0), 1: ("\nanother line of its own\nx", 5, 2), 2: ("all rights reserved!\n ", 4, 2), 3: ("\n", 3, 1)}
+
+
 # --- 4 -------------------------------------------------------------------------------------
 
 

@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as K
-from ._shared import bitmap, bitmap_bits, materialize
+from ._shared import bitmap, bitmap_bits, materialize, text_key
 
 SPAN = 10
 KGRAM = 6
 BROADCAST_BYTES = 32 << 20
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+KEYED = f"{OUT}, h1 long, h2 long"
 
 
 def _winnow(g: np.ndarray, w: int) -> np.ndarray:
@@ -158,7 +159,7 @@ def _judge_in_map(windows, ids_only: bool):
                 cols[2].extend(len(items.get(d, ())) for d in range(n))
                 cols[3].extend(_digest(items.get(d, set())) for d in range(n))
             hit = pa.array(cols[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), hit, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array([x > 0 for x in cols[1]], pa.bool_())], names=[x.split()[0] for x in OUT.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), hit, pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array([x > 0 for x in cols[1]], pa.bool_()), b.column(2), b.column(3)], names=[x.split()[0] for x in KEYED.split(", ")])
 
     return judge
 
@@ -181,7 +182,7 @@ def _find_in_map(slots, bits: int, short: list[int]):
                         hits[d][s, m] = blk.text(s, s + m)
                 n_words += blk.w.count.tolist()
                 found += [[{"start": int(s - blk.w.first[d]), "len": m, "window": t} for (s, m), t in x.items()] for d, x in enumerate(hits)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n_words, pa.int64()), pa.array(found, item)], names=["doc_id", "row_key", "n_words", "hits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(n_words, pa.int64()), pa.array(found, item)], names=["doc_id", "h1", "h2", "row_key", "n_words", "hits"])
 
     return find
 
@@ -192,8 +193,8 @@ def _by_join(docs: DataFrame, bench: DataFrame, short: list[int]) -> DataFrame:
     n = bench.count()
     bits = bitmap_bits(n)
     slots = spark.sparkContext.broadcast(bitmap(bench.select("fp"), bits))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text", F.monotonically_increasing_id()).alias("row_key"))
-    marked = materialize(rows.mapInArrow(_find_in_map(slots, bits, short), "doc_id long, row_key long, n_words long, hits array<struct<start:int,len:int,window:string>>"), "decon-marked")
+    rows = docs.select("doc_id", "text", "h1", "h2", F.xxhash64("text", F.monotonically_increasing_id()).alias("row_key"))
+    marked = materialize(rows.mapInArrow(_find_in_map(slots, bits, short), "doc_id long, h1 long, h2 long, row_key long, n_words long, hits array<struct<start:int,len:int,window:string>>"), "decon-marked")
     windows = bench.select("window").distinct()
     spans = materialize(marked.select("doc_id", "row_key", F.explode("hits").alias("h")).select("doc_id", "row_key", "h.*").join(windows, "window"), "decon-spans")
     covered = spans.select("row_key", F.explode(F.sequence("start", F.expr("start + len - 1"))).alias("w")).groupBy("row_key").agg(F.count_distinct("w").alias("n_hit"))
@@ -203,15 +204,22 @@ def _by_join(docs: DataFrame, bench: DataFrame, short: list[int]) -> DataFrame:
     )
     none = F.array().cast("array<string>")
     got = F.coalesce("items", none)
-    return marked.select("doc_id", "row_key", "n_words").join(covered, "row_key", "left").join(items, "row_key", "left").select(
+    return marked.select("doc_id", "h1", "h2", "row_key", "n_words").join(covered, "row_key", "left").join(items, "row_key", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(got).cast("long").alias("n_items"),
-        F.sha2(F.array_join(got, ",").cast("binary"), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
+        F.sha2(F.array_join(got, ",").cast("binary"), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), "h1", "h2",
     )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return _verdicts(docs, benchmark, broadcast_bytes).drop("h1", "h2")
+
+
+def _verdicts(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """The rows of contamination with the text's hash, h1 and h2."""
     spark = docs.sparkSession
+    h1, h2 = text_key()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", h1.alias("h1"), h2.alias("h2"))
     bench = materialize(bench_windows(benchmark), "decon-bench", True)
     size, longest = bench.agg(F.coalesce(F.sum(F.octet_length("window") + 32), F.lit(0)), F.count("*")).first()
     short = sorted(r.len for r in bench.where(F.col("len") < SPAN).select("len").distinct().collect())  # at most SPAN - 1 values
@@ -223,12 +231,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
         fps.append(r.fp)
         index.setdefault(r.window, set()).add(r.item_id)
     windows = spark.sparkContext.broadcast((np.array(fps, np.int64).view(np.uint64), short, index))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_judge_in_map(windows, True), OUT)
+    return docs.mapInArrow(_judge_in_map(windows, True), KEYED)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.0) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs without the rows of which more than max_hit_share of the words stand in a benchmark
-    window; same columns. Judged rows are joined back by doc_id where any were found."""
-    verdict = contamination(docs, benchmark).where("contaminated").where(F.col("n_hit") > F.col("n_words") * max_hit_share)
-    bad = materialize(verdict.select(F.col("doc_id").alias("bad_id")).distinct(), "decon-bad", True)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti").select(*docs.columns)
+    window; same columns. Judged rows are joined back by doc_id and the text's hash, as doc_id may be null
+    or repeated; equal texts have equal verdicts."""
+    verdict = _verdicts(docs, benchmark, broadcast_bytes).where("contaminated").where(F.col("n_hit") > F.col("n_words") * max_hit_share)
+    bad = materialize(verdict.select(F.col("doc_id").alias("bad_id"), F.col("h1").alias("bad_h1"), F.col("h2").alias("bad_h2")).distinct(), "decon-bad", True)
+    h1, h2 = text_key(docs["text"])
+    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (h1 == bad["bad_h1"]) & (h2 == bad["bad_h2"])
+    return docs.join(bad, same, "left_anti").select(*docs.columns)

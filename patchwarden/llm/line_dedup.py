@@ -14,7 +14,8 @@ in binary rows, 14 bytes each, and only those met by two different lines become
 Lines of fewer than ``min_bytes`` bytes have too few shingles for MinHash: they are joined with
 equal lines only, by the same hash. Shorter lines of nothing but white space are left alone. Defined
 results: null and empty texts stay as they are; rows with equal doc_id and text count as one document and keep the same
-lines; null doc_id stands behind all others; an empty table gives an empty result; other columns pass through.
+lines, rows with equal doc_id and different texts are different documents; null doc_id stands
+behind all others; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as K
-from ._shared import bitmap, bitmap_bits, link_sets, materialize, partitions
+from ._shared import bitmap, bitmap_bits, link_sets, materialize, partitions, text_key
 
 WIDTH = 8
 BANDS, ROWS, BINS = 12, 5, 64
@@ -168,7 +169,7 @@ def _bucket(t: pa.Table) -> pa.Table:
 
 
 def _fetch(slots, bits: int, min_bytes: int):
-    """(doc_id, text) to (key, id, line, text, n) of the lines whose key passes the first bitmap; the
+    """(doc_id, text, h1, h2) to (key, id, h1, h2, line, text, n) of the lines whose key passes the first bitmap; the
     text and the number of its shingles go with the first of a block's equal lines, and only if
     the key passes the second."""
 
@@ -176,6 +177,7 @@ def _fetch(slots, bits: int, min_bytes: int):
         wanted, compared = (np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in slots.value)
         for b in batches:
             ids = b.column(0).fill_null(K.NO_ID).to_numpy()
+            h1, h2 = b.column(2).to_numpy(), b.column(3).to_numpy()
             for lo, _, buf, off in K.blocks(b.column(1)):
                 low, ln, at, key, long = _keyed_lines(buf, off, min_bytes)
                 hit = wanted[key & ((1 << bits) - 1)]
@@ -188,7 +190,7 @@ def _fetch(slots, bits: int, min_bytes: int):
                 for i in first[long[first] & compared[key[first] & ((1 << bits) - 1)]].tolist():
                     texts[i] = raw[ln.starts[at[i]] : ln.ends[at[i]]]
                     sizes[i] = len(_shingles(texts[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + doc]), pa.array((at - ln.first[doc]).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "id", "line", "text", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + doc]), pa.array(h1[lo + doc]), pa.array(h2[lo + doc]), pa.array((at - ln.first[doc]).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "id", "h1", "h2", "line", "text", "n"])
             K.release()
 
     return fetch
@@ -224,10 +226,12 @@ def _without(schema_names: list[str]):
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(id, drop): for each document that loses lines, their numbers. id is doc_id, NO_ID for null."""
+    """(id, h1, h2, drop): for each document that loses lines, their numbers. id is doc_id, NO_ID for
+    null; h1 and h2 are the text's hash."""
     spark = docs.sparkSession
     buckets = max(32, min(partitions(spark), 1 << 15))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    h1, h2 = text_key()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", h1.alias("h1"), h2.alias("h2"))
     packed = rows.select("text").mapInArrow(_pack(buckets, min_bytes), "bucket int, low binary, high binary, nodes binary, counts binary")
     found = materialize(packed.groupBy("bucket").applyInArrow(_bucket, "tok long, key long"), "lines-buckets")
     postings = found.where("tok IS NOT NULL").select("tok", F.col("key").alias("node"))
@@ -236,18 +240,18 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_
     wanted = nodes.union(again).distinct()
     bits = bitmap_bits(wanted.count())
     slots = spark.sparkContext.broadcast((bitmap(wanted, bits), bitmap(nodes, bits)))
-    fetched = materialize(rows.mapInArrow(_fetch(slots, bits, min_bytes), "key long, id long, line int, text binary, n long").join(wanted, "key", "left_semi"), "lines-texts")
+    fetched = materialize(rows.mapInArrow(_fetch(slots, bits, min_bytes), "key long, id long, h1 long, h2 long, line int, text binary, n long").join(wanted, "key", "left_semi"), "lines-texts")
     texts = fetched.where("text IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"), F.first("n").alias("n"))
     bands = postings.groupBy(F.col("node").alias("key")).agg(F.collect_list("tok").alias("prefix"))
     sets = texts.join(bands, "key").select(F.col("key").alias("node"), "n", F.col("text").alias("toks"), F.lit(1).alias("ell"), "prefix", F.lit(0.0).alias("off"))
     comp = link_sets(materialize(sets, "lines-sets", True), percent, "lines", decode=_shingles)
     linked = comp.select("node", "comp").union(comp.select("comp", "comp")).distinct()
     keys = again.union(linked.select("node")).distinct()
-    occ = fetched.select("key", "id", "line").join(keys, "key", "left_semi").distinct()
-    grouped = occ.join(linked, F.col("key") == F.col("node"), "left").select("id", "line", F.coalesce("comp", "key").alias("g"))
-    first = grouped.groupBy("g").agg(F.min(F.struct("id", "line")).alias("first"))
-    gone = grouped.join(first, "g").where("id <> first.id OR line <> first.line")
-    return gone.groupBy("id").agg(F.collect_set("line").alias("drop"))
+    occ = fetched.select("key", "id", "h1", "h2", "line").join(keys, "key", "left_semi").distinct()
+    grouped = occ.join(linked, F.col("key") == F.col("node"), "left").select("id", "h1", "h2", "line", F.coalesce("comp", "key").alias("g"))
+    first = grouped.groupBy("g").agg(F.min(F.struct("id", "line", "h1", "h2")).alias("first"))
+    gone = grouped.join(first, "g").where("id <> first.id OR line <> first.line OR h1 <> first.h1 OR h2 <> first.h2")
+    return gone.groupBy("id", "h1", "h2").agg(F.collect_set("line").alias("drop"))
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -256,7 +260,9 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYT
     the documents that lose lines grow with the input."""
     base = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     drop = removed_lines(docs, percent, min_bytes)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(K.NO_ID))
-    joined = docs.select(*base).join(drop.select(F.col("id").alias("__id"), F.col("drop").alias("__drop")).hint("shuffle_hash"), key == F.col("__id"), "left").drop("__id")
+    h1, h2 = text_key()
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(K.NO_ID)) == F.col("__id")) & (h1 == F.col("__h1")) & (h2 == F.col("__h2"))
+    named = drop.select(F.col("id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("drop").alias("__drop"))
+    joined = docs.select(*base).join(named.hint("shuffle_hash"), same, "left").drop("__id", "__h1", "__h2")
     schema = T.StructType([*(f for f in docs.schema if f.name in base), T.StructField("__lines", T.LongType()), T.StructField("__removed", T.LongType())])
     return joined.mapInArrow(_without([f.name for f in schema]), schema).withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"})

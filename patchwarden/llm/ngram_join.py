@@ -314,6 +314,21 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component (that whose doc_id names it), same columns.
-    Rows without shingles stay."""
+    Rows without shingles stay. Where doc_ids repeat, null ones too, the rows are numbered and
+    written first, as doc_id does not tell them apart."""
+    ids = docs.groupBy(F.col("doc_id").alias("id")).count()
+    if ids.where("count > 1").limit(1).count():
+        return _keep_one_row(docs, shingle, percent)
     drop = materialize(ngram_components(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct(), "ngram-drop", True)
     return docs.join(drop, docs["doc_id"] == drop["drop_id"], "left_anti").select(*docs.columns)
+
+
+def _keep_one_row(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """keep_one by row numbers: of a component, the row of the smallest doc_id stays, null last."""
+    numbered = materialize(docs.select(*docs.columns, F.monotonically_increasing_id().alias("__row")), "ngram-rows")
+    comp = ngram_components(numbered.select(F.col("__row").alias("doc_id"), "text"), shingle, percent)
+    rows = numbered.select("__row", F.coalesce(F.col("doc_id").cast("long"), F.lit(K.NO_ID)).alias("id"))
+    rows = rows.join(comp.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("first"))
+    kept = materialize(first.select(F.col("first.__row").alias("__kept")), "ngram-kept", True)
+    return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)

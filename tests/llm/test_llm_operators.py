@@ -365,6 +365,24 @@ def test_contamination_both_ways(spark, docs, empty):
     assert {r.doc_id for r in kept.collect()} == {w[0] for w in want if not w[5]}
 
 
+def test_rows_of_null_and_repeated_ids(spark):
+    """Rows are told apart by doc_id and text: what one loses, the others of its doc_id keep."""
+    own = lambda k: " ".join(words(12, 500 + k))
+    rep, bad = " ".join(words(15, 600)), " ".join(words(15, 700))
+    for i in (None, 7):
+        d = spark.createDataFrame([(1, f"{own(0)}\n{rep}"), (i, f"{own(1)}\n{rep}"), (i, f"{own(2)}\n{own(3)}")], "doc_id long, text string").repartition(3)
+        assert {r.text for r in line_dedup.line_dedup(d).collect()} == {f"{own(0)}\n{rep}", own(1), f"{own(2)}\n{own(3)}"}
+        bench = spark.createDataFrame([(1, bad)], "item_id long, text string")
+        d = spark.createDataFrame([(i, own(1)), (i, f"{own(2)} {bad}"), (2, own(3))], "doc_id long, text string").repartition(3)
+        for limit in (1 << 20, 0):
+            assert {r.text for r in decontaminate.decontaminate(d, bench, broadcast_bytes=limit).collect()} == {own(1), own(3)}
+        d = spark.createDataFrame([(i, own(1)), (i, own(1)), (i, own(2)), (i, own(2) + " more"), (8, own(2)), (i, "two words"), (i, "two words"), (i, None), (i, "")], "doc_id long, text string").repartition(3)
+        got = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(d).collect()), key=str)
+        two = [x for x in got if x[1] and x[1].startswith(own(2))]
+        assert len(two) == 1 and two[0][0] == (8 if i is None else 7)
+        assert [x for x in got if x not in two] == sorted([(i, own(1)), (i, "two words"), (i, None), (i, "")], key=str)
+
+
 # --- 8 -------------------------------------------------------------------------------------
 
 

@@ -63,3 +63,14 @@ def test_empty_documents(spark, staged):
     for _, stage in P.STAGES:
         d = stage(spark, d, SF)
         assert d.count() == 0
+
+
+def test_exact_copies_leave_one_document(spark):
+    """Short lines of a copy do not outlive it, whatever the doc_ids are."""
+    tail = "All rights reserved.\n\nMIT"
+    texts = [f"Title {k}\n{' '.join(f'{w}{k}' for w in 'these are the words of a text that stands here more than once'.split())}\n{tail}" for k in range(4)]
+    ids = [(0, 10, 11), (1, 1, 12), (None, None, 13), (None, None, None)]
+    rows = [(i, t, "en", "s", len(t)) for t, group in zip(texts, ids) for i in group]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    left = [r.text for r in P.near_duplicates(spark, P.lines(spark, d, SF), SF).collect()]
+    assert sorted(t.split("\n")[0] for t in left) == [f"Title {k}" for k in range(4)]

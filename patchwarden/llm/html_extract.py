@@ -216,14 +216,15 @@ def extract(page: str | None) -> str:
 
 
 def _siblings(nodes: list[_Node], best: _Node) -> set[int]:
-    """Siblings of the best container that score near it, or paragraphs that read like prose."""
-    if best.parent is None or best.good:
+    """Siblings of the best container that score near it, or paragraphs that read like prose. Among
+    articles the score alone decides, however short they are."""
+    if best.parent is None:
         return set()
-    bar, out = max(10.0, 0.2 * best.score), set()
+    near, out = 0.2 * best.score, set()
     for n in nodes:
         if n.parent is best.parent and n is not best and n.chars:
             density = n.link_chars / n.chars
-            if n.score * (1 - density) >= bar or n.tag in ("p", "h1", "h2", "blockquote", "pre") and density < 0.25 and n.chars > (80 if n.tag == "p" else 0):
+            if n.score * (1 - density) >= (near if best.good and n.good else max(10.0, near)) or n.tag in ("p", "h1", "h2", "blockquote", "pre") and density < 0.25 and n.chars > (80 if n.tag == "p" else 0):
                 out.add(n.index)
     return out
 

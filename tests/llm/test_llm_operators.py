@@ -273,6 +273,14 @@ def test_html_extract_cases():
     assert html_extract.extract(deep) == "deep text"
 
 
+def test_html_extract_several_articles():
+    part = lambda k: f"Text {k} of a page, which stands in articles of its own, as it may."
+    long = " ".join(part(k) for k in range(7))
+    for wrap in ("<body>{}</body>", "<main>{}</main>", "<div class=content>{}</div>"):
+        page = wrap.format(f"<h1>Title</h1><article><p>{part(1)}</p></article><article><p>{part(2)}</p><p>{part(3)}</p></article><div role=article><p>{part(5)}</p></div><div><p>{long}</p></div>")
+        assert html_extract.extract(page) == "\n".join(["Title", part(1), part(2), part(3), part(5), long]), wrap
+
+
 def test_html_extract_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     for r in pages.join(html_extract.html_extract(pages), ["page_id", "url"]).collect():

@@ -1,8 +1,8 @@
 """Main-text extraction from HTML by tree scoring.
 
 A tolerant tokenizer builds the element tree. Parts that cannot be article text (scripts, forms,
-menus, notices, adverts, reader comments, hidden elements) are left out by element, role, class or
-id. Every remaining text block passes points for its length and commas to its ancestors,
+menus, notices, adverts, reader comments, hidden elements) are left out by element or role, and
+containers by a class or id that names nothing else. Every remaining text block passes points for its length and commas to its ancestors,
 halved at each step; a container's points are discounted by its link density. The best
 container and those siblings that score or read like it are kept, and its blocks are written in
 page order, one a line, whole.
@@ -46,8 +46,15 @@ _BAD_WORDS = {
     "recommended", "recommendations", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "widget", "toolbar", "pagination",
     "pager", "copyright", "legal", "disclaimer", "hidden", "paywall", "outbrain", "taboola", "toc", "skip", "search", "trending", "popular",
 }
-_BAD_STEM = re.compile(r"comment|cookie|consent|sidebar|advert|sponsor|banner|breadcrumb|newsletter|popup|disqus|navbar|navigation|masthead|promo")
-_COMMENT = re.compile(r"comment|reply|replies|respond|disqus|discussion")
+#: words that say nothing of what a part holds: "site-footer-left" is a footer, "legal-history" no legal notice
+_LAYOUT_WORDS = {
+    "site", "page", "main", "top", "bottom", "left", "right", "center", "primary", "secondary", "container", "content", "wrapper", "wrap", "box", "area", "list", "item", "items",
+    "section", "block", "blocks", "inner", "outer", "row", "col", "column", "columns", "grid", "bar", "links", "link", "buttons", "button", "icons", "icon", "form", "slot", "panel",
+    "holder", "module", "component", "trail", "thread", "feed", "post", "posts", "entry", "article", "articles", "stories", "blog", "body", "reader", "user", "js", "sticky", "visually",
+}
+#: elements that hold parts of a page and are judged by their names
+_CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "tr", "td", "center", "figure", "details"}
+_AD_WORDS = {"ad", "ads", "advert", "hidden", "sponsored"}
 _BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tooltip", "status"}
 _GOOD_WORDS = {"article", "content", "entry", "hentry", "main", "post", "story", "text", "body", "blog", "prose", "page"}
 _CONTENT = {"article", "main", "body", "html"}
@@ -71,8 +78,22 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _judge(tag: str, raw: str) -> tuple[bool, int, bool]:
-    """(drop, weight, named like content) of an element."""
+def _bad_name(name: str, bad: set[str]) -> bool:
+    """Whether a class or id has a bad word and else only words of layout and numbers, so that no slug
+    of a heading is taken for it."""
+    rest = {w for w in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", name) if w and not w.isdigit()} - _LAYOUT_WORDS
+    return bool(rest) and all(w in bad or any(_fused(w[:i], w[i:], bad) for i in range(3, len(w) - 2)) for w in rest)
+
+
+def _fused(a: str, b: str, bad: set[str]) -> bool:
+    """Whether two words written as one, as in "cookiebar", are bad ones or a bad one and one of layout."""
+    return a in bad and (b in bad or b in _LAYOUT_WORDS) or a in _LAYOUT_WORDS and b in bad
+
+
+def _judge(tag: str, raw: str, later: bool) -> tuple[bool, int, bool]:
+    """(drop, weight, named like content) of an element; later: it stands in or after an article. Names
+    decide over containers; of other elements only those marked as adverts or hidden by class
+    go, and of articles the comments on an earlier one."""
     if tag in _DROP:
         return True, 0, False
     if not raw or raw == "/":
@@ -83,14 +104,16 @@ def _judge(tag: str, raw: str) -> tuple[bool, int, bool]:
     role = a.get("role", "").lower()
     if role in _BAD_ROLE and tag not in ("body", "html"):
         return True, 0, False
-    names = (a.get("class", "") + " " + a.get("id", "")).lower()
-    words = set(re.split(r"[^a-z0-9]+", names)) if names != " " else set()
-    if tag in _CONTENT or role in ("main", "article"):
-        drop = tag not in ("body", "html", "main") and bool(_COMMENT.search(names))
-    else:
-        drop = tag not in _INLINE and (bool(words & _BAD_WORDS) or bool(_BAD_STEM.search(names)))
-        drop = drop or tag in _INLINE and bool(words & {"ad", "ads", "advert", "hidden", "sponsored"})
+    classes = a.get("class", "").lower().split()
+    names = [*classes, *a.get("id", "").lower().split()]
+    words = {w for n in names for w in re.split(r"[^a-z0-9]+", n)}
     good = tag in ("article", "main") or role in ("main", "article")
+    if tag in _CONTENT or good:
+        drop = tag not in ("body", "html", "main") and role != "main" and later and "comment" in classes
+    elif tag in _CONTAINERS:
+        drop = any(_bad_name(n, _BAD_WORDS) for n in names)
+    else:
+        drop = any(_bad_name(n, _AD_WORDS) for n in classes)
     return drop, 25 * good + 15 * bool(words & _GOOD_WORDS), good
 
 
@@ -103,6 +126,7 @@ def extract(page: str | None) -> str:
     stack: list[tuple[str, _Node]] = [("#root", root)]
     blocks: list[tuple[str, _Node]] = []  # finished blocks with their innermost block element
     parts: list[str] = []
+    later = False
     linked = skip = in_link = 0  # skip: depth of the stack above which everything is dropped
 
     def flush() -> None:
@@ -191,7 +215,8 @@ def extract(page: str | None) -> str:
                     if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
                         break
             flush()
-        drop, weight, good = _judge(tag, raw)
+        drop, weight, good = _judge(tag, raw, later)
+        later = later or tag == "article" and not (drop or skip)
         parent = stack[-1][1]
         if tag in _INLINE:
             node = parent

@@ -273,6 +273,18 @@ def test_html_extract_cases():
     assert html_extract.extract(deep) == "deep text"
 
 
+def test_html_extract_names():
+    """Slugs of headings and words that hold a bad one lose no text; names of page parts do."""
+    text = "This is a sentence of the article, which is long enough, as it seems."
+    for part in ("<h2 id='related-work'>{}</h2>", "<section id='legal-history'><p>{}</p></section>", "<h3 id='search-methods'>{}</h3>", "<div class='commentary'><p>{}</p></div>", "<p id='promoted-to-captain'>{}</p>", "<h2 id=comments>{}</h2>", "<div class=section id=cookie-recipes><p>{}</p></div>", "<div class='has-sidebar'><p>{}</p></div>"):
+        assert html_extract.extract(f"<article><p>{text}</p>{part.format('Own words')}<p>{text}</p></article>") == f"{text}\nOwn words\n{text}", part
+    for name in ("post comments-open", "discussion", "comment", "reply-story"):
+        assert html_extract.extract(f"<article class='{name}'><p>{text}</p></article>") == text, name
+    for part in ("<div class=ad>{}</div>", "<div id=cookie-banner>{}</div>", "<div class='site-footer'>{}</div>", "<section id=comments><article class=comment>{}</article></section>", "<div class='ad-slot-3 wide'>{}</div>", "<ul class='share-buttons'><li>{}</ul>", "<div class='sidebar2'>{}</div>", "<div class='related-posts'>{}</div>", "<article class='comment even'>{}</article>", "<p class=ad>{}</p>", "<p><span class='visually-hidden'>{}</span></p>", "<div class=cookiebar>{}</div>"):
+        assert html_extract.extract(f"<body><article><p>{text}</p>{part.format(text)}</article></body>") == text, part
+        assert html_extract.extract(f"<body><article><p>{text}</p></article>{part.format(text)}</body>") == text, part
+
+
 def test_html_extract_several_articles():
     part = lambda k: f"Text {k} of a page, which stands in articles of its own, as it may."
     long = " ".join(part(k) for k in range(7))

@@ -14,7 +14,7 @@ and what is left meets the benchmark's in an equi-join.
 
 Defined results: null or wordless texts have no words and no hits; items without words match
 nothing; rows with the same doc_id are judged one by one; items with the same item_id count
-once; with an empty benchmark nothing is hit. Other columns pass through ``decontaminate``.
+once, and so do those with a null one, which the digest leaves out; with an empty benchmark nothing is hit. Other columns pass through ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def _candidates(blk: _Block, short: list[int], known) -> Iterator[tuple[int, int
 
 
 def _digest(items: set) -> str:
-    return hashlib.sha256(",".join(sorted(str(i) for i in items)).encode()).hexdigest()
+    return hashlib.sha256(",".join(sorted(str(i) for i in items if i is not None)).encode()).hexdigest()
 
 
 def _member(fps: np.ndarray):
@@ -200,12 +200,12 @@ def _by_join(docs: DataFrame, bench: DataFrame, short: list[int]) -> DataFrame:
     covered = spans.select("row_key", F.explode(F.sequence("start", F.expr("start + len - 1"))).alias("w")).groupBy("row_key").agg(F.count_distinct("w").alias("n_hit"))
     items = (
         spans.select("row_key", "window").distinct().join(bench.select("window", "item_id").distinct(), "window")
-        .groupBy("row_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+        .groupBy("row_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed"))
     )
     none = F.array().cast("array<string>")
     got = F.coalesce("items", none)
     return marked.select("doc_id", "h1", "h2", "row_key", "n_words").join(covered, "row_key", "left").join(items, "row_key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.size(got).cast("long").alias("n_items"),
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), (F.size(got) + F.coalesce("unnamed", F.lit(0))).cast("long").alias("n_items"),
         F.sha2(F.array_join(got, ",").cast("binary"), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), "h1", "h2",
     )
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from patchwarden.llm import cotrain, decontaminate, html_extract, language_id, line_dedup, ngram_join, quality_rules, queries, sp_codec, token_counts, url_filter
+from patchwarden.llm import cotrain, decontaminate, html_extract, language_id, line_dedup, ngram_join, quality_rules, queries, sp_codec, sql, token_counts, url_filter
 from patchwarden.llm import _text as K
 from patchwarden.llm._shared import components, link_sets
 
@@ -385,6 +385,24 @@ def test_contamination_both_ways(spark, docs, empty):
     assert {r.doc_id for r in kept.collect()} == {w[0] for w in want if not w[5]}
 
 
+def test_contamination_of_items_without_id(spark):
+    """Both ways and the SQL agree: null item_ids are one item, without a part in the digest."""
+    import duckdb
+
+    items = [(1, "one two three"), (None, "three four"), (None, "five six"), (2, "seven")]
+    rows = [(1, "one two three four"), (2, "three four five six"), (3, "seven and seven"), (4, "nothing")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, column, values in (("documents", "doc_id", rows), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({column} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", values)
+    want = sorted(con.execute(sql.OP7).fetchall())
+    assert [w[3] for w in want] == [2, 1, 1, 0]
+    for limit in (1 << 20, 0):
+        assert sorted(map(tuple, decontaminate.contamination(d, bench, limit).collect())) == want
+
+
 def test_rows_of_null_and_repeated_ids(spark):
     """Rows are told apart by doc_id and text: what one loses, the others of its doc_id keep."""
     own = lambda k: " ".join(words(12, 500 + k))

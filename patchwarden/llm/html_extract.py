@@ -1,15 +1,19 @@
 """Main-text extraction from HTML by tree scoring.
 
-A tolerant tokenizer builds the element tree. Parts that cannot be article text (scripts, forms,
-menus, notices, adverts, reader comments, hidden elements) are left out by element or role, and
-containers by a class or id that names nothing else. Every remaining text block passes points for its length and commas to its ancestors,
-halved at each step; a container's points are discounted by its link density. The best
-container and those siblings that score or read like it are kept, and its blocks are written in
-page order, one a line, whole.
+A tolerant tokenizer builds the element tree. Elements that cannot hold article text (scripts, menus,
+adverts by element or role, hidden ones) are left out while it is read. Every text block passes points for its
+length and commas to its ancestors, halved at each step, in one sweep from the leaves to the root; a
+container's points are discounted by its link density. The best container and those siblings that score
+or read like it are kept, and its blocks are written in page order, one a line, whole.
+
+Class and id names weigh: good ones add points. A container named as a part of the page
+(notice, advert, comments, ...), and a form, is left out only beside other text: one that holds most
+of the page's unlinked text is judged by its points like any other, whatever it is called, and so are
+comments if there is nothing else.
 
 Defined results: null, empty or text-free html gives an empty text; rows are extracted one by one, so
 repeated rows give repeated results; an empty table gives an empty result; columns other than
-page_id, url and html are not read. Work is linear in a page's length, but for nesting.
+page_id, url and html are not read. Work is linear in a page's length, however deep it is nested.
 """
 
 from __future__ import annotations
@@ -33,11 +37,12 @@ _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark",
     "nobr", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br",
 }
-_DROP = {"nav", "aside", "footer", "header", "form", "button", "menu", "dialog", "fieldset", "input", "head", "label"} | _RAW
+_DROP = {"nav", "aside", "footer", "header", "button", "menu", "dialog", "fieldset", "input", "head", "label"} | _RAW
 _CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"},
 }
+_LISTS = ("ul", "ol", "dl", "table", "select")
 _SCOPE = {"table", "ul", "ol", "dl", "td", "th", "body", "html", "article", "section", "main", "blockquote"}
 _BAD_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies",
@@ -56,17 +61,27 @@ _LAYOUT_WORDS = {
 _CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "tr", "td", "center", "figure", "details"}
 _AD_WORDS = {"ad", "ads", "advert", "hidden", "sponsored"}
 _BAD_ROLE = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tooltip", "status"}
+_COMMENT_WORDS = {"comment", "comments", "commentlist", "reply", "replies", "disqus", "respond"}
 _GOOD_WORDS = {"article", "content", "entry", "hentry", "main", "post", "story", "text", "body", "blog", "prose", "page"}
 _CONTENT = {"article", "main", "body", "html"}
+#: text of these counts for their parent, which is the container
+_TEXT = {"p", "pre", "td", "h1", "h2", "h3"}
+#: short texts of these count as well
+_POINTS = {"p", "h1", "h2", "h3", "li", "blockquote", "pre"}
+#: a named part goes if at least this share of its unlinked text stands elsewhere
+BESIDE = 0.5
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
+KEEP, DROP, PART, COMMENTS = range(4)
+
+
 class _Node:
-    __slots__ = ("tag", "parent", "weight", "score", "chars", "link_chars", "index", "good")
+    __slots__ = ("tag", "parent", "weight", "index", "good", "part", "points", "score", "chars", "link_chars")
 
-    def __init__(self, tag, parent, weight, index, good):
-        self.tag, self.parent, self.weight, self.index, self.good = tag, parent, weight, index, good
-        self.score = 0.0
+    def __init__(self, tag, parent, weight, index, good, part):
+        self.tag, self.parent, self.weight, self.index, self.good, self.part = tag, parent, weight, index, good, part
+        self.points = self.score = 0.0
         self.chars = self.link_chars = 0
 
 
@@ -90,44 +105,80 @@ def _fused(a: str, b: str, bad: set[str]) -> bool:
     return a in bad and (b in bad or b in _LAYOUT_WORDS) or a in _LAYOUT_WORDS and b in bad
 
 
-def _judge(tag: str, raw: str, later: bool) -> tuple[bool, int, bool]:
-    """(drop, weight, named like content) of an element; later: it stands in or after an article. Names
-    decide over containers; of other elements only those marked as adverts or hidden by class
-    go, and of articles the comments on an earlier one."""
-    if tag in _DROP:
-        return True, 0, False
+def _judge(tag: str, raw: str, later: bool, inside: bool) -> tuple[int, int, bool]:
+    """(KEEP, DROP, PART or COMMENTS, weight, named like content) of an element; later: it stands in or after an
+    article, inside: in one. PART and COMMENTS are left to ``_leave_out``. Of elements that are no containers only
+    those marked as adverts or hidden by class go, and of articles the comments on an earlier one."""
+    if tag in _DROP and not (tag == "header" and inside):  # an article's own header holds its title
+        return DROP, 0, False
+    part = PART if tag == "form" else KEEP
     if not raw or raw == "/":
-        return False, 25 if tag in ("article", "main") else 0, tag in ("article", "main")
+        return part, 25 if tag in ("article", "main") else 0, tag in ("article", "main")
     a = _attributes(raw)
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "").lower()):
-        return True, 0, False
+        return DROP, 0, False
     role = a.get("role", "").lower()
     if role in _BAD_ROLE and tag not in ("body", "html"):
-        return True, 0, False
+        return DROP, 0, False
     classes = a.get("class", "").lower().split()
     names = [*classes, *a.get("id", "").lower().split()]
     words = {w for n in names for w in re.split(r"[^a-z0-9]+", n)}
     good = tag in ("article", "main") or role in ("main", "article")
     if tag in _CONTENT or good:
-        drop = tag not in ("body", "html", "main") and role != "main" and later and "comment" in classes
+        if tag not in ("body", "html", "main") and role != "main" and later and "comment" in classes:
+            part = COMMENTS
     elif tag in _CONTAINERS:
-        drop = any(_bad_name(n, _BAD_WORDS) for n in names)
-    else:
-        drop = any(_bad_name(n, _AD_WORDS) for n in classes)
-    return drop, 25 * good + 15 * bool(words & _GOOD_WORDS), good
+        bad = [n for n in names if _bad_name(n, _BAD_WORDS)]
+        if bad and not any(set(re.split(r"[^a-z0-9]+", n)) & _GOOD_WORDS for n in names if n not in bad):
+            part = COMMENTS if any(_bad_name(n, _COMMENT_WORDS) for n in bad) else PART
+    elif any(_bad_name(n, _AD_WORDS) for n in classes):
+        return DROP, 0, False
+    return part, 25 * good + 15 * bool(words & _GOOD_WORDS), good
 
 
-def extract(page: str | None) -> str:
-    """The article's text blocks, one a line."""
-    if not page:
-        return ""
-    root = _Node("#root", None, 0, 0, False)
-    nodes = [root]
-    stack: list[tuple[str, _Node]] = [("#root", root)]
-    blocks: list[tuple[str, _Node]] = []  # finished blocks with their innermost block element
+class _Stack:
+    """Open elements, with the places of each tag, of blocks and of scopes, so that no question walks it."""
+
+    def __init__(self, root: _Node):
+        self.items: list[tuple[str, _Node]] = [("#root", root)]
+        self.at: dict[str, list[int]] = {}
+        self.blocks, self.scopes = [0], [0]
+
+    def push(self, tag: str, node: _Node) -> None:
+        i = len(self.items)
+        self.items.append((tag, node))
+        self.at.setdefault(tag, []).append(i)
+        if tag not in _INLINE:
+            self.blocks.append(i)
+        if tag in _SCOPE:
+            self.scopes.append(i)
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of the tags, -1 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def cut(self, to: int) -> int:
+        """Close the elements from place to on; the number of links among them."""
+        links = 0
+        while len(self.items) > to:
+            tag, _ = self.items.pop()
+            self.at[tag].pop()
+            links += tag == "a"
+        for places in (self.blocks, self.scopes):
+            while places[-1] >= to:
+                places.pop()
+        return links
+
+
+def _parse(page: str) -> tuple[list[_Node], list[tuple[str, _Node]]]:
+    """The tree's nodes, parents before children, and its text blocks, each with its innermost block element."""
+    root = _Node("#root", None, 0, 0, False, KEEP)
+    nodes, stack = [root], _Stack(root)
+    blocks: list[tuple[str, _Node]] = []
     parts: list[str] = []
     later = False
     linked = skip = in_link = 0  # skip: depth of the stack above which everything is dropped
+    unclosed: set[str] = set()  # raw elements without a later end tag
 
     def flush() -> None:
         nonlocal linked
@@ -135,36 +186,27 @@ def extract(page: str | None) -> str:
             text = " ".join(_html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                owner = next(n for t, n in reversed(stack) if t not in _INLINE)
+                owner = stack.items[stack.blocks[-1]][1]
                 blocks.append((text, owner))
                 chars, link = len(text), min(linked, len(text))
-                n = owner
-                while n is not None:
-                    n.chars += chars
-                    n.link_chars += link
-                    n = n.parent
-                if chars >= 25 or owner.tag in ("p", "h1", "h2", "h3", "li", "blockquote", "pre"):
-                    points, n = (1 + text.count(",") + text.count("，") + min(chars // 100, 3)) * (1 - link / chars), owner if owner.tag not in ("p", "pre", "td", "h1", "h2", "h3") else owner.parent
-                    while n is not None and points > 0.01:
-                        n.score += points
-                        points /= 2
-                        n = n.parent
+                owner.chars += chars
+                owner.link_chars += link
+                if chars >= 25 or owner.tag in _POINTS:
+                    owner.points += (1 + text.count(",") + text.count("，") + min(chars // 100, 3)) * (1 - link / chars)
         linked = 0
 
     def close(to: int) -> None:
-        """Drop the stack's elements from position to on."""
         nonlocal skip, in_link
-        if any(t not in _INLINE for t, _ in stack[to:]):
+        if stack.blocks[-1] >= to:
             flush()
-        in_link -= sum(t == "a" for t, _ in stack[to:])
-        del stack[to:]
-        if skip and len(stack) < skip:
+        in_link -= stack.cut(to)
+        if skip and len(stack.items) < skip:
             skip = 0
 
-    pos, end_of = 0, len(page)
-    while pos < end_of:
-        m = _TOKEN.search(page, pos)
-        text = page[pos : m.start() if m else end_of]
+    pos, end_of = 0, page.rfind(">") + 1  # no tag ends behind it
+    while True:
+        m = _TOKEN.search(page, pos, end_of)
+        text = page[pos : m.start()] if m else page[pos:].split("<!--", 1)[0]
         if text and not skip:
             parts.append(text)
             if in_link:
@@ -179,20 +221,21 @@ def extract(page: str | None) -> str:
             continue
         tag = tag.lower()
         if m["end"] or m["end2"]:
-            if tag == "p" and not any(t == "p" for t, _ in stack):
+            i = stack.last(tag)
+            if i > 0 and (tag not in _INLINE or i > stack.blocks[-1]):
+                close(i)
+            elif tag == "p":
                 flush()
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag in _INLINE and stack[i][0] not in _INLINE:
-                    break
             continue
         raw = (m["attrs"] if m["attrs"] is not None else m["attrs2"]) or ""
         if tag in _RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            pos = stop.end() if stop else (end_of if tag in ("script", "style", "textarea", "title") else pos)
+            stop = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
+            if stop:
+                pos = stop.end()
+            elif tag in ("script", "style", "textarea", "title"):
+                pos = len(page)
+            else:
+                unclosed.add(tag)
             continue
         if tag in _VOID:
             if tag == "hr":
@@ -201,42 +244,75 @@ def extract(page: str | None) -> str:
                 parts.append(" ")
             continue
         if tag not in _INLINE:
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in _SCOPE:
-                    break
+            i = stack.last("p")  # a block ends an open paragraph
+            if i > stack.scopes[-1]:
+                close(i)
             if tag in _CLOSES:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in _CLOSES[tag]:
-                        close(i)
-                        break
-                    if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
-                        break
+                i = stack.last(*_CLOSES[tag])
+                if i > stack.last(*_LISTS):
+                    close(i)
             flush()
-        drop, weight, good = _judge(tag, raw, later)
-        later = later or tag == "article" and not (drop or skip)
-        parent = stack[-1][1]
-        if tag in _INLINE:
-            node = parent
-        else:
-            node = _Node(tag, parent, weight, len(nodes), good)
+        part, weight, good = _judge(tag, raw, later, stack.last("article", "main") > 0)
+        later = later or tag == "article" and part == KEEP and not skip
+        node = parent = stack.items[-1][1]
+        if tag not in _INLINE:
+            node = _Node(tag, parent, weight, len(nodes), good, part)
             nodes.append(node)
-        stack.append((tag, node))
+        stack.push(tag, node)
         in_link += tag == "a"
-        if drop and not skip and raw[-1:] != "/":
+        if part == DROP and not skip and raw[-1:] != "/":
             if tag in _INLINE:
                 parts.append(" ")
-            skip = len(stack)
+            skip = len(stack.items)
     flush()
+    return nodes, blocks
+
+
+def _leave_out(nodes: list[_Node]) -> list[bool]:
+    """For each node whether it goes: with a part of the page that is named as such while enough other
+    text is left. Judged from the root: what is kept whatever its name holds further parts."""
+    unlinked = [n.chars - n.link_chars for n in nodes]
+    plain = list(unlinked)  # unlinked text outside named parts
+    for n in reversed(nodes):
+        if n.parent is not None:
+            unlinked[n.parent.index] += unlinked[n.index]
+            plain[n.parent.index] += 0 if n.part in (PART, COMMENTS) else plain[n.index]
+    gone = [False] * len(nodes)
+    rest = plain[0]
+    for n in nodes:
+        if n.parent is not None and gone[n.parent.index]:
+            gone[n.index] = True
+        elif n.part in (PART, COMMENTS) and unlinked[n.index]:
+            gone[n.index] = rest > 0 if n.part == COMMENTS else rest >= BESIDE * unlinked[n.index]
+            if not gone[n.index]:
+                rest += plain[n.index]
+                n.weight -= 25
+    return gone
+
+
+def extract(page: str | None) -> str:
+    """The article's text blocks, one a line."""
+    if not page:
+        return ""
+    nodes, blocks = _parse(page)
     if not blocks:
         return ""
+    gone = _leave_out(nodes)
+    for n in reversed(nodes):  # from the leaves: what a node has gathered goes to its parent
+        if gone[n.index]:
+            n.chars = n.link_chars = 0
+            continue
+        own = n.tag in _TEXT
+        if n.parent is not None:
+            n.parent.chars += n.chars
+            n.parent.link_chars += n.link_chars
+            n.parent.points += n.points if own else n.points / 2
+        n.score = 0.0 if own else n.points
     best = max(nodes, key=lambda n: (n.chars > 0, (n.score + n.weight * (n.chars > 0)) * (1 - n.link_chars / max(n.chars, 1)), -n.index))
     kept = {best.index} | _siblings(nodes, best)
-    inside: dict[int, bool] = {}
-    for n in nodes:  # parents stand before children
-        inside[n.index] = n.index in kept or n.parent is not None and inside[n.parent.index]
+    inside: list[bool] = []
+    for n in nodes:
+        inside.append(not gone[n.index] and (n.index in kept or n.parent is not None and inside[n.parent.index]))
     return "\n".join(t for t, n in blocks if inside[n.index])
 
 

@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -285,6 +286,43 @@ def test_html_extract_names():
         assert html_extract.extract(f"<body><article><p>{text}</p></article>{part.format(text)}</body>") == text, part
 
 
+def test_html_extract_names_only_weigh():
+    """A container that holds most of the page's text stays, whatever it is called; comments stay out
+    however long they are, but where there is nothing else."""
+    text = "This is a sentence of the article, which is long enough, as it seems."
+    want = f"Title\n{text}\n{text}"
+    for name in ("has-sidebar", "content with-sidebar", "post-body ad-free", "story legal-news", "layout-no-banner", "entry popular", "search-result-article", "single-post comments-open", "wrap cookie-free", "text social-policy", "page-header-fixed", "content share-enabled", "popular", "sidebar", "comments"):
+        for attr in ("class", "id"):
+            page = f"<body><nav>menu</nav><div {attr}='{name}'><h1>Title</h1><p>{text}</p><p>{text}</p></div><footer>foot</footer></body>"
+            assert html_extract.extract(page) == want, (attr, name)
+    for wrap in ("<article>{}</article>", "<div class=post>{}</div>", "<div>{}</div>"):
+        body = wrap.format(f"<h1>Title</h1><p>{text}</p><p>{text}</p>")
+        for part in (f"<section id=comments>{f'<p>{text} {text}</p>' * 50}</section>", f"<div class=sidebar><p>{text}</p></div>", f"<form><p>{text}</p></form>", f"<div class='cookie-notice'>{text}</div>", f"<nav>{text}</nav>"):
+            assert html_extract.extract(f"<body>{body}{part}</body>") == html_extract.extract(f"<body>{part}{body}</body>") == want, part
+    assert html_extract.extract(f"<body><form id=aspnet><h1>Title</h1><p>{text}</p><p>{text}</p></form></body>") == want
+    assert html_extract.extract(f"<article><header><h1>Title</h1></header><p>{text}</p><p>{text}</p></article>") == want
+
+
+def test_html_extract_is_linear():
+    n = 100_000
+    began = time.perf_counter()
+    for page, want in [("<div>" * n + "<p>deep</p>", "deep"), ("<b>" * n + "x", "x"), ("<a " * n, "<a " * (n - 1) + "<a"), ("<!-- x " * n, ""), ("<svg>" * n + "y", "y")]:
+        assert html_extract.extract(page) == want
+    assert html_extract.extract("<li><ul>" * n + "x" + "</li>" * n) == "x"
+    assert time.perf_counter() - began < 60
+
+
+def test_html_extract_rows(spark):
+    """Empty and repeated rows, a very long page, columns with clashing names."""
+    long = "".join(f"<p>Paragraph {k}, of a very long page, that is.</p>" for k in range(30_000))
+    rows = [(1, "u", f"<article>{long}</article>", "x", "y"), (2, None, PAGE, None, None), (2, None, PAGE, None, None), (None, "v", None, "x", "y"), (3, "w", "", "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")
+    got = sorted(map(tuple, html_extract.html_extract(pages).collect()), key=str)
+    want = sorted([(i, u, html_extract.extract(h), len(html_extract.extract(h))) for i, u, h, *_ in rows], key=str)
+    assert got == want and max(r[2].count("\n") for r in got) == 29_999
+    assert html_extract.html_extract(pages.limit(0)).collect() == []
+
+
 def test_html_extract_several_articles():
     part = lambda k: f"Text {k} of a page, which stands in articles of its own, as it may."
     long = " ".join(part(k) for k in range(7))
@@ -294,7 +332,7 @@ def test_html_extract_several_articles():
 
 
 def test_html_extract_pages(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     for r in pages.join(html_extract.html_extract(pages), ["page_id", "url"]).collect():
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]

@@ -386,6 +386,18 @@ def test_token_counts_widen():
     assert c.widened > 0
 
 
+def test_token_counts_without_stable_boundaries():
+    """A million characters that no place can cut cost a few encodings, not one a chunk."""
+    c = token_counts.PieceCounter(model())
+    text = "ab" * 500_000
+    began = time.perf_counter()
+    want = len(c.sp.encode(text))
+    library = time.perf_counter() - began
+    began = time.perf_counter()
+    assert c.counts([text]) == [want]
+    assert time.perf_counter() - began < 4 * library + 2
+
+
 # --- 7 -------------------------------------------------------------------------------------
 
 

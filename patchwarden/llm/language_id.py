@@ -5,15 +5,16 @@ scored by the longest character n-grams (5, then 4, ... 1) of which it has a kno
 add up over a document's words; the best language wins (ties: the first by name), and its
 posterior among the learned languages is the score.
 
-The model is fitted on a bounded sample of labelled rows: about ``per_lang`` documents of each
-language (exactly all where there are fewer), chosen by a hash of the document's id, whole
-texts. ``vocabulary`` words and as many n-grams of each order are kept per language, the most
-frequent; what is broadcast is bounded by these two parameters and the number of languages. Prediction
+The model is fitted on a bounded sample of labelled rows: about ``per_lang`` different texts of each
+language and ``max_sample`` of all (all where there are fewer), chosen by a hash of the text, so neither
+a hot doc_id nor a text that stands in a third of all rows enlarges it. Whole texts are read, and every word and
+n-gram of the sample is in the model with its counts in every language; counts are made once, on the executors,
+and what is collected and broadcast is bounded by the sample. Prediction
 covers every row with whole texts in one map, without a shuffle.
 
 Defined results: ``und`` with score 0 for null texts, texts without a letter, and where no
-language could be learned; rows are judged one by one; rows with null lang are never learned
-from; other columns are not read.
+language could be learned; rows are judged one by one; a text repeated in a language is learned
+from once; rows with null lang or text are never learned from; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,14 +25,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as K
+from ._shared import materialize
 
+#: texts that a model is fitted on: of a language, of all languages
 PER_LANG = 2000
-VOCABULARY = 40_000
+MAX_SAMPLE = 20_000
 ORDER = 5
+#: n-grams that are looked up at once
+STEP = 1 << 16
 
 
 def held_out(doc_id: Column) -> Column:
@@ -62,18 +67,26 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Per order (0: words): sorted 64-bit hashes and a score for each language."""
+    """Per order (0: words): sorted 64-bit hashes, the score of what a language has not, and of each
+    hash the languages that have it with what they score above that."""
 
-    def __init__(self, langs: list[str], orders: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, langs: list[str], orders: list[tuple[np.ndarray, ...]]):
         self.langs, self.orders = langs, orders
 
     def lookup(self, order: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(known, rows of scores) of hashes."""
-        keys, scores = self.orders[order]
+        keys, start, lang, above, none = self.orders[order]
         if not len(keys):
             return np.zeros(len(h), bool), np.zeros((len(h), len(self.langs)))
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return keys[at] == h, scores[at]
+        known = keys[at] == h
+        out = np.repeat(none[None, :], len(h), 0)
+        row = np.flatnonzero(known)
+        first = start[at[row]]
+        n = start[at[row] + 1] - first
+        entry = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
+        out[np.repeat(row, n), lang[entry]] += above[entry]
+        return known, out
 
 
 def _hash_strings(strings: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -81,28 +94,34 @@ def _hash_strings(strings: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return K.span_hash(K.prefix_hash(buf), off[:-1], off[1:])
 
 
-def fit(train: DataFrame, per_lang: int = PER_LANG, vocabulary: int = VOCABULARY) -> Model:
-    """A model of train (doc_id, lang, text; non-null lang)."""
-    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def fit(train: DataFrame, per_lang: int = PER_LANG, max_sample: int = MAX_SAMPLE) -> Model:
+    """A model of train (lang, text; non-null lang)."""
+    h1, h2 = F.xxhash64(F.lit("language sample"), "text"), F.xxhash64(F.lit("language text"), "text")
+    train = train.where("text IS NOT NULL").select("lang", "text", h1.alias("h1"), h2.alias("h2"))
+    sizes = {r.lang: max(r.n, 1) for r in train.groupBy("lang").agg(F.approx_count_distinct("h1", 0.02).alias("n")).collect()}  # a row a language
     langs = sorted(sizes)
+    nothing = (np.zeros(0, np.uint64), np.zeros(1, int), np.zeros(0, int), np.zeros(0), np.zeros(len(langs)))
     if not langs:
-        return Model([], [(np.zeros(0, np.uint64), np.zeros((0, 0)))] * (ORDER + 1))
-    share = F.coalesce(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_lang / n))))[F.col("lang")], F.lit(1.0))
-    chosen = train.where(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+        return Model([], [nothing] * (ORDER + 1))
+    each = min(per_lang, max(1, max_sample // len(langs)))
+    share = F.coalesce(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n))))[F.col("lang")], F.lit(1.0))
+    chosen = train.where(F.pmod("h1", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "h1", "h2"])
     counts = chosen.select("lang", "text").mapInArrow(_gram_counts, "lang string, ord int, gram string, n long").groupBy("lang", "ord", "gram").agg(F.sum("n").alias("n"))
-    whole = Window.partitionBy("lang", "ord")
-    top = counts.withColumn("r", F.row_number().over(whole.orderBy(F.desc("n"), "gram"))).where(F.col("r") <= vocabulary)
-    rows = top.select("lang", "ord", "gram", "n").toArrow()  # bounded by languages x orders x vocabulary
-    totals = {(r.lang, r.ord): r.t for r in counts.groupBy("lang", "ord").agg(F.sum("n").alias("t")).collect()}
+    rows = materialize(counts, "language-counts").toArrow()  # bounded by the sample
     number = {g: j for j, g in enumerate(langs)}
     orders = []
     for o in range(ORDER + 1):
         part = rows.filter(pc.equal(rows.column("ord"), o))
-        keys, at = np.unique(_hash_strings(part.column("gram")), return_inverse=True)
-        n = np.zeros((len(keys), len(langs)))
-        np.add.at(n, (at, np.array([number[g] for g in part.column("lang").to_pylist()], int)), part.column("n").to_numpy())
-        t = np.array([totals.get((g, o), 0) + 1.0 for g in langs])
-        orders.append((keys, np.log((n + 0.5) / t).astype(np.float32)))
+        if not part.num_rows:
+            orders.append(nothing)
+            continue
+        h, n = _hash_strings(part.column("gram")), part.column("n").to_numpy()
+        lang = np.array([number[g] for g in part.column("lang").to_pylist()])
+        by = np.lexsort((lang, h))
+        h, n, lang = h[by], n[by], lang[by]
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        total = np.bincount(lang, n, len(langs)) + 1.0
+        orders.append((h[start], np.append(start, len(h)), lang.astype(np.int32), (np.log(n + 0.5) - np.log(0.5)).astype(np.float32), np.log(0.5 / total)))
     return Model(langs, orders)
 
 
@@ -119,12 +138,16 @@ def _word_scores(m: Model, buf: np.ndarray, sums: np.ndarray, starts: np.ndarray
             if n.sum():
                 word = np.repeat(np.arange(len(left)), n)
                 i = first[left][word] + np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-                ok, s = m.lookup(k, K.span_hash(sums, cp[i], cp[i + k]))
-                word, s = word[ok], s[ok]
-                hits = np.bincount(word, minlength=len(left))
+                hits, score = np.zeros(len(left)), np.zeros((len(left), len(m.langs)))
+                for a in range(0, len(word), STEP):
+                    w, c = word[a : a + STEP], i[a : a + STEP]
+                    ok, s = m.lookup(k, K.span_hash(sums, cp[c], cp[c + k]))
+                    w, s = w[ok], s[ok]
+                    hits += np.bincount(w, minlength=len(left))
+                    for j in range(len(m.langs)):
+                        score[:, j] += np.bincount(w, s[:, j], len(left))
                 got = hits > 0
-                for j in range(len(m.langs)):
-                    out[left[got], j] = (np.bincount(word, s[:, j], len(left)) / np.maximum(hits, 1))[got]
+                out[left[got]] = score[got] / hits[got, None]
                 left = left[~got]
             if not len(left):
                 break
@@ -171,7 +194,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def language_id(docs: DataFrame, per_lang: int = PER_LANG, vocabulary: int = VOCABULARY) -> DataFrame:
+def language_id(docs: DataFrame, per_lang: int = PER_LANG, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """Learn from the labelled rows that are not held out, then predict every row."""
-    train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    return predict(docs, fit(train, per_lang, vocabulary))
+    train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("lang", "text")
+    return predict(docs, fit(train, per_lang, max_sample))

@@ -3,11 +3,13 @@
 import collections
 import hashlib
 import html
+import math
 import random
 import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -78,8 +80,6 @@ def test_clashing_columns(spark):
 
 
 def test_words_lines_and_hashes():
-    import pyarrow as pa
-
     texts = [r[1] for r in corpus()]
     for limit in (1, 100, 1 << 20):
         n = 0
@@ -491,6 +491,56 @@ def test_language_id(spark, docs, empty):
     assert {r.lang_pred for r in language_id.language_id(docs.where("lang IS NULL")).collect()} == {"und"}
 
 
+def brute_languages(train, texts):
+    """The model and the posteriors, word by word."""
+    split = lambda t: re.findall(r"[A-Za-z\x80-\U0010ffff]+", (t or "").translate(LOW))
+    grams = lambda w, k: [w] if k == 0 else [w[i : i + k] for i in range(len(w) - k + 1)]
+    counts = collections.defaultdict(collections.Counter)
+    for lang, t in {(g, t) for g, t in train if g is not None and t is not None}:
+        for w in split(t):
+            for k in range(6):
+                counts[lang, k].update(grams(w, k))
+    langs = sorted({g for g, _ in counts} | {g for g, t in train if g is not None and t is not None})
+    score = lambda k, x: [math.log((counts[g, k][x] + 0.5) / (sum(counts[g, k].values()) + 1)) for g in langs]
+    known = [set().union(*(counts[g, k] for g in langs)) if langs else set() for k in range(6)]
+    for t in texts:
+        if not langs or not any(c.isalpha() for c in t or ""):
+            yield "und", 0.0
+            continue
+        total = np.zeros(len(langs))
+        for w in split(t):
+            for k in (0, 5, 4, 3, 2, 1):
+                hit = [x for x in grams(w, k) if x in known[k]]
+                if hit:
+                    total += np.mean([score(k, x) for x in hit], 0)
+                    break
+        best = int(np.argmax(total))
+        yield langs[best], 1 / np.exp(total - total[best]).sum()
+
+
+def test_language_id_against_brute_force(spark):
+    """Ties, repeated rows, unknown words, words that only some languages have."""
+    import zlib
+
+    some = ["the cat sat on the mat", "le chat est la", "die Katze ist da, Größe", "the the the", "", None, "12 !?", "catze", "zzz qqq", "xhyw the", "日本語", "a", "le " * 40, "katzenhaus mats chats"]
+    rows = [(i, some[i % len(some)], ["en", "fr", "de", None][(i % len(some)) % 4]) for i in range(60)] + [(3, some[3], "en"), (3, some[0], "en"), (None, "nobody learns this", "xx"), (61, "sat", "fr"), (62, "sat", "en")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = sorted(map(tuple, language_id.language_id(d).collect()), key=str)
+    train = [(g, t) for i, t, g in rows if i is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    want = sorted([(i, i is not None and zlib.crc32(str(i).encode()) % 4 == 2, g, x) for (i, *_), (g, x) in zip(rows, brute_languages(train, [r[1] for r in rows]))], key=str)
+    key = lambda rs: [(r[0], r[1], r[2], round(r[3], 5)) for r in rs]
+    assert sorted(key(got), key=str) == sorted(key(want), key=str)
+
+
+def test_language_sample_is_bounded(spark):
+    """A text in most rows, under one doc_id, counts once; small samples still learn every language."""
+    rows = [(4, "hot text of one document", "en")] * 3000 + [(k, "mot" + "abcdefghij"[k // 100] + "klmnopqrst"[k // 10 % 10] + "uvwxyzabcd"[k % 10], "fr") for k in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    m = language_id.fit(d.select("lang", "text"), per_lang=100)
+    words = len(m.orders[0][0])
+    assert m.langs == ["en", "fr"] and 50 < words < 200 and m.lookup(0, language_id._hash_strings(pa.array(["hot"])))[0][0]
+
+
 # --- 9 -------------------------------------------------------------------------------------
 
 

@@ -45,12 +45,13 @@ def small_batches(spark: SparkSession) -> None:
 
 def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: later steps neither recompute it nor
-    depend on the executors that made it. small: a table much smaller than the input is written
-    by an eighth of the partitions, as every file costs the file system more than its rows do."""
+    depend on the executors that made it. small: a table much smaller than what it is made from is
+    dealt anew after the work, into as many partitions as its size asks for, so no file is tiny and the work
+    keeps its own partitions."""
     spark = df.sparkSession
     small_batches(spark)
     if small:
-        df = df.coalesce(max(2, partitions(spark) // 8))
+        df = df.hint("rebalance")
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -70,11 +71,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in schema], schema=schema)
+#: a key is hot from 1 / HOT of all rows, so there are HOT hot keys at most
+HOT = 1 << 16
 
 
-MAX_BITMAP = 27
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row of a few numbers a key and tells in ``weight`` how many rows of left the key
+    has. The rows of a hot key stay where they are, as its row of right is broadcast; the others are
+    shuffled. So no key brings its rows together in one task. Both are written tables, as they are read
+    more than once; the weight is left out."""
+    keys = [key] if isinstance(key, str) else key
+    n, total = right.agg(F.count("*"), F.sum(weight)).first()
+    if n <= HOT:
+        return left.join(F.broadcast(right.drop(weight)), keys, how)
+    hot = F.col(weight) >= -(-total // HOT)
+    few, rest = right.where(hot).drop(weight), right.where(~hot).drop(weight)
+    others = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return left.join(F.broadcast(few), keys).unionByName(others)
+
+
+MAX_BITMAP = 29
 
 
 def bitmap_bits(n: int) -> int:
@@ -83,14 +99,15 @@ def bitmap_bits(n: int) -> int:
 
 
 def bitmap(hashes: DataFrame, bits: int) -> bytes:
-    """A one-hash Bloom filter of the long column, 2**bits slots (16 MB at most, whatever the
-    input): made in segments on the executors. It only thins rows before an exact join."""
+    """A one-hash Bloom filter of the long column, 2**bits slots (64 MB at most, whatever the
+    input): made in segments on the executors. It only thins rows before an exact join; with more hashes than
+    slots it lets all of them pass."""
     size = 1 << 16
 
     def segment(t: pa.Table) -> pa.Table:
         x = np.zeros(size, bool)
         x[t.column("slot").to_numpy() % size] = True
-        return pa.table({"seg": pa.array([t.column("seg")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(x).tobytes()], pa.binary())})
+        return pa.table({"seg": pa.array([t.column("seg")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())})
 
     slots = hashes.select(F.pmod(hashes.columns[0], F.lit(1 << bits)).alias("slot")).distinct().withColumn("seg", F.expr(f"slot div {size}"))
     out = bytearray((1 << bits) // 8)
@@ -99,6 +116,17 @@ def bitmap(hashes: DataFrame, bits: int) -> bytes:
     return bytes(out)
 
 
+def in_bitmap(table: bytes, bits: int):
+    """A test of int64 hashes against a bitmap."""
+    t = np.frombuffer(table, np.uint8)
+
+    def test(h: np.ndarray) -> np.ndarray:
+        slot = h & ((1 << bits) - 1)
+        return (t[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+    return test
+
+
 # --- connected components -----------------------------------------------------------------
 
 
@@ -146,8 +174,8 @@ def components(edges: DataFrame, name: str, local_edges: int = LOCAL_EDGES) -> t
     Distributed union-find over edges of two long columns. Edges are contracted inside each
     partition to a forest. A forest of up to local_edges edges (counted first) is contracted by
     one task. A larger one goes through alternating large-star and small-star rounds, whose
-    number grows with the logarithm of a component's diameter; every round is a written table,
-    so a lost executor costs one round's tasks. Nothing but counts and checksums reaches the driver.
+    number grows with the logarithm of a component's diameter; a star's edges are spread over tasks, and every
+    step is a written table, so a lost executor costs one step's tasks. Nothing but counts and checksums reaches the driver.
     """
     a, b = edges.columns[:2]
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v").mapInArrow(_forest, "u long, v long")
@@ -157,10 +185,10 @@ def components(edges: DataFrame, name: str, local_edges: int = LOCAL_EDGES) -> t
     # edges always point from the larger node u to the smaller node v
     while True:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
+        low = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("w")), f"{name}-low")
+        large = materialize(join_hot(both, low, "u", "w").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("w")), f"{name}-least")
+        small = join_hot(large, least, "u", "w").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
         before = state
         e, state = _observed(small, f"{name}-round")
         if state == before:
@@ -178,6 +206,8 @@ def _observed(e: DataFrame, name: str) -> tuple[DataFrame, tuple]:
 # --- links between sets -------------------------------------------------------------------
 
 BLOCK = 512
+#: members of a posting list that meet each other by a join; longer lists go through blocks
+LIST = 64
 
 
 def _hub_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +274,7 @@ def _pack_sets(t: pa.Table) -> pa.Table:
     })
 
 
-_PACKED = "grp long, blk int, nodes binary, comps binary, ns binary, ells binary, lens binary, toks binary, plens binary, prefix binary"
+_PACKED = "grp long, blk long, nodes binary, comps binary, ns binary, ells binary, lens binary, toks binary, plens binary, prefix binary"
 
 
 def _overlaps(x: np.ndarray, xl: np.ndarray, y: np.ndarray, yl: np.ndarray) -> np.ndarray:
@@ -313,45 +343,68 @@ def link_sets(sets: DataFrame, percent: int, name: str, rounds: int = 1, decode=
 
     A posting list of m sets stands for m * m / 2 pairs. Only connectivity is asked for, so first
     each list's members meet one hub, its most central member (in further rounds another one), which is
-    linear; what links is contracted. Lists inside one component are done. What remains falls into clusters of sets
-    that share open lists, and each cluster is compared in blocks: a pair of packed blocks is one
-    row, its candidates are found and verified by matrix products in one task, and a forest of the links
-    comes back. No pair between two components is left out, and no list of pairs is ever written.
+    linear; what links is contracted. Lists inside one component are done. Of the open ones, those of up to LIST
+    members are joined with themselves: ids of sets of different components, counted over the lists that they share,
+    then verified. Longer lists form clusters of the sets that share them, and blocks of a cluster that share such a
+    list are compared, block by block: candidates are found and verified by matrix products in one task, and
+    a forest of the links comes back. No pair between two components is left out.
     """
     spark, n = sets.sparkSession, partitions(sets.sparkSession)
     payload = sets.select("node", "n", "toks")
-    postings = sets.select(F.explode("prefix").alias("tok"), "node", "off")
+    postings = sets.select(F.explode("prefix").alias("tok"), "node", "ell", "off")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        left, right = (payload.withColumnsRenamed({"node": x, "n": f"n_{x}", "toks": f"t_{x}"}) for x in "ab")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_verify_pairs(percent, decode), "a long, b long")
+
     comp = named = None
     for r in range(rounds):
         order = F.struct("off", F.xxhash64("node")) if r == 0 else F.struct(F.lit(0.0), F.xxhash64("node", F.lit(r)))
         hubs = postings.select("tok", "node", F.col("node").alias("comp"), order.alias("o")) if comp is None else named.select("tok", "node", "comp", order.alias("o"))
         pairs = hubs.repartition(n, "tok").sortWithinPartitions("tok", "o").select("tok", "node", "comp").mapInArrow(_hub_pairs, "a long, b long").distinct()
-        left, right = (payload.withColumnsRenamed({"node": x, "n": f"n_{x}", "toks": f"t_{x}"}) for x in "ab")
-        found = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_verify_pairs(percent, decode), "a long, b long")
+        found = verified(pairs)
         # what is linked so far is as good as its components
         comp, _ = components(found if comp is None else found.union(comp), f"{name}-hub")
-        labels = postings.join(comp, "node", "left").select("tok", "node", "off", F.coalesce("comp", "node").alias("comp"))
-        mixed = labels.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-        named = materialize(labels.join(mixed, "tok", "left_semi"), f"{name}-open", True)
-    # clusters of sets that share open lists
-    chain = named.select("tok", "node", F.col("node").alias("comp"), F.xxhash64("node").alias("o")).repartition(n, "tok").sortWithinPartitions("tok", "o").select("tok", "node", "comp").mapInArrow(_hub_pairs, "a long, b long")
+        labels = materialize(postings.join(comp, "node", "left").select("tok", "node", "ell", "off", F.coalesce("comp", "node").alias("comp")), f"{name}-labels", True)
+        mixed = materialize(labels.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("tok", "m", F.col("m").alias("w")), f"{name}-mixed", True)
+        seen = Observation()
+        named = materialize(join_hot(labels, mixed, "tok", "w").observe(seen, F.count("*").alias("n"), F.count_if(F.col("m") > LIST).alias("long")), f"{name}-open", True)
+        if not seen.get["n"]:
+            return comp
+    some = named.where(F.col("m") <= LIST)
+    one, two = (some.select("tok", F.col("node").alias(x), F.col("comp").alias(f"c_{x}"), F.col("ell").alias(f"l_{x}")) for x in "ab")
+    met = one.join(two, "tok").where("a < b AND c_a <> c_b").groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("l_a", "l_b")).alias("l")).where("c >= l")
+    links = verified(materialize(met.select("a", "b"), f"{name}-pairs", True)).union(comp)
+    if seen.get["long"]:
+        links = links.union(_long_lists(sets, named, percent, name, decode))
+    return components(links, name)[0]
+
+
+def _long_lists(sets: DataFrame, named: DataFrame, percent: int, name: str, decode) -> DataFrame:
+    """A forest of the links between components that share an open list of more than LIST members.
+    named: (tok, node, comp, m) of all open lists."""
+    n = partitions(sets.sparkSession)
+    lists = named.where(F.col("m") > LIST)
+    chain = lists.select("tok", "node", F.col("node").alias("comp"), F.xxhash64("node").alias("o")).repartition(n, "tok").sortWithinPartitions("tok", "o").select("tok", "node", "comp").mapInArrow(_hub_pairs, "a long, b long")
     cluster, edges = components(chain, f"{name}-cluster")
     member = cluster.select("node", F.col("comp").alias("cluster")).union(cluster.select("comp", "comp").distinct())
-    sizes = member.groupBy("cluster").agg(F.count("*").alias("m"))
-    open_sets = named.groupBy("node").agg(F.min("comp").alias("comp"), F.collect_list("tok").alias("open"))
-    small = F.col("m") <= BLOCK // 4
+    sizes = member.groupBy("cluster").agg(F.count("*").alias("w"))
+    member, sizes = materialize(member, f"{name}-members", True), materialize(sizes.withColumn("size", F.col("w")), f"{name}-sizes", True)
+    open_sets = named.groupBy("node").agg(F.min("comp").alias("comp"), F.collect_list("tok").alias("open"), F.max(F.struct("m", "tok")).alias("top"))
+    small = F.col("size") <= BLOCK // 4
     bins = -(-2 * edges // (BLOCK // 2)) or 1  # a cluster of m sets has m - 1 edges at least
-    # small clusters share bins; a large one is dealt over blocks of its own
-    dealt = member.join(sizes, "cluster").select(
-        "node", F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster")).alias("key"), small.alias("small"),
-        F.when(small, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK))).cast("int").alias("blk"),
-    ).select("node", F.xxhash64("small", "key").alias("grp"), "blk")
+    # small clusters share bins; the sets of a large one are dealt over blocks by the longest list they stand in
+    key = F.when(small, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.col("cluster"))
+    blk = F.when(small, 0).otherwise(F.xxhash64("top.tok", F.pmod(F.xxhash64("node"), F.ceil(F.col("top.m") / BLOCK))))
+    dealt = join_hot(member, sizes, "cluster", "w").join(open_sets, "node").select("node", "comp", "open", F.xxhash64(small, key).alias("grp"), blk.cast("long").alias("blk"))
+    dealt = materialize(dealt, f"{name}-dealt", True)
     packed = materialize(
-        dealt.join(open_sets, "node").join(sets.select("node", "n", "toks", "ell"), "node").withColumnRenamed("open", "prefix").select("grp", "blk", "node", "comp", "n", "ell", "toks", "prefix").groupBy("grp", "blk").applyInArrow(_pack_sets, _PACKED),
-        f"{name}-blocks", True,
+        dealt.join(sets.select("node", "n", "toks", "ell"), "node").withColumnRenamed("open", "prefix").select("grp", "blk", "node", "comp", "n", "ell", "toks", "prefix").groupBy("grp", "blk").applyInArrow(_pack_sets, _PACKED),
+        f"{name}-blocks",
     )
+    at = lists.select("tok", "node").join(dealt.select("node", "grp", "blk"), "node").select("tok", "grp", "blk").distinct()
+    meet = at.join(at.withColumnRenamed("blk", "blk2"), ["tok", "grp"]).where("blk <= blk2").select("grp", "blk", "blk2").distinct()
     fields = ["nodes", "comps", "ns", "ells", "lens", "toks", "plens", "prefix"]
     other = packed.select("grp", F.col("blk").alias("blk2"), *(F.col(f).alias(f"{f}2") for f in fields))
-    pairs = packed.join(other, "grp").where("blk <= blk2").select((F.col("blk") == F.col("blk2")).alias("same"), *fields, *(f"{f}2" for f in fields))
-    more = pairs.repartition(n).mapInArrow(_block_links(percent, decode), "u long, v long")
-    return components(more.union(comp), name)[0]
+    pairs = meet.join(packed, ["grp", "blk"]).join(other, ["grp", "blk2"]).select((F.col("blk") == F.col("blk2")).alias("same"), *fields, *(f"{f}2" for f in fields))
+    return pairs.repartition(n).mapInArrow(_block_links(percent, decode), "u long, v long")

@@ -2,18 +2,22 @@
 
 The text view sees hashed words and counts of the text; the metadata view sees lang, source and
 length. Each is a logistic regression. Over some rounds each view labels the rows of an unlabelled
-pool that it is sure of, and hands them to the other as weaker training rows. Then each view is
-calibrated on labelled rows that neither was trained on, and a last regression on the two
-calibrated logits combines them. The same is done for both labels, quality and toxic.
+pool that it is sure of, and hands them to the other as weaker training rows. What a view hands on is gated:
+of the labelled rows that it was not trained on, those it is as sure of must bear it out, by half of what
+guessing the class gets wrong, and by GATE at least; else it hands on none of that class. Then each view is
+calibrated on these rows (a slope below zero, worse than chance, becomes zero), and a last regression on the two
+calibrated logits combines them, with weights of zero or more; the output says which views have a weight. The same is
+done for both labels, quality and toxic.
 
-Fitting uses a bounded sample (``max_labelled`` labelled and ``max_pool`` other rows, whole texts,
-chosen by a hash of doc_id, all where there are fewer); weights have a fixed size. Scoring covers
-every row in one map, without a shuffle.
+Fitting uses a bounded sample: ``max_labelled`` labelled and ``max_pool`` other rows at most, different
+whole texts chosen by hash, so neither a hot doc_id nor a text in a third of all rows fills it; weights
+have a fixed size. Scoring covers every row in one map, without a shuffle.
 
 Defined results: null texts and null metadata are views without features; where there are no labels
 the scores are null and everything is kept; with labels of one class that class's share is the score;
-a label row repeated or in conflict counts as its mean, rounded up; rows are scored one by one;
-an empty table gives an empty result; columns other than doc_id, text, lang and source are not read.
+a label row repeated or in conflict counts as its mean, rounded up; a text repeated under one doc_id is learned
+from once; rows are scored one by one; an empty table gives an empty result; columns other than doc_id, text,
+lang and source are not read.
 """
 
 from __future__ import annotations
@@ -33,10 +37,13 @@ MAX_POOL = 6000
 ROUNDS = 3
 SURE = 0.95
 SHARE = 0.1
+#: least precision of a view's sure labels of a class, and on how many held-out rows it must show
+GATE, GATE_ROWS = 0.9, 5
 TEXT_BITS = 16
 META_BITS = 12
 DENSE = 6
 LABELS = ("quality", "toxic")
+VIEWS = ("text", "meta")
 
 
 def _rows(buf: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -123,6 +130,7 @@ class Classifier:
         self.views: list[View] = []
         self.calibrate: list[np.ndarray] = []
         self.combine = np.zeros(3)
+        self.used = ""
         self.exchanged: list[tuple[int, int]] = []
 
     def fit(self, views: list, y: np.ndarray, pool: list) -> Classifier:
@@ -147,24 +155,29 @@ class Classifier:
                 break
             news = []
             for k, view in enumerate(self.views):
-                p = 1 / (1 + np.exp(-np.clip(view.logits(pool[k]), -30, 30)))
-                conf = np.maximum(p, 1 - p)
-                free = np.flatnonzero((given[1 - k] < 0) & (conf >= SURE))
-                best = free[np.argsort(-conf[free], kind="stable")][: int(SHARE * n_pool)]
+                p, sure = _sure(view.logits(pool[k]))
+                held, held_sure = _sure(view.logits(_take(views[k], check))) if cal.any() else (np.zeros(0), np.zeros(0, bool))
+                passes = [_precise(y[check] == c, held_sure & ((held >= 0.5) == c), np.mean(y[train] == c)) if len(held) else False for c in (0, 1)]
+                free = np.flatnonzero((given[1 - k] < 0) & sure & np.where(p >= 0.5, passes[1], passes[0]))
+                best = free[np.argsort(-np.abs(p[free] - 0.5), kind="stable")][: int(SHARE * n_pool)]
                 given[1 - k][best] = (p[best] >= 0.5).astype(float)
                 news.append(len(best))
             self.exchanged.append((news[0], news[1]))
         z = []
         for k, view in enumerate(self.views):
-            c = _dense_fit(view.logits(_take(views[k], check))[:, None], y[check])
+            x = view.logits(_take(views[k], check))
+            c = _dense_fit(x[:, None], y[check])
+            if c[0] < 0:
+                c = np.array([0.0, _dense_fit(np.zeros((len(x), 0)), y[check])[0]])
             self.calibrate.append(c)
-            z.append(view.logits(_take(views[k], check)) * c[0] + c[1])
+            z.append(x * c[0] + c[1])
         self.combine = _dense_fit(np.stack(z, 1), y[check])
-        if self.combine[:2].min() < 0:  # a view that says nothing new is left out
+        if self.combine[:2].min() < 0:
             k = int(self.combine[:2].argmax())
             w = _dense_fit(z[k][:, None], y[check])
             self.combine = np.array([0.0, 0.0, w[1]])
-            self.combine[k] = w[0]
+            self.combine[k] = max(w[0], 0.0)
+        self.used = "+".join(v for v, w, c in zip(VIEWS, self.combine, self.calibrate) if w > 0 and c[0] > 0)
         return self
 
     def predict(self, views: list) -> np.ndarray:
@@ -174,6 +187,17 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z[0] * self.combine[0] + z[1] * self.combine[1] + self.combine[2], -30, 30)))
 
 
+def _sure(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities and whether they are beyond SURE on either side."""
+    p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+    return p, np.maximum(p, 1 - p) >= SURE
+
+
+def _precise(right: np.ndarray, chosen: np.ndarray, share: float) -> bool:
+    """Whether enough rows are chosen and enough of them right, for a class of this share."""
+    return chosen.sum() >= GATE_ROWS and bool(right[chosen].mean() >= max(GATE, (1 + share) / 2))
+
+
 class Model:
     def __init__(self, mean: np.ndarray, std: np.ndarray, heads: list[Classifier]):
         self.mean, self.std, self.heads = mean, std, heads
@@ -203,19 +227,21 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sample(df: DataFrame, n: int, limit: int, salt: str) -> DataFrame:
-    share = min(1.0, limit / max(n, 1))
-    return df.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+def _first(df: DataFrame, n: int, *cols: str) -> DataFrame:
+    """n rows at most, the first by a hash of cols."""
+    return df.orderBy(F.xxhash64(F.lit("cotrain"), *cols), *cols).limit(n)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model:
     """Co-trained classifiers of docs (doc_id, text, lang, source) and labels (doc_id, quality, toxic)."""
     marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.ceil(F.avg(c)).cast("int").alias(c) for c in LABELS))
-    n_marks, n_docs = marks.count(), docs.count()
-    keep = ["doc_id", "text", "lang", "source"]
-    marked = _sample(docs.select(*keep), n_marks, max_labelled, "cotrain").join(_sample(marks, n_marks, max_labelled, "cotrain"), "doc_id")
-    pool = _sample(docs.select(*keep), n_docs, max_pool, "pool").join(marks.select("doc_id"), "doc_id", "left_anti").withColumns({c: F.lit(None).cast("int") for c in LABELS})
-    got = [x.orderBy(F.xxhash64("doc_id"), "doc_id").select(*LABELS, "text", "lang", "source").mapInArrow(_features, "quality int, toxic int, slots binary, vals binary, dense binary, meta binary").toPandas() for x in (marked, pool)]  # bounded by max_labelled and max_pool
+    rows = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    drawn = F.broadcast(_first(marks, max_labelled, "doc_id"))  # max_labelled rows of three numbers
+    marked = _first(rows.join(drawn, "doc_id").dropDuplicates(["doc_id", "h1", "h2"]), max_labelled, "doc_id", "h1", "h2")
+    share = min(1.0, 2 * max_pool / max(rows.select(F.approx_count_distinct("h1", 0.02)).first()[0], 1))
+    some = rows.where(F.pmod(F.xxhash64(F.lit("pool"), "h1"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).dropDuplicates(["h1", "h2"])
+    pool = _first(some.join(marks.select("doc_id"), "doc_id", "left_anti"), max_pool, "h1", "h2").withColumns({c: F.lit(None).cast("int") for c in LABELS})
+    got = [x.select(*LABELS, "text", "lang", "source").mapInArrow(_features, "quality int, toxic int, slots binary, vals binary, dense binary, meta binary").toPandas() for x in (marked, pool)]  # bounded by max_labelled and max_pool
     parts = []
     for t in got:
         read = lambda c, d: [np.frombuffer(x, d) for x in t[c]]
@@ -246,11 +272,13 @@ def _score(model):
 
 
 def score(docs: DataFrame, model: Model, min_quality: float = 0.5, max_toxic: float = 0.5) -> DataFrame:
-    """(doc_id, quality_score, toxic_score, kept) for every row of docs."""
+    """(doc_id, quality_score, toxic_score, kept, quality_views, toxic_views) for every row of docs; the last
+    two name the views that a score combines."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source")
     scored = rows.mapInArrow(_score(shared), "doc_id long, quality_score double, toxic_score double")
-    return scored.withColumn("kept", F.coalesce(F.col("quality_score") >= min_quality, F.lit(True)) & F.coalesce(F.col("toxic_score") < max_toxic, F.lit(True)))
+    kept = F.coalesce(F.col("quality_score") >= min_quality, F.lit(True)) & F.coalesce(F.col("toxic_score") < max_toxic, F.lit(True))
+    return scored.withColumns({"kept": kept, **{f"{c}_views": F.lit(h.used) for c, h in zip(LABELS, model.heads)}})
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as K
-from ._shared import bitmap, bitmap_bits, materialize, text_key
+from ._shared import bitmap, bitmap_bits, in_bitmap, join_hot, materialize, text_key
 
 SPAN = 10
 KGRAM = 6
@@ -168,8 +168,8 @@ def _find_in_map(slots, bits: int, short: list[int]):
     """Documents to one row of counts, with the candidate windows that pass the bitmap."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(np.frombuffer(slots.value, np.uint8)).astype(bool)
-        known = lambda x: table[(x & np.uint64((1 << bits) - 1)).astype(np.int64)]
+        test = in_bitmap(slots.value, bits)
+        known = lambda x: test(x.view(np.int64))
         item = pa.list_(pa.struct([("start", pa.int32()), ("len", pa.int32()), ("window", pa.string())]))
         for b in batches:
             n_words: list = []

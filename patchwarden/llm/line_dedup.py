@@ -1,21 +1,21 @@
 """Fuzzy line dedup by MinHash: one line stays of each group of equal or similar lines.
 
-A line's character shingles (8 bytes of its lower-cased UTF-8) give a one-permutation MinHash
-signature, its bands are the posting lists of candidate pairs, candidates are confirmed by the
-exact Jaccard similarity of their shingle sets, and distributed union-find joins them. The first
+A line's character shingles (5 characters of its lower-cased text; a shorter line is one shingle) give a
+one-permutation MinHash signature, its bands are the posting lists of candidate pairs, candidates are
+confirmed by the exact Jaccard similarity of their shingle sets, and distributed union-find joins them. The first
 line of a component, by doc_id and line number, stays; the others go from their documents.
 
-At the threshold 0.8 a pair is found with probability 1 - (1 - 0.8^5)^12 = 0.99, at 0.9 with
-0.9999. Equal lines are found by their 64-bit hash alone and are one node, whatever their
+Equal lines are found by their 64-bit hash alone and are one node, whatever their
 number, so a line that stands in a third of all documents makes no pairs, and it is counted once
 a run of documents before anything is shuffled. Bands travel packed
 in binary rows, 14 bytes each, and only those met by two different lines become rows.
 
-Lines of fewer than ``min_bytes`` bytes have too few shingles for MinHash: they are joined with
-equal lines only, by the same hash. Shorter lines of nothing but white space are left alone. Defined
-results: null and empty texts stay as they are; rows with equal doc_id and text count as one document and keep the same
-lines, rows with equal doc_id and different texts are different documents; null doc_id stands
-behind all others; an empty table gives an empty result; other columns pass through.
+Equal lines are found at any length. Similar ones are found by 12 bands of 5 bins: with independent bins a pair at the
+threshold 0.8 would be found with probability 1 - (1 - 0.8^5)^12 = 0.99; bins that a short line leaves
+empty borrow from others, so of lines of some 30 characters fewer are found (measured in the tests). Lines of
+nothing but white space are left alone. Defined results: null and empty texts stay as they are; rows with equal doc_id
+and text count as one document and keep the same lines, rows with equal doc_id and different texts are different
+documents; null doc_id stands behind all others; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,73 +29,99 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as K
-from ._shared import bitmap, bitmap_bits, link_sets, materialize, partitions, text_key
+from ._shared import bitmap, bitmap_bits, in_bitmap, join_hot, link_sets, materialize, partitions, text_key
 
-WIDTH = 8
+WIDTH = 5
 BANDS, ROWS, BINS = 12, 5, 64
 PERCENT = 80
-MIN_BYTES = 32
 FLUSH = 100_000
 _COUNT = np.dtype([("key", "<i8"), ("n", "<i4")])
 
 
-def _keyed_lines(buf: np.ndarray, off: np.ndarray, min_bytes: int) -> tuple[np.ndarray, K.Spans, np.ndarray, np.ndarray, np.ndarray]:
-    """(lower-cased bytes, all lines, numbers of those that are long or hold a word, their keys,
-    whether they are long)."""
-    low = K.LOWER[buf]
-    ln = K.lines(low, off)
-    size = ln.ends - ln.starts
-    seen = np.concatenate([[0], np.cumsum(K.NOT_SPACE[low], dtype=np.int64)])
-    at = np.flatnonzero((size >= min_bytes) | (seen[ln.ends] > seen[ln.starts]))
-    return low, ln, at, K.span_hash(K.prefix_hash(low), ln.starts[at], ln.ends[at]).view(np.int64), size[at] >= min_bytes
+class _Lines:
+    """The lines of a block that hold a word: their bytes, lower-cased, their keys and places."""
 
+    def __init__(self, buf: np.ndarray, off: np.ndarray):
+        self.low = K.LOWER[buf]
+        self.all = K.lines(self.low, off)
+        seen = np.concatenate([[0], np.cumsum(K.NOT_SPACE[self.low], dtype=np.int64)])
+        self.at = np.flatnonzero(seen[self.all.ends] > seen[self.all.starts])
+        self.starts, self.ends = self.all.starts[self.at], self.all.ends[self.at]
+        self.sums = K.prefix_hash(self.low)
+        self.key = K.span_hash(self.sums, self.starts, self.ends).view(np.int64)
 
-def signatures(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash (lines x BINS) of lines of WIDTH bytes or more; empty bins borrow
-    from the next filled one."""
-    n = ends - starts - WIDTH + 1
-    total = int(n.sum())
+    def shingles(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash) of the shingles of some lines."""
+        return _shingles_of(self.low, self.sums, self.starts[rows], self.ends[rows])
+
+
+def _shingles_of(low: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if len(low) and low.max() < 0x80:  # characters are bytes
+        cp, first, size = None, starts, ends - starts
+    else:
+        cp = np.append(np.flatnonzero(K.code_points(low)), len(low))
+        first = np.searchsorted(cp, starts)
+        size = np.searchsorted(cp, ends) - first
+    n = np.maximum(size - WIDTH + 1, 1)
     line = np.repeat(np.arange(len(starts)), n)
-    pos = np.arange(total) + np.repeat(starts - (np.cumsum(n) - n), n)
-    padded = np.concatenate([low, np.zeros(WIDTH, np.uint8)])
-    x = np.ndarray((len(low),), "<u8", padded, strides=(1,))[pos] * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    cell = line * BINS + (x >> np.uint64(58)).astype(np.int64)
-    sig = np.full(len(starts) * BINS, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(sig, cell, ((x >> np.uint64(26)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-    sig = sig.reshape(-1, BINS)
-    full = np.zeros(len(starts) * BINS, bool)
+    i = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(line))
+    stop = i + np.repeat(np.minimum(size, WIDTH), n)
+    return line, K.span_hash(sums, i, stop) if cp is None else K.span_hash(sums, cp[i], cp[stop])
+
+
+def _tries() -> np.ndarray:
+    """For each bin the order in which it borrows: itself, then the others by hash, each bin another way."""
+    b = np.arange(BINS, dtype=np.uint64)
+    h = K.mix64(b[:, None] * np.uint64(BINS) + b[None, :] + np.uint64(1))
+    h[np.arange(BINS), np.arange(BINS)] = 0
+    return np.argsort(h, 1, kind="stable")
+
+
+_TRIES = _tries()
+
+
+def signatures(line: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """One-permutation MinHash (n lines x BINS) of shingles (line, h); an empty bin takes the value of the first
+    filled one in its own order, so empty bins do not all copy one neighbour."""
+    cell = line * BINS + (h >> np.uint64(58)).astype(np.int64)
+    sig = np.full(n * BINS, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(sig, cell, ((h >> np.uint64(26)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    full = np.zeros(n * BINS, bool)
     full[cell] = True
-    full = full.reshape(-1, BINS)
-    j = np.where(np.concatenate([full, full], 1), np.arange(2 * BINS, dtype=np.int16), np.int16(2 * BINS - 1))
-    nxt = np.minimum.accumulate(j[:, ::-1], 1)[:, ::-1][:, :BINS]
-    away = (nxt - np.arange(BINS, dtype=np.int16)).astype(np.uint64)
-    return np.take_along_axis(sig, (nxt % BINS).astype(np.int64), 1).astype(np.uint64) + away * np.uint64(0x1000000000001)
+    source = np.arange(n * BINS)
+    left = np.flatnonzero(~full)
+    for t in range(1, BINS):
+        if not len(left):
+            break
+        at = left - left % BINS + _TRIES[left % BINS, t]
+        got = full[at]
+        source[left[got]] = at[got]
+        left = left[~got]
+    away = (source % BINS).astype(np.uint64)
+    return (sig[source].astype(np.uint64) + away * np.uint64(0x1000000000001)).reshape(n, BINS)
 
 
 def _bands(sig: np.ndarray) -> np.ndarray:
-    """(lines x BANDS) hashes; a band's bins stand far apart, as neighbours may hold one borrowed value."""
+    """(lines x BANDS) hashes of ROWS bins each."""
     h = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], len(sig), 0)
     for r in range(ROWS):
         h = h * np.uint64(0xE7037ED1A0B428DB) + sig[:, r * BANDS : (r + 1) * BANDS]
     return K.mix64(h)
 
 
-def _pack(buckets: int, min_bytes: int):
-    """text to (bucket, low, high, nodes, counts): bands of a run's distinct long lines, and how often
-    each line, short ones too, occurs in the run, so a line of many documents travels once a run."""
+def _pack(buckets: int):
+    """text to (bucket, low, high, nodes, counts): bands of a run's distinct lines, and how often
+    each line occurs in the run, so a line of many documents travels once a run."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
         bands: list[np.ndarray] = []
         counts: list[np.ndarray] = []
         seen = 0
 
         def flush() -> pa.RecordBatch:
-            key, back = np.unique(np.concatenate(keys), return_inverse=True)
-            node, first = np.unique(np.concatenate(nodes), return_index=True)
+            key, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            node = key
             h = np.concatenate(bands)[first].ravel()
             node = np.repeat(node, BANDS)
             bucket = ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint16)
@@ -115,23 +141,20 @@ def _pack(buckets: int, min_bytes: int):
                     for c, v in zip(rows, (b, (t & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (t >> np.uint64(32)).astype("<u2").tobytes(), node[at].tobytes(), o[oat].tobytes())):
                         c.append(v)
             keys.clear()
-            nodes.clear()
             bands.clear()
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "low", "high", "nodes", "counts"])
 
         for b in batches:
             for _, _, buf, off in K.blocks(b.column(0)):
-                low, ln, at, key, long = _keyed_lines(buf, off, min_bytes)
-                if not len(at):
+                ln = _Lines(buf, off)
+                if not len(ln.key):
                     continue
-                key, first, n = np.unique(key, return_index=True, return_counts=True)
+                key, first, n = np.unique(ln.key, return_index=True, return_counts=True)
                 keys.append(key)
                 counts.append(n)
-                nodes.append(key[long[first]])
-                first = first[long[first]]
-                bands.append(_bands(signatures(low, ln.starts[at[first]], ln.ends[at[first]])))
-                seen += len(at)
+                bands.append(_bands(signatures(*ln.shingles(first), len(first))))
+                seen += len(ln.key)
                 if seen >= FLUSH:
                     yield flush()
                     seen = 0
@@ -144,8 +167,8 @@ def _pack(buckets: int, min_bytes: int):
 
 
 def _bucket(t: pa.Table) -> pa.Table:
-    """A bucket's postings (tok, key) of bands that different lines share, and the keys (null, key) of
-    lines that occur more than once."""
+    """A bucket's postings (tok, key) of bands that different lines share, and rows (null, key, n) of
+    the lines that occur n > 1 times."""
     bucket = t.column("bucket")[0].as_py()
     cat = lambda c, d: np.concatenate([np.frombuffer(x, d) for x in t.column(c).to_pylist()])
     tok = cat("low", "<u4").astype(np.int64) | cat("high", "<u2").astype(np.int64) << 32
@@ -163,43 +186,47 @@ def _bucket(t: pa.Table) -> pa.Table:
     tok, node = tok[same] | np.int64(bucket & 0x7FFF) << 48, node[same]
     o = cat("counts", _COUNT)
     key, back = np.unique(o["key"], return_inverse=True)
-    again = key[np.bincount(back, o["n"], len(key)) > 1]
+    n = np.bincount(back, o["n"], len(key)).astype(np.int64)
+    again = n > 1
     K.release()
-    return pa.table({"tok": pa.chunked_array([pa.array(tok), pa.nulls(len(again), pa.int64())]), "key": pa.chunked_array([pa.array(node), pa.array(again)])})
+    return pa.table({
+        "tok": pa.chunked_array([pa.array(tok), pa.nulls(int(again.sum()), pa.int64())]), "key": pa.chunked_array([pa.array(node), pa.array(key[again])]),
+        "n": pa.chunked_array([pa.nulls(len(tok), pa.int64()), pa.array(n[again])]),
+    })
 
 
-def _fetch(slots, bits: int, min_bytes: int):
+def _fetch(slots, bits: int):
     """(doc_id, text, h1, h2) to (key, id, h1, h2, line, text, n) of the lines whose key passes the first bitmap; the
     text and the number of its shingles go with the first of a block's equal lines, and only if
     the key passes the second."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, compared = (np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in slots.value)
+        wanted, compared = (in_bitmap(x, bits) for x in slots.value)
         for b in batches:
             ids = b.column(0).fill_null(K.NO_ID).to_numpy()
             h1, h2 = b.column(2).to_numpy(), b.column(3).to_numpy()
             for lo, _, buf, off in K.blocks(b.column(1)):
-                low, ln, at, key, long = _keyed_lines(buf, off, min_bytes)
-                hit = wanted[key & ((1 << bits) - 1)]
-                at, key, long = at[hit], key[hit], long[hit]
-                doc = ln.doc[at]
-                raw = low.tobytes()
+                ln = _Lines(buf, off)
+                hit = np.flatnonzero(wanted(ln.key))
+                key, at = ln.key[hit], ln.at[hit]
+                doc = ln.all.doc[at]
+                raw = ln.low.tobytes()
                 texts: list = [None] * len(at)
                 sizes: list = [None] * len(at)
                 first = np.unique(key, return_index=True)[1]
-                for i in first[long[first] & compared[key[first] & ((1 << bits) - 1)]].tolist():
-                    texts[i] = raw[ln.starts[at[i]] : ln.ends[at[i]]]
+                for i in first[compared(key[first])].tolist():
+                    texts[i] = raw[ln.all.starts[at[i]] : ln.all.ends[at[i]]]
                     sizes[i] = len(_shingles(texts[i]))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + doc]), pa.array(h1[lo + doc]), pa.array(h2[lo + doc]), pa.array((at - ln.first[doc]).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "id", "h1", "h2", "line", "text", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + doc]), pa.array(h1[lo + doc]), pa.array(h2[lo + doc]), pa.array((at - ln.all.first[doc]).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "id", "h1", "h2", "line", "text", "n"])
             K.release()
 
     return fetch
 
 
 def _shingles(line: bytes) -> np.ndarray:
+    """The set of a line's shingles."""
     b = np.frombuffer(line, np.uint8)
-    n = len(b) - WIDTH + 1
-    return np.unique(np.ndarray((max(n, 0),), "<i8", np.concatenate([b, np.zeros(WIDTH, np.uint8)]), strides=(1,)).copy())
+    return np.unique(_shingles_of(b, K.prefix_hash(b), np.zeros(1, np.int64), np.array([len(b)]))[1].view(np.int64))
 
 
 def _without(schema_names: list[str]):
@@ -225,41 +252,40 @@ def _without(schema_names: list[str]):
     return without
 
 
-def removed_lines(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(id, h1, h2, drop): for each document that loses lines, their numbers. id is doc_id, NO_ID for
     null; h1 and h2 are the text's hash."""
     spark = docs.sparkSession
     buckets = max(32, min(partitions(spark), 1 << 15))
     h1, h2 = text_key()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", h1.alias("h1"), h2.alias("h2"))
-    packed = rows.select("text").mapInArrow(_pack(buckets, min_bytes), "bucket int, low binary, high binary, nodes binary, counts binary")
-    found = materialize(packed.groupBy("bucket").applyInArrow(_bucket, "tok long, key long"), "lines-buckets")
+    packed = rows.select("text").mapInArrow(_pack(buckets), "bucket int, low binary, high binary, nodes binary, counts binary")
+    found = materialize(packed.groupBy("bucket").applyInArrow(_bucket, "tok long, key long, n long"), "lines-buckets")
     postings = found.where("tok IS NOT NULL").select("tok", F.col("key").alias("node"))
-    nodes = postings.select(F.col("node").alias("key")).distinct()
-    again = found.where("tok IS NULL").select("key")
-    wanted = nodes.union(again).distinct()
+    again = found.where("tok IS NULL").select("key", "n")
+    bands = materialize(postings.groupBy(F.col("node").alias("key")).agg(F.collect_list("tok").alias("prefix")), "lines-bands", True)
+    wanted = bands.select("key").union(again.select("key"))
     bits = bitmap_bits(wanted.count())
-    slots = spark.sparkContext.broadcast((bitmap(wanted, bits), bitmap(nodes, bits)))
-    fetched = materialize(rows.mapInArrow(_fetch(slots, bits, min_bytes), "key long, id long, h1 long, h2 long, line int, text binary, n long").join(wanted, "key", "left_semi"), "lines-texts")
+    slots = spark.sparkContext.broadcast((bitmap(wanted, bits), bitmap(bands.select("key"), bits)))
+    fetched = materialize(rows.mapInArrow(_fetch(slots, bits), "key long, id long, h1 long, h2 long, line int, text binary, n long"), "lines-texts")
     texts = fetched.where("text IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"), F.first("n").alias("n"))
-    bands = postings.groupBy(F.col("node").alias("key")).agg(F.collect_list("tok").alias("prefix"))
     sets = texts.join(bands, "key").select(F.col("key").alias("node"), "n", F.col("text").alias("toks"), F.lit(1).alias("ell"), "prefix", F.lit(0.0).alias("off"))
-    comp = link_sets(materialize(sets, "lines-sets", True), percent, "lines", decode=_shingles)
-    linked = comp.select("node", "comp").union(comp.select("comp", "comp")).distinct()
-    keys = again.union(linked.select("node")).distinct()
-    occ = fetched.select("key", "id", "h1", "h2", "line").join(keys, "key", "left_semi").distinct()
-    grouped = occ.join(linked, F.col("key") == F.col("node"), "left").select("id", "h1", "h2", "line", F.coalesce("comp", "key").alias("g"))
-    first = grouped.groupBy("g").agg(F.min(F.struct("id", "line", "h1", "h2")).alias("first"))
-    gone = grouped.join(first, "g").where("id <> first.id OR line <> first.line OR h1 <> first.h1 OR h2 <> first.h2")
+    comp = link_sets(materialize(sets, "lines-sets"), percent, "lines", decode=_shingles)
+    linked = comp.select(F.col("node").alias("key"), "comp").union(comp.select("comp", "comp").distinct())
+    labels = again.join(linked, "key", "full").select("key", F.coalesce("comp", "key").alias("g"), F.coalesce("n", F.lit(1)).alias("w"))
+    occ = fetched.select("key", "id", "h1", "h2", "line")
+    grouped = materialize(join_hot(occ, materialize(labels, "lines-labels", True), "key", "w").select("id", "h1", "h2", "line", "g").distinct(), "lines-groups")
+    first = grouped.groupBy("g").agg(F.min(F.struct("id", "line", "h1", "h2")).alias("f")).select("f.*")
+    gone = grouped.join(first, ["id", "h1", "h2", "line"], "left_anti")  # by the whole place: no line's group is a key
     return gone.groupBy("id", "h1", "h2").agg(F.collect_set("line").alias("drop"))
 
 
-def line_dedup(docs: DataFrame, percent: int = PERCENT, min_bytes: int = MIN_BYTES) -> DataFrame:
+def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs with its lines' duplicates removed, and two more columns: n_lines and n_removed. The last
     join is a shuffled hash join at every size (the line numbers are hashed, the texts not sorted):
     the documents that lose lines grow with the input."""
     base = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    drop = removed_lines(docs, percent, min_bytes)
+    drop = removed_lines(docs, percent)
     h1, h2 = text_key()
     same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(K.NO_ID)) == F.col("__id")) & (h1 == F.col("__h1")) & (h2 == F.col("__h2"))
     named = drop.select(F.col("id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("drop").alias("__drop"))

@@ -1,22 +1,26 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is the set of its distinct word shingles; two link when their Jaccard similarity
-reaches the threshold. Steps, all distributed and exact up to 128-bit set digests and shingle
-hashes of 48 bits plus the bits of the bucket:
-
-0. Shingles with more than about 1/65,000 of all occurrences are found from counts that every run of documents
-   pre-aggregates; there are 131,072 at most. They never meet in a bucket: a set carries its own ones.
-1. Shingles are hashed and packed, per run of documents and hash bucket, into binary rows: a
-   shuffle of some 7 bytes a shingle rather than of a row each.
-2. In its bucket, a shingle's document frequency is counted over distinct sets, so exact copies
-   count once and meet their representative (smallest doc_id) here, without a pair. Only shingles of two or
+reaches the threshold. Steps, all distributed and exact up to hashes of 48 bits and more of
+shingles, 64 of sets:
+
+0. Every document's set gets a digest. Equal sets are one group with the smallest doc_id as its representative,
+   found by an aggregate with map-side combine. A run of documents packs a set once, and of the largest groups
+   (1 / HOT of all rows or more) only the representative is packed at all, so copies cost nothing below.
+1. Shingles with more than about 1/65,000 of all occurrences are found from counts that every run of documents
+   pre-aggregates over its distinct sets; there are 131,072 at most. They never meet in a bucket: a set
+   carries its own ones, to the bucket of its digest.
+2. Other shingles are packed, per run of documents and hash bucket, into binary rows: 6 bytes a shingle and
+   13 for each set that has one in the bucket. Buckets follow the shuffle partitions, up to MAX_BUCKETS, and runs
+   grow with the buckets, so rows do not become tiny.
+3. In its bucket, a shingle's document frequency is counted over distinct sets. Only shingles of two or
    more different sets go on; they are all that an intersection can hold.
-3. A set goes on only if its shared shingles alone could reach the needed overlap
+4. A set goes on only if its shared shingles alone could reach the needed overlap
    T = ceil(threshold * size). It orders them rarest first and takes the prefix of
    shared - T + l shingles. The length l is chosen per document by the estimated cost: the
    prefix's posting lists against the verifications that survive when l matches are required.
    Two linked sets share at least min(l, l') of their prefixes' shingles.
-4. ``link_sets`` verifies candidates exactly and finds components; in a group of
+5. ``link_sets`` verifies candidates exactly and finds components; in a group of
    thousands of near copies it compares with hubs first and never emits the group's pairs.
 
 Defined results: null or wordless texts have no shingles and form their own component; rows with
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as K
-from ._shared import link_sets, materialize, partitions
+from ._shared import HOT, join_hot, link_sets, materialize, partitions
 
 SHINGLE = 5
 PERCENT = 75
@@ -43,7 +47,9 @@ FLUSH = 1 << 19
 #: a shingle is frequent from 1 / FREQUENT of all occurrences
 FREQUENT = 1 << 17
 FREQUENT_DF = (1 << 32) - 1
-_HEAD = np.dtype([("id", "<i8"), ("d1", "<u8"), ("d2", "<u8"), ("n", "<u4"), ("k", "<u4"), ("f", "<u4"), ("home", "u1")])
+#: above this a bucket grows with the data: 64 million shingles at 100 TB
+MAX_BUCKETS = 1 << 18
+_BODY = np.dtype("<u4")
 _MASK = np.uint64((1 << 48) - 1)
 
 
@@ -66,123 +72,155 @@ def _sets(buf: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def _local_counts(k: int):
-    """text to (tok, n): shingles that have 1 / FREQUENT of a run of about FLUSH of them, and occur
-    twice in it, with their counts; tok null has the count of all. A shingle with 2 / FREQUENT of all
-    occurrences loses less than half of them to runs where it is rarer."""
+def _runs(batches: Iterator[pa.RecordBatch], k: int, flush: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(doc_ids, sets) of runs of documents with about ``flush`` shingles."""
+    ids: list[int] = []
+    sets: list[np.ndarray] = []
+    size = 0
+    for b in batches:
+        doc_ids = b.column(0).fill_null(K.NO_ID).to_pylist()
+        for lo, hi, buf, off in K.blocks(b.column(1)):
+            new = _sets(buf, off, k)
+            ids += doc_ids[lo:hi]
+            sets += new
+            size += sum(map(len, new))
+            if size >= flush:
+                yield np.array(ids, np.int64), sets
+                ids, sets, size = [], [], 0
+        K.release()
+    if ids:
+        yield np.array(ids, np.int64), sets
+    K.release()
+
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: list[np.ndarray] = []
-        size = total = 0
+def _digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, two 64-bit digests) of each set."""
+    n = np.array([len(x) for x in sets], np.int64)
+    h, e = np.concatenate(sets), np.cumsum(n)
+    out = []
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix64(h + np.uint64(salt)))])
+        out.append(K.mix64(s[e] - s[e - n] + n.astype(np.uint64) * np.uint64(salt)).view(np.int64))
+    return n, *out
 
-        def flush() -> pa.RecordBatch:
-            x = np.sort(np.concatenate(sets))
-            at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            n = np.diff(np.append(at, len(x)))
-            many = n >= max(2, len(x) / FREQUENT)
-            return pa.RecordBatch.from_arrays([pa.array(x[at[many]].view(np.int64)), pa.array(n[many].astype(np.int64))], names=["tok", "n"])
 
-        for b in batches:
-            for _, _, buf, off in K.blocks(b.column(0)):
-                sets += _sets(buf, off, k)
-                size = sum(map(len, sets[-(len(off) - 1) :])) + size
-                if size >= FLUSH:
-                    yield flush()
-                    total, size = total + size, 0
-                    sets.clear()
-            K.release()
-        if sets:
-            yield flush()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total + size], pa.int64())], names=["tok", "n"])
+_HEADS = "id long, d1 long, d2 long, n long, tok long, c long"
 
-    return counts
 
+def _heads(k: int):
+    """(doc_id, text) to rows (id, d1, d2, n) of every document, rows (tok, c) of shingles that have 1 / FREQUENT of a
+    run's distinct sets and occur twice in it, and a row (c) of all shingles counted. A shingle with
+    2 / FREQUENT of all occurrences loses less than half of them to runs where it is rarer."""
 
-def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    def batch(m: int, **columns) -> pa.RecordBatch:
+        names = [f.split()[0] for f in _HEADS.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(m, pa.int64()) for c in names], names=names)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for ids, sets in _runs(batches, k, FLUSH):
+            n, d1, d2 = _digests(sets)
+            yield batch(len(ids), id=ids, d1=d1, d2=d2, n=n)
+            x = np.sort(np.concatenate([sets[i] for i in np.unique(d1, return_index=True)[1].tolist()]))
+            total += len(x)
+            at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+            c = np.diff(np.append(at, len(x)))
+            many = c >= max(2, len(x) / FREQUENT)
+            yield batch(int(many.sum()), tok=x[at[many]].view(np.int64), c=c[many])
+        yield batch(1, c=[total])
+
+    return heads
+
+
+def frequent_shingles(heads: DataFrame) -> np.ndarray:
     """Sorted hashes of the shingles with at least 1 / FREQUENT of all occurrences counted; FREQUENT at most."""
-    n = docs.select("text").mapInArrow(_local_counts(k), "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n"))
-    n = materialize(n, "ngram-counts", True)
+    n = materialize(heads.where("id IS NULL").groupBy("tok").agg(F.sum("c").alias("n")), "ngram-counts", True)
     total = n.where("tok IS NULL").agg(F.sum("n")).first()[0] or 0
     top = n.where("tok IS NOT NULL").where(F.col("n") >= max(2, -(-total // FREQUENT))).select("tok").toArrow()
     return np.sort(top.column("tok").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _pack(k: int, buckets: int, frequent=None):
-    """(doc_id, text) to (bucket, heads, low, high, own): the shingles of a run of documents. own are
-    the frequent ones of the documents at home in the bucket, after each other."""
+def _bits(parts: int) -> int:
+    """Buckets as a power of two."""
+    return max(5, min(MAX_BUCKETS.bit_length() - 1, (max(parts, 1) - 1).bit_length()))
+
+
+def _tokens(h: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes as the bucket's number over the lower 48 bits."""
+    low = np.uint64(64 - bits)
+    return ((h & _MASK) | (h >> low << low)).view(np.int64)
+
+
+def _pack(k: int, bits: int, shared=None):
+    """(doc_id, text) to (bucket, body): the shingles of a run of documents, each set once, and at the bucket of
+    its digest the frequent shingles of a set. shared: hashes of the frequent shingles, sorted, and the
+    digests (sorted by d1) of the largest groups with their representatives."""
+    buckets = 1 << bits
+    small = np.uint16 if bits <= 16 else np.uint32
+
+    def body(node, n, count, h, o_node, o_n, o_count, own) -> bytes:
+        many = count[count >= 255]
+        t = h & _MASK
+        sizes = np.array([len(node), len(many), len(h), len(o_node), len(own)], _BODY)
+        parts = (
+            sizes, node, n.astype("<u4"), np.minimum(count, 255).astype("u1"), many.astype("<u4"), (t & np.uint64(0xFFFFFFFF)).astype("<u4"), (t >> np.uint64(32)).astype("<u2"),
+            o_node, o_n.astype("<u4"), o_count.astype("<u4"), own,
+        )
+        return b"".join(x.tobytes() for x in parts)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.zeros(0, np.uint64) if frequent is None else frequent.value
-        ids: list[int] = []
-        sets: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            n = np.array([len(s) for s in sets], np.int64)
-            h = np.concatenate(sets)
-            doc = np.repeat(np.arange(len(sets)), n)
-            head = np.zeros(len(sets), _HEAD)
-            head["id"], head["n"] = ids, n
-            for name, salt in (("d1", 0x9E3779B97F4A7C15), ("d2", 0xC2B2AE3D27D4EB4F)):
-                s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix64(h + np.uint64(salt)))])
-                e = np.cumsum(n)
-                head[name] = K.mix64(s[e] - s[e - n] + n.astype(np.uint64) * np.uint64(salt))
-            # a document is at home in its first shingle's bucket, or one by its id if it has none
-            bucket = ((h >> np.uint64(48)) % np.uint64(buckets)).astype(np.uint16)
+        hot, copies = (np.zeros(0, np.uint64), np.zeros((0, 3), np.int64)) if shared is None else shared.value
+        for ids, sets in _runs(batches, k, max(FLUSH, buckets << 4)):
+            n, d1, d2 = _digests(sets)
+            keep = np.zeros(len(ids), bool)
+            by = np.lexsort((ids, d1))
+            keep[by[np.concatenate([[True], d1[by][1:] != d1[by][:-1]])]] = True
+            if len(copies):
+                at = np.minimum(np.searchsorted(copies[:, 0], d1), len(copies) - 1)
+                keep &= ~((copies[at, 0] == d1) & (copies[at, 1] == d2) & (ids > copies[at, 2]))
+            keep &= n > 0
+            rows = np.flatnonzero(keep)
+            if not len(rows):
+                continue
+            h, n, d1 = np.concatenate([sets[i] for i in rows.tolist()]), n[rows], d1[rows]
+            del sets, d2
+            doc = np.repeat(np.arange(len(rows)), n)
             often = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h if len(hot) else np.zeros(len(h), bool)
-            own = [h[e - c : e][often[e - c : e]] for e, c in zip(np.cumsum(n).tolist(), n.tolist())] if len(hot) else [h[:0]] * len(n)
-            head["f"] = [len(x) for x in own]
-            home = np.array([bucket[e - c] if c else i % buckets for e, c, i in zip(np.cumsum(n).tolist(), n.tolist(), ids)], np.uint16)
+            own_h, own_doc = h[often], doc[often]
+            home = (d1.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            o_by = np.argsort(home[own_doc], kind="stable")
+            o_edges = np.searchsorted(home[own_doc][o_by], np.arange(buckets + 1))
+            bucket = (h >> np.uint64(64 - bits)).astype(small)
             rare = np.flatnonzero(~often)
             by = rare[np.argsort(bucket[rare], kind="stable")]
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            # documents without a rare shingle in their home bucket stand there without one
-            there = np.zeros(len(n), bool)
-            there[doc[rare[bucket[rare] == home[doc[rare]]]]] = True
-            lone = {}
-            for i in np.flatnonzero(~there).tolist():
-                lone.setdefault(int(home[i]), []).append(i)
-            for b in range(buckets):
-                at = by[edges[b] : edges[b + 1]]
-                if not len(at) and b not in lone:
-                    continue
-                d = doc[at]
-                first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
-                part = head[d[first]]
-                part["k"] = np.diff(np.append(first, len(d)))
-                part["home"] = home[d[first]] == b
-                if b in lone:
-                    part = np.concatenate([part, head[lone[b]]])
-                    part["home"][-len(lone[b]) :] = 1
-                t = h[at] & _MASK
-                mine = np.concatenate([d[first][home[d[first]] == b] if len(d) else d, np.array(lone.get(b, []), np.int64)]).astype(np.int64)
-                mine = np.concatenate([own[i] for i in mine.tolist()] or [h[:0]])
-                for c, v in zip(rows, (b, part.tobytes(), (t & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (t >> np.uint64(32)).astype("<u2").tobytes(), mine.astype("<u8").tobytes())):
-                    c.append(v)
-            ids.clear()
-            sets.clear()
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "heads", "low", "high", "own"])
-
-        for b in batches:
-            doc_ids = b.column(0).fill_null(K.NO_ID).to_pylist()
-            for lo, hi, buf, off in K.blocks(b.column(1)):
-                new = _sets(buf, off, k)
-                ids += doc_ids[lo:hi]
-                sets += new
-                size += sum(map(len, new))
-                if size >= FLUSH:
-                    yield flush()
-                    size = 0
+            out: tuple[list, list] = ([], [])
+            for b in np.flatnonzero((np.diff(edges) > 0) | (np.diff(o_edges) > 0)).tolist():
+                at, o_at = by[edges[b] : edges[b + 1]], o_by[o_edges[b] : o_edges[b + 1]]
+                d, first = np.unique(doc[at], return_index=True)  # doc is ascending in a bucket
+                o, o_first = np.unique(own_doc[o_at], return_index=True)
+                out[0].append(b)
+                out[1].append(body(d1[d], n[d], np.diff(np.append(first, len(at))), h[at], d1[o], n[o], np.diff(np.append(o_first, len(o_at))), own_h[o_at]))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["bucket", "body"])
+            del h, doc, often, bucket, rare, by, out
             K.release()
-        if ids:
-            yield flush()
-        K.release()
 
     return pack
 
 
-_SHARED = "node long, id long, n long, rep long, toks binary, dfs binary"
+def _unpack(body: bytes) -> list[np.ndarray]:
+    """node, n, count of rare shingles, their low and high parts; node, n, count of frequent ones, and these."""
+    sizes, at, out = np.frombuffer(body, _BODY, 5).tolist(), 20, []
+    for kind, m in zip(("<i8", "<u4", "u1", "<u4", "<u4", "<u2", "<i8", "<u4", "<u4", "<u8"), (0, 0, 0, 1, 2, 2, 3, 3, 3, 4)):
+        out.append(np.frombuffer(body, kind, sizes[m], at))
+        at += out[-1].nbytes
+    count = out[2].astype(np.int64)
+    count[count == 255] = out.pop(3)
+    out[2] = count
+    return out
+
+
+_SHARED = "node long, n long, toks binary, dfs binary"
 
 
 def _repeated(x: np.ndarray) -> np.ndarray:
@@ -197,42 +235,23 @@ def _repeated(x: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _tokens(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Hashes as the bucket's number over the lower 48 bits."""
-    return ((h & _MASK) | (((h >> np.uint64(48)) % np.uint64(buckets)) << np.uint64(48))).view(np.int64)
-
-
-def _bucket(t: pa.Table, buckets: int) -> pa.Table:
-    """All shingles of a bucket: a home row (id, n, rep) for each document, and for each distinct
-    set with shared shingles here a row (node, n, toks, dfs)."""
+def _bucket(t: pa.Table, bits: int) -> pa.Table:
+    """All shingles of a bucket: for each distinct set with shared shingles here a row (node, n, toks,
+    dfs), and one for each set at home here with frequent shingles."""
     bucket = t.column("bucket")[0].as_py()
-    heads = np.concatenate([np.frombuffer(x, _HEAD) for x in t.column("heads").to_pylist()])
-    low = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("low").to_pylist()])
-    high = np.concatenate([np.frombuffer(x, "<u2") for x in t.column("high").to_pylist()])
-    by = np.lexsort((heads["id"], heads["d2"], heads["d1"]))
-    s = heads[by]
-    new = np.concatenate([[True], (s["d1"][1:] != s["d1"][:-1]) | (s["d2"][1:] != s["d2"][:-1])])
-    start = np.flatnonzero(new)
-    rep = s["id"][start][np.cumsum(new) - 1]
-    home = s["home"] > 0
-    none = s["n"] == 0
-    h_rep = np.where(none, s["id"], rep)[home]
+    parts = [_unpack(x) for x in t.column("body").to_pylist()]
+    node, n, count, low, high, o_node, o_n, o_count, own = (np.concatenate(x) for x in zip(*parts))
+    del parts
     # one run for each distinct set
-    runs = by[start]
-    # frequent shingles of the distinct sets at home here
-    own = np.concatenate([np.frombuffer(x, "<u8") for x in t.column("own").to_pylist()])
-    count = np.where(heads["home"] > 0, heads["f"], 0).astype(np.int64)
-    stop = np.cumsum(count)
-    mine = runs[count[runs] > 0]
-    extra = [_tokens(own[stop[i] - count[i] : stop[i]], buckets) for i in mine.tolist()]
-    runs = runs[heads["k"][runs] > 0]
-    chosen = np.zeros(len(heads), bool)
-    chosen[runs] = True
-    run = np.repeat(np.arange(len(heads), dtype=np.int32), heads["k"])
-    if not chosen.all():
-        keep = chosen[run]
-        low, high, run = low[keep], high[keep], run[keep]
+    first = np.unique(node, return_index=True)[1]
+    if len(first) < len(node):
+        chosen = np.zeros(len(node), bool)
+        chosen[first] = True
+        keep = np.repeat(chosen, count)
+        low, high = low[keep], high[keep]
+        node, n, count = node[chosen], n[chosen], count[chosen]
         del keep
+    run = np.repeat(np.arange(len(node), dtype=np.int32), count)
     hit = _repeated(low)  # by the lower 32 bits first: most shingles stand alone, and go here
     tok, run = high[hit].astype(np.int64) << 32 | low[hit], run[hit]
     del low, high, hit
@@ -241,35 +260,33 @@ def _bucket(t: pa.Table, buckets: int) -> pa.Table:
     x = np.sort(tok)
     df = np.searchsorted(x, tok, "right") - np.searchsorted(x, tok, "left")
     del x, hit
-    tok |= np.int64(bucket) << 48
-    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else run
-    end = np.append(first[1:], len(run))
-    r = run[first]
+    tok = (tok.view(np.uint64) | np.uint64(bucket) << np.uint64(64 - bits)).view(np.int64)
+    start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else run
+    end = np.append(start[1:], len(run))
+    r = run[start]
+    # frequent shingles of the distinct sets at home here
+    stop = np.cumsum(o_count.astype(np.int64))
+    mine = np.unique(o_node, return_index=True)[1]
+    extra = [_tokens(own[stop[i] - o_count[i] : stop[i]], bits) for i in mine.tolist()]
     toks, dfs = tok.astype("<i8").tobytes(), df.astype("<u4").tobytes()
-    m = int(home.sum())
-    both = np.concatenate([r, mine])
-    nulls = lambda k: pa.nulls(k, pa.int64())
-    part = {
-        "node": [nulls(m), pa.array(heads["d1"][both].view(np.int64))],
-        "id": [pa.array(s["id"][home]), nulls(len(both))],
-        "n": [pa.array(s["n"][home].astype(np.int64)), pa.array(heads["n"][both].astype(np.int64))],
-        "rep": [pa.array(h_rep), pa.array(heads["id"][both])],
-        "toks": [pa.nulls(m, pa.binary()), pa.array([toks[8 * a : 8 * e] for a, e in zip(first.tolist(), end.tolist())] + [x.astype("<i8").tobytes() for x in extra], pa.binary())],
-        "dfs": [pa.nulls(m, pa.binary()), pa.array([dfs[4 * a : 4 * e] for a, e in zip(first.tolist(), end.tolist())] + [np.full(len(x), FREQUENT_DF, "<u4").tobytes() for x in extra], pa.binary())],
+    out = {
+        "node": pa.array(np.concatenate([node[r], o_node[mine]])),
+        "n": pa.array(np.concatenate([n[r], o_n[mine]]).astype(np.int64)),
+        "toks": pa.array([toks[8 * a : 8 * e] for a, e in zip(start.tolist(), end.tolist())] + [x.astype("<i8").tobytes() for x in extra], pa.binary()),
+        "dfs": pa.array([dfs[4 * a : 4 * e] for a, e in zip(start.tolist(), end.tolist())] + [np.full(len(x), FREQUENT_DF, "<u4").tobytes() for x in extra], pa.binary()),
     }
     del tok, run, df
     K.release()
-    return pa.table({k: pa.chunked_array(v) for k, v in part.items()})
+    return pa.table(out)
 
 
 def _prefixes(percent: int, max_ell: int):
-    """A set's shared shingles to (node, rep, n, toks sorted, ell, prefix)."""
+    """A set's shared shingles to (node, n, toks sorted, ell, prefix)."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, ...] = ([], [], [])
-            n_all = b.column(2).to_numpy()
-            for n, toks, dfs in zip(n_all.tolist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
+            for n, toks, dfs in zip(*(b.column(c).to_pylist() for c in (1, 2, 3))):
                 t = np.concatenate([np.frombuffer(x, "<i8") for x in toks])
                 df = np.concatenate([np.frombuffer(x, "<u4") for x in dfs]).astype(np.int64)
                 by = np.lexsort((t, df))
@@ -284,7 +301,7 @@ def _prefixes(percent: int, max_ell: int):
                 out[0].append(np.sort(t).tobytes())
                 out[1].append(ell)
                 out[2].append(t[by[: spare + ell]].tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))], names=["node", "rep", "n", "toks", "ell", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64()))], names=["node", "n", "toks", "ell", "prefix"])
 
     return prefixes
 
@@ -292,24 +309,32 @@ def _prefixes(percent: int, max_ell: int):
 def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, max_ell: int = MAX_ELL) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, and rep, the smallest doc_id with
     the same set."""
-    n = partitions(docs.sparkSession)
-    buckets = max(32, min(n, 1 << 15))
-    hot = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, shingle))
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pack(shingle, buckets, hot), "bucket int, heads binary, low binary, high binary, own binary")
-    found = materialize(packed.groupBy("bucket").applyInArrow(lambda t: _bucket(t, buckets), _SHARED), "ngram-buckets")
-    home = found.where("node IS NULL").select("id", "n", "rep")
-    sets = found.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("rep").alias("rep"), F.max("n").alias("n"), F.sum(F.octet_length("toks")).alias("b"), F.collect_list("toks").alias("toks"), F.collect_list("dfs").alias("dfs")
+    spark = docs.sparkSession
+    bits = _bits(partitions(spark))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    seen = materialize(rows.mapInArrow(_heads(shingle), _HEADS), "ngram-heads")
+    heads = seen.where("id IS NOT NULL").select("id", "d1", "d2", "n")
+    groups = materialize(heads.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "ngram-groups")
+    total = groups.agg(F.sum("m")).first()[0] or 0
+    top = groups.where(F.col("m") >= max(2, -(-total // HOT))).select("d1", "d2", "rep").orderBy("d1").toArrow()  # HOT rows at most
+    copies = np.stack([top.column(c).to_numpy().astype(np.int64) for c in ("d1", "d2", "rep")], 1)
+    shared = spark.sparkContext.broadcast((frequent_shingles(seen), copies))
+    packed = rows.mapInArrow(_pack(shingle, bits, shared), "bucket int, body binary")
+    found = materialize(packed.groupBy("bucket").applyInArrow(lambda t: _bucket(t, bits), _SHARED), "ngram-buckets")
+    sets = found.groupBy("node").agg(
+        F.max("n").alias("n"), F.sum(F.octet_length("toks")).alias("b"), F.collect_list("toks").alias("toks"), F.collect_list("dfs").alias("dfs")
     ).where(f"100 * (b div 8) >= {percent} * n")
-    cand = materialize(sets.select("node", "rep", "n", "toks", "dfs").mapInArrow(_prefixes(percent, max_ell), "node long, rep long, n long, toks binary, ell int, prefix array<long>"), "ngram-sets", True)
+    cand = materialize(sets.select("node", "n", "toks", "dfs").mapInArrow(_prefixes(percent, max_ell), "node long, n long, toks binary, ell int, prefix array<long>"), "ngram-sets")
     off = 1 - F.octet_length("toks") / (8 * F.col("n"))
     comp = link_sets(cand.select("node", "n", "toks", "ell", "prefix", off.alias("off")), percent, "ngram")
-    named = comp.join(cand.select("node", "rep"), "node").unionByName(comp.select(F.col("comp").alias("node"), "comp").distinct().join(cand.select("node", "rep"), "node"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
-    moved = named.join(least, "comp").where("rep <> least").select("rep", "least").groupBy("rep").agg(F.min("least").alias("least"))
-    null = lambda c: F.when(F.col(c) != K.NO_ID, F.col(c))
-    out = home.join(moved, "rep", "left").withColumn("component_id", F.coalesce("least", "rep"))
-    return out.select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("component_id").alias("component_id"), null("rep").alias("rep"))
+    linked = comp.select(F.col("node").alias("d1"), "comp").union(comp.select("comp", "comp").distinct())
+    named = materialize(groups.join(linked, "d1"), "ngram-linked", True)
+    least = materialize(named.groupBy("comp").agg(F.min("rep").alias("least"), F.count("*").alias("w")), "ngram-least", True)
+    moved = join_hot(named, least, "comp", "w").select("d1", "d2", "least")
+    labels = groups.join(moved, ["d1", "d2"], "left").where("m > 1 OR least IS NOT NULL").select("d1", "d2", "rep", F.coalesce("least", "rep").alias("least"), F.col("m").alias("w"))
+    out = join_hot(heads, materialize(labels, "ngram-labels", True), ["d1", "d2"], "w", "left")
+    null = lambda c: F.when(c != K.NO_ID, c)
+    return out.select(null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("least", "id")).alias("component_id"), null(F.coalesce("rep", "id")).alias("rep"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 
 from patchwarden.llm import cotrain, decontaminate, html_extract, language_id, line_dedup, ngram_join, quality_rules, queries, sp_codec, sql, token_counts, url_filter
 from patchwarden.llm import _text as K
-from patchwarden.llm._shared import components, link_sets
+import patchwarden.llm._shared as S
+from patchwarden.llm._shared import components, join_hot, link_sets
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 LOW = str.maketrans({chr(b): chr(b + 32) for b in range(65, 91)})
@@ -101,7 +102,7 @@ def test_words_lines_and_hashes():
         assert n == len(texts)
 
 
-def test_components_against_union_find(spark):
+def test_components_against_union_find(spark, monkeypatch):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1100)]
     parent = {}
@@ -115,23 +116,34 @@ def test_components_against_union_find(spark):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     want = {x: find(x) for x in parent if find(x) != x}
-    for limit in (1 << 20, 0):
+    for limit, hot in ((1 << 20, 1 << 16), (0, 1 << 16), (0, 3)):
+        monkeypatch.setattr(S, "HOT", hot)
         got = components(spark.createDataFrame(edges, "u long, v long").repartition(7), "t", limit)[0].collect()
         assert {r.node: r.comp for r in got} == want and len(got) == len(want)
 
 
+def test_join_hot(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 4)
+    left = spark.createDataFrame([(k, i) for k in range(20) for i in range(200 if k == 3 else k % 3)] + [(None, 7)], "k long, i long")
+    right = spark.createDataFrame([(k, f"v{k}", 200 if k == 3 else 2) for k in range(0, 20, 3)], "k long, v string, w long")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, left.join(right.drop("w"), "k", how).collect()), key=str)
+        assert sorted(map(tuple, join_hot(left, right, "k", "w", how).collect()), key=str) == want
+        assert join_hot(left, right.limit(0), "k", "w", how).count() == (left.count() if how == "left" else 0)
+
+
 def test_blocks_join_what_hubs_miss(spark, monkeypatch):
     """A cycle of sets, each like its neighbours only: one component, found through blocks."""
-    import patchwarden.llm._shared as S
-
     monkeypatch.setattr(S, "BLOCK", 8)
     rows = []
     for i in range(60):
         x = np.sort(np.array([(i + k) * 7 for k in range(20)], "<i8"))
         rows.append((i, 20, bytearray(x.tobytes()), 1, [int(v) for v in x] + [-1], 0.0))
     sets = spark.createDataFrame(rows, "node long, n long, toks binary, ell int, prefix array<long>, off double")
-    comp = link_sets(sets, 75, "t", rounds=1)
-    assert {r.node: r.comp for r in comp.collect()} == {i: 0 for i in range(1, 60)}
+    for limit in (64, 10, 0):  # lists by a join, some or all of them by blocks
+        monkeypatch.setattr(S, "LIST", limit)
+        comp = link_sets(sets, 75, "t", rounds=1)
+        assert {r.node: r.comp for r in comp.collect()} == {i: 0 for i in range(1, 60)}
 
 
 # --- 1 -------------------------------------------------------------------------------------
@@ -167,11 +179,50 @@ def test_ngram_components(docs, ell, frequent, flush, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "FLUSH", flush)
     if frequent < 1000:
-        assert len(ngram_join.frequent_shingles(docs, 5)) > 0
+        heads = docs.select("doc_id", "text").mapInArrow(ngram_join._heads(5), ngram_join._HEADS)
+        assert len(ngram_join.frequent_shingles(heads)) > 0
     got = ngram_join.ngram_components(docs, max_ell=ell).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute_components(corpus())
 
 
+def test_ngram_hot_groups_and_long_lists(spark, docs, monkeypatch):
+    """Every other way of the join: broadcast representatives, split hot keys, blocks for all lists."""
+    monkeypatch.setattr(S, "HOT", 4)
+    monkeypatch.setattr(ngram_join, "HOT", 4)
+    want = brute_components(corpus())
+    for limit in (64, 0):
+        monkeypatch.setattr(S, "LIST", limit)
+        got = ngram_join.ngram_components(docs).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
+def _packed(texts, bits, shared=None):
+    class Shared:
+        value = shared
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    rows = [r for b in ngram_join._pack(5, bits, Shared if shared else None)(iter([batch])) for r in b.to_pylist()]
+    return rows
+
+
+def test_packed_rows_stay_small_and_spread():
+    """Bytes a shingle from 32 to 32,768 buckets; copies are packed once, whatever their frequent shingles."""
+    texts = [" ".join(words(300, k)) for k in range(1500)]
+    cost = {bits: sum(len(r["body"]) for r in _packed(texts, bits)) / (1500 * 296) for bits in (5, 8, 12, 15)}
+    assert cost[5] < 8 and cost[8] < 15 and cost[15] < 22 and max(cost.values()) < 3 * min(cost.values()), cost
+    one, many = (sum(len(r["body"]) for r in _packed([texts[0]] * n, 8)) for n in (1, 1000))
+    assert one == many
+    n, d1, d2 = ngram_join._digests(ngram_join._sets(*K.text_buffer(pa.array(texts)), 5))
+    hot = np.sort(np.concatenate(ngram_join._sets(*K.text_buffer(pa.array(texts[:50])), 5)))
+    sizes = collections.Counter()
+    for r in _packed(texts, 8, (hot, np.zeros((0, 3), np.int64))):
+        sizes[r["bucket"]] += len(r["body"])
+    assert len(sizes) == 256 and max(sizes.values()) < 3 * np.mean(list(sizes.values()))
+    assert len({b for b in (d1.view(np.uint64) >> np.uint64(56)).tolist()}) > 200
+    copies = np.stack([d1, d2, np.full(1500, -1)], 1)[np.argsort(d1)]
+    assert _packed(texts, 8, (hot, copies)) == []  # the representatives stand elsewhere
+
+
 def test_ngram_empty_and_keep_one(docs, empty):
     assert ngram_join.ngram_components(empty).collect() == []
     kept = ngram_join.keep_one(docs)
@@ -220,13 +271,15 @@ def test_codec_empty(empty):
 # --- 3 -------------------------------------------------------------------------------------
 
 
-def test_line_dedup(docs, empty):
-    rows = [r for r in corpus()]
-    low = lambda s: bytes(K.LOWER[np.frombuffer(s.encode(), np.uint8)])
-    occ = sorted({(K.NO_ID if i is None else i, j, low(x)) for i, t, *_ in rows for j, x in enumerate((t or "").split("\n")) if len(x.encode()) >= 32})
-    shingles = {b: {b[k : k + 8] for k in range(len(b) - 7)} for _, _, b in occ}
+def brute_lines(rows):
+    """(doc_id, text) after exact dedup of similar lines; rows with equal id and text are one document."""
+    low = lambda x: x.translate(LOW)
+    ids = lambda i: K.NO_ID if i is None else i
+    docs = {(i, t) for i, t, *_ in rows if t}
+    occ = [(ids(i), j, t, low(x)) for i, t in docs for j, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
+    shingles = {x: {x[k : k + 5] for k in range(max(len(x) - 4, 1))} for *_, x in occ}
     distinct = list(shingles)
-    parent = {b: b for b in distinct}
+    parent = {x: x for x in distinct}
 
     def find(x):
         while parent[x] != x:
@@ -237,24 +290,70 @@ def test_line_dedup(docs, empty):
         for b in distinct[:i]:
             if 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b]):
                 parent[find(a)] = find(b)
-    seen, gone = set(), collections.defaultdict(set)
-    for i, j, b in occ:
-        if find(b) in seen:
-            gone[i].add(j)
-        seen.add(find(b))
-    want = collections.Counter((i, t if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[K.NO_ID if i is None else i])) for i, t, *_ in rows)
-    got = line_dedup.line_dedup(docs)
-    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
-    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == want
+    first, gone = {}, collections.defaultdict(set)
+    for i, j, t, x in occ:
+        g = find(x)
+        key = (i, j, h1(t), h2(t))
+        first[g] = min(first.get(g, key), key)
+    for i, j, t, x in occ:
+        if first[find(x)] != (i, j, h1(t), h2(t)):
+            gone[i, t].add(j)
+    return collections.Counter((i, t if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[ids(i), t])) for i, t, *_ in rows)
+
+
+_keys = {}
+h1, h2 = lambda t: _keys[t][0], lambda t: _keys[t][1]
+
+
+def learn_keys(spark, texts):
+    """Spark's hashes of texts, which order documents of one doc_id."""
+    from patchwarden.llm._shared import text_key
+
+    d = spark.createDataFrame([(t,) for t in set(texts) if t], "text string")
+    _keys.update({r[0]: (r[1], r[2]) for r in d.select("text", *text_key()).collect()})
+
+
+def test_line_dedup(spark, docs, empty, monkeypatch):
+    rows = corpus()
+    learn_keys(spark, [r[1] for r in rows])
+    want = brute_lines(rows)
+    for hot in (1 << 16, 3):
+        monkeypatch.setattr(S, "HOT", hot)
+        got = line_dedup.line_dedup(docs)
+        assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+        assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == want
     assert line_dedup.line_dedup(empty).collect() == []
 
 
-def test_line_dedup_short_lines(spark):
-    """Equal short lines go like long ones, up to case; blank lines and similar short lines stay."""
-    texts = ["All rights reserved.\n\none line of its own\n日本語です", "ALL RIGHTS RESERVED.\n\nanother line of its own\n日本語です\nx", "all rights reserved!\n \nX\nx", "\n\nall rights reserved."]
-    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).repartition(3)
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.line_dedup(d).collect()}
-    assert got == {0: (texts[0], 4, 0), 1: ("\nanother line of its own\nx", 5, 2), 2: ("all rights reserved!\n ", 4, 2), 3: ("\n", 3, 1)}
+def test_line_dedup_odd_rows(spark):
+    """Short lines, blank lines, several null ids, one id with two texts, repeated rows, lines that differ in case."""
+    texts = ["All rights reserved.\n\none line of its own\n日本語です", "ALL RIGHTS RESERVED.\n\nanother line of its own\n日本語です\nx", "all rights of yours!\n \nX\nx", "\n\nall rights reserved.", "日本語です\n日本語です。\n1.\n2.\n1."]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (None, f"{texts[2]}\nown line of a null"), (1, f"kept by another row of the id\n{texts[1]}"), (3, texts[3]), (None, texts[0]), (9, None), (None, None), (8, "")]
+    learn_keys(spark, [t for _, t in rows])
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    got = line_dedup.line_dedup(d).collect()
+    assert collections.Counter((r.doc_id, r.text) for r in got) == brute_lines(rows)
+    assert all(r.n_lines == (len(t.split("\n")) if t else 0) for r in got for i, t in rows if (i, t) == (r.doc_id, r.text) and r.n_removed == 0)
+
+
+def test_line_recall_by_length():
+    """Measured share of similar pairs (0.8 to 0.9) that some band finds."""
+    r = random.Random(4)
+    recall = {}
+    for size in (16, 24, 32, 48, 64, 96, 160):
+        a, b = [], []
+        while len(a) < 300:
+            x = "".join(r.choice("abcdefghijklmnopqrstuvwxyzé ") for _ in range(size))
+            y = x + "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 2 + size // 6))) if r.random() < 0.5 else x[r.randrange(1, 2 + size // 6) :]
+            s, t = ({v[k : k + 5] for k in range(len(v) - 4)} for v in (x, y))
+            if 0.8 <= len(s & t) / len(s | t) < 0.9:
+                a.append(x)
+                b.append(y)
+        buf, off = K.text_buffer(pa.array([v for p in zip(a, b) for v in p]))
+        bands = line_dedup._bands(line_dedup.signatures(*line_dedup._shingles_of(buf, K.prefix_hash(buf), off[:-1], off[1:]), 600))
+        recall[size] = float((bands[::2] == bands[1::2]).any(1).mean())
+    print("recall of pairs by line length", recall)
+    assert min(recall.values()) >= 0.9 and min(v for k, v in recall.items() if k >= 64) >= 0.95, recall
 
 
 # --- 4 -------------------------------------------------------------------------------------
@@ -366,6 +465,138 @@ def test_quality_classifier(spark, docs, empty):
     assert all(x.quality_score == 1.0 and x.toxic_score is None for x in one)
 
 
+def brute_cotrain(rows, labels):
+    """Co-training on dense matrices, step by step: the scores of both labels."""
+    n = len(rows)
+    cell = lambda x, bits: int(K.span_hash(*(lambda b: (K.prefix_hash(b), np.array([0]), np.array([len(b)])))(np.frombuffer(x.encode(), np.uint8)))[0] >> np.uint64(64 - bits))
+    text = np.zeros((n, (1 << 16) + 6))
+    meta = np.zeros((n, 1 << 12))
+    for i, (_, t, lang, source, _) in enumerate(rows):
+        tf = collections.Counter(cell(w, 16) for w in re.findall(r"[A-Za-z\x80-\U0010ffff]+", t.translate(LOW)))
+        for c, k in tf.items():
+            text[i, c] = np.log1p(k)
+        text[i] /= max(np.sqrt((text[i] ** 2).sum()), 1e-300)
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        seen = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        five = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        rep = len({j for k in range(len(w) - 4) if five[tuple(w[k : k + 5])] > 1 for j in range(k, k + 5)})
+        m = max(len(w), 1)
+        text[i, 1 << 16 :] = [np.log1p(len(w)), sum(map(len, w)) / m / 10, min(len(re.findall(r"[#*$%&|<>]", t)) / m, 4), (len(seen) - len(set(seen))) / max(len(seen), 1), rep / m, float(len(w) < 10)]
+        for x in (f"l{lang}", f"s{source}", f"b{lang}\n{source}", f"n{int(np.floor(np.log2(len(t.encode()) + 1)))}"):
+            meta[i, cell(x, 12)] += 1
+    at = {r[0]: i for i, r in enumerate(rows)}
+    order = learn_order([r[0] for r in rows], [r[1] for r in rows])
+    marked = [i for i in order[0] if rows[i][0] in labels]
+    pool = [i for i in order[1] if rows[i][0] not in labels]
+    assert at and len(marked) == len(labels)
+    d = text[:, 1 << 16 :]
+    used = d[marked + pool]
+    text[:, 1 << 16 :] = (d - used.mean(0)) / np.maximum(used.std(0), 1e-3)
+
+    def logistic(x, y, weight, l2):
+        w, b = np.zeros(x.shape[1]), 0.0
+        weight = weight / weight.sum()
+        p = np.clip((weight * y).sum(), 1e-3, 1 - 1e-3)
+        b, m, v, mb, vb = np.log(p / (1 - p)), 0, 0, 0, 0
+        for t in range(1, 81):
+            e = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+            g, gb = x.T @ e + l2 * w, e.sum()
+            m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
+            w = w - 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            b -= 0.3 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
+        return lambda z: z @ w + b
+
+    scores, handed = [], []
+    for label in (0, 1):
+        y = np.array([labels[rows[i][0]][label] for i in marked], float)
+        check = np.arange(len(y)) % 4 == 3
+        views, l2 = (text, meta), (1e-5, 1e-3)
+        extra = [{}, {}]
+        for r in range(4):
+            models = []
+            for k in (0, 1):
+                x = np.concatenate([views[k][marked][~check], views[k][pool][sorted(extra[k])]])
+                models.append(logistic(x, np.concatenate([y[~check], [extra[k][j] for j in sorted(extra[k])]]), np.concatenate([np.ones((~check).sum()), np.full(len(extra[k]), 0.5)]), l2[k]))
+            if r == 3:
+                break
+            for k in (0, 1):
+                p, q = (1 / (1 + np.exp(-models[k](views[k][z]))) for z in (pool, np.array(marked)[check]))
+                good = []
+                for c in (0, 1):
+                    sure = (np.maximum(q, 1 - q) >= 0.95) & ((q >= 0.5) == c)
+                    share = (y[~check] == c).mean()
+                    good.append(sure.sum() >= 5 and (y[check][sure] == c).mean() >= max(0.9, (1 + share) / 2))
+                free = [j for j in range(len(pool)) if j not in extra[1 - k] and max(p[j], 1 - p[j]) >= 0.95 and good[int(p[j] >= 0.5)]]
+                best = sorted(free, key=lambda j: (-abs(p[j] - 0.5), j))[: int(0.1 * len(pool))]
+                extra[1 - k].update({j: float(p[j] >= 0.5) for j in best})
+        handed.append((len(extra[0]), len(extra[1])))
+        z = [cotrain._dense_fit(m(v[marked])[check][:, None], y[check]) for m, v in zip(models, views)]
+        z = [c if c[0] >= 0 else np.array([0, cotrain._dense_fit(np.zeros((check.sum(), 0)), y[check])[0]]) for c in z]
+        held = np.stack([m(v[marked])[check] * c[0] + c[1] for m, v, c in zip(models, views, z)], 1)
+        w = cotrain._dense_fit(held, y[check])
+        if w[:2].min() < 0:
+            k = int(w[:2].argmax())
+            one = cotrain._dense_fit(held[:, [k]], y[check])
+            w = np.zeros(3)
+            w[k], w[2] = max(one[0], 0), one[1]
+        out = sum(wk * (m(v) * c[0] + c[1]) for wk, m, v, c in zip(w, models, views, z)) + w[2]
+        scores.append(1 / (1 + np.exp(-out)))
+    return scores, handed
+
+
+_order = {}
+
+
+def learn_order(ids, texts):
+    """Rows in the order in which labelled and other rows are drawn."""
+    return [sorted(range(len(ids)), key=lambda i: (_order[ids[i]][k], *_order[ids[i]][2:])) for k in (0, 1)]
+
+
+def test_cotraining_against_brute_force(spark):
+    """Exchange, gate, calibration and combination, on a fixture whose metadata helps one label only."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    rows, labels = [], {}
+    for i in range(360):
+        bad, toxic = r.random() < 0.4, r.random() < 0.3
+        w = words(20, i) + (["scum"] if toxic and r.random() < 0.9 else [])
+        r.shuffle(w)
+        source = ("spam" if r.random() < 0.9 else "web") if bad else ("web" if r.random() < 0.9 else "spam")
+        rows.append((i, " ".join(x + ("**" if bad and r.random() < 0.5 else "") for x in w), r.choice(["en", "de"]), source, 1))
+        if i % 2:
+            labels[i] = (int(not bad), int(toxic))
+    d = spark.createDataFrame(rows, DOCS)
+    keyed = d.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    for x in keyed.select("doc_id", F.xxhash64(F.lit("cotrain"), "doc_id", "h1", "h2"), F.xxhash64(F.lit("cotrain"), "h1", "h2"), "h1", "h2").collect():
+        _order[x[0]] = tuple(x[1:])
+    lab = spark.createDataFrame([(k, *v) for k, v in labels.items()], "doc_id long, quality int, toxic int")
+    m = cotrain.fit(d.repartition(3), lab)
+    got = {x.doc_id: x for x in cotrain.score(d, m).collect()}
+    want, handed = brute_cotrain(rows, labels)
+    assert [tuple(np.sum(h.exchanged, 0)[::-1]) for h in m.heads] == handed and sum(handed[0]) > 0
+    for k, c in enumerate(("quality_score", "toxic_score")):
+        assert np.abs(np.array([got[i][c] for i in range(360)]) - want[k]).max() < 1e-3
+    assert {x.quality_views for x in got.values()} == {m.heads[0].used}
+
+
+def test_cotraining_sample_is_bounded(spark):
+    """Repeated and conflicting labels, one id or text in most rows, clashing columns."""
+    rows = [(7, "one and the same text", "en", "s")] * 2000 + [(k, " ".join(words(12, k)), "en", "s") for k in range(100, 400)] + [(None, " ".join(words(12, k)), None, None) for k in range(50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 AS quality", "'x' AS h1")
+    lab = spark.createDataFrame([(7, 1, 0), (7, 1, 0), (7, 0, 0), (None, 1, 1)] + [(k, k % 2, 0) for k in range(100, 300)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = cotrain.Classifier.fit
+    cotrain.Classifier.fit = lambda self, views, y, pool: (seen.append((len(y), len(pool[0][2]) - 1)), fit(self, views, y, pool))[1]
+    try:
+        out = cotrain.score(d, cotrain.fit(d, lab, 150, 60))
+    finally:
+        cotrain.Classifier.fit = fit
+    assert seen[0][0] == 150 and 30 <= seen[0][1] <= 60 and out.count() == len(rows)
+    full = cotrain.fit(d, lab)
+    assert full.heads[1].share == 0.0 and full.heads[0].share is None
+
+
 # --- 6 -------------------------------------------------------------------------------------
 
 

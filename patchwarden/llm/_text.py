@@ -3,7 +3,8 @@
 A column of texts is viewed as one UTF-8 byte buffer with document offsets. Words, lines and
 their 64-bit hashes come from whole-buffer numpy passes, so the cost is a few nanoseconds a
 byte and no Python object is made per word. Texts are never cut: a block holds whole documents,
-and a document larger than the block size is a block of its own.
+and a document larger than the block size is a block of its own. Tables of powers have one block's size
+whatever the texts' is: exponents start anew with each segment of a long text.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+SEGMENT = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -31,17 +33,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_pows: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_pows: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pows[0]) <= n:
-        m = max(n + 1, BLOCK_BYTES + (BLOCK_BYTES >> 2))
-        for k, b in enumerate((_BASE, _INV)):
-            p = np.full(m, b, np.uint64)
+def _powers() -> list[np.ndarray]:
+    """Powers of the base and of its inverse, up to a segment."""
+    if not _pows or len(_pows[0]) != SEGMENT + 1:
+        _pows.clear()
+        for b in (_BASE, _INV):
+            p = np.full(SEGMENT + 1, b, np.uint64)
             p[0] = 1
-            _pows[k] = np.cumprod(p)
-    return _pows[0], _pows[1]
+            _pows.append(np.cumprod(p))
+    return _pows
 
 
 def byte_table(inside) -> np.ndarray:
@@ -136,18 +139,35 @@ def _inside(positions: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Running sums from which any span's hash follows in O(1)."""
-    p, _ = _powers(len(buf))
+    """Running sums from which any span's hash follows in O(1) a segment."""
+    p, _ = _powers()
     s = np.empty(len(buf) + 1, np.uint64)
     s[0] = 0
-    np.cumsum(_BYTE[buf] * p[: len(buf)], out=s[1:])
+    for i in range(0, len(buf), SEGMENT):
+        part = buf[i : i + SEGMENT]
+        out = s[i + 1 : i + 1 + len(part)]
+        np.cumsum(_BYTE[part] * p[: len(part)], out=out)
+        if i:
+            out += s[i]
     return s
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans: equal bytes have equal hashes wherever they stand."""
-    _, inv = _powers(len(sums))
-    h = (sums[ends] - sums[starts]) * inv[starts]
+    p, inv = _powers()
+    if len(sums) <= SEGMENT + 1:
+        h = (sums[ends] - sums[starts]) * inv[starts]
+    else:
+        into = starts % SEGMENT
+        stop = starts - into + SEGMENT
+        h = (sums[np.minimum(ends, stop)] - sums[starts]) * inv[into]
+        row = np.flatnonzero(ends > stop)  # spans that go on in further segments
+        at, end, power = stop[row], ends[row], p[(stop - starts)[row]]
+        while len(row):
+            to = np.minimum(end, at + SEGMENT)
+            h[row] += (sums[to] - sums[at]) * power
+            more = end > to
+            row, at, end, power = row[more], to[more], end[more], power[more] * p[SEGMENT]
     return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -133,7 +133,7 @@ def _member(fps: np.ndarray):
     return lambda x: (fps[np.minimum(np.searchsorted(fps, x), len(fps) - 1)] == x) if len(fps) else np.zeros(len(x), bool)
 
 
-def _judge_in_map(windows, ids_only: bool):
+def _judge_in_map(windows):
     """Judges documents against broadcast windows {text: items} and their fingerprints."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +193,16 @@ def _by_join(docs: DataFrame, bench: DataFrame, short: list[int]) -> DataFrame:
     n = bench.count()
     bits = bitmap_bits(n)
     slots = spark.sparkContext.broadcast(bitmap(bench.select("fp"), bits))
-    rows = docs.select("doc_id", "text", "h1", "h2", F.xxhash64("text", F.monotonically_increasing_id()).alias("row_key"))
+    rows = docs.select("doc_id", "text", "h1", "h2", F.monotonically_increasing_id().alias("row_key"))
     marked = materialize(rows.mapInArrow(_find_in_map(slots, bits, short), "doc_id long, h1 long, h2 long, row_key long, n_words long, hits array<struct<start:int,len:int,window:string>>"), "decon-marked")
-    windows = bench.select("window").distinct()
-    spans = materialize(marked.select("doc_id", "row_key", F.explode("hits").alias("h")).select("doc_id", "row_key", "h.*").join(windows, "window"), "decon-spans")
+    found = marked.select("row_key", F.explode("hits").alias("h")).select("row_key", "h.*")
+    # a passage of many documents: counted before it meets the benchmark, and its rows stay where they are
+    met = found.groupBy("window").agg(F.count("*").alias("w")).join(bench.select("window").distinct(), "window")
+    spans = materialize(join_hot(found, materialize(met, "decon-windows", True), "window", "w"), "decon-spans")
     covered = spans.select("row_key", F.explode(F.sequence("start", F.expr("start + len - 1"))).alias("w")).groupBy("row_key").agg(F.count_distinct("w").alias("n_hit"))
+    pairs = materialize(spans.select("row_key", "window").distinct(), "decon-pairs")
     items = (
-        spans.select("row_key", "window").distinct().join(bench.select("window", "item_id").distinct(), "window")
+        pairs.join(bench.select("window", "item_id").distinct(), "window")
         .groupBy("row_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"), F.max(F.col("item_id").isNull().cast("int")).alias("unnamed"))
     )
     none = F.array().cast("array<string>")
@@ -221,7 +224,7 @@ def _verdicts(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int) -> Da
     h1, h2 = text_key()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", h1.alias("h1"), h2.alias("h2"))
     bench = materialize(bench_windows(benchmark), "decon-bench", True)
-    size, longest = bench.agg(F.coalesce(F.sum(F.octet_length("window") + 32), F.lit(0)), F.count("*")).first()
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("window") + 32), F.lit(0))).first()[0]
     short = sorted(r.len for r in bench.where(F.col("len") < SPAN).select("len").distinct().collect())  # at most SPAN - 1 values
     if size > broadcast_bytes:
         return _by_join(docs, bench, short)
@@ -231,7 +234,7 @@ def _verdicts(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int) -> Da
         fps.append(r.fp)
         index.setdefault(r.window, set()).add(r.item_id)
     windows = spark.sparkContext.broadcast((np.array(fps, np.int64).view(np.uint64), short, index))
-    return docs.mapInArrow(_judge_in_map(windows, True), KEYED)
+    return docs.mapInArrow(_judge_in_map(windows), KEYED)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_hit_share: float = 0.0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

@@ -4,8 +4,9 @@ Every URL is expanded into expressions (a suffix of its host's labels, a prefix
 for exactly the shapes (label count, path length) that some rule has: no other expression can
 match. Expressions and rules meet in an equi-join on a 4-byte prefix of their SHA-256; the
 full digest then confirms, and the longest rule of a URL wins (ties: block before allow).
-Built-in functions only; the html column is never read. URLs are judged once each, so a host or
-URL with a third of all rows adds no work, and a URL's expressions are bounded by the shapes.
+Built-in functions only; the html column is never read. URLs are judged once each and expressions looked up once
+each, both counted, so that those with a third of all rows add no work and their rows are not
+brought together; a URL's expressions are bounded by the shapes.
 
 Defined results: null, empty or scheme-less urls have an empty host and path, fit no rule and
 get the default verdict; repeated rows give repeated results; an empty table an empty result;
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import join_hot, materialize
+
 #: (action, host, path)
 DEFAULT_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,21 +50,24 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     """(page_id, url, host, path, rule, verdict) for every row of pages."""
     compiled = compile_rules(rules)
     shapes = compiled.select("labels", "path_len").distinct().agg(F.collect_set(F.struct("labels", "path_len")).alias("shapes"))  # bounded by labels x path lengths
-    urls = pages.select("url").where("url is not null").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    urls = pages.where("url is not null").groupBy("url").agg(F.count("*").alias("n"))
+    urls = materialize(urls.select("url", "n", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''"), "url-hosts")
     labels = F.size(F.split("host", r"\."))
     suffix = F.call_function("substring_index", F.col("host"), F.lit("."), -F.col("s.labels"))
     prefix = F.substring(F.col("path"), F.lit(1), F.col("s.path_len"))
     expanded = (
-        urls.where("host <> ''").crossJoin(F.broadcast(shapes))  # one row of shapes
-        .select("url", "host", "path", F.explode("shapes").alias("s"))
+        urls.crossJoin(F.broadcast(shapes))  # one row of shapes
+        .select("url", "n", "host", "path", F.explode("shapes").alias("s"))
         .where((F.col("s.labels") <= labels) & (F.col("s.path_len") <= F.length("path")))
-        .select("url", _digest(suffix, prefix).alias("u_digest"))
-        .withColumn("short", F.substring("u_digest", 1, 8))
+        .select("url", "n", _digest(suffix, prefix).alias("u_digest"))
     )
-    hits = expanded.join(compiled, "short").where("u_digest = digest")
-    rank = F.struct(F.length("rule"), (F.col("action") == "block").cast("int"), F.col("rule"))
-    verdicts = hits.groupBy(F.col("url").alias("v_url")).agg(F.max_by(F.struct("rule", "action"), rank).alias("win"))
-    return pages.select("page_id", "url").join(verdicts, F.col("url") == F.col("v_url"), "left").select(
+    rank = lambda r, a: F.struct(F.length(r), (F.col(a) == "block").cast("int"), F.col(r))
+    asked = expanded.groupBy("u_digest").agg(F.count("*").alias("w")).withColumn("short", F.substring("u_digest", 1, 8))
+    known = asked.join(compiled, "short").where("u_digest = digest").groupBy("u_digest").agg(F.max_by(F.struct("rule", "action"), rank("rule", "action")).alias("win"), F.max("w").alias("w"))
+    hits = join_hot(expanded, materialize(known, "url-known", True), "u_digest", "w")
+    verdicts = hits.groupBy("url").agg(F.max_by("win", rank("win.rule", "win.action")).alias("win"), F.max("n").alias("w"))
+    judged = join_hot(pages.select("page_id", "url"), materialize(verdicts, "url-verdicts", True), "url", "w", "left")
+    return judged.select(
         "page_id", "url",
         F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"),
         F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"),

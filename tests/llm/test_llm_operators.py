@@ -102,6 +102,16 @@ def test_words_lines_and_hashes():
         assert n == len(texts)
 
 
+def test_hashes_of_long_texts(monkeypatch):
+    """Segments change no hash, of spans that cross some of them either."""
+    buf, off = K.text_buffer(pa.array(["x" * 700 + " one two " + " ".join(words(300, 3)) + " " + "yz" * 400, "tail"]))
+    w = K.words(buf, off, K.NOT_SPACE)
+    want = K.span_hash(K.prefix_hash(buf), w.starts, w.ends)
+    for size in (1 << 20, 64, 7):
+        monkeypatch.setattr(K, "SEGMENT", size)
+        assert (K.span_hash(K.prefix_hash(buf), w.starts, w.ends) == want).all() and len(K._powers()[0]) == size + 1
+
+
 def test_components_against_union_find(spark, monkeypatch):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1100)]
@@ -653,7 +663,8 @@ def brute_contamination(rows, items):
     return sorted(out, key=str)
 
 
-def test_contamination_both_ways(spark, docs, empty):
+def test_contamination_both_ways(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 2)
     items = [(1, " ".join(words(60, 99)[5:40])), (2, " ".join(words(60, 99)[5:40]).upper()), (3, "two words"), (4, None), (5, "!!"), (10, " ".join(words(120, 1)[50:60])), (11, " ".join(words(9000, 7)[-11:])), (12, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute_contamination(corpus(), items)
@@ -775,12 +786,15 @@ def test_language_sample_is_bounded(spark):
 # --- 9 -------------------------------------------------------------------------------------
 
 
-def test_url_filter(spark):
-    urls = [None, "", "no scheme", "http://", "https://NET/", "http://a.b.net", "http://a.b.net/x?y", "http://example.net/en/1#t", "http://m.Example.NET/en/", "http://notexample.net/en/", "http://example.com/de/", "http://example.com/d", "http://x.org/fr/a", "ftp://y.org?/fr/", "http://a.b.net/x?y", "http://h.de/://x.net/"]
+def test_url_filter(spark, monkeypatch):
+    """Odd, repeated, very long and hot urls, with and without split keys; empty tables."""
+    urls = ["http://hot.net/a"] * 40 + ["http://long.example.com/de/" + "x" * 300_000, "http://" + "sub." * 3000 + "org/fr/"] + [None, "", "no scheme", "http://", "https://NET/", "http://a.b.net", "http://a.b.net/x?y", "http://example.net/en/1#t", "http://m.Example.NET/en/", "http://notexample.net/en/", "http://example.com/de/", "http://example.com/d", "http://x.org/fr/a", "ftp://y.org?/fr/", "http://a.b.net/x?y", "http://h.de/://x.net/"]
     rules = url_filter.DEFAULT_RULES + [("block", "h.de", "")]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, rule string")
-    got = {r.page_id: r for r in url_filter.url_filter(pages, spark.createDataFrame(rules, "action string, host string, path string")).collect()}
-    assert len(got) == len(urls)
+    by = spark.createDataFrame(rules, "action string, host string, path string")
+    got = {r.page_id: r for r in url_filter.url_filter(pages, by).collect()}
+    monkeypatch.setattr(S, "HOT", 2)
+    assert len(got) == len(urls) and got == {r.page_id: r for r in url_filter.url_filter(pages, by).collect()}
     for i, u in enumerate(urls):
         host = path = ""
         if u and "://" in u:

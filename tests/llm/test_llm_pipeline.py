@@ -74,3 +74,20 @@ def test_exact_copies_leave_one_document(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     left = [r.text for r in P.near_duplicates(spark, P.lines(spark, d, SF), SF).collect()]
     assert sorted(t.split("\n")[0] for t in left) == [f"Title {k}" for k in range(4)]
+
+
+def test_odd_rows_through_the_pipeline(spark):
+    """Null and repeated ids, one id with two texts, repeated rows, null texts, a clashing column: clean rows stay."""
+    text = lambda k: "\n".join(" ".join(f"{w}{k}x{j}" for w in "some words of a clean document that nobody has seen before today".split()) for j in range(3))
+    bad = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (6, text(6)), (6, text(6)), (None, text(7)), (None, text(7)), (7, text(1)), (None, text(8) + " " + bad), (5, bad + " " + text(9)), (None, None), (8, None), (9, "")]
+    d = spark.createDataFrame([(i, t, None if k % 2 else "en", "s", 1, "z") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, n_removed string").repartition(3)
+    for _, stage in P.STAGES[:4]:
+        columns = d.columns
+        d = stage(spark, d, SF)
+        assert d.columns == columns
+    want = [(1, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (6, text(6)), (None, text(7))]
+    assert {r.n_removed for r in d.collect()} == {"z"}
+    assert sorted(((r.doc_id, r.text) for r in d.collect()), key=str) == sorted(want, key=str)
+    out = P.tokens(spark, d, SF).collect()
+    assert len(out) == 7 and all(r.lossless for r in out)

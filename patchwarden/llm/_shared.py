@@ -210,24 +210,13 @@ BLOCK = 512
 LIST = 64
 
 
-def _hub_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tok, node, comp) sorted by tok and order: every member of a list paired with the
-    list's first, unless they are of one component."""
-    tok = hub = label = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t, n, c = (b.column(k).to_numpy() for k in range(3))
-        new = np.empty(len(t), bool)
-        new[1:] = t[1:] != t[:-1]
-        new[0] = tok is None or t[0] != tok
-        at = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
-        hubs = np.where(at >= 0, n[at], np.int64(hub if hub is not None else 0))
-        labels = np.where(at >= 0, c[at], np.int64(label if label is not None else 0))
-        tok, hub, label = t[-1], hubs[-1], labels[-1]
-        keep = labels != c
-        pairs = np.unique(np.stack([np.minimum(hubs[keep], n[keep]), np.maximum(hubs[keep], n[keep])], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], names=["a", "b"])
+def _hub_pairs(members: DataFrame, name: str) -> DataFrame:
+    """members (tok, node, comp, o) to pairs (a, b) of each member of a list with the list's first by o, unless they
+    are of one component. The first ones come from an aggregate, and a long list's members stay where they are."""
+    first = members.groupBy("tok").agg(F.min(F.struct("o", "node", "comp")).alias("h"), F.count("*").alias("w")).where("w > 1")
+    first = materialize(first.select("tok", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"), "w"), f"{name}-first", True)
+    met = join_hot(members, first, "tok", "w").where("comp <> hub_comp")
+    return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
 def _similar(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -> bool:
@@ -349,7 +338,6 @@ def link_sets(sets: DataFrame, percent: int, name: str, rounds: int = 1, decode=
     list are compared, block by block: candidates are found and verified by matrix products in one task, and
     a forest of the links comes back. No pair between two components is left out.
     """
-    spark, n = sets.sparkSession, partitions(sets.sparkSession)
     payload = sets.select("node", "n", "toks")
     postings = sets.select(F.explode("prefix").alias("tok"), "node", "ell", "off")
 
@@ -361,8 +349,7 @@ def link_sets(sets: DataFrame, percent: int, name: str, rounds: int = 1, decode=
     for r in range(rounds):
         order = F.struct("off", F.xxhash64("node")) if r == 0 else F.struct(F.lit(0.0), F.xxhash64("node", F.lit(r)))
         hubs = postings.select("tok", "node", F.col("node").alias("comp"), order.alias("o")) if comp is None else named.select("tok", "node", "comp", order.alias("o"))
-        pairs = hubs.repartition(n, "tok").sortWithinPartitions("tok", "o").select("tok", "node", "comp").mapInArrow(_hub_pairs, "a long, b long").distinct()
-        found = verified(pairs)
+        found = verified(_hub_pairs(hubs, f"{name}-hub"))
         # what is linked so far is as good as its components
         comp, _ = components(found if comp is None else found.union(comp), f"{name}-hub")
         labels = materialize(postings.join(comp, "node", "left").select("tok", "node", "ell", "off", F.coalesce("comp", "node").alias("comp")), f"{name}-labels", True)
@@ -385,7 +372,7 @@ def _long_lists(sets: DataFrame, named: DataFrame, percent: int, name: str, deco
     named: (tok, node, comp, m) of all open lists."""
     n = partitions(sets.sparkSession)
     lists = named.where(F.col("m") > LIST)
-    chain = lists.select("tok", "node", F.col("node").alias("comp"), F.xxhash64("node").alias("o")).repartition(n, "tok").sortWithinPartitions("tok", "o").select("tok", "node", "comp").mapInArrow(_hub_pairs, "a long, b long")
+    chain = _hub_pairs(lists.select("tok", "node", F.col("node").alias("comp"), F.xxhash64("node").alias("o")), f"{name}-chain")
     cluster, edges = components(chain, f"{name}-cluster")
     member = cluster.select("node", F.col("comp").alias("cluster")).union(cluster.select("comp", "comp").distinct())
     sizes = member.groupBy("cluster").agg(F.count("*").alias("w"))

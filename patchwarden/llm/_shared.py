@@ -220,32 +220,54 @@ def _hub_pairs(members: DataFrame, name: str) -> DataFrame:
 
 
 def _similar(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -> bool:
-    """Jaccard of two sorted sets of sizes nx and ny whose elements beyond x and y are not shared."""
+    """Jaccard of two sets of sizes nx and ny whose elements beyond x and y are not shared."""
     both = np.concatenate([x, y])
     both.sort(kind="stable")
     common = int((both[1:] == both[:-1]).sum())
     return 100 * common >= percent * (nx + ny - common)
 
 
-def longs(payload: bytes) -> np.ndarray:
-    return np.frombuffer(payload, "<i8")
+def longs(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, elements one after another) of sets of packed longs."""
+    return np.array([len(x) // 8 for x in payloads], np.int64), np.frombuffer(b"".join(payloads), "<i8")
+
+
+#: bytes of sets that are compared at once
+SLICE = 2 << 20
+
+
+def _common(sizes: np.ndarray, values: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i with sets j: one search for every element of i."""
+    ids = np.unique(values, return_inverse=True)[1].astype(np.int64)
+    width = int(ids.max()) + 1 if len(ids) else 1
+    known = np.sort(np.repeat(np.arange(len(sizes)), sizes) * width + ids)
+    swap = sizes[i] > sizes[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    n, first = sizes[i], np.cumsum(sizes) - sizes
+    pair = np.repeat(np.arange(len(i)), n)
+    asked = np.repeat(j, n) * width + ids[np.arange(len(pair)) + np.repeat(first[i] - (np.cumsum(n) - n), n)]
+    at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
+    return np.bincount(pair[known[at] == asked], minlength=len(i)) if len(pair) else np.zeros(len(i), np.int64)
 
 
 def _verify_pairs(percent: int, decode):
+    """(a, b, sizes and payloads of both) to the pairs (a, b) that reach the threshold, in slices of some bytes."""
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known: dict[bytes, np.ndarray] = {}  # a hub is in many pairs
-
-            def read(x: bytes) -> np.ndarray:
-                if x not in known:
-                    if len(known) > 64:
-                        known.clear()
-                    known[x] = decode(x)
-                return known[x]
-
-            na, nb = b.column(2).to_pylist(), b.column(3).to_pylist()
-            keep = [i for i, (x, y) in enumerate(zip(b.column(4), b.column(5))) if _similar(read(x.as_py()), read(y.as_py()), na[i], nb[i], percent)]
-            at = pa.array(keep, pa.int64())
+            if not b.num_rows:
+                continue
+            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
+            x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
+            part = np.cumsum([len(p) + len(q) for p, q in zip(x, y)]) // SLICE
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+            keep = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                number: dict[bytes, int] = {}  # a hub is in many pairs
+                i, j = (np.array([number.setdefault(p, len(number)) for p in z[lo:hi]], np.int64) for z in (x, y))
+                common = _common(*decode(list(number)), i, j)
+                keep.append(lo + np.flatnonzero(100 * common >= percent * (na[lo:hi] + nb[lo:hi] - common)))
+            at = pa.array(np.concatenate(keep))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
 
     return verify
@@ -286,8 +308,9 @@ def _overlaps(x: np.ndarray, xl: np.ndarray, y: np.ndarray, yl: np.ndarray) -> n
 
 def _cut(payloads: bytes, lens: np.ndarray, rows: np.ndarray, decode) -> dict[int, np.ndarray]:
     """The decoded sets of some rows of a block, by row."""
-    end = np.cumsum(lens)
-    return {k: decode(payloads[end[k] - lens[k] : end[k]]) for k in np.unique(rows).tolist()}
+    end, rows = np.cumsum(lens), np.unique(rows)
+    sizes, values = decode([payloads[end[k] - lens[k] : end[k]] for k in rows.tolist()])
+    return dict(zip(rows.tolist(), np.split(values, np.cumsum(sizes)[:-1])))
 
 
 def _block_links(percent: int, decode):
@@ -297,7 +320,7 @@ def _block_links(percent: int, decode):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns)):
-                same, r = r[0], [v if k in (5, 13) else longs(v) for k, v in enumerate(r[1:])]
+                same, r = r[0], [v if k in (5, 13) else np.frombuffer(v, "<i8") for k, v in enumerate(r[1:])]
                 (nodes, comps, ns, ells, lens, toks, plens, prefix), (nodes2, comps2, ns2, ells2, lens2, toks2, plens2, prefix2) = r[:8], r[8:]
                 cand = _overlaps(prefix, plens, prefix2, plens2) >= np.minimum(ells[:, None], ells2[None, :])
                 cand &= comps[:, None] != comps2[None, :]
@@ -326,8 +349,8 @@ def link_sets(sets: DataFrame, percent: int, name: str, rounds: int = 1, decode=
     """(node, comp) of all nodes that have a verified link; comp is the smallest node linked.
 
     sets: (node long, n long, toks binary, ell int, prefix array<long>, off double). n is the set's
-    size, toks its elements, which ``decode`` makes distinct longs (at least those that other sets may
-    hold), prefix the elements to find candidates by: two sets are candidates if they share min(ell) of their prefixes. off says
+    size, toks its elements, which ``decode`` makes distinct longs, many sets at once (at least those that other
+    sets may hold), prefix the elements to find candidates by: two sets are candidates if they share min(ell) of their prefixes. off says
     how far from its neighbours a set is likely to be.
 
     A posting list of m sets stands for m * m / 2 pairs. Only connectivity is asked for, so first

@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash: one line stays of each group of equal or similar lines.
 
-A line's character shingles (5 characters of its lower-cased text; a shorter line is one shingle) give a
+A line's character shingles (6 characters of its lower-cased text; a shorter line is one shingle) give a
 one-permutation MinHash signature, its bands are the posting lists of candidate pairs, candidates are
 confirmed by the exact Jaccard similarity of their shingle sets, and distributed union-find joins them. The first
 line of a component, by doc_id and line number, stays; the others go from their documents.
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from . import _text as K
 from ._shared import bitmap, bitmap_bits, in_bitmap, join_hot, link_sets, materialize, partitions, text_key
 
-WIDTH = 5
+WIDTH = 6
 BANDS, ROWS, BINS = 12, 5, 64
 PERCENT = 80
 FLUSH = 100_000
@@ -214,19 +214,30 @@ def _fetch(slots, bits: int):
                 texts: list = [None] * len(at)
                 sizes: list = [None] * len(at)
                 first = np.unique(key, return_index=True)[1]
-                for i in first[compared(key[first])].tolist():
+                first = first[compared(key[first])]
+                for i, n in zip(first.tolist(), _distinct(*ln.shingles(hit[first]), len(first))[0].tolist()):
                     texts[i] = raw[ln.all.starts[at[i]] : ln.all.ends[at[i]]]
-                    sizes[i] = len(_shingles(texts[i]))
+                    sizes[i] = n
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + doc]), pa.array(h1[lo + doc]), pa.array(h2[lo + doc]), pa.array((at - ln.all.first[doc]).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "id", "h1", "h2", "line", "text", "n"])
             K.release()
 
     return fetch
 
 
-def _shingles(line: bytes) -> np.ndarray:
-    """The set of a line's shingles."""
-    b = np.frombuffer(line, np.uint8)
-    return np.unique(_shingles_of(b, K.prefix_hash(b), np.zeros(1, np.int64), np.array([len(b)]))[1].view(np.int64))
+def _distinct(line: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of different shingles of n lines, these shingles line by line)."""
+    by = np.lexsort((h, line))
+    line, h = line[by], h[by]
+    new = np.ones(len(line), bool)
+    new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
+    return np.bincount(line[new], minlength=n), h[new].view(np.int64)
+
+
+def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of some lines' shingles: sizes, and elements one after another."""
+    ends = np.cumsum([len(x) for x in texts])
+    low = np.frombuffer(b"".join(texts), np.uint8)
+    return _distinct(*_shingles_of(low, K.prefix_hash(low), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)), len(texts))
 
 
 def _without(schema_names: list[str]):

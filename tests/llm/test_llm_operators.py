@@ -287,7 +287,7 @@ def brute_lines(rows):
     ids = lambda i: K.NO_ID if i is None else i
     docs = {(i, t) for i, t, *_ in rows if t}
     occ = [(ids(i), j, t, low(x)) for i, t in docs for j, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
-    shingles = {x: {x[k : k + 5] for k in range(max(len(x) - 4, 1))} for *_, x in occ}
+    shingles = {x: {x[k : k + 6] for k in range(max(len(x) - 5, 1))} for *_, x in occ}
     distinct = list(shingles)
     parent = {x: x for x in distinct}
 
@@ -355,7 +355,7 @@ def test_line_recall_by_length():
         while len(a) < 300:
             x = "".join(r.choice("abcdefghijklmnopqrstuvwxyzé ") for _ in range(size))
             y = x + "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 2 + size // 6))) if r.random() < 0.5 else x[r.randrange(1, 2 + size // 6) :]
-            s, t = ({v[k : k + 5] for k in range(len(v) - 4)} for v in (x, y))
+            s, t = ({v[k : k + 6] for k in range(len(v) - 5)} for v in (x, y))
             if 0.8 <= len(s & t) / len(s | t) < 0.9:
                 a.append(x)
                 b.append(y)

@@ -273,6 +273,13 @@ def pca_explained_variance(spark, sf):
     return spark.createDataFrame([(i + 1, round(float(v), 8), round(float(s), 8)) for i, (v, s) in enumerate(zip(m.variances, m.ratios))], "component int, variance double, ratio double")
 
 
+@query
+def pca_power_sums(spark, sf):
+    """Sums of powers of all eigenvalues over their mean: traces of the powers of the covariance."""
+    v = R.fit_pca(patches(spark, sf), "features", 1.0).variances
+    return spark.createDataFrame([(k, round(float(((v / v.mean()) ** k).sum()), 5)) for k in (1, 2, 3, 4)], "power int, total double")
+
+
 @query
 def pca_total_variance(spark, sf):
     m = R.fit_pca(patches(spark, sf), "features", 1.0)
@@ -336,6 +343,23 @@ def minibatch_kmeans(spark, sf):
     return _norms(B.minibatch_kmeans(patches(spark, sf), "features", "vec_id", 10, 64, 7))
 
 
+@query
+def bank_invariants(spark, sf):
+    """What holds for banks with random starts: their size, that greedy picks are rows of the table, and that
+    means of clusters are closer to the rows than one center, the mean of all, is."""
+    p = patches(spark, sf).select("vec_id", "batch", "features")
+    mean = p.agg(F.array(*(F.avg(F.col("features")[i]) for i in range(DIM)))).first()[0]
+    banks = {"greedy_approx": B.greedy(p, "features", "vec_id", 0.02, True), "kmeans": B.kmeans(p, "features", 10, 7), "minibatch_kmeans": B.minibatch_kmeans(p, "features", "vec_id", 10, 64, 7)}
+    inertia = lambda b: J.min_distance(p.select("vec_id", "features"), b).agg(F.sum(F.col("distance") ** 2)).first()[0]
+    one = inertia(spark.createDataFrame([(0, mean)], B.BANK))
+    rows = []
+    for name, bank in banks.items():
+        found = spark.createDataFrame(bank.collect(), B.BANK)
+        known = J.min_distance(found.withColumnRenamed("bank_id", "pick"), p.select(F.col("vec_id").alias("bank_id"), "features")).where("distance > 1e-9").count() == 0
+        rows.append((name, found.count(), known or name != "greedy_approx", name == "greedy_approx" or inertia(found) < one))
+    return spark.createDataFrame(rows, "bank string, n_rows long, from_table boolean, closer_than_mean boolean")
+
+
 @query
 def tail_residual_topk(spark, sf):
     s = T.residual_scores(patches(spark, sf).select("vec_id", "features"), prototypes(spark, sf))

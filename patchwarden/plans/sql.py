@@ -101,6 +101,78 @@ s(n, vec_id, f) AS (
 """
 
 
+def _farthest(name: str, source: str, k: int) -> str:
+    """CTEs for farthest-first in every group of source (grp, ord, f) at once: ``name`` (grp, n, f), n from 0; groups of k rows
+    or fewer stay in their order."""
+    return f"""{name}_m AS (SELECT grp, list(v ORDER BY i) AS m, any_value(c) AS c FROM (SELECT grp, i, avg(f[i]) AS v, count(*) AS c FROM {source}, range(1, {DIM + 1}) t(i) GROUP BY grp, i) GROUP BY grp),
+{name}_s(n, grp, ord, f) AS (
+  (SELECT 0, grp, ord, f FROM {source} JOIN {name}_m USING (grp) WHERE c > {k} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY list_distance(f, m) DESC, ord) = 1)
+  UNION ALL
+  (SELECT n, grp, ord, f FROM (SELECT (SELECT max(n) FROM recurring.{name}_s) + 1 AS n, x.grp, x.ord, any_value(x.f) AS f, min(list_distance(x.f, r.f)) AS near FROM {source} x JOIN recurring.{name}_s r ON x.grp = r.grp GROUP BY x.grp, x.ord)
+   WHERE n < {k} QUALIFY row_number() OVER (PARTITION BY grp ORDER BY near DESC, ord) = 1)),
+{name} AS (SELECT grp, n::BIGINT AS n, f FROM {name}_s UNION ALL SELECT grp, row_number() OVER (PARTITION BY grp ORDER BY ord) - 1, f FROM {source} JOIN {name}_m USING (grp) WHERE c <= {k})"""
+
+
+LEVELS = 14  # of merging: 16,384 batches
+
+
+def _merge_reduce(name: str, source: str, k: int, chunk: int) -> str:
+    """CTEs for merge-reduce k-center of source (b, ord, f), batches b from 0 without gaps: ``name`` (n, f)."""
+    cap = min(k, chunk)
+    out = [f"{name}_i0 AS (SELECT b AS grp, ord, f FROM {source})", _farthest(f"{name}_0", f"{name}_i0", cap), f"{name}_n0 AS (SELECT count(DISTINCT grp) AS nodes FROM {name}_0)"]
+    for j in range(1, LEVELS + 1):
+        old = f"{name}_{j - 1}"
+        out.append(f"{name}_i{j} AS (SELECT grp // 2 AS grp, (grp % 2) * {cap} + n AS ord, f FROM {old}, {name}_n{j - 1} WHERE nodes > 1 AND grp < nodes // 2 * 2)")
+        out.append(_farthest(f"{name}_{j}", f"{name}_i{j}", cap))
+        out.append(f"{name}_n{j} AS (SELECT nodes // 2 AS nodes FROM {name}_n{j - 1})")
+    rest = " UNION ALL ".join(f"SELECT {j} * {cap} + n AS ord, f FROM {name}_{j}, {name}_n{j} WHERE nodes % 2 = 1 AND grp = nodes - 1" for j in range(LEVELS + 1))
+    out += [f"{name}_rest AS (SELECT 0 AS grp, ord, f FROM ({rest}))", _farthest(f"{name}_z", f"{name}_rest", k), f"{name} AS (SELECT n, f FROM {name}_z)"]
+    return ",\n".join(out)
+
+
+_BANK_NORMS = "SELECT n AS bank_id, round(sqrt(list_inner_product(f, f)), 6) AS norm, round(f[1], 6) + 0.0 AS \"first\" FROM"
+_BLOCKS = "x AS (SELECT vec_id // 64 AS b, vec_id AS ord, embedding::DOUBLE[] AS f FROM embeddings)"
+
+
+def _tail_aware(k: int, main: int, pool: int, chunk: int) -> str:
+    """Main centers from the full ones, the pool of largest residuals, and of its new rows those farthest from all chosen."""
+    return f"""WITH RECURSIVE {_BLOCKS}, {_merge_reduce("full_", "x", k, chunk)}, fi AS (SELECT 0 AS grp, n AS ord, f FROM full_), {_farthest("main", "fi", main)},
+re AS (SELECT x.ord, x.f, min(list_distance(x.f, c.f)) AS d FROM x, full_ c GROUP BY ALL),
+top AS (SELECT min(ord) AS ord, f, arg_min(d, ord) AS d FROM re GROUP BY f ORDER BY d DESC, min(ord) LIMIT {pool}),
+fresh AS (SELECT row_number() OVER (ORDER BY d DESC, ord) AS o, f FROM top WHERE f NOT IN (SELECT f FROM main)),
+pick(n, o, f) AS (
+  (SELECT 0, o, f FROM (SELECT o, fresh.f, min(list_distance(fresh.f, main.f)) AS near FROM fresh, main GROUP BY ALL) ORDER BY near DESC, o LIMIT 1)
+  UNION ALL
+  (SELECT n, o, f FROM (SELECT (SELECT max(n) FROM recurring.pick) + 1 AS n, fresh.o, fresh.f, min(list_distance(fresh.f, c.f)) AS near FROM fresh, (SELECT f FROM main UNION ALL SELECT f FROM recurring.pick) c WHERE fresh.o NOT IN (SELECT o FROM recurring.pick) GROUP BY fresh.o, fresh.f ORDER BY near DESC, fresh.o LIMIT 1) WHERE n < {k - main}))
+{_BANK_NORMS} (SELECT n, f FROM main UNION ALL SELECT n + (SELECT count(*) FROM main), f FROM pick)"""
+
+
+def _sigma(rho: float) -> str:
+    """CTEs for the regularised covariance as a list of rows with the unit matrix behind: m0 (m), and the mean mu (m)."""
+    return f"""{COV.format(key="0")}, tr AS (SELECT sum(cov) AS t FROM cv WHERE i = j), mu AS (SELECT list(mean_i ORDER BY i) AS m FROM cv WHERE i = j AND i = j),
+sym AS (SELECT i, j, {1 - rho} * cov + CASE WHEN i = j THEN {rho} * t / {DIM} ELSE 0 END AS v FROM (SELECT i, j, cov FROM cv UNION ALL SELECT j, i, cov FROM cv WHERE i < j), tr),
+m0 AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list_concat(list(v ORDER BY j), list_transform(range(1, {DIM + 1}), lambda y: (y = i)::DOUBLE)) AS r FROM sym GROUP BY i))"""
+
+
+_INVERSE = f"""g(k, m) AS (SELECT 0, m FROM m0 UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN p ELSE list_transform(r, lambda y, j: y - r[k + 1] * p[j]) END) FROM (SELECT k, m, list_transform(m[k + 1], lambda y: y / m[k + 1][k + 1]) AS p FROM g WHERE k < {DIM})),
+inv AS (SELECT list_transform(m, lambda r: r[{DIM + 1}:{2 * DIM}]) AS w FROM g WHERE k = {DIM})"""
+#: rows of the inverse Cholesky factor: elimination below the pivots only, divided by the pivots' roots
+_FACTOR = f"""g(k, m) AS (SELECT 0, m FROM m0 UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, i: CASE WHEN i <= k + 1 THEN r ELSE list_transform(r, lambda y, j: y - r[k + 1] / p[k + 1] * p[j]) END) FROM (SELECT k, m, m[k + 1] AS p FROM g WHERE k < {DIM})),
+inv AS (SELECT list_transform(m, lambda r, i: list_transform(r[{DIM + 1}:{2 * DIM}], lambda y: y / sqrt(r[i]))) AS w FROM g WHERE k = {DIM})"""
+_ANOMALY = f"""WITH RECURSIVE {_sigma(0.07)}, {_FACTOR},
+z AS (SELECT vec_id, list_transform(w, lambda r: list_inner_product(r, d)) AS f FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda y, i: y - m[i]) AS d FROM embeddings, mu), inv),
+zb AS (SELECT vec_id // 64 AS b, vec_id AS ord, f FROM z), {_merge_reduce("mr", "zb", 100, 64)},
+bank AS (SELECT n AS bank_id, f FROM mr), p AS (SELECT vec_id, vec_id // 25 AS image_idx, vec_id % 25 AS patch_pos, f FROM z), {KN}, {FIRST}, {_eq7(5)}
+SELECT image_idx, round(e, 6) AS score FROM e7 WHERE o = 1"""
+_BUDGETED = """WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, embedding::DOUBLE[] AS f FROM embeddings),
+g(n, c) AS (SELECT 0::BIGINT, []::DOUBLE[][] UNION ALL
+  SELECT n, CASE WHEN len(c) < {k} THEN list_append(c, f) WHEN list_min(list_transform(c, lambda a: list_distance(a, f))) > list_min(near) THEN list_transform(c, lambda a, i: CASE WHEN i = list_position(near, list_min(near)) THEN f ELSE a END) ELSE c END
+  FROM (SELECT o.n, o.f, c, list_transform(c, lambda a, i: list_min(list_transform(c, lambda b, j: CASE WHEN i = j THEN 'inf'::DOUBLE ELSE list_distance(a, b) END))) AS near FROM g JOIN o ON o.n = g.n + 1))
+SELECT (i - 1)::BIGINT AS bank_id, round(sqrt(list_inner_product(f, f)), 6) AS norm, round(f[1], 6) + 0.0 AS "first" FROM (SELECT unnest(range(1, len(c) + 1)) AS i, unnest(c) AS f FROM (SELECT c FROM g ORDER BY n DESC LIMIT 1))"""
+
+
 def _pool(out: int) -> str:
     return f"SELECT vec_id, (b)::INTEGER AS bin, round(list_avg((embedding::DOUBLE[])[b * {DIM} // {out} + 1 : ((b + 1) * {DIM} + {out} - 1) // {out}]), 6) + 0.0 AS value FROM embeddings, range(0, {out}) t(b)"
 
@@ -163,6 +235,17 @@ b AS (SELECT t2 * ((n - 1) / n) ** 2 AS t2, t * (n - 1) / n AS t, n, d, q FROM t
         "regularized_cov": f"{TRACES} SELECT i::INTEGER AS i, j::INTEGER AS j, round(0.93 * cov + CASE WHEN i = j THEN 0.07 * t / d ELSE 0 END, 8) + 0.0 AS value FROM cv, t",
         "whitened_norm_2d": _whiten(2),
         "whitened_norm_6d": _whiten(6),
+        "whitened_norm_64d": f"""WITH RECURSIVE {_sigma(0.07)}, {_INVERSE}
+SELECT vec_id, round(list_inner_product(list_transform(w, lambda r: list_inner_product(r, d)), d), 6) AS norm FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda y, i: y - m[i]) AS d FROM embeddings, mu), inv""",
+        "pca_power_sums": f"""WITH {COV.format(key="0")}, tr AS (SELECT sum(cov) / {DIM} AS t FROM cv WHERE i = j), c AS (SELECT i, j, cov / t AS v FROM (SELECT i, j, cov FROM cv UNION ALL SELECT j, i, cov FROM cv WHERE i < j), tr),
+c2 AS (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.j = b.i GROUP BY a.i, b.j)
+SELECT 1 AS power, round(sum(v), 5) AS total FROM c WHERE i = j UNION ALL SELECT 2, round(sum(v * v), 5) FROM c UNION ALL SELECT 3, round(sum(c.v * c2.v), 5) FROM c JOIN c2 USING (i, j) UNION ALL SELECT 4, round(sum(v * v), 5) FROM c2""",
+        "merge_reduce_bank": f"WITH RECURSIVE {_BLOCKS}, {_merge_reduce('mr', 'x', 100, 32)} {_BANK_NORMS} mr",
+        "stream_bank": f"WITH RECURSIVE {_BLOCKS}, {_merge_reduce('mr', 'x', 50, 32)} {_BANK_NORMS} mr",
+        "tail_aware_bank": _tail_aware(40, 34, 60, 32),
+        "budgeted_kcenter": _BUDGETED.replace("{k}", "20"),
+        "anomaly_scores": _ANOMALY,
+        "bank_invariants": """SELECT * FROM (VALUES ('greedy_approx', (SELECT floor(count(*) * 0.02)::BIGINT FROM embeddings), true, true), ('kmeans', 10, true, true), ('minibatch_kmeans', 10, true, true)) t(bank, n_rows, from_table, closer_than_mean)""",
         "whitened_total": f"SELECT count(*) AS n, round((count(*) - 1) * {DIM}.0::DOUBLE, 4) AS total FROM embeddings",
         "pca_total_variance": f"{TRACES} SELECT round(t, 8) AS total FROM t",
         "pca_reduced": f"WITH {_bank('b', '0')}, {P} SELECT vec_id, round(list_distance(p.f, b.f) ** 2, 6) AS norm FROM p, b",

@@ -44,7 +44,8 @@ class _Lines:
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         self.low = K.LOWER[buf]
         self.all = K.lines(self.low, off)
-        seen = np.concatenate([[0], np.cumsum(K.NOT_SPACE[self.low], dtype=np.int64)])
+        seen = np.zeros(len(self.low) + 1, np.int32 if len(self.low) < 1 << 31 else np.int64)
+        np.cumsum(K.NOT_SPACE[self.low], out=seen[1:])
         self.at = np.flatnonzero(seen[self.all.ends] > seen[self.all.starts])
         self.starts, self.ends = self.all.starts[self.at], self.all.ends[self.at]
         self.sums = K.prefix_hash(self.low)
@@ -56,17 +57,50 @@ class _Lines:
 
 
 def _shingles_of(low: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if len(low) and low.max() < 0x80:  # characters are bytes
-        cp, first, size = None, starts, ends - starts
-    else:
-        cp = np.append(np.flatnonzero(K.code_points(low)), len(low))
-        first = np.searchsorted(cp, starts)
-        size = np.searchsorted(cp, ends) - first
-    n = np.maximum(size - WIDTH + 1, 1)
-    line = np.repeat(np.arange(len(starts)), n)
-    i = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(line))
-    stop = i + np.repeat(np.minimum(size, WIDTH), n)
-    return line, K.span_hash(sums, i, stop) if cp is None else K.span_hash(sums, cp[i], cp[stop])
+    """(line, hash) of the shingles of lines. In lines of ASCII a character is a byte; in others characters are
+    found first. Shingles of up to 8 bytes are hashed as one number, longer ones by running sums."""
+    odd = np.zeros(len(starts), bool)
+    wide = low >= 0x80
+    if wide.any():
+        odd = np.bincount(np.searchsorted(starts, np.flatnonzero(wide), "right"), minlength=len(starts) + 1)[1:] > 0
+    padded = np.ndarray((len(low),), "<u8", np.concatenate([low, np.zeros(8, np.uint8)]), strides=(1,))
+    out = []
+    for rows, cp in ((np.flatnonzero(~odd), None), (np.flatnonzero(odd), True)):
+        if not len(rows):
+            continue
+        if cp is None:
+            first, size = starts[rows], ends[rows] - starts[rows]
+        else:
+            cp = np.append(np.flatnonzero(K.code_points(low)), len(low))
+            first = np.searchsorted(cp, starts[rows])
+            size = np.searchsorted(cp, ends[rows]) - first
+        n = np.maximum(size - WIDTH + 1, 1)
+        at = np.cumsum(n) - n
+        i = np.repeat(first - at, n)
+        i += np.arange(len(i))
+        length: np.ndarray | int = WIDTH
+        if (size < WIDTH).any() or cp is not None:
+            stop = i + np.repeat(np.minimum(size, WIDTH), n)
+            i, stop = (i, stop) if cp is None else (cp[i], cp[stop])
+            length = stop - i
+        h = _short_hash(padded[i], length)
+        if cp is not None and (long := np.flatnonzero(length > 8)).size:
+            h[long] = K.span_hash(sums, i[long], stop[long])
+        out.append((np.repeat(rows, n), h))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def _short_hash(eight: np.ndarray, length) -> np.ndarray:
+    """Hash of the first length bytes (8 at most count) of each number."""
+    x = eight & _MASKS[np.minimum(length, 8)]
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def _tries() -> np.ndarray:

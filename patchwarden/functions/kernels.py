@@ -70,24 +70,8 @@ class Budgeted:
                 self._near = None
 
 
-def greedy_exact(x: np.ndarray, share: float) -> np.ndarray:
-    """Greedy coreset of int(n * share) rows: starts from the norms of the distance matrix's rows."""
-    n = len(x)
-    sq = (x * x).sum(1)
-    anchor = np.sqrt(np.maximum(n * sq - 2 * x @ x.sum(0) + sq.sum(), 0))
-    return _greedy(x, anchor, int(n * share))
-
-
-def greedy_approx(x: np.ndarray, share: float, dim: int = 128, starts: int = 10, seed: int = 0) -> np.ndarray:
-    """Greedy coreset on a random projection, from the mean distance to random starts."""
-    rng = np.random.default_rng(seed)
-    if x.shape[1] != dim:
-        x = x @ (rng.uniform(-1, 1, (x.shape[1], dim)) / np.sqrt(x.shape[1]))
-    start = rng.choice(len(x), min(starts, len(x)), replace=False)
-    return _greedy(x, pairwise(x, x[start]).mean(1), int(len(x) * share))
-
-
-def _greedy(x: np.ndarray, anchor: np.ndarray, k: int) -> np.ndarray:
+def greedy_picks(x: np.ndarray, anchor: np.ndarray, k: int) -> np.ndarray:
+    """k rows in order: always the one of the largest anchor (ties: the lowest), which its distance to a pick bounds."""
     out = []
     for _ in range(k):
         pick = int(np.argmax(anchor))
@@ -96,17 +80,43 @@ def _greedy(x: np.ndarray, anchor: np.ndarray, k: int) -> np.ndarray:
     return np.array(out, int)
 
 
+class Kept:
+    """Rows that stay when each within eps of a kept earlier row goes. The kept ones lie sorted by their first
+    coordinate, as only those within eps there can be near; new ones wait in a short unsorted tail."""
+
+    def __init__(self, eps: float):
+        self.eps, self.x, self.tail = eps, None, []
+
+    def add(self, rows: np.ndarray) -> np.ndarray:
+        """Numbers of the rows that stay."""
+        keep: list[int] = []
+        if self.x is None:
+            self.x = np.zeros((0, rows.shape[1]))
+        for i, r in enumerate(rows):
+            near = self.eps * (1 + 1e-9)
+            lo, hi = np.searchsorted(self.x[:, 0], r[0] - near, "left"), np.searchsorted(self.x[:, 0], r[0] + near, "right")
+            if hi > lo and distances(self.x[lo:hi], r).min() <= self.eps or self.tail and distances(np.array(self.tail), r).min() <= self.eps:
+                continue
+            keep.append(i)
+            self.tail.append(r)
+            if len(self.tail) >= 256:
+                self._sort()
+        self._sort()
+        return np.array(keep, int)
+
+    def _sort(self) -> None:
+        if self.tail:
+            x = np.concatenate([self.x, np.array(self.tail)])
+            self.x, self.tail = x[np.argsort(x[:, 0], kind="stable")], []
+
+
 def tolerance_kept(x: np.ndarray, eps: float, kept: np.ndarray | None = None) -> np.ndarray:
     """Rows that stay when each within eps of a kept earlier row goes."""
-    keep: list[int] = []
-    pool = np.zeros((0, x.shape[1])) if kept is None else kept
-    for i, r in enumerate(x):
-        if len(pool) and distances(pool, r).min() <= eps:
-            continue
-        if keep and distances(x[keep], r).min() <= eps:
-            continue
-        keep.append(i)
-    return np.array(keep, int)
+    state = Kept(eps)
+    if kept is not None and len(kept):
+        state.x, state.tail = np.zeros((0, kept.shape[1])), list(kept)
+        state._sort()
+    return state.add(x)
 
 
 def regions(mask: np.ndarray) -> np.ndarray:

@@ -31,22 +31,18 @@ def dedup_first(df: DataFrame, column: str, order: str, strategy: str = "exact_r
 
 
 def dedup_tolerance(df: DataFrame, column: str, order: str, eps: float) -> DataFrame:
-    """Rows that stay when each within eps of a kept earlier row goes: greedy in order, so it
-    streams through one task that holds the kept vectors only."""
+    """Rows that stay when each within eps of a kept earlier row goes: greedy in order. Equal vectors go first, in an
+    aggregate with map-side combine, as what keeps or drops the first of them drops the others; the different
+    ones stream through one task, as the definition is sequential. It holds the kept vectors only, sorted by a coordinate."""
     names = df.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
+        kept = N.Kept(eps)
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = A.matrix(b.column(names.index(column)))
-            i = N.tolerance_kept(x, eps, np.concatenate(kept) if kept else None)
-            if len(i):
-                kept.append(x[i])
+            if b.num_rows and len(i := kept.add(A.matrix(b.column(names.index(column))))):
                 yield b.take(pa.array(i))
 
-    return df.repartition(1).sortWithinPartitions(order).mapInArrow(keep, df.schema)
+    return dedup_first(df, column, order).repartition(1).sortWithinPartitions(order).mapInArrow(keep, df.schema)
 
 
 def in_pool(df: DataFrame, pool: DataFrame, column: str = "features", strategy: str = "exact_row", decimals: int = 6, eps: float = 0.0) -> DataFrame:

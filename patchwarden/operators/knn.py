@@ -84,13 +84,26 @@ def _knn_by_blocks(queries: DataFrame, bank: DataFrame, k: int, column: str, key
     left = _packed(named, "__q", column, QUERY_CHUNK).withColumnsRenamed({"ids": "q_ids", "x": "q_x"}).drop("dim")
     right = _packed(bank, "bank_id", "features", BANK_CHUNK)
 
+    right = right.withColumnsRenamed({"ids": "b_ids", "x": "b_x"})
+    partial = left.crossJoin(right).select("dim", "q_ids", "q_x", "b_ids", "b_x").mapInArrow(_near_blocks(k), "__q long, bank_id long, sq_dist double")
+    return _best(named, partial, k, column, keys)
+
+
+def _near_blocks(k: int):
+    """Pairs of packed blocks to the k nearest of each query."""
+
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q_ids, q_x, dim, ids, x in zip(*(c.to_pylist() for c in b.columns)):
-                i, d = top_k(A.unpack(q_x, dim), np.frombuffer(ids, "<i8"), A.unpack(x, dim), k)
+            for dim, q_ids, q_x, ids, x in zip(*(c.to_pylist() for c in b.columns)):
+                bank_ids, y = np.frombuffer(ids, "<i8"), A.unpack(x, dim)
+                by = np.argsort(bank_ids, kind="stable")
+                i, d = top_k(A.unpack(q_x, dim), bank_ids[by], y[by], k)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(q_ids, "<i8"), i.shape[1])), pa.array(i.ravel()), pa.array(d.ravel())], names=["__q", "bank_id", "sq_dist"])
 
-    partial = left.crossJoin(right).select("q_ids", "q_x", "dim", "ids", "x").mapInArrow(near, "__q long, bank_id long, sq_dist double")
+    return near
+
+
+def _best(named: DataFrame, partial: DataFrame, k: int, column: str, keys: list[str]) -> DataFrame:
     best = partial.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("__q").orderBy("sq_dist", "bank_id"))).where(F.col("rank") <= k)
     return named.drop(column).join(best, "__q").select(*keys, "rank", "bank_id", "sq_dist")
 
@@ -119,13 +132,28 @@ def support(bank: DataFrame, b: int) -> DataFrame:
     return pairs.select("anchor_id", "rank", F.col("bank_id").alias("nbr_id"))
 
 
+def _blocks_by(df: DataFrame, keys: list[str], id_: str, column: str, rows: int, prefix: str) -> DataFrame:
+    """(keys, dim, <prefix>_ids, <prefix>_x): rows of each key packed in blocks of about ``rows``."""
+    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    blk = F.pmod(F.xxhash64(id_), F.lit(-(-most // rows) or 1))
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("dim", T.IntegerType()), T.StructField(f"{prefix}_ids", T.BinaryType()), T.StructField(f"{prefix}_x", T.BinaryType())])
+
+    def pack(t: pa.Table) -> pa.Table:
+        x = A.matrix(t.column("__x"))
+        return pa.table([*(t.column(k).slice(0, 1) for k in keys), pa.array([x.shape[1]], pa.int32()), pa.array([t.column("__id").to_numpy().astype("<i8").tobytes()]), pa.array([A.pack(x)])], names=[f.name for f in schema])
+
+    return df.select(*keys, blk.alias("__blk"), F.col(id_).cast("long").alias("__id"), F.col(column).alias("__x")).groupBy(*keys, "__blk").applyInArrow(pack, schema)
+
+
 def position_knn(queries: DataFrame, bank: DataFrame, position: list[str], k: int) -> DataFrame:
-    """k nearest among the bank rows of the same position: an equi-join, then a top k."""
+    """k nearest among the bank rows of the same position. Queries and bank rows of a position are packed in blocks of
+    bounded size, pairs of blocks give partial top k, and these are merged, so a position is spread over tasks."""
     keys = [c for c in queries.columns if c != "features"]
-    b = bank.select(*position, "bank_id", F.col("features").alias("__bank"))
-    d = queries.join(b, position).withColumn("sq_dist", sq_dist(F.col("features"), F.col("__bank"))).drop("features", "__bank")
-    w = Window.partitionBy(*keys).orderBy("sq_dist", "bank_id")
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "rank", "bank_id", "sq_dist")
+    named = queries.withColumn("__q", F.xxhash64(*keys, "features"))
+    left = _blocks_by(named, position, "__q", "features", QUERY_CHUNK, "q")
+    right = _blocks_by(bank, position, "bank_id", "features", BANK_CHUNK, "b").drop("dim")
+    pairs = left.join(right, position).select("dim", "q_ids", "q_x", "b_ids", "b_x").mapInArrow(_near_blocks(k), "__q long, bank_id long, sq_dist double")
+    return _best(named, pairs, k, "features", keys)
 
 
 def grid_neighbours(cells: DataFrame, kernel: int, exclude_self: bool = False) -> DataFrame:

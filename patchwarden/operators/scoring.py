@@ -6,10 +6,15 @@ bank_id, sq_dist). Every score is a composition of window and aggregate function
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import arrow as A
 from ..functions.vectors import sq_dist
 from . import knn as J
 
@@ -20,7 +25,6 @@ def _image():
     return Window.partitionBy("image_idx")
 
 
-
 def unpatch(patches: DataFrame, column: str = "score") -> DataFrame:
     """(image_idx, scores): an image's patch scores in position order."""
     pairs = F.array_sort(F.collect_list(F.struct("patch_pos", column)))
@@ -138,8 +142,9 @@ def pni_gate(patches: DataFrame, knn: DataFrame, bank: DataFrame, prior: DataFra
 
 
 def log_weights(components: DataFrame) -> DataFrame:
-    """components (component_id, weight, mean, variance) with the log of their share, and packed with floors."""
-    share = F.col("weight") / F.sum("weight").over(Window.partitionBy())  # a bounded bank
+    """components (component_id, weight, mean, variance) with the log of their share, and with floors."""
+    total = components.agg(F.sum("weight")).first()[0]
+    share = F.col("weight") / F.lit(float(total or 0))
     return components.withColumn("log_weight", F.log(F.greatest(share, F.lit(MIN_VARIANCE)))).withColumn("variance", F.transform("variance", lambda v: F.greatest(v, F.lit(MIN_VARIANCE))))
 
 
@@ -147,19 +152,52 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
 
-def component_log_prob(x: Column, mean: Column, variance: Column, log_weight: Column) -> Column:
-    """Log of a weighted diagonal Gaussian."""
-    quad = _sum(F.zip_with(F.zip_with(x, mean, lambda a, b: (a - b) * (a - b)), variance, lambda q, v: q / v))
-    logdet = _sum(F.transform(variance, lambda v: F.log(v)))
-    return -0.5 * (quad + logdet + F.size(x) * F.lit(math.log(2 * math.pi))) + log_weight
+def _log_prob(x: np.ndarray, mean: np.ndarray, variance: np.ndarray, log_weight: np.ndarray) -> np.ndarray:
+    """Logs of weighted diagonal Gaussians (rows x components), from exact differences in bounded pieces."""
+    out = np.empty((len(x), len(mean)))
+    base = log_weight - 0.5 * (np.log(variance).sum(1) + x.shape[1] * math.log(2 * math.pi))
+    step = max(1, PIECE // mean.size)
+    for a in range(0, len(x), step):
+        d = x[a : a + step, None, :] - mean[None]
+        out[a : a + step] = base - 0.5 * np.einsum("qcd,cd->qc", d * d, 1 / variance)
+    return out
+
+
+#: numbers of a piece of differences
+PIECE = 1 << 22
 
 
-def density_join(queries: DataFrame, components: DataFrame) -> DataFrame:
-    """queries' other columns, component_id, log_prob, with distance = -log_prob; the bank is bounded."""
+def density_join(queries: DataFrame, components: DataFrame, bank_bytes: int = J.BANK_BYTES) -> DataFrame:
+    """queries' other columns, component_id, log_prob, with distance = -log_prob, of all components. A mixture within
+    bank_bytes (checked) is sent to every worker; a larger one is cut into blocks that the queries meet one by one."""
     keys = [c for c in queries.columns if c != "features"]
     c = log_weights(components)
-    lp = component_log_prob(F.col("features"), F.col("mean"), F.col("variance"), F.col("log_weight"))
-    return queries.crossJoin(F.broadcast(c)).select(*keys, "component_id", lp.alias("log_prob"), (-lp).alias("distance"))
+    n, size = c.agg(F.count("*"), F.coalesce(F.sum(F.size("mean").cast("long") * 2 + 2), F.lit(0))).first()
+    if not n:
+        raise ValueError("the mixture has no components")
+    parts = -(-size * 8 // bank_bytes)
+    out = None
+    for i in range(parts):  # as many passes as the mixture has blocks
+        part = c if parts == 1 else c.where(F.pmod(F.xxhash64("component_id"), F.lit(parts)) == i)
+        one = _density_block(queries, part, keys)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _density_block(queries: DataFrame, components: DataFrame, keys: list[str]) -> DataFrame:
+    t = components.select(F.col("component_id").cast("long").alias("component_id"), "mean", "variance", "log_weight").toArrow().sort_by("component_id")
+    shared = queries.sparkSession.sparkContext.broadcast((t.column("component_id").to_numpy(), *(A.matrix(t.column(k)) for k in ("mean", "variance")), t.column("log_weight").to_numpy()))
+    schema = T.StructType([*(queries.schema[k] for k in keys), *(T.StructField(k, v()) for k, v in (("component_id", T.LongType), ("log_prob", T.DoubleType), ("distance", T.DoubleType)))])
+
+    def density(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, mean, variance, log_weight = shared.value
+        for b in batches:
+            if b.num_rows and len(ids):
+                lp = _log_prob(A.matrix(b.column(len(keys))), mean, variance, log_weight)
+                take = pa.array(np.repeat(np.arange(b.num_rows), len(ids)))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(len(keys))), pa.array(np.tile(ids, b.num_rows)), pa.array(lp.ravel()), pa.array(-lp.ravel())], names=[f.name for f in schema])
+
+    return queries.select(*keys, "features").mapInArrow(density, schema)
 
 
 def bhattacharyya(components: DataFrame) -> DataFrame:
@@ -171,7 +209,7 @@ def bhattacharyya(components: DataFrame) -> DataFrame:
     logs = lambda v: _sum(F.transform(v, lambda x: F.log(x)))
     det_term = (logs(mid) - (logs(F.col("av")) + logs(F.col("variance"))) / 2) / 2
     d = F.when(F.col("anchor_id") == F.col("component_id"), F.lit(-1.0)).otherwise(mean_term + det_term)
-    return a.crossJoin(F.broadcast(c)).select("anchor_id", "component_id", d.alias("distance"))
+    return a.crossJoin(c).select("anchor_id", "component_id", d.alias("distance"))  # all pairs of components are its result
 
 
 def density_eq7(patches: DataFrame, components: DataFrame, b: int = 9) -> DataFrame:
@@ -184,7 +222,8 @@ def density_eq7(patches: DataFrame, components: DataFrame, b: int = 9) -> DataFr
         return top.select("image_idx", "patch_pos", "score")
     w = Window.partitionBy("anchor_id").orderBy("distance", "component_id")
     near = bhattacharyya(components).withColumn("o", F.row_number().over(w)).where(F.col("o") <= b).select("anchor_id", "component_id", "o")
-    s = top.join(near, "anchor_id").join(d, ["image_idx", "patch_pos", "component_id"])
+    again = density_join(top.select("image_idx", "patch_pos").join(patches, ["image_idx", "patch_pos"]).select("image_idx", "patch_pos", "features"), components)  # a patch an image
+    s = top.join(near, "anchor_id").join(again, ["image_idx", "patch_pos", "component_id"])
     g = s.groupBy("image_idx", "patch_pos").agg(F.max("score").alias("score"), F.max("distance").alias("m"), F.collect_list("distance").alias("ds"), F.max(F.when(F.col("o") == 1, F.col("distance"))).alias("a"), F.count("*").alias("n"))
     den = _sum(F.transform("ds", lambda v: F.exp(v - F.col("m"))))
     return g.withColumn("w", F.when(F.col("n") > 1, _weight(F.col("a"), F.col("m"), den)).otherwise(1.0)).select("image_idx", "patch_pos", (F.col("w") * F.col("score")).alias("score"))

@@ -90,42 +90,64 @@ def _new(x: np.ndarray, pool: np.ndarray, c: TailConfig) -> np.ndarray:
     return x[keep]
 
 
-def tail_aware_bank(df: DataFrame, column: str, batch: str, order: str, c: TailConfig) -> DataFrame:
-    """(bank_id, features) of at most k rows.
+def _as_bank(spark, m: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m)], B.BANK)
+
+
+def tail_scores(x: DataFrame, full: np.ndarray, main: np.ndarray, c: TailConfig) -> DataFrame:
+    """x (o, features) and ``tail_score`` by the strategy."""
+    bank = lambda m: _as_bank(x.sparkSession, m)
+    if c.strategy == "geometric_residual":
+        return residual_scores(x, bank(full))
+    if c.strategy == "geometric_main_residual":
+        return residual_scores(x, bank(main))
+    return pruning_gap_scores(x, bank(full), bank(full[N.farthest_first(full, min(c.main_budget, len(full)))]))
+
+
+def best_of(scored: DataFrame, c: TailConfig) -> DataFrame:
+    """The pool: the best rows of (o, features, tail_score) without repeats."""
+    once = D.dedup_tolerance(scored, "features", "o", c.eps) if c.dedup == "tolerance" else D.dedup_first(scored, "features", "o", c.dedup, c.decimals)
+    return D.stable_top_k(once.select("o", "features", "tail_score"), "tail_score", "o", c.pool)
+
+
+def chosen(full: np.ndarray, main: np.ndarray, pool: np.ndarray, c: TailConfig) -> tuple[np.ndarray, dict[str, int]]:
+    """The bank's rows (main centers, the pool's rows farthest from all chosen, and full centers for what is
+    left of the budget), and how many of each there are."""
+    out = main
+    fresh = _new(pool, main, c) if len(pool) else pool
+    if len(fresh):
+        out = np.concatenate([out, fresh[N.farthest_from(fresh, main, min(c.tail_budget, len(fresh)))]])
+    tail = len(out) - len(main)
+    if len(out) < c.k:
+        more = _new(full, out, c)
+        if len(more):
+            out = np.concatenate([out, more[N.farthest_from(more, out, min(c.k - len(out), len(more)))]])
+    out = out[: c.k]
+    counts = {"budget": c.k, "main_budget": c.main_budget, "tail_budget": c.tail_budget, "full": len(full), "main": min(len(main), c.k), "pool": len(pool), "pool_new": len(fresh), "tail": tail, "filled": len(out) - len(main) - tail, "bank": len(out)}
+    return out, counts
+
+
+def tail_aware_bank(df: DataFrame, column: str, batch: str, order: str, c: TailConfig, telemetry: dict[str, int] | None = None) -> DataFrame:
+    """(bank_id, features) of at most k rows; telemetry is filled with the sizes of what was selected from.
 
     Phase 1 builds provisional centers by merge-reduce. Phase 2 scores all rows against them in one
     distributed pass and keeps the best ``pool`` of them (scores of single rows do not change from
     batch to batch, so the batchwise pool is the overall stable top). The final selection works on
     banks of at most k and a pool of bounded size, on the driver."""
-    spark = df.sparkSession
     x = df.select(F.col(batch).alias("b"), F.col(order).alias("o"), F.col(column).alias("features"))
     bank = lambda k: B.merge_reduce(x, "features", "b", "o", k, c.chunk)
     full = _matrix(bank(c.k))
     # the pools of both phases see the same rows, and with a chunk below both budgets the same blocks
     main = _matrix(bank(c.main_budget)) if c.main_budget < c.chunk else full[N.farthest_first(full, c.main_budget)] if len(full) > c.main_budget else full
-    as_bank = lambda m: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(m)], B.BANK)
     if c.strategy == "chi2_band":
         pool = _farthest_pool(chi2_band(x, "features", c.p_min, c.p_max), main, c)
     else:
-        if c.strategy == "geometric_residual":
-            scored = residual_scores(x, as_bank(full))
-        elif c.strategy == "geometric_main_residual":
-            scored = residual_scores(x, as_bank(main))
-        else:
-            inner = full[N.farthest_first(full, min(c.main_budget, len(full)))]
-            scored = pruning_gap_scores(x, as_bank(full), as_bank(inner))
-        scored = D.dedup_tolerance(scored, "features", "o", c.eps) if c.dedup == "tolerance" else D.dedup_first(scored, "features", "o", c.dedup, c.decimals)
-        t = D.stable_top_k(scored.select("o", "features", "tail_score"), "tail_score", "o", c.pool).toArrow()
+        t = best_of(tail_scores(x, full, main, c), c).toArrow()
         pool = A.matrix(t.column("features")) if t.num_rows else full[:0]
-    out = main
-    fresh = _new(pool, main, c) if len(pool) else pool
-    if len(fresh):
-        out = np.concatenate([out, fresh[N.farthest_from(fresh, main, min(c.tail_budget, len(fresh)))]])
-    if len(out) < c.k:
-        more = _new(full, out, c)
-        if len(more):
-            out = np.concatenate([out, more[N.farthest_from(more, out, min(c.k - len(out), len(more)))]])
-    return as_bank(out[: c.k])
+    out, counts = chosen(full, main, pool, c)
+    if telemetry is not None:
+        telemetry |= counts
+    return _as_bank(df.sparkSession, out)
 
 
 def _farthest_pool(band: DataFrame, main: np.ndarray, c: TailConfig) -> np.ndarray:

@@ -62,14 +62,21 @@ def png_bytes(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
-def write_artifacts(folder: str, name: str, image: np.ndarray, mask: np.ndarray, scores: np.ndarray, threshold: float, alpha: float = 0.4) -> list[str]:
-    """Image, mask, heatmap, both overlays and the binary prediction of one image."""
-    os.makedirs(folder, exist_ok=True)
+def write_artifacts(folder: str, name: str, image: np.ndarray, mask: np.ndarray, scores: np.ndarray, threshold: float, alpha: float = 0.4, save=None) -> list[str]:
+    """Image, mask, heatmap, both overlays and the binary prediction of one image; save(path, bytes) writes them, by
+    default as local files."""
+    save = save or _save
     heat = heatmap(scores)
     rasters = {"image": image, "gt": (mask > 0) * np.uint8(255), "heatmap": heat, "heatmap_overlay": blend(image, heat, alpha), "mask_overlay": mask_overlay(image, mask, alpha), "pred_mask": (scores >= threshold) * np.uint8(255)}
     paths = []
     for k, v in rasters.items():
         paths.append(os.path.join(folder, f"{name}_{k}.png"))
-        with open(paths[-1], "wb") as f:
-            f.write(png_bytes(np.asarray(v)))
+        save(paths[-1], png_bytes(np.asarray(v)))
     return paths
+
+
+def _save(path: str, data: bytes) -> None:
+    path = path.removeprefix("file://")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(data)

@@ -25,6 +25,7 @@ from ..operators import segmentation as G
 from ..operators import summary as S
 from ..operators import tail as T
 from ..operators import whitening as W
+from ..sources.scratch import written
 from ..sources.tables import read_table
 
 DIM = 64
@@ -54,9 +55,10 @@ def patches(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prototypes(spark: SparkSession, sf: str, group: str = "image_idx") -> DataFrame:
-    """(bank_id, features): the mean vector of every group, without gathering its rows."""
+    """(bank_id, features): the mean vector of every group, without gathering its rows; written, as a bank is read
+    several times."""
     sums = [F.avg(F.col("features")[i]) for i in range(DIM)]
-    return patches(spark, sf).groupBy(F.col(group).cast("long").alias("bank_id")).agg(F.array(*sums).alias("features"))
+    return written(patches(spark, sf).groupBy(F.col(group).cast("long").alias("bank_id")).agg(F.array(*sums).alias("features")), "prototypes")
 
 
 def _near(spark, sf, k: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -71,10 +73,10 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def maps(spark: SparkSession, sf: str) -> DataFrame:
-    """(vec_id, map, mask): a vector as its score map, its successor's large cells as its mask."""
+    """(vec_id, map, mask): a vector as its score map, its successor's large cells as its mask (the last has none)."""
     e = patches(spark, sf).select("vec_id", F.col("features").alias("map"))
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.transform("map", lambda v: (v > 0.15).cast("int")).alias("mask"))
-    return e.join(nxt, "vec_id")
+    return e.join(nxt, "vec_id", "left").withColumn("mask", F.coalesce("mask", F.transform("map", lambda _: F.lit(0))))
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,11 +148,11 @@ def pni_gate_score(spark, sf):
 
 
 def components(spark: SparkSession, sf: str) -> DataFrame:
-    """A diagonal Gaussian for each label."""
+    """A diagonal Gaussian for each label, written."""
     x = F.col("features")
-    return patches(spark, sf).groupBy(F.col("label").cast("long").alias("component_id")).agg(
+    return written(patches(spark, sf).groupBy(F.col("label").cast("long").alias("component_id")).agg(
         F.count("*").cast("double").alias("weight"), F.array(*(F.avg(x[i]) for i in range(DIM))).alias("mean"), F.array(*(F.var_pop(x[i]) for i in range(DIM))).alias("variance")
-    )
+    ), "components")
 
 
 @query
@@ -418,6 +420,30 @@ def pool_anti_join(spark, sf):
     return D.not_in_pool(_prefix(spark, sf), pool, strategy="quantized", decimals=1).select("vec_id")
 
 
+@query
+def dedup_whole(spark, sf):
+    """All 64 dimensions, each row twice: exact keys, and keys rounded to tenths."""
+    p = patches(spark, sf).select("vec_id", "features")
+    twice = p.union(p.select((F.col("vec_id") + 10**9).alias("vec_id"), "features"))
+    exact = D.dedup_first(twice, "features", "vec_id").select(F.lit("exact").alias("key"), "vec_id")
+    return exact.union(D.dedup_first(twice, "features", "vec_id", "quantized", 1).select(F.lit("quantized"), "vec_id"))
+
+
+@query
+def dedup_tolerance_whole(spark, sf):
+    return D.dedup_tolerance(patches(spark, sf).select("vec_id", "features"), "features", "vec_id", 1.2).select("vec_id")
+
+
+@query
+def pool_whole(spark, sf):
+    """Rows in and outside the pool of even rows, by whole vectors, and within a tolerance of the prototypes."""
+    p = patches(spark, sf).select("vec_id", "features")
+    pool = p.where("vec_id % 2 = 0").select("features")
+    inside = D.in_pool(p, pool).select(F.lit("in").alias("side"), "vec_id")
+    outside = D.not_in_pool(p, pool).select(F.lit("out"), "vec_id")
+    return inside.union(outside).union(D.in_pool(p, prototypes(spark, sf), strategy="tolerance", eps=0.95).select(F.lit("near"), "vec_id"))
+
+
 # --- projections and grids ------------------------------------------------------------------------
 
 
@@ -603,7 +629,7 @@ def pricing_summary(spark, sf):
 
 @query
 def order_priority_top(spark, sf):
-    """The five largest orders of each priority: a ranking window over a join."""
+    """The five largest orders of each priority: a ranking window."""
     o = read_table(spark, sf, "orders")
     w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return o.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("o_orderpriority", "rank", "o_orderkey", "o_totalprice")

@@ -5,7 +5,7 @@ and params), evaluation, artifacts, render. Unknown keys are refused everywhere.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from ..operators.calibration import check_mode
@@ -53,7 +53,6 @@ class RunConfig:
     pre_dim: int
     dim: int
     fit: FitConfig
-    self_distances: bool
     evaluation: Evaluation
     artifacts: dict[str, Any]
 
@@ -76,6 +75,8 @@ class _Section:
         v = self.left.pop(key)
         if kind is not None and (not isinstance(v, kind) or isinstance(v, bool) and bool not in (kind if isinstance(kind, tuple) else (kind,))):
             raise ValueError(f"{self.name}.{key} has the wrong type")
+        if isinstance(v, str) and among:  # tokens are read without case and outer white space
+            v = {str(a).lower(): a for a in among}.get(v.strip().lower(), v)
         if among and v not in among:
             raise ValueError(f"{self.name}.{key} must be one of {', '.join(map(str, among))}")
         return v
@@ -134,9 +135,7 @@ def parse(text: str) -> RunConfig:
     if min(patch, stride, pre, dim) < 1 or ratio is not None and not 0 < ratio <= 1:
         raise ValueError("patch sizes and dimensions must be positive, the variance ratio in (0, 1]")
     fit = _fit(plugin, params, contract, epochs, ratio, seed)
-    self_distances = params["materialize"].take("compute_self_distances", False, bool)
-    if self_distances and fit.scorer == "eq7":
-        raise ValueError("support reweighting needs a plain bank, without self distances")
+    fit = replace(fit, self_distances=params["materialize"].take("compute_self_distances", False, bool))
     for s in params.values():
         s.done()
     evaluation = _evaluation(root.section("evaluation"), contract)
@@ -155,7 +154,7 @@ def parse(text: str) -> RunConfig:
     logging.done()
     render.done()
     root.done()
-    return RunConfig(name, seed, output, loader, train_augment, backbone, layers, patch, stride, pre, dim, fit, self_distances, evaluation, artifacts)
+    return RunConfig(name, seed, output, loader, train_augment, backbone, layers, patch, stride, pre, dim, fit, evaluation, artifacts)
 
 
 def _loader(d: _Section, seed: int) -> tuple[LoaderConfig, bool]:

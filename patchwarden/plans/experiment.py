@@ -14,6 +14,7 @@ from ..operators import scoring as C
 from ..operators import segmentation as G
 from ..sources import images as I
 from ..sources import runs as R
+from ..sources.scratch import written
 from .artifacts import denormalize, select_artifacts, write_artifacts
 from .config import RunConfig
 from .pipeline import fit
@@ -40,7 +41,8 @@ def run_category(spark: SparkSession, c: RunConfig, category: str, folder: str,
     from dataclasses import replace
 
     loader = replace(c.loader, categories=(category,), per_category={k: v for k, v in c.loader.per_category.items() if k == category})
-    embed = lambda x: I.embed_images(x, backbone or I.filter_bank, c.layers, c.patch, c.stride, c.pre_dim, c.dim)
+    layers = tuple(I.resolve_layers(c.backbone, list(c.layers))) if backbone else c.layers  # the backbone's own names
+    embed = lambda x: I.embed_images(x, backbone or I.filter_bank, layers, c.patch, c.stride, c.pre_dim, c.dim)
     e = c.evaluation
     with Profiler(category) as prof:
         with prof.phase("fit"):
@@ -83,6 +85,9 @@ def run_category(spark: SparkSession, c: RunConfig, category: str, folder: str,
             with prof.phase("artifacts"):
                 _artifacts(table.join(images.select("image_idx", "image"), "image_idx"), c, folder, category, loader.crop, pt)
     row |= {f"time_{p}_s": d for _, p, d in prof.timings if p in PHASES}
+    per_image = written(per_image, "per-image")
+    for x in (patches, images, test, table, *sweeps):
+        x.unpersist()
     return row, per_image, prof
 
 
@@ -93,12 +98,16 @@ def _artifacts(table: DataFrame, c: RunConfig, folder: str, category: str, size:
     limit, alpha = c.artifacts["max_images"] or 2**31 - 1, c.artifacts["alpha"]
     out = f"{folder}/artifacts/{category}"
 
-    def write(rows) -> None:
+    def write(rows, save=None) -> None:
         for r in rows:
             image = denormalize(np.array(r["image"], float).reshape(3, *size))
-            write_artifacts(out, f"{r['image_idx']:05d}", image, np.array(r["mask"]).reshape(size), np.array(r["map"]).reshape(size), threshold, alpha)
+            write_artifacts(out, f"{r['image_idx']:05d}", image, np.array(r["mask"]).reshape(size), np.array(r["map"]).reshape(size), threshold, alpha, save)
 
-    select_artifacts(table, c.artifacts["save_mode"], limit, "label", "score", "image_idx").foreachPartition(write)
+    chosen = select_artifacts(table, c.artifacts["save_mode"], limit, "label", "score", "image_idx")
+    if "://" in out and not out.startswith("file:"):  # one image at a time, through Hadoop's file system
+        write(chosen.toLocalIterator(), R.write_bytes)
+    else:
+        chosen.foreachPartition(write)
 
 
 def run_experiment(spark: SparkSession, c: RunConfig, config_text: str = "", backbone=None) -> str:

@@ -45,6 +45,7 @@ class FitConfig:
     top_p: float = 0.9
     max_k: int = 32
     seed: int = 0
+    self_distances: bool = False
 
     def __post_init__(self):
         if self.contract not in ("OFFLINE", "STREAMING"):
@@ -60,6 +61,8 @@ class FitConfig:
             raise ValueError(f"unknown scorer {self.scorer}")
         if self.mode not in IMAGE_MODES:
             raise ValueError(f"unknown mode {self.mode}")
+        if self.self_distances and self.scorer == "eq7":
+            raise ValueError("support reweighting needs a plain bank, without self distances")
 
 
 @dataclass
@@ -68,6 +71,7 @@ class Model:
     pca: PCAModel | None
     whitening: WhiteningModel | None
     bank: DataFrame
+    telemetry: dict[str, int] = field(default_factory=dict)
 
     def transform(self, patches: DataFrame) -> DataFrame:
         """Reduced and whitened features in place of the raw ones."""
@@ -80,7 +84,7 @@ class Model:
 
     def neighbours(self, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
         z = self.transform(patches.select("image_idx", "patch_pos", "features"))
-        return z, J.knn_join(z, self.bank, self.config.k)
+        return z, J.query_bank(z, self.bank, self.config.k)
 
     def patch_scores(self, patches: DataFrame) -> DataFrame:
         return J.patch_scores(self.neighbours(patches)[1], ["image_idx", "patch_pos"])
@@ -107,7 +111,7 @@ class Model:
         spark = self.bank.sparkSession
         self.bank.write.mode("overwrite").parquet(f"{path}/bank")
         arrays = lambda o: None if o is None else {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in vars(o).items()}
-        state = {"config": asdict(self.config), "pca": arrays(self.pca), "whitening": arrays(self.whitening)}
+        state = {"config": asdict(self.config), "pca": arrays(self.pca), "whitening": arrays(self.whitening), "telemetry": self.telemetry}
         spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
 
     @staticmethod
@@ -121,7 +125,7 @@ class Model:
         c["tail"] = T.TailConfig(**c["tail"]) if c["tail"] else None
         c["cluster_range"] = tuple(c["cluster_range"]) if isinstance(c["cluster_range"], list) else c["cluster_range"]
         back = lambda kind, d: None if d is None else kind(**{k: np.array(v) if isinstance(v, list) else v for k, v in d.items()})
-        return Model(FitConfig(**c), back(PCAModel, state["pca"]), back(WhiteningModel, state["whitening"]), spark.read.parquet(f"{path}/bank"))
+        return Model(FitConfig(**c), back(PCAModel, state["pca"]), back(WhiteningModel, state["whitening"]), spark.read.parquet(f"{path}/bank"), state.get("telemetry", {}))
 
 
 def fit(patches: DataFrame, config: FitConfig, batch: str = "batch", order: str = "vec_id") -> Model:
@@ -143,9 +147,13 @@ def fit(patches: DataFrame, config: FitConfig, batch: str = "batch", order: str
     model = Model(c, pca, whitening, x)
     z = model.transform(x)
     n = B.cluster_count(c.n_clusters, c.cluster_range, c.contract, 0 if c.contract == "STREAMING" else z.count())
-    bank = build_bank(z, c, n)
+    bank = build_bank(z, c, n, model.telemetry)
     # the bank is bounded by its budget; pinned as a local table, later joins know its size
     rows = bank.collect()
     model.bank = patches.sparkSession.createDataFrame(rows, B.BANK)
+    model.telemetry |= {"rows": len(rows), "budget": n}
     B.enforce_budget(model.bank, len(rows) if c.bank == "greedy" else n if c.bank != "tail_aware" else c.tail.k, c.enforce, c.contract)
+    if c.self_distances:
+        more = J.materialize_bank(model.bank, True)
+        model.bank = patches.sparkSession.createDataFrame(more.collect(), more.schema)
     return model

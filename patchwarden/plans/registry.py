@@ -30,14 +30,16 @@ def check_bank(name: str, contract: str) -> None:
         raise ValueError(f"{name} does not support {contract}")
 
 
-def build_bank(z: DataFrame, config, n: int) -> DataFrame:
+def build_bank(z: DataFrame, config, n: int, telemetry: dict[str, int] | None = None) -> DataFrame:
+    """The bank; telemetry is filled by builders that report what they selected from."""
     check_bank(config.bank, config.contract)
-    return _banks[config.bank][1](z, config, n)
+    build = _banks[config.bank][1]
+    return build(z, config, n) if build.__code__.co_argcount < 4 else build(z, config, n, telemetry)
 
 
 register_bank("kcenter", ("STREAMING",), lambda z, c, n: B.merge_reduce(z, "features", "batch", "seq", n, c.chunk))
 register_bank("budgeted", ("STREAMING",), lambda z, c, n: B.budgeted_kcenter(z, "features", "seq", n, c.threshold))
-register_bank("tail_aware", ("STREAMING",), lambda z, c, n: T.tail_aware_bank(z, "features", "batch", "seq", c.tail))
+register_bank("tail_aware", ("STREAMING",), lambda z, c, n, seen: T.tail_aware_bank(z, "features", "batch", "seq", c.tail, seen))
 register_bank("greedy", ("OFFLINE",), lambda z, c, n: B.greedy(z, "features", "seq", c.coreset_share, seed=c.seed))
 register_bank("kmeans", ("OFFLINE", "STREAMING"), lambda z, c, n: B.kmeans(z, "features", n, c.seed) if c.contract == "OFFLINE" else B.minibatch_kmeans(z, "features", "seq", n, seed=c.seed))
 

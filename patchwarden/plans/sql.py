@@ -36,7 +36,7 @@ cl AS (SELECT *, ln(w / sum(w) OVER ()) AS lw FROM comp),
 lp AS (SELECT vec_id, image_idx, patch_pos, component_id, -0.5 * (list_sum(list_transform(range(1, {DIM + 1}), lambda i: (f[i] - m[i]) ** 2 / v[i])) + list_sum(list_transform(v, lambda y: ln(y))) + {DIM} * ln(2 * pi())) + lw AS lp FROM p, cl)"""
 
 _SCORED = "s AS (SELECT doc_id, lang, n_chars::DOUBLE AS score, toxic AS label FROM documents JOIN labels USING (doc_id))"
-_MAPS = "mp AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS m, list_transform(b.embedding::DOUBLE[], lambda y: (y > 0.15)::INTEGER) AS k FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
+_MAPS = "mp AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS m, list_transform(coalesce(b.embedding::DOUBLE[], list_transform(a.embedding, lambda y: 0.0::DOUBLE)), lambda y: (y > 0.15)::INTEGER) AS k FROM embeddings a LEFT JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 _CELLS = f"cell AS (SELECT vec_id, i, m[i + 1] AS val, k[i + 1] AS y FROM mp, range(0, {DIM}) t(i))"
 _REGIONS = """reg(vec_id, i, l) AS (
   SELECT vec_id, i, i FROM cell WHERE y = 1
@@ -166,6 +166,11 @@ z AS (SELECT vec_id, list_transform(w, lambda r: list_inner_product(r, d)) AS f
 zb AS (SELECT vec_id // 64 AS b, vec_id AS ord, f FROM z), {_merge_reduce("mr", "zb", 100, 64)},
 bank AS (SELECT n AS bank_id, f FROM mr), p AS (SELECT vec_id, vec_id // 25 AS image_idx, vec_id % 25 AS patch_pos, f FROM z), {KN}, {FIRST}, {_eq7(5)}
 SELECT image_idx, round(e, 6) AS score FROM e7 WHERE o = 1"""
+_TOLERANCE = """WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, {f} AS f FROM embeddings),
+g(n, kept, ids) AS (SELECT 1::BIGINT, [f], [vec_id] FROM o WHERE n = 1 UNION ALL
+  SELECT o.n, CASE WHEN near THEN kept ELSE list_append(kept, f) END, CASE WHEN near THEN ids ELSE list_append(ids, vec_id) END
+  FROM (SELECT g.n + 1 AS n, kept, ids, vec_id, f, list_min(list_transform(kept, lambda k: list_distance(k, f))) <= {eps} AS near FROM g JOIN o ON o.n = g.n + 1) o)
+SELECT unnest(ids) AS vec_id FROM (SELECT ids FROM g ORDER BY n DESC LIMIT 1)"""
 _BUDGETED = """WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, embedding::DOUBLE[] AS f FROM embeddings),
 g(n, c) AS (SELECT 0::BIGINT, []::DOUBLE[][] UNION ALL
   SELECT n, CASE WHEN len(c) < {k} THEN list_append(c, f) WHEN list_min(list_transform(c, lambda a: list_distance(a, f))) > list_min(near) THEN list_transform(c, lambda a, i: CASE WHEN i = list_position(near, list_min(near)) THEN f ELSE a END) ELSE c END
@@ -261,11 +266,11 @@ c AS (SELECT vec_id, exp(-h) * sum(exp(i * ln(h) - lgamma(i + 1))) AS tail_p FRO
 SELECT vec_id, round(tail_p, 6) AS tail_p FROM c WHERE tail_p BETWEEN 0.45 AND 0.55""",
         "dedup_exact": f"SELECT min(vec_id) AS vec_id FROM embeddings GROUP BY {_Q2}",
         "dedup_quantized": f"SELECT min(vec_id) AS vec_id, round(arg_min(embedding[1]::DOUBLE, vec_id), 6) + 0.0 AS x0 FROM embeddings GROUP BY {_Q2}",
-        "dedup_tolerance": """WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, (embedding::DOUBLE[])[1:2] AS f FROM embeddings),
-g(n, kept, ids) AS (SELECT 1::BIGINT, [f], [vec_id] FROM o WHERE n = 1 UNION ALL
-  SELECT o.n, CASE WHEN near THEN kept ELSE list_append(kept, f) END, CASE WHEN near THEN ids ELSE list_append(ids, vec_id) END
-  FROM (SELECT g.n + 1 AS n, kept, ids, vec_id, f, list_min(list_transform(kept, lambda k: list_distance(k, f))) <= 0.04 AS near FROM g JOIN o ON o.n = g.n + 1) o)
-SELECT unnest(ids) AS vec_id FROM (SELECT ids FROM g ORDER BY n DESC LIMIT 1)""",
+        "dedup_tolerance": _TOLERANCE.replace("{f}", "(embedding::DOUBLE[])[1:2]").replace("{eps}", "0.04"),
+        "dedup_tolerance_whole": _TOLERANCE.replace("{f}", "embedding::DOUBLE[]").replace("{eps}", "1.2"),
+        "dedup_whole": "SELECT 'exact' AS key, min(vec_id) AS vec_id FROM embeddings GROUP BY embedding UNION ALL SELECT 'quantized', min(vec_id) FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda y: round_even(y, 1) + 0.0) AS q FROM embeddings) GROUP BY q",
+        "pool_whole": f"""WITH {P}, {BANK}, e AS (SELECT embedding FROM embeddings WHERE vec_id % 2 = 0) SELECT 'in' AS side, vec_id FROM embeddings WHERE embedding IN (SELECT embedding FROM e) UNION ALL SELECT 'out', vec_id FROM embeddings WHERE embedding NOT IN (SELECT embedding FROM e)
+UNION ALL SELECT 'near', vec_id FROM p, bank GROUP BY vec_id HAVING min(list_distance(p.f, bank.f)) <= 0.95""",
         "pool_semi_join": f"WITH {_PAIR} SELECT vec_id FROM embeddings WHERE {_Q2} IN (SELECT k FROM pool)",
         "pool_anti_join": f"WITH {_PAIR} SELECT vec_id FROM embeddings WHERE {_Q2} NOT IN (SELECT k FROM pool)",
         "adaptive_pool_16": _pool(16),

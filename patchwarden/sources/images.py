@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.artifacts import CHANNEL_MEAN, CHANNEL_STD
 
+#: fixed value: what a pass adds to the seed
 EPOCH_SEED = 1_000_003
 POLICIES = ("none", "independent", "pass_consistent")
 
@@ -112,6 +113,17 @@ def _turn(x: np.ndarray, degrees: float) -> np.ndarray:
     return np.where(ok.reshape(h, w, *[1] * (x.ndim - 2)), x[sr.clip(0, h - 1), sc.clip(0, w - 1)], 0)
 
 
+def shift_hue(image: np.ndarray, turn: float) -> np.ndarray:
+    """Colours (..., 3) in [0, 1] with their hue turned by a share of the circle; value and saturation stay."""
+    hi, lo = image.max(-1), image.min(-1)
+    span = np.where(hi > lo, hi - lo, 1.0)
+    r, g, b = (image[..., k] for k in range(3))
+    hue = np.where(hi == r, (g - b) / span % 6, np.where(hi == g, (b - r) / span + 2, (r - g) / span + 4)) / 6
+    at = (hue + turn) % 1.0 * 6
+    ramp = lambda k: np.clip(np.minimum((k + at) % 6, 4 - (k + at) % 6), 0, 1)
+    return np.stack([hi - (hi - lo) * ramp(k) for k in (5, 3, 1)], -1)
+
+
 def augment(image: np.ndarray, mask: np.ndarray, a: Augmentation, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """One joint draw for image (H, W, 3 in [0, 1]) and mask; colours of the image only."""
     if rng.random() < a.hflip:
@@ -125,11 +137,12 @@ def augment(image: np.ndarray, mask: np.ndarray, a: Augmentation, rng: np.random
         k = int(rng.integers(4))
         image, mask = np.rot90(image, k), np.rot90(mask, k)
     if rng.random() < a.jitter:
-        b, c, s, _ = a.strengths
+        b, c, s, h = a.strengths
         image = image * rng.uniform(1 - b, 1 + b)
         image = (image - image.mean()) * rng.uniform(1 - c, 1 + c) + image.mean()
         grey = image.mean(2, keepdims=True)
         image = np.clip((image - grey) * rng.uniform(1 - s, 1 + s) + grey, 0, 1)
+        image = shift_hue(image, rng.uniform(-h, h))
     return image, mask
 
 
@@ -174,6 +187,28 @@ def resolve_layers(backbone: str, layers: list[str]) -> list[str]:
     return [LAYERS[backbone].get(x, x) for x in layers]
 
 
+class LayerExtractor:
+    """A backbone of named stages, called one after another: image to {layer: map}. It stops behind the last layer asked
+    for; ``hooks`` are called with (layer, map) for every stage that runs."""
+
+    def __init__(self, stages: list[tuple[str, object]], layers: list[str], hooks: tuple = ()):
+        names = [n for n, _ in stages]
+        missing = [x for x in layers if x not in names]
+        if missing or not layers:
+            raise ValueError(f"no stages {missing}" if missing else "no layers")
+        self.stages, self.layers, self.hooks = stages[: max(map(names.index, layers)) + 1], list(layers), hooks
+
+    def __call__(self, image: np.ndarray) -> dict[str, np.ndarray]:
+        out, x = {}, image
+        for name, stage in self.stages:
+            x = stage(x)
+            for hook in self.hooks:
+                hook(name, x)
+            if name in self.layers:
+                out[name] = x
+        return out
+
+
 def filter_bank(image: np.ndarray) -> dict[str, np.ndarray]:
     """The default projection, without weights to download: local means and gradients at two scales."""
     out = {}

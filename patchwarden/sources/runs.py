@@ -5,7 +5,6 @@ with status and error, not as a failed job."""
 
 from __future__ import annotations
 
-import os
 import subprocess
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +53,31 @@ def read_csv(spark: SparkSession, root: str, kind: str) -> DataFrame | None:
     return part
 
 
+#: columns that a file must have to be of use
+REQUIRED = {"summary": {"dataset"}, "profiling_samples": set(), "profiling_timings": {"phase", "duration_s"}}
+
+
+def problems(spark: SparkSession, root: str) -> DataFrame:
+    """(experiment, run, error): what is missing or cannot be used in the files of each run that has a fault."""
+    errors: dict[tuple[str, str], list[str]] = {}
+    for r in discover(spark, root).collect():  # a row a run
+        for kind, columns in REQUIRED.items():
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{r.run_dir}/metrics/{kind}.csv")
+            fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            if not fs.exists(path):
+                text = f"{kind}: missing"
+            else:
+                try:
+                    have = set(spark.read.csv(str(path), header=True).columns)
+                    lacks = sorted(columns - have)
+                    text = f"{kind}: empty" if not have else f"{kind}: lacks {', '.join(lacks)}" if lacks else ""
+                except Exception as e:  # any reader's complaint is the run's, not the report's
+                    text = f"{kind}: {str(e).splitlines()[0][:200]}"
+            if text:
+                errors.setdefault((r.experiment, r.run), []).append(text)
+    return spark.createDataFrame([(*k, "; ".join(v)) for k, v in sorted(errors.items())], "experiment string, run string, error string")
+
+
 def summarize(spark: SparkSession, root: str, metrics: list[str] | None = None) -> DataFrame:
     """One row a run: metrics, resources, phase times, status and error; experiment ascending, newest first."""
     metrics = metrics or METRICS
@@ -61,7 +85,7 @@ def summarize(spark: SparkSession, root: str, metrics: list[str] | None = None)
     out = discover(spark, root).withColumn("timestamp", F.col("run"))
     nan = F.lit(float("nan"))
     s = read_csv(spark, root, "summary")
-    if s is not None:
+    if s is not None and "dataset" in s.columns:
         rows = s.select(*run, "dataset", *((number(F.col(m)) if m in s.columns else nan).alias(m) for m in metrics))
         out = out.join(S.run_metrics(rows, run, metrics), run, "left")
     else:
@@ -70,11 +94,13 @@ def summarize(spark: SparkSession, root: str, metrics: list[str] | None = None)
     if p is not None:
         out = out.join(S.resource_aggregates(p.select(*run, *((number(F.col(c)) if c in p.columns else nan).alias(c) for c in SERIES)), run, SERIES), run, "left")
     t = read_csv(spark, root, "profiling_timings")
-    if t is not None:
+    if t is not None and {"phase", "duration_s"} <= set(t.columns):
         times = S.phase_pivot(t.select(*run, "phase", number(F.col("duration_s")).alias("duration_s")), run, PHASES)
         out = out.join(times.withColumnsRenamed({f"time_{p}_s": "run_total_time_s" if p == "total" else f"sum_{p}_s" for p in PHASES}), run, "left")
+    bad = problems(spark, root)
+    out = out.join(bad, run, "left")
     lost = F.col("from_mean").isNull()
-    out = out.withColumn("status", F.when(lost, "failed").otherwise("ok")).withColumn("error", F.when(lost, "summary.csv is missing or unreadable"))
+    out = out.withColumn("status", F.when(lost, "failed").otherwise("ok")).withColumn("error", F.coalesce("error", F.when(lost, "summary: no usable rows")))
     return S.summary_table([out]).withColumnsRenamed({"experiment": "experiment_name", "timestamp": "run_timestamp"}).drop("run")
 
 
@@ -108,12 +134,24 @@ def markdown_report(summary: DataFrame, metrics: list[str], time: str = "run_tot
     return "\n\n".join(parts) + "\n"
 
 
+def write_bytes(path: str, data: bytes) -> None:
+    """A small file of the driver, through a temporary name and Hadoop's file system, so any of its schemes will do."""
+    spark = SparkSession.active()
+    jvm = spark._jvm
+    to, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
+    fs = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    with_stream = fs.create(part, True)
+    try:
+        with_stream.write(bytearray(data))
+    finally:
+        with_stream.close()
+    fs.delete(to, False)
+    if not fs.rename(part, to):
+        raise OSError(f"could not write {path}")
+
+
 def write_text(path: str, text: str) -> None:
-    """A small file of the driver, through a temporary name."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(f"{path}.tmp", "w") as f:
-        f.write(text)
-    os.replace(f"{path}.tmp", path)
+    write_bytes(path, text.encode())
 
 
 def reproducibility(folder: str, config_text: str, repository: str = ".") -> dict[str, str]:

@@ -1,21 +1,93 @@
 """Structured Streaming forms of the mergeable and sequential operators.
 
-Scalar moments keep a state of three numbers a key; vector moments and banks fold micro-batches by
-``foreachBatch`` into a state table that is written anew for each batch id, so a batch that is
-run again after a failure replaces its own result."""
+Every stream keeps its progress in ``checkpointLocation`` and its state in a table that is written anew for
+each batch id, both in one folder of the shared file system. A batch that runs again after a failure
+reads the state before it and replaces its own result, and a stream that is started again on its
+folder goes on where it stopped."""
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import arrow as A
+from ..functions import kernels as N
 from ..operators import coreset as B
+from ..operators import tail as T
 from ..operators.moments import Moments, fit_moments
+from ..operators.reduction import PCAModel, pca_of
+from ..operators.whitening import WhiteningConfig, WhiteningModel, whitening_of
+from ..sources.scratch import new_folder
+
+
+@dataclass(frozen=True)
+class UpdateContext:
+    """Where an update stands: its pass of all passes over the data, and its batch in the pass."""
+
+    pass_index: int
+    passes: int
+    batch_id: int
+
+    @property
+    def last_pass(self) -> bool:
+        return self.pass_index == self.passes - 1
+
+
+class StateTable:
+    """A table of state for each batch of each pass; the two newest stay."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        self.path, self.fs = path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self) -> list[str]:
+        """Finished states, oldest first."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/*/_SUCCESS")
+        return sorted(str(f.getPath().getParent().getName()) for f in self.fs.globStatus(path) or [])
+
+    def last(self, before: str | None = None) -> DataFrame | None:
+        names = [n for n in self._names() if before is None or n < before]
+        return self.spark.read.parquet(f"{self.folder}/{names[-1]}") if names else None
+
+    def write(self, df: DataFrame, context: UpdateContext) -> None:
+        name = self.name(context)
+        df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        for old in [n for n in self._names() if n < name][:-1]:
+            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{old}"), True)
+
+    @staticmethod
+    def name(context: UpdateContext) -> str:
+        return f"{context.pass_index:06d}-{context.batch_id:012d}"
+
+
+Update = Callable[[DataFrame, DataFrame | None, UpdateContext], DataFrame]
+
+
+def run_stream(spark: SparkSession, source: Callable[[], DataFrame], update: Update, folder: str | None = None, passes: int = 1, mode: str = "append") -> DataFrame | None:
+    """Fold a stream: update(batch, state before it or None, context) gives the state after it. Each pass reads
+    all that is available anew, with its own progress. The state after the last batch, None without input."""
+    folder = folder or new_folder(spark, "stream")
+    table = StateTable(spark, f"{folder}/state")
+    for p in range(passes):
+
+        def fold(batch: DataFrame, batch_id: int, p: int = p) -> None:
+            context = UpdateContext(p, passes, batch_id)
+            if not batch.isEmpty():
+                table.write(update(batch, table.last(table.name(context)), context), context)
+
+        writer = source().writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress-{p}")
+        writer.foreachBatch(fold).trigger(availableNow=True).start().awaitTermination()
+    return table.last()
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -44,90 +116,211 @@ def update_moments(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState
     yield pd.DataFrame({"key": [key[0]], "n": [n], "mean": [mean], "std": [math.sqrt(m2 / n) if n else float("nan")]})
 
 
-def _run(stream, spark: SparkSession) -> None:
-    stream.trigger(availableNow=True).start().awaitTermination()
+def stream_scalar_moments(spark: SparkSession, path: str, key: str, value: str, folder: str | None = None) -> DataFrame:
+    """(key, n, mean, std) after all available input: one keyed state across micro-batches."""
+    schema = "key string, n long, mean double, std double"
+
+    def source() -> DataFrame:
+        s = read_stream(spark, path).select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("v"))
+        return s.groupBy("key").applyInPandasWithState(update_moments, schema, "n long, mean double, m2 double", "update", GroupStateTimeout.NoTimeout)
 
+    def update(batch: DataFrame, state: DataFrame | None, _: UpdateContext) -> DataFrame:
+        return batch if state is None else batch.unionByName(state.join(batch.select("key"), "key", "left_anti"))
 
-def stream_scalar_moments(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
-    """(key, n, mean, std) after all available input: one keyed state across micro-batches."""
-    s = read_stream(spark, path).select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("v"))
-    out = s.groupBy("key").applyInPandasWithState(update_moments, "key string, n long, mean double, std double", "n long, mean double, m2 double", "update", GroupStateTimeout.NoTimeout)
-    last: dict[str, tuple] = {}
+    out = run_stream(spark, source, update, folder, mode="update")
+    return (spark.createDataFrame([], schema) if out is None else out).withColumnRenamed("key", key)
+
+
+_MOMENTS = "n long, mean array<double>, m2 array<double>"
+
+
+def _moments_row(m: Moments) -> tuple:
+    return (m.n, m.mean.tolist(), m.m2.ravel().tolist())
 
-    def keep(batch: DataFrame, _: int) -> None:  # one row a key
-        for r in batch.collect():
-            last[r.key] = tuple(r)
 
-    _run(out.writeStream.outputMode("update").foreachBatch(keep), spark)
-    return spark.createDataFrame(sorted(last.values()), "key string, n long, mean double, std double").withColumnRenamed("key", key)
+def _moments_of(state: DataFrame | None) -> Moments | None:
+    if state is None:
+        return None
+    r = state.first()
+    return Moments(r.n, np.array(r.mean), np.array(r.m2).reshape(len(r.mean), -1))
 
 
-def stream_vector_moments(spark: SparkSession, path: str, column: str) -> Moments:
-    """Moments of a vector column, merged micro-batch by micro-batch."""
-    state: dict[int, Moments] = {}
+def stream_vector_moments(spark: SparkSession, path: str, column: str, folder: str | None = None, passes: int = 1) -> Moments:
+    """Moments of a vector column, merged micro-batch by micro-batch; further passes count the rows again."""
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        if batch.take(1):
-            state[batch_id] = fit_moments(batch.withColumn("__v", F.col(column).cast("array<double>")), "__v")
+    def update(batch: DataFrame, state: DataFrame | None, _: UpdateContext) -> DataFrame:
+        new, old = fit_moments(batch.withColumn("__v", F.col(column).cast("array<double>")), "__v"), _moments_of(state)
+        return spark.createDataFrame([_moments_row(new if old is None else old.merge(new))], _MOMENTS)
 
-    _run(read_stream(spark, path).writeStream.foreachBatch(fold), spark)
-    out = None
-    for k in sorted(state):
-        out = state[k] if out is None else out.merge(state[k])
+    out = _moments_of(run_stream(spark, lambda: read_stream(spark, path), update, folder, passes))
     if out is None:
         raise ValueError("the stream had no rows")
     return out
 
 
-class BinaryCounter:
-    """Merge-reduce state: at most one coreset a level; equal levels merge and carry."""
+def stream_pca(spark: SparkSession, path: str, column: str, variance_ratio: float = 0.99, folder: str | None = None) -> PCAModel:
+    return pca_of(stream_vector_moments(spark, path, column, folder), variance_ratio)
+
+
+def stream_whitening(spark: SparkSession, path: str, column: str, config: WhiteningConfig = WhiteningConfig(), folder: str | None = None, passes: int = 1) -> WhiteningModel:
+    return whitening_of(stream_vector_moments(spark, path, column, folder, passes), config)
+
+
+_LEVELS = "level int, dim int, x binary"
 
-    def __init__(self, k: int, chunk: int):
-        self.k, self.cap = k, min(k, chunk)
-        self.levels: dict[int, object] = {}
 
-    def push(self, block) -> None:
-        import numpy as np
+class BinaryCounter:
+    """Merge-reduce state: at most one coreset a level; equal levels merge and carry."""
 
-        from ..functions.kernels import farthest_first
+    def __init__(self, k: int, chunk: int, levels: dict[int, np.ndarray] | None = None):
+        self.k, self.cap, self.levels = k, min(k, chunk), levels or {}
 
+    def push(self, block: np.ndarray) -> None:
         level = 0
         while level in self.levels:
             block = np.concatenate([self.levels.pop(level), block])
-            block = block[farthest_first(block, min(self.cap, len(block)))]
+            block = block[N.farthest_first(block, min(self.cap, len(block)))]
             level += 1
         self.levels[level] = block
 
-    def centers(self):
-        import numpy as np
+    def centers(self) -> np.ndarray:
+        x = np.concatenate([self.levels[k] for k in sorted(self.levels)])
+        return x[N.farthest_first(x, min(self.k, len(x)))]
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(k, x.shape[1], bytearray(A.pack(x))) for k, x in self.levels.items()], _LEVELS)
 
-        from ..functions.kernels import farthest_first
+    @staticmethod
+    def of(k: int, chunk: int, state: DataFrame | None) -> BinaryCounter:
+        rows = [] if state is None else state.collect()  # log2(blocks) coresets
+        return BinaryCounter(k, chunk, {r.level: A.unpack(bytes(r.x), r.dim).copy() for r in rows})
 
-        x = np.concatenate([self.levels[k] for k in sorted(self.levels)])
-        return x[farthest_first(x, min(self.k, len(x)))]
 
+def _push_blocks(counter: BinaryCounter, batch: DataFrame, column: str, order: str, rows_per_block: int) -> None:
+    x = batch.select(F.floor(F.col(order) / rows_per_block).alias("b"), F.col(order).alias("o"), F.col(column).cast("array<double>").alias("v"))
+
+    def block(t: pa.Table) -> pa.Table:
+        m = B._in_order(t, "o", "v")
+        m = m[N.farthest_first(m, min(counter.cap, len(m)))]
+        return pa.table({"b": t.column("b").slice(0, 1), "dim": pa.array([m.shape[1]], pa.int32()), "x": pa.array([A.pack(m)], pa.binary())})
 
-def stream_merge_reduce(spark: SparkSession, path: str, column: str, order: str, rows_per_block: int, k: int, chunk: int) -> DataFrame:
-    """A merge-reduce bank of a stream of vectors: each micro-batch's blocks reduce in parallel, their
-    coresets fold into a state of log2(blocks) coresets on the driver."""
-    from ..functions import arrow as A
-    from ..functions.kernels import farthest_first
+    for r in x.groupBy("b").applyInArrow(block, "b long, dim int, x binary").orderBy("b").toLocalIterator():
+        counter.push(A.unpack(bytes(r.x), r.dim).copy())
 
-    counter = BinaryCounter(k, chunk)
 
-    def fold(batch: DataFrame, _: int) -> None:
-        x = batch.select(F.floor(F.col(order) / rows_per_block).alias("b"), F.col(order).alias("o"), F.col(column).cast("array<double>").alias("v"))
-        cap = min(k, chunk)
+def _bank(spark: SparkSession, x: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], B.BANK)
 
-        def block(t):
-            import pyarrow as pa
 
-            m = B._in_order(t, "o", "v")
-            m = m[farthest_first(m, min(cap, len(m)))]
-            return pa.table({"b": t.column("b").slice(0, 1), "dim": pa.array([m.shape[1]], pa.int32()), "x": pa.array([A.pack(m)], pa.binary())})
+def stream_merge_reduce(spark: SparkSession, path: str, column: str, order: str, rows_per_block: int, k: int, chunk: int, folder: str | None = None) -> DataFrame:
+    """A merge-reduce bank of a stream of vectors: each micro-batch's blocks reduce in parallel, and their
+    coresets fold into a state of log2(blocks) coresets."""
 
-        for r in x.groupBy("b").applyInArrow(block, "b long, dim int, x binary").orderBy("b").toLocalIterator():
-            counter.push(A.unpack(r.x, r.dim).copy())
+    def update(batch: DataFrame, state: DataFrame | None, _: UpdateContext) -> DataFrame:
+        counter = BinaryCounter.of(k, chunk, state)
+        _push_blocks(counter, batch, column, order, rows_per_block)
+        return counter.table(spark)
 
-    _run(read_stream(spark, path).writeStream.foreachBatch(fold), spark)
-    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(counter.centers())], B.BANK)
+    out = run_stream(spark, lambda: read_stream(spark, path), update, folder)
+    if out is None:
+        raise ValueError("the stream had no rows")
+    return _bank(spark, BinaryCounter.of(k, chunk, out).centers())
+
+
+def _stream_fold(spark: SparkSession, path: str, column: str, order: str, make, dump, load, folder: str | None) -> str:
+    """A sequential fold in stream order; its state is one row of JSON, and it runs in one task a micro-batch."""
+
+    def update(batch: DataFrame, state: DataFrame | None, _: UpdateContext) -> DataFrame:
+        before = None if state is None else state.first().state
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = make() if before is None else load(json.loads(before))
+            for b in batches:
+                if b.num_rows:
+                    s.update(A.matrix(b.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps(dump(s))])], names=["state"])
+
+        x = batch.select(F.col(order).alias("o"), F.col(column).cast("array<double>").alias("v"))
+        return x.repartition(1).sortWithinPartitions("o").select("v").mapInArrow(fold, "state string")
+
+    out = run_stream(spark, lambda: read_stream(spark, path), update, folder)
+    if out is None:
+        raise ValueError("the stream had no rows")
+    return out.first().state
+
+
+def stream_budgeted(spark: SparkSession, path: str, column: str, order: str, k: int, threshold: float | None = None, folder: str | None = None) -> DataFrame:
+    """Budgeted k-center of a stream; the state are its centers."""
+
+    def load(d: dict) -> N.Budgeted:
+        s = N.Budgeted(k, threshold)
+        s.c = np.array(d["c"])
+        return s
+
+    state = _stream_fold(spark, path, column, order, lambda: N.Budgeted(k, threshold), lambda s: {"c": s.c.tolist()}, load, folder)
+    return _bank(spark, np.array(json.loads(state)["c"]))
+
+
+def stream_minibatch_kmeans(spark: SparkSession, path: str, column: str, order: str, k: int, batch: int = 256, seed: int = 0, folder: str | None = None) -> DataFrame:
+    """Mini-batch k-means of a stream; the state are centers, their counts, rows that wait and the generator."""
+
+    class Steps(B.MiniBatchKMeans):
+        def update(self, x: np.ndarray) -> None:
+            for i in range(len(x)):  # a step as soon as enough rows wait, whatever the micro-batches are
+                super().update(x[i : i + 1])
+
+    def dump(s: Steps) -> dict:
+        wait = np.concatenate(s.buffer).tolist() if s.buffer else []
+        return {"centers": None if s.centers is None else s.centers.tolist(), "counts": s.counts.tolist(), "wait": wait, "rng": s.rng.bit_generator.state}
+
+    def load(d: dict) -> Steps:
+        s = Steps(k, batch, seed)
+        s.centers = None if d["centers"] is None else np.array(d["centers"])
+        s.counts, s.buffer = np.array(d["counts"]), [np.array(d["wait"])] if d["wait"] else []
+        s.rng.bit_generator.state = d["rng"]
+        return s
+
+    state = _stream_fold(spark, path, column, order, lambda: Steps(k, batch, seed), dump, load, folder)
+    return _bank(spark, load(json.loads(state)).result())
+
+
+def stream_tail_aware(spark: SparkSession, path: str, column: str, order: str, rows_per_block: int, c: T.TailConfig, folder: str | None = None) -> DataFrame:
+    """A tail-aware bank of a stream in two passes: the first folds the centers by merge-reduce, the second the pool of
+    the rows that score best against them. Strategies on residuals."""
+    if c.strategy == "chi2_band":
+        raise ValueError("the band of a stream is not folded; use tail_aware_bank")
+    folder = folder or new_folder(spark, "stream")
+    vectors = lambda b: b.select(F.col(order).alias("o"), F.col(column).cast("array<double>").alias("features"))
+    schema = "level int, dim int, x binary, o long, features array<double>, tail_score double"
+
+    def counters(state: DataFrame | None) -> tuple[BinaryCounter, BinaryCounter]:
+        rows = None if state is None else state.where("level IS NOT NULL")
+        of = lambda k, sign: BinaryCounter.of(k, c.chunk, None if rows is None else rows.where(f"level {sign}").withColumn("level", F.abs("level") - 1))
+        return of(c.k, "> 0"), of(c.main_budget, "< 0")
+
+    def main_of(full: BinaryCounter, main: BinaryCounter) -> np.ndarray:
+        x = full.centers()
+        return main.centers() if c.main_budget < c.chunk else x[N.farthest_first(x, c.main_budget)] if len(x) > c.main_budget else x
+
+    def packed(full: BinaryCounter, main: BinaryCounter) -> DataFrame:
+        rows = [((k + 1) * sign, x.shape[1], bytearray(A.pack(x)), None, None, None) for counter, sign in ((full, 1), (main, -1)) for k, x in counter.levels.items()]
+        return spark.createDataFrame(rows, schema)
+
+    def update(batch: DataFrame, state: DataFrame | None, context: UpdateContext) -> DataFrame:
+        full, main = counters(state)
+        if context.pass_index == 0:
+            for counter in (full, main):
+                _push_blocks(counter, batch, column, order, rows_per_block)
+            return packed(full, main)
+        scored = T.tail_scores(vectors(batch), full.centers(), main_of(full, main), c).select("o", "features", "tail_score")
+        old = state.where("level IS NULL").select("o", "features", "tail_score")
+        pool = T.best_of(scored.unionByName(old), c)
+        return packed(full, main).unionByName(pool.select(F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("dim"), F.lit(None).cast("binary").alias("x"), F.col("o").cast("long").alias("o"), "features", "tail_score"))
+
+    out = run_stream(spark, lambda: read_stream(spark, path), update, folder, 2)
+    if out is None:
+        raise ValueError("the stream had no rows")
+    full, main = counters(out)
+    t = out.where("level IS NULL").orderBy(F.desc("tail_score"), "o").toArrow()  # the pool's bound
+    pool = A.matrix(t.column("features")) if t.num_rows else full.centers()[:0]
+    return _bank(spark, T.chosen(full.centers(), main_of(full, main), pool, c)[0])

@@ -158,10 +158,18 @@ def test_kcenter_budget(spark):
     assert B.enforce_budget(frame(spark, X), 10, contract="OFFLINE") == 90
 
 
-def test_farthest_first_passes_equal_the_kernel(spark):
-    df = frame(spark, X)
-    a, b = B.farthest_first(df, "features", "vec_id", 6), B._farthest_first_passes(df, "features", "vec_id", 6)
-    assert np.allclose(bank_of(a), bank_of(b)) and np.allclose(bank_of(a), X[N.farthest_first(X, 6)])
+@pytest.mark.parametrize("candidates", [1, 4, 1000])
+def test_selections_in_passes_equal_those_in_a_block(spark, monkeypatch, candidates):
+    """With repeated rows, so that distances tie."""
+    x = np.concatenate([X, X[:20]])
+    df = frame(spark, x).repartition(3).cache()
+    kinds = {"farthest": lambda: B.farthest_first(df, "features", "vec_id", 12), "greedy": lambda: B.greedy(df, "features", "vec_id", 0.1), "approximate": lambda: B.greedy(df, "features", "vec_id", 0.1, True, 3)}
+    want = {k: bank_of(f()) for k, f in kinds.items()}
+    assert np.allclose(want["farthest"], x[N.farthest_first(x, 12)])
+    monkeypatch.setattr(B, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(B, "CANDIDATES", candidates)
+    for k, f in kinds.items():
+        assert np.allclose(bank_of(f()), want[k]), k
 
 
 def test_budgeted_kcenter(spark):
@@ -243,6 +251,45 @@ def test_knn_both_ways(spark):
         assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and math.isclose(got[k][1], want[k][1], abs_tol=1e-12) for k in want)
 
 
+def test_position_knn_in_blocks(spark, monkeypatch):
+    """Most rows at one position; blocks of some rows."""
+    rows = [(i, 0 if i % 4 else i % 3, [float(v) for v in r]) for i, r in enumerate(X)]
+    q = spark.createDataFrame(rows, "vec_id long, pos int, features array<double>")
+    bank = q.withColumnRenamed("vec_id", "bank_id").repartition(3)
+    want = []
+    for i, p, v in rows:
+        near = sorted((((X[j] - X[i]) ** 2).sum(), j) for j, (_, o, _) in enumerate(rows) if o == p)[:3]
+        want += [(i, r + 1, j) for r, (_, j) in enumerate(near)]
+    for size in (2048, 5):
+        monkeypatch.setattr(J, "QUERY_CHUNK", size)
+        monkeypatch.setattr(J, "BANK_CHUNK", size)
+        got = J.position_knn(q, bank, ["pos"], 3).select("vec_id", "rank", "bank_id").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_density_in_blocks(spark):
+    c = spark.createDataFrame([(i, float(i + 1), [float(i), 1.0], [1.0 + i, 0.0]) for i in range(5)], "component_id long, weight double, mean array<double>, variance array<double>")
+    q = spark.createDataFrame([(k, [float(k), 2.0]) for k in range(7)], "k long, features array<double>")
+    one, many = (sorted(map(tuple, C.density_join(q, c, size).collect())) for size in (1 << 20, 100))
+    assert len(one) == 35 and one == many
+    for k, i, lp, d in one:
+        v = np.array([1.0 + i, 1e-12])
+        want = np.log((i + 1) / 15) - 0.5 * ((np.array([k - i, 1.0]) ** 2 / v).sum() + np.log(v).sum() + 2 * np.log(2 * np.pi))
+        assert np.isclose(lp, want) and d == -lp
+
+
+def test_tolerance_keeps_in_order():
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.random((700, 3)), r.random((20, 3)).repeat(5, 0)])
+    kept = []
+    for i, v in enumerate(x):
+        if not kept or np.linalg.norm(x[kept] - v, axis=1).min() > 0.15:
+            kept.append(i)
+    state = N.Kept(0.15)
+    got = np.concatenate([state.add(x[a : a + 90]) + a for a in range(0, len(x), 90)])
+    assert got.tolist() == kept and N.tolerance_kept(x[400:], 0.15, x[[k for k in kept if k < 400]]).tolist() == [k - 400 for k in kept if k >= 400]
+
+
 def test_knn_ties_and_small_banks(spark):
     bank = spark.createDataFrame([(7, [1.0, 0.0]), (3, [-1.0, 0.0])], "bank_id long, features array<double>")
     q = spark.createDataFrame([(0, [0.0, 0.0])], "vec_id long, features array<double>")

@@ -201,6 +201,15 @@ def test_summaries_with_failures(spark, tmp_path):
     first, last = got[1], got[2]
     assert (last.image_auroc, last.sum_fit_s, last.sum_infer_s, last.run_total_time_s, last.max_ram_mb, last.mean_ram_mb) == (0.9, 3, 0, 5, 30, 20)
     assert first.image_auroc == 0.5 and not first.from_mean and math.isnan(first.run_total_time_s) and first.sum_infer_s == 4
+    put("c/20240101/metrics", {"summary": "name,value\na,1\n", "profiling_timings": "phase\nfit\n", "profiling_samples": ""})
+    errors = {(r.experiment, r.run): r.error for r in R.problems(spark, str(tmp_path)).collect()}
+    assert errors["a", "20240101"] == "summary: missing; profiling_samples: missing; profiling_timings: missing" and errors["b", "20240201"] == "profiling_samples: missing"
+    assert errors["c", "20240101"] == "summary: lacks dataset; profiling_samples: empty; profiling_timings: lacks duration_s" and ("b", "20240101") not in errors
+    bad = [r for r in R.summarize(spark, str(tmp_path), ["image_auroc"]).collect() if r.experiment_name == "c"][0]
+    assert bad.status == "failed" and bad.error.startswith("summary: lacks dataset")
+    R.write_text(f"file://{tmp_path}/x/report.md", "one")
+    R.write_text(f"file://{tmp_path}/x/report.md", "two")
+    assert (tmp_path / "x/report.md").read_text() == "two"
     text = R.markdown_report(R.summarize(spark, str(tmp_path), ["image_auroc"]), ["image_auroc"])
     assert "0.9000" in text and "Failed runs" in text and "fastest" in text
     assert R.summarize(spark, str(tmp_path / "none")).count() == 0
@@ -255,6 +264,80 @@ def test_stream_bank_equals_batch_bank(spark):
     assert len(got) == len(want) and all(np.allclose(a.features, b.features) for a, b in zip(got, want))
 
 
+def _parts(spark, folder, n):
+    """The embeddings as n files of whole blocks of 64, one a micro-batch."""
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").cache()
+    size = -(-v.count() // (64 * n)) * 64
+    for k in range(n):
+        v.where(f"vec_id div {size} = {k}").coalesce(1).write.mode("append").parquet(str(folder))
+    return np.array([r.embedding for r in v.orderBy("vec_id").collect()], float)
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    """A stream that is started again on its folder reads new files only, and a batch that runs twice counts once."""
+    source, folder = tmp_path / "in", f"file://{tmp_path}/state"
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    half = v.count() // 2
+    v.where(f"vec_id < {half}").coalesce(1).write.parquet(str(source))
+    first = state.stream_vector_moments(spark, str(source), "embedding", folder)
+    assert first.n == half and state.stream_vector_moments(spark, str(source), "embedding", folder).n == half
+    v.where(f"vec_id >= {half}").coalesce(1).write.mode("append").parquet(str(source))
+    both = state.stream_vector_moments(spark, str(source), "embedding", folder)
+    x = np.array([r.embedding for r in v.collect()], float)
+    assert both.n == len(x) and np.allclose(both.cov, np.cov(x.T))
+    table = state.StateTable(spark, f"{folder}/state")
+    again = state.UpdateContext(0, 1, 1)
+    assert table.last(table.name(again)).first().n == half  # what the second batch would start from again
+    assert len(table._names()) == 2 and not state.UpdateContext(0, 2, 5).last_pass
+    assert state.stream_vector_moments(spark, str(source), "embedding", passes=2).n == 2 * len(x)
+
+
+def test_sequential_streams_equal_batches(spark, tmp_path):
+    from patchwarden.operators import coreset as B
+    from patchwarden.operators import tail as T
+    from patchwarden.operators.reduction import fit_pca
+    from patchwarden.operators.whitening import fit_whitening
+
+    x = _parts(spark, tmp_path / "in", 3)
+    p = catalog.patches(spark, SF)
+    rows = lambda b: np.array([r.features for r in b.orderBy("bank_id").collect()])
+    path = str(tmp_path / "in")
+    assert np.allclose(rows(state.stream_budgeted(spark, path, "embedding", "vec_id", 9)), rows(B.budgeted_kcenter(p, "features", "vec_id", 9)))
+    km = rows(state.stream_minibatch_kmeans(spark, path, "embedding", "vec_id", 5, 64, 7))
+    assert np.allclose(km, rows(B.minibatch_kmeans(p, "features", "vec_id", 5, 64, 7)))
+    c = T.TailConfig(k=40, pool=60, chunk=32)
+    seen = {}
+    want = rows(T.tail_aware_bank(p, "features", "batch", "vec_id", c, seen))
+    assert np.allclose(rows(state.stream_tail_aware(spark, path, "embedding", "vec_id", 64, c)), want)
+    assert seen["bank"] == len(want) == seen["main"] + seen["tail"] + seen["filled"] and seen["budget"] == 40
+    assert np.allclose(state.stream_pca(spark, path, "embedding").variances, fit_pca(p, "features").variances)
+    assert np.allclose(state.stream_whitening(spark, path, "embedding").inverse, fit_whitening(p, "features").inverse) and len(x)
+
+
+def test_layers_hue_and_self_distances(spark):
+    ran = []
+    stages = [(n, lambda v: v + 1) for n in ("stages.0", "stages.1", "stages.2")]
+    f = I.LayerExtractor(stages, ["stages.1"], (lambda n, v: ran.append(n),))
+    assert set(f(np.zeros(2))) == {"stages.1"} and ran == ["stages.0", "stages.1"]
+    with pytest.raises(ValueError):
+        I.LayerExtractor(stages, ["none"])
+    import colorsys
+
+    x = np.random.default_rng(1).random((4, 5, 3))
+    for turn in (0.0, 0.1, -0.3):
+        got = I.shift_hue(x, turn)
+        for v, g in zip(x.reshape(-1, 3), got.reshape(-1, 3)):
+            h, s, b = colorsys.rgb_to_hsv(*v)
+            assert np.allclose(colorsys.hsv_to_rgb((h + turn) % 1, s, b), g)
+    from patchwarden.plans.pipeline import FitConfig, Model, fit
+
+    model = fit(catalog.patches(spark, SF), FitConfig(bank="kcenter", n_clusters=20, scorer="max", self_distances=True))
+    assert "self_distance" in model.bank.columns and model.telemetry == {"rows": 20, "budget": 20}
+    assert model.image_scores(catalog.patches(spark, SF)).count() > 0 and Model is type(model)
+    with pytest.raises(ValueError):
+        FitConfig(bank="kcenter", scorer="eq7", self_distances=True)
+
+
 def test_registry_and_families(spark):
     from patchwarden.operators import knn as J
     from patchwarden.plans import registry

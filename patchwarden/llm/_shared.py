@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,24 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_folder
 from . import _text as K
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local master without the setting gets a
-    temporary folder of its own; a cluster without it is refused, as a machine-local folder
-    could not be read by other executors."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="scratch-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        base = f"file://{folder}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 #: rows that go to a Python worker at once; texts are long, and Spark's default of 10,000 is not meant for them
 ARROW_ROWS = 2000
 
@@ -52,7 +34,7 @@ def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     small_batches(spark)
     if small:
         df = df.hint("rebalance")
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

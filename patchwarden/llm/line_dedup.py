@@ -315,11 +315,11 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     fetched = materialize(rows.mapInArrow(_fetch(slots, bits), "key long, id long, h1 long, h2 long, line int, text binary, n long"), "lines-texts")
     texts = fetched.where("text IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"), F.first("n").alias("n"))
     sets = texts.join(bands, "key").select(F.col("key").alias("node"), "n", F.col("text").alias("toks"), F.lit(1).alias("ell"), "prefix", F.lit(0.0).alias("off"))
-    comp = link_sets(materialize(sets, "lines-sets"), percent, "lines", decode=_shingles)
+    comp = link_sets(materialize(sets, "lines-sets", True), percent, "lines", decode=_shingles)
     linked = comp.select(F.col("node").alias("key"), "comp").union(comp.select("comp", "comp").distinct())
     labels = again.join(linked, "key", "full").select("key", F.coalesce("comp", "key").alias("g"), F.coalesce("n", F.lit(1)).alias("w"))
     occ = fetched.select("key", "id", "h1", "h2", "line")
-    grouped = materialize(join_hot(occ, materialize(labels, "lines-labels", True), "key", "w").select("id", "h1", "h2", "line", "g").distinct(), "lines-groups")
+    grouped = materialize(join_hot(occ, materialize(labels, "lines-labels", True), "key", "w").select("id", "h1", "h2", "line", "g").distinct(), "lines-groups", True)
     first = grouped.groupBy("g").agg(F.min(F.struct("id", "line", "h1", "h2")).alias("f")).select("f.*")
     gone = grouped.join(first, ["id", "h1", "h2", "line"], "left_anti")  # by the whole place: no line's group is a key
     return gone.groupBy("id", "h1", "h2").agg(F.collect_set("line").alias("drop"))

@@ -274,6 +274,44 @@ def test_codec_seeds_vary_and_long_words_agree(monkeypatch):
     assert sp_codec.Encoder(m, 0.2, 1).block(texts, keys)[0].tolist() == a[0].tolist()
 
 
+def brute_encode(text, key, dropout, seed):
+    """The agenda with dropout by its definition, on strings: of all neighbours that make a piece and are not
+    skipped, the best score, leftmost, merges; until there is none. Only the keyed hash is shared."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model())
+    pieces = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(sp.get_piece_size()) if sp.is_byte(i)}
+    base = int(K.mix64(K.mix64(np.array([key], np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) ^ K.mix64(np.array([seed], np.int64).view(np.uint64)))[0])
+    rate = int(dropout * 2.0**64)
+    symbols = [("\0" if c == "▁" else "▁" if c == " " else c, k, k + 1) for k, c in enumerate(" " + text)] if text else []
+    while True:
+        can = []
+        for i, ((a, lo, mid), (b, _, hi)) in enumerate(zip(symbols, symbols[1:])):
+            if (p := pieces.get(a + b)) is not None and (not rate or sp_codec._keep(base, lo, mid, hi, rate)):
+                can.append((-sp.get_score(p), i))
+        if not can:
+            break
+        i = min(can)[1]
+        symbols[i : i + 2] = [(symbols[i][0] + symbols[i + 1][0], symbols[i][1], symbols[i + 1][2])]
+    out = []
+    for x, *_ in symbols:
+        out += [pieces[x]] if x in pieces else [byte[v] for v in x.replace("\0", "▁").encode()]
+    return out
+
+
+def test_codec_with_dropout_against_brute_force(spark):
+    texts = ["", " ", "Hello world, this is a test.", "  two  spaces\n and lines", "straße Éclair 日本語 😀", "▁ literal ▁▁x", "aaaaaaaaaaaaaaaa" * 12, " ".join(words(25, 5)), "tokenization internationalization antidisestablishment"]
+    d = spark.createDataFrame([(i if i % 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen = set()
+    for dropout in (0.0, 0.1, 0.4):
+        for seed in (0, 7):
+            for r in sp_codec.sp_encode(d, model(), dropout, seed).collect():
+                assert r.token_ids == brute_encode(r.text, K.NO_ID if r.doc_id is None else r.doc_id, dropout, seed), (r.text, dropout)
+                seen.add((r.text, tuple(r.token_ids)))
+    assert len(seen) > 3 * len(texts)
+
+
 def test_codec_empty(empty):
     assert sp_codec.codec_report(empty, model()).collect() == []
 
@@ -829,6 +867,44 @@ def test_quality_rules(docs, empty):
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got.collect())
 
 
+@pytest.mark.parametrize("least", [3, 50])
+def test_quality_verdicts_against_brute_force(spark, monkeypatch, least):
+    """Fences from sorted values, group by group, with the fall back of thin groups."""
+    monkeypatch.setattr(quality_rules, "MIN_GROUP", least)
+    r = random.Random(6)
+    rows = []
+    for i in range(240):
+        w = words(r.randrange(5, 60), i)
+        if i % 17 == 0:
+            w = [x + "#*$%" for x in w]
+        if i % 23 == 0:
+            w = [x * 9 for x in w]
+        t = "\n".join(" ".join(w[k : k + 7]) for k in range(0, len(w), 7))
+        rows.append((i, t + ("\n" + t.split("\n")[0]) * (i % 5 == 0) if i % 40 else None, [None, "en", "de", "fr"][i % 4], [None, "a", "b"][i % 3] if i % 50 else f"rare{i}", 1))
+    stats = {x.doc_id: x for x in quality_rules.text_stats(spark.createDataFrame(rows, DOCS)).collect()}
+    value = lambda x, m: quality_rules.METRICS[m][2] * x[quality_rules.METRICS[m][0]] // max(x[quality_rules.METRICS[m][1]], 1)
+    floor = lambda v: v if v < 16 else v >> (v.bit_length() - 5) << (v.bit_length() - 5)
+    failed = {i: x.n_words < 10 or 100 * x.n_repeat_words > 20 * x.n_words for i, x in stats.items()}
+    groups = collections.defaultdict(lambda: collections.defaultdict(list))
+    for i, x in stats.items():
+        if not failed[i]:
+            for key in ((x.lang, x.source), x.lang, "all"):
+                for m in quality_rules.METRICS:
+                    groups[key, type(key) is tuple][m].append(floor(value(x, m)))
+    want = {}
+    for i, x in stats.items():
+        bad = False
+        for m, (*_, slack, lower) in quality_rules.METRICS.items():
+            sizes = [k for k in (((x.lang, x.source), True), (x.lang, False)) if len(groups[k][m]) >= least]
+            v = sorted(groups[sizes[0] if sizes else ("all", False)][m])
+            q1, q3 = v[-(-len(v) // 4) - 1], v[-(-3 * len(v) // 4) - 1]
+            got = value(x, m)
+            bad |= got > q3 + 3 * (q3 - q1) + slack or lower and got < q1 - 3 * (q3 - q1) - slack
+        want[i] = not failed[i] and not bad
+    kept = {x.doc_id: x.kept for x in quality_rules.quality_rules(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert kept == want and 0 < sum(not v for i, v in kept.items() if not failed[i]) < 60
+
+
 def test_sketch_buckets_bound_the_error(spark):
     v = [0, 1, 15, 16, 17, 31, 32, 33, 100, 1000, 12345, 10**9]
     df = spark.createDataFrame([(x,) for x in v], "v long")

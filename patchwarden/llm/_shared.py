@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -192,69 +193,68 @@ BLOCK = 512
 LIST = 64
 
 
-def _hub_pairs(members: DataFrame, name: str) -> DataFrame:
-    """members (tok, node, comp, o) to pairs (a, b) of each member of a list with the list's first by o, unless they
-    are of one component. The first ones come from an aggregate, and a long list's members stay where they are."""
-    first = members.groupBy("tok").agg(F.min(F.struct("o", "node", "comp")).alias("h"), F.count("*").alias("w")).where("w > 1")
-    first = materialize(first.select("tok", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"), "w"), f"{name}-first", True)
-    met = join_hot(members, first, "tok", "w").where("comp <> hub_comp")
+def _hub_pairs(members: DataFrame, name: str, percent: int = 0) -> DataFrame:
+    """members (tok, node, n, comp, o) to pairs (a, b) of each member of a list with the list's first by o, unless they
+    are of one component or of sizes that cannot reach the threshold. The first ones come from an aggregate, and a long list's members stay where they are."""
+    first = members.groupBy("tok").agg(F.min(F.struct("o", "node", "comp", "n")).alias("h"), F.count("*").alias("w")).where("w > 1")
+    first = materialize(first.select("tok", F.col("h.node").alias("hub"), F.col("h.comp").alias("hub_comp"), F.col("h.n").alias("hub_n"), "w"), f"{name}-first", True)
+    met = join_hot(members, first, "tok", "w").where((F.col("comp") != F.col("hub_comp")) & sizes_fit("n", "hub_n", percent))
     return met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _similar(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -> bool:
-    """Jaccard of two sets of sizes nx and ny whose elements beyond x and y are not shared."""
-    both = np.concatenate([x, y])
-    both.sort(kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= percent * (nx + ny - common)
-
-
 def longs(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(sizes, elements one after another) of sets of packed longs."""
     return np.array([len(x) // 8 for x in payloads], np.int64), np.frombuffer(b"".join(payloads), "<i8")
 
 
-#: bytes of sets that are compared at once
-SLICE = 2 << 20
+class Kind(NamedTuple):
+    """How payloads are read: many of them as (sizes, distinct longs one after another), one of them as a set, and how
+    many elements two such sets share."""
+
+    many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+    one: Callable[[bytes], Any]
+    common: Callable[[Any, Any], int]
+
+
+def _common_longs(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
 
-def _common(sizes: np.ndarray, values: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets i with sets j: one search for every element of i."""
-    ids = np.unique(values, return_inverse=True)[1].astype(np.int64)
-    width = int(ids.max()) + 1 if len(ids) else 1
-    known = np.sort(np.repeat(np.arange(len(sizes)), sizes) * width + ids)
-    swap = sizes[i] > sizes[j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    n, first = sizes[i], np.cumsum(sizes) - sizes
-    pair = np.repeat(np.arange(len(i)), n)
-    asked = np.repeat(j, n) * width + ids[np.arange(len(pair)) + np.repeat(first[i] - (np.cumsum(n) - n), n)]
-    at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
-    return np.bincount(pair[known[at] == asked], minlength=len(i)) if len(pair) else np.zeros(len(i), np.int64)
+LONGS = Kind(longs, lambda b: np.frombuffer(b, "<i8"), _common_longs)
 
 
-def _verify_pairs(percent: int, decode):
-    """(a, b, sizes and payloads of both) to the pairs (a, b) that reach the threshold, in slices of some bytes."""
+def _verify_pairs(percent: int, kind: Kind):
+    """(a, b, sizes and payloads of both) to the pairs (a, b) that reach the threshold."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, Any] = {}  # a hub is in many pairs
+
+        def read(x: bytes) -> Any:
+            if x not in known:
+                if len(known) > 256:
+                    known.clear()
+                known[x] = kind.one(x)
+            return known[x]
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-            x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
-            part = np.cumsum([len(p) + len(q) for p, q in zip(x, y)]) // SLICE
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
             keep = []
-            for lo, hi in zip(cuts, cuts[1:]):
-                number: dict[bytes, int] = {}  # a hub is in many pairs
-                i, j = (np.array([number.setdefault(p, len(number)) for p in z[lo:hi]], np.int64) for z in (x, y))
-                common = _common(*decode(list(number)), i, j)
-                keep.append(lo + np.flatnonzero(100 * common >= percent * (na[lo:hi] + nb[lo:hi] - common)))
-            at = pa.array(np.concatenate(keep))
+            for i, (na, nb, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)))):
+                common = kind.common(read(x), read(y))
+                if 100 * common >= percent * (na + nb - common):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
 
     return verify
 
 
+def sizes_fit(x: str, y: str, percent: int) -> Column:
+    """Whether two sizes allow the threshold: a Jaccard similarity is at most their ratio."""
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
 def _pack_sets(t: pa.Table) -> pa.Table:
     """One row for a block of sets."""
     one = lambda c, d: pa.array([t.column(c).to_numpy().astype(d).tobytes()], pa.binary())
@@ -288,14 +288,14 @@ def _overlaps(x: np.ndarray, xl: np.ndarray, y: np.ndarray, yl: np.ndarray) -> n
     return out
 
 
-def _cut(payloads: bytes, lens: np.ndarray, rows: np.ndarray, decode) -> dict[int, np.ndarray]:
+def _cut(payloads: bytes, lens: np.ndarray, rows: np.ndarray, kind: Kind) -> dict[int, np.ndarray]:
     """The decoded sets of some rows of a block, by row."""
     end, rows = np.cumsum(lens), np.unique(rows)
-    sizes, values = decode([payloads[end[k] - lens[k] : end[k]] for k in rows.tolist()])
+    sizes, values = kind.many([payloads[end[k] - lens[k] : end[k]] for k in rows.tolist()])
     return dict(zip(rows.tolist(), np.split(values, np.cumsum(sizes)[:-1])))
 
 
-def _block_links(percent: int, decode):
+def _block_links(percent: int, kind: Kind):
     """Pairs of blocks to the links that join components: candidates share min(ell) prefix elements,
     each is verified exactly, and of the links found a spanning forest is enough."""
 
@@ -306,19 +306,21 @@ def _block_links(percent: int, decode):
                 (nodes, comps, ns, ells, lens, toks, plens, prefix), (nodes2, comps2, ns2, ells2, lens2, toks2, plens2, prefix2) = r[:8], r[8:]
                 cand = _overlaps(prefix, plens, prefix2, plens2) >= np.minimum(ells[:, None], ells2[None, :])
                 cand &= comps[:, None] != comps2[None, :]
+                cand &= 100 * np.minimum(ns[:, None], ns2[None, :]) >= percent * np.maximum(ns[:, None], ns2[None, :])
                 if same:
                     cand = np.triu(cand, 1)
                 i, j = np.nonzero(cand)
                 if not len(i):
                     continue
-                one, two = _cut(toks, lens, i, decode), _cut(toks2, lens2, j, decode)
+                one, two = _cut(toks, lens, i, kind), _cut(toks2, lens2, j, kind)
                 if len(i) > 4 * (len(nodes) + len(nodes2)):
                     xs, ys = list(one), list(two)  # ascending
                     x, y = ([d[k] for k in ks] for d, ks in ((one, xs), (two, ys)))
                     common = _overlaps(np.concatenate(x), np.array(list(map(len, x))), np.concatenate(y), np.array(list(map(len, y))))[np.searchsorted(xs, i), np.searchsorted(ys, j)]
                     ok = 100 * common >= percent * (ns[i] + ns2[j] - common)
                 else:
-                    ok = np.array([_similar(one[p], two[q], int(ns[p]), int(ns2[q]), percent) for p, q in zip(i.tolist(), j.tolist())], bool)
+                    common = np.array([_common_longs(one[p], two[q]) for p, q in zip(i.tolist(), j.tolist())])
+                    ok = 100 * common >= percent * (ns[i] + ns2[j] - common)
                 # components that links join, and the links as edges between components
                 del cand, one, two
                 K.release()
@@ -327,12 +329,11 @@ def _block_links(percent: int, decode):
     return links
 
 
-def link_sets(sets: DataFrame, percent: int, name: str, rounds: int = 1, decode=longs) -> DataFrame:
+def link_sets(sets: DataFrame, percent: int, name: str, rounds: int = 1, kind: Kind = LONGS) -> DataFrame:
     """(node, comp) of all nodes that have a verified link; comp is the smallest node linked.
 
     sets: (node long, n long, toks binary, ell int, prefix array<long>, off double). n is the set's
-    size, toks its elements, which ``decode`` makes distinct longs, many sets at once (at least those that other
-    sets may hold), prefix the elements to find candidates by: two sets are candidates if they share min(ell) of their prefixes. off says
+    size, toks its elements as ``kind`` reads them (at least those that other sets may hold), prefix the elements to find candidates by: two sets are candidates if they share min(ell) of their prefixes. off says
     how far from its neighbours a set is likely to be.
 
     A posting list of m sets stands for m * m / 2 pairs. Only connectivity is asked for, so first
@@ -344,40 +345,40 @@ def link_sets(sets: DataFrame, percent: int, name: str, rounds: int = 1, decode=
     a forest of the links comes back. No pair between two components is left out.
     """
     payload = sets.select("node", "n", "toks")
-    postings = sets.select(F.explode("prefix").alias("tok"), "node", "ell", "off")
+    postings = sets.select(F.explode("prefix").alias("tok"), "node", "n", "ell", "off")
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = (payload.withColumnsRenamed({"node": x, "n": f"n_{x}", "toks": f"t_{x}"}) for x in "ab")
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_verify_pairs(percent, decode), "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_verify_pairs(percent, kind), "a long, b long")
 
     comp = named = None
     for r in range(rounds):
         order = F.struct("off", F.xxhash64("node")) if r == 0 else F.struct(F.lit(0.0), F.xxhash64("node", F.lit(r)))
-        hubs = postings.select("tok", "node", F.col("node").alias("comp"), order.alias("o")) if comp is None else named.select("tok", "node", "comp", order.alias("o"))
-        found = verified(_hub_pairs(hubs, f"{name}-hub"))
+        hubs = postings.select("tok", "node", "n", F.col("node").alias("comp"), order.alias("o")) if comp is None else named.select("tok", "node", "n", "comp", order.alias("o"))
+        found = verified(_hub_pairs(hubs, f"{name}-hub", percent))
         # what is linked so far is as good as its components
         comp, _ = components(found if comp is None else found.union(comp), f"{name}-hub")
-        labels = materialize(postings.join(comp, "node", "left").select("tok", "node", "ell", "off", F.coalesce("comp", "node").alias("comp")), f"{name}-labels", True)
+        labels = materialize(postings.join(comp, "node", "left").select("tok", "node", "n", "ell", "off", F.coalesce("comp", "node").alias("comp")), f"{name}-labels", True)
         mixed = materialize(labels.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("tok", "m", F.col("m").alias("w")), f"{name}-mixed", True)
         seen = Observation()
         named = materialize(join_hot(labels, mixed, "tok", "w").observe(seen, F.count("*").alias("n"), F.count_if(F.col("m") > LIST).alias("long")), f"{name}-open", True)
         if not seen.get["n"]:
             return comp
     some = named.where(F.col("m") <= LIST)
-    one, two = (some.select("tok", F.col("node").alias(x), F.col("comp").alias(f"c_{x}"), F.col("ell").alias(f"l_{x}")) for x in "ab")
-    met = one.join(two, "tok").where("a < b AND c_a <> c_b").groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("l_a", "l_b")).alias("l")).where("c >= l")
+    one, two = (some.select("tok", F.col("node").alias(x), F.col("comp").alias(f"c_{x}"), F.col("ell").alias(f"l_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    met = one.join(two, "tok").where("a < b AND c_a <> c_b").where(sizes_fit("n_a", "n_b", percent)).groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("l_a", "l_b")).alias("l")).where("c >= l")
     links = verified(materialize(met.select("a", "b"), f"{name}-pairs", True)).union(comp)
     if seen.get["long"]:
-        links = links.union(_long_lists(sets, named, percent, name, decode))
+        links = links.union(_long_lists(sets, named, percent, name, kind))
     return components(links, name)[0]
 
 
-def _long_lists(sets: DataFrame, named: DataFrame, percent: int, name: str, decode) -> DataFrame:
+def _long_lists(sets: DataFrame, named: DataFrame, percent: int, name: str, kind: Kind) -> DataFrame:
     """A forest of the links between components that share an open list of more than LIST members.
     named: (tok, node, comp, m) of all open lists."""
     n = partitions(sets.sparkSession)
     lists = named.where(F.col("m") > LIST)
-    chain = _hub_pairs(lists.select("tok", "node", F.col("node").alias("comp"), F.xxhash64("node").alias("o")), f"{name}-chain")
+    chain = _hub_pairs(lists.select("tok", "node", "n", F.col("node").alias("comp"), F.xxhash64("node").alias("o")), f"{name}-chain")
     cluster, edges = components(chain, f"{name}-cluster")
     member = cluster.select("node", F.col("comp").alias("cluster")).union(cluster.select("comp", "comp").distinct())
     sizes = member.groupBy("cluster").agg(F.count("*").alias("w"))
@@ -399,4 +400,4 @@ def _long_lists(sets: DataFrame, named: DataFrame, percent: int, name: str, deco
     fields = ["nodes", "comps", "ns", "ells", "lens", "toks", "plens", "prefix"]
     other = packed.select("grp", F.col("blk").alias("blk2"), *(F.col(f).alias(f"{f}2") for f in fields))
     pairs = meet.join(packed, ["grp", "blk"]).join(other, ["grp", "blk2"]).select((F.col("blk") == F.col("blk2")).alias("same"), *fields, *(f"{f}2" for f in fields))
-    return pairs.repartition(n).mapInArrow(_block_links(percent, decode), "u long, v long")
+    return pairs.repartition(n).mapInArrow(_block_links(percent, kind), "u long, v long")

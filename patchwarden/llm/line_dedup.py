@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as K
-from ._shared import bitmap, bitmap_bits, in_bitmap, join_hot, link_sets, materialize, partitions, text_key
+from ._shared import Kind, bitmap, bitmap_bits, in_bitmap, join_hot, link_sets, materialize, partitions, text_key
 
 WIDTH = 6
 BANDS, ROWS, BINS = 12, 5, 64
@@ -274,6 +274,22 @@ def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _distinct(*_shingles_of(low, K.prefix_hash(low), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)), len(texts))
 
 
+def _line_set(line: bytes) -> set:
+    """A line's shingles as they are: bytes where characters are, else text."""
+    x = line if line.isascii() else line.decode()
+    return {x[k : k + WIDTH] for k in range(max(len(x) - WIDTH + 1, 1))}
+
+
+def _common(x: set, y: set) -> int:
+    """Shared shingles; of an ASCII line with another one, compared as text."""
+    if type(next(iter(x))) is not type(next(iter(y))):
+        x, y = ({v.decode() if isinstance(v, bytes) else v for v in z} for z in (x, y))
+    return len(x & y)
+
+
+LINES = Kind(_shingles, _line_set, _common)
+
+
 def _without(schema_names: list[str]):
     """Rows with a list of line numbers to texts without these lines."""
 
@@ -315,7 +331,7 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     fetched = materialize(rows.mapInArrow(_fetch(slots, bits), "key long, id long, h1 long, h2 long, line int, text binary, n long"), "lines-texts")
     texts = fetched.where("text IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"), F.first("n").alias("n"))
     sets = texts.join(bands, "key").select(F.col("key").alias("node"), "n", F.col("text").alias("toks"), F.lit(1).alias("ell"), "prefix", F.lit(0.0).alias("off"))
-    comp = link_sets(materialize(sets, "lines-sets", True), percent, "lines", decode=_shingles)
+    comp = link_sets(materialize(sets, "lines-sets", True), percent, "lines", kind=LINES)
     linked = comp.select(F.col("node").alias("key"), "comp").union(comp.select("comp", "comp").distinct())
     labels = again.join(linked, "key", "full").select("key", F.coalesce("comp", "key").alias("g"), F.coalesce("n", F.lit(1)).alias("w"))
     occ = fetched.select("key", "id", "h1", "h2", "line")

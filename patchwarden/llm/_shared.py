@@ -58,16 +58,17 @@ def partitions(spark: SparkSession) -> int:
 HOT = 1 << 16
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, how: str = "inner") -> DataFrame:
-    """left joined with right, which has one row of a few numbers a key and tells in ``weight`` how many rows of left the key
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, how: str = "inner", most: int | None = None) -> DataFrame:
+    """left joined with right, which has one row of a few values a key and tells in ``weight`` how many rows of left the key
     has. The rows of a hot key stay where they are, as its row of right is broadcast; the others are
     shuffled. So no key brings its rows together in one task. Both are written tables, as they are read
-    more than once; the weight is left out."""
+    more than once; the weight is left out. most: another bound than HOT, for rows that hold texts."""
+    most = most or HOT
     keys = [key] if isinstance(key, str) else key
     n, total = right.agg(F.count("*"), F.sum(weight)).first()
-    if n <= HOT:
+    if n <= most:
         return left.join(F.broadcast(right.drop(weight)), keys, how)
-    hot = F.col(weight) >= -(-total // HOT)
+    hot = F.col(weight) >= -(-total // most)
     few, rest = right.where(hot).drop(weight), right.where(~hot).drop(weight)
     others = left.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(rest, keys, how)
     return left.join(F.broadcast(few), keys).unionByName(others)
@@ -214,6 +215,8 @@ class Kind(NamedTuple):
     many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
     one: Callable[[bytes], Any]
     common: Callable[[Any, Any], int]
+    #: bytes of a bitmap of the elements' hashes in front of each payload, 0 without one
+    bitmap: int = 0
 
 
 def _common_longs(x: np.ndarray, y: np.ndarray) -> int:
@@ -225,6 +228,21 @@ def _common_longs(x: np.ndarray, y: np.ndarray) -> int:
 LONGS = Kind(longs, lambda b: np.frombuffer(b, "<i8"), _common_longs)
 
 
+def _may_reach(b: pa.RecordBatch, percent: int, size: int) -> np.ndarray:
+    """Whether pairs can reach the threshold: a bit of one bitmap that the other has not is an element that is not
+    shared, so what is left bounds the intersection. No pair that reaches it is lost."""
+    bits = []
+    for c in (4, 5):
+        x = b.column(c)
+        _, offsets, data = x.buffers()
+        start = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(x.type) else np.int32)[x.offset : x.offset + len(x)]
+        bits.append(np.frombuffer(data, np.uint8)[start[:, None] + np.arange(size)].view("<u8"))
+    n = [b.column(c).to_numpy() for c in (2, 3)]
+    left = [n[k] - np.bitwise_count(bits[k] & ~bits[1 - k]).sum(1, dtype=np.int64) for k in (0, 1)]
+    common = np.minimum(*left)
+    return 100 * common >= percent * (n[0] + n[1] - common)
+
+
 def _verify_pairs(percent: int, kind: Kind):
     """(a, b, sizes and payloads of both) to the pairs (a, b) that reach the threshold."""
 
@@ -239,6 +257,8 @@ def _verify_pairs(percent: int, kind: Kind):
             return known[x]
 
         for b in batches:
+            if kind.bitmap and b.num_rows:
+                b = b.filter(pa.array(_may_reach(b, percent, kind.bitmap)))
             keep = []
             for i, (na, nb, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)))):
                 common = kind.common(read(x), read(y))

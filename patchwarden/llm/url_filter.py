@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from ._shared import join_hot, materialize
 
+#: hot urls and expressions, whose rows are broadcast
+HOT_URLS = 1 << 12
 #: (action, host, path)
 DEFAULT_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -64,9 +66,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     rank = lambda r, a: F.struct(F.length(r), (F.col(a) == "block").cast("int"), F.col(r))
     asked = expanded.groupBy("u_digest").agg(F.count("*").alias("w")).withColumn("short", F.substring("u_digest", 1, 8))
     known = asked.join(compiled, "short").where("u_digest = digest").groupBy("u_digest").agg(F.max_by(F.struct("rule", "action"), rank("rule", "action")).alias("win"), F.max("w").alias("w"))
-    hits = join_hot(expanded, materialize(known, "url-known", True), "u_digest", "w")
+    hits = join_hot(expanded, materialize(known, "url-known", True), "u_digest", "w", most=HOT_URLS)
     verdicts = hits.groupBy("url").agg(F.max_by("win", rank("win.rule", "win.action")).alias("win"), F.max("n").alias("w"))
-    judged = join_hot(pages.select("page_id", "url"), materialize(verdicts, "url-verdicts", True), "url", "w", "left")
+    judged = join_hot(pages.select("page_id", "url"), materialize(verdicts, "url-verdicts", True), "url", "w", "left", HOT_URLS)
     return judged.select(
         "page_id", "url",
         F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"),

@@ -831,7 +831,7 @@ def test_url_filter(spark, monkeypatch):
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, rule string")
     by = spark.createDataFrame(rules, "action string, host string, path string")
     got = {r.page_id: r for r in url_filter.url_filter(pages, by).collect()}
-    monkeypatch.setattr(S, "HOT", 2)
+    monkeypatch.setattr(url_filter, "HOT_URLS", 2)
     assert len(got) == len(urls) and got == {r.page_id: r for r in url_filter.url_filter(pages, by).collect()}
     for i, u in enumerate(urls):
         host = path = ""

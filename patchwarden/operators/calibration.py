@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODES = ("none", "zscore", "ecdf")
@@ -34,5 +34,14 @@ def ecdf(df: DataFrame, train: DataFrame, score: str, out: str = "calibrated") -
 
 
 def self_ecdf(df: DataFrame, score: str, keys: list[str] | None = None, out: str = "calibrated") -> DataFrame:
-    """ecdf of rows against their own group."""
-    return df.withColumn(out, F.cume_dist().over(Window.partitionBy(*(keys or [])).orderBy(score)))
+    """ecdf of rows against their own group; null scores stay null. Ranks come from running totals over ranges of
+    scores, so a group is spread over tasks."""
+    from .metrics import _running_totals
+
+    keys = keys or []
+    points = df.where(F.col(score).isNotNull()).groupBy(*keys, (-F.col(score)).alias("score")).agg(F.count("*").alias("pos")).withColumn("neg", F.lit(0))
+    ranks = _running_totals(points, keys).select(*(F.col(k).alias(f"__{k}") for k in keys), (-F.col("score")).alias("__x"), (F.col("tp") / F.col("P")).alias(out))
+    same = F.col(score) == F.col("__x")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.drop(out).join(ranks, same, "left").drop("__x", *(f"__{k}" for k in keys))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrow as A
 from ..functions import kernels as N
+from ..sources.scratch import written
 
 NAN = float("nan")
 
@@ -51,28 +52,30 @@ def by_score(df: DataFrame, label: str, score: str, keys: list[str] | None = Non
     keys = keys or []
     y = F.col(label) > 0
     counts = df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(y.cast("long")).alias("pos"), F.sum((~y).cast("long")).alias("neg"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    if not keys:
-        return _running_totals(counts)
-    return counts.select("*", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("P"), F.sum("neg").over(whole).alias("N"))
+    return _running_totals(counts, keys)
 
 
-def _running_totals(counts: DataFrame, buckets: int = 64) -> DataFrame:
-    """Running totals over all distinct scores without one task that sorts them all: ranges of scores
-    by approximate quantiles, totals within each range, and the sums of the ranges above."""
+def _running_totals(counts: DataFrame, keys: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """Running totals over the distinct scores of each key without a task that sorts all of a key's: ranges of scores by
+    approximate quantiles, totals within each range of a key, and the sums of its ranges above."""
+    keys = keys or []
+    counts = written(counts, "scores")
     cuts = sorted(set(counts.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.005)))
     at = F.lit(0)
     for c in cuts:
         at = at + (F.col("score") > F.lit(c)).cast("int")
     x = counts.withColumn("range", at)
-    sums = x.groupBy("range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))  # buckets rows
-    above = Window.partitionBy(F.lit(0)).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(0))
-    sums = sums.select("range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("an"), F.sum("rp").over(whole).alias("P"), F.sum("rn").over(whole).alias("N"))
-    down = Window.partitionBy("range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    y = x.join(F.broadcast(sums), "range")
-    return y.select("score", "pos", "neg", (F.col("ap") + F.sum("pos").over(down)).alias("tp"), (F.col("an") + F.sum("neg").over(down)).alias("fp"), "P", "N")
+    sums = x.groupBy(*keys, "range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))  # buckets rows a key
+    parts = keys or [F.lit(0)]
+    above = Window.partitionBy(*parts).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*parts)
+    sums = sums.select(*keys, "range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("an"), F.sum("rp").over(whole).alias("P"), F.sum("rn").over(whole).alias("N"))
+    down = Window.partitionBy(*keys, "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("x.range") == F.col("s.range")
+    for k in keys:
+        same = same & F.col(f"x.{k}").eqNullSafe(F.col(f"s.{k}"))
+    y = x.alias("x").join((sums if keys else F.broadcast(sums)).alias("s"), same).select("x.*", "s.ap", "s.an", "s.P", "s.N")
+    return y.select(*keys, "score", "pos", "neg", (F.col("ap") + F.sum("pos").over(down)).alias("tp"), (F.col("an") + F.sum("neg").over(down)).alias("fp"), "P", "N")
 
 
 def best_f1(df: DataFrame, label: str, score: str, keys: list[str] | None = None, sweep: DataFrame | None = None) -> DataFrame:

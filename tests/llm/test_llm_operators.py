@@ -114,7 +114,7 @@ def test_hashes_of_long_texts(monkeypatch):
 
 def test_components_against_union_find(spark, monkeypatch):
     r = random.Random(3)
-    edges = [(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1100)]
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1030)]
     parent = {}
 
     def find(x):
@@ -126,7 +126,7 @@ def test_components_against_union_find(spark, monkeypatch):
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
     want = {x: find(x) for x in parent if find(x) != x}
-    for limit, hot in ((1 << 20, 1 << 16), (0, 1 << 16), (0, 3)):
+    for limit, hot in ((1 << 20, 1 << 16), (0, 3)):
         monkeypatch.setattr(S, "HOT", hot)
         got = components(spark.createDataFrame(edges, "u long, v long").repartition(7), "t", limit)[0].collect()
         assert {r.node: r.comp for r in got} == want and len(got) == len(want)
@@ -361,20 +361,18 @@ def learn_keys(spark, texts):
     _keys.update({r[0]: (r[1], r[2]) for r in d.select("text", *text_key()).collect()})
 
 
-def test_line_dedup(spark, docs, empty, monkeypatch):
+def test_line_dedup(spark, docs, empty):
     rows = corpus()
     learn_keys(spark, [r[1] for r in rows])
-    want = brute_lines(rows)
-    for hot in (1 << 16, 3):
-        monkeypatch.setattr(S, "HOT", hot)
-        got = line_dedup.line_dedup(docs)
-        assert got.columns == [*docs.columns, "n_lines", "n_removed"]
-        assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == want
+    got = line_dedup.line_dedup(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == brute_lines(rows)
     assert line_dedup.line_dedup(empty).collect() == []
 
 
-def test_line_dedup_odd_rows(spark):
-    """Short lines, blank lines, several null ids, one id with two texts, repeated rows, lines that differ in case."""
+def test_line_dedup_odd_rows(spark, monkeypatch):
+    """Short lines, blank lines, several null ids, one id with two texts, repeated rows, lines that differ in case, hot keys."""
+    monkeypatch.setattr(S, "HOT", 3)
     texts = ["All rights reserved.\n\none line of its own\n日本語です", "ALL RIGHTS RESERVED.\n\nanother line of its own\n日本語です\nx", "all rights of yours!\n \nX\nx", "\n\nall rights reserved.", "日本語です\n日本語です。\n1.\n2.\n1."]
     rows = list(enumerate(texts)) + [(None, texts[0]), (None, f"{texts[2]}\nown line of a null"), (1, f"kept by another row of the id\n{texts[1]}"), (3, texts[3]), (None, texts[0]), (9, None), (None, None), (8, "")]
     learn_keys(spark, [t for _, t in rows])

@@ -190,6 +190,8 @@ def _observed(e: DataFrame, name: str) -> tuple[DataFrame, tuple]:
 # --- links between sets -------------------------------------------------------------------
 
 BLOCK = 512
+#: bytes of payloads whose sets a task keeps at hand
+KNOWN_BYTES = 1 << 19
 #: members of a posting list that meet each other by a join; longer lists go through blocks
 LIST = 64
 
@@ -247,14 +249,19 @@ def _verify_pairs(percent: int, kind: Kind):
     """(a, b, sizes and payloads of both) to the pairs (a, b) that reach the threshold."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, Any] = {}  # a hub is in many pairs
+        known: dict[bytes, Any] = {}  # sets stand in several pairs, a hub's in many
+        held = 0
 
         def read(x: bytes) -> Any:
-            if x not in known:
-                if len(known) > 256:
+            nonlocal held
+            got = known.get(x)
+            if got is None:
+                if held > KNOWN_BYTES:
                     known.clear()
-                known[x] = kind.one(x)
-            return known[x]
+                    held = 0
+                held += len(x)
+                got = known[x] = kind.one(x)
+            return got
 
         for b in batches:
             if kind.bitmap and b.num_rows:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decon
-from . import cotrain, html_extract, language_id, line_dedup, ngram_join, periodic_runs, quality_rules, sp_codec, token_alignment, token_counts, url_filter
+from . import cotrain, html_extract, language_id, line_dedup, near_vectors, ngram_join, periodic_runs, quality_rules, sp_codec, token_alignment, token_counts, url_filter
 from ._shared import table
 from .sql import ORACLES
 
@@ -69,6 +69,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.token_alignment(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_MODEL), tokenizer_path(PIECE_MODEL))[0]
 
@@ -99,7 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_ngram_jaccard, op2_sentencepiece, op3_line_dedup, op4_html_extraction, op5_quality_classifier,
         op6_token_counts, op7_decontamination, op8_language_id, op9_url_filter, op10_quality_rules,
-        op12_token_alignment, op13_periodic_runs,
+        op11_embedding_dedup, op12_token_alignment, op13_periodic_runs,
     )
     return {f.__name__: f for f in found}
 

@@ -2,7 +2,8 @@
 
 1. Equal vectors of a label are one node, found by an aggregate with map-side combine, so exact copies cost nothing below.
 2. Labels of more than SHARD nodes are cut into clusters, the clusters into clusters again, until each shard has SHARD nodes at most. Centers are fitted
-   on some SAMPLE nodes of a cluster; every node goes to its OVERLAP nearest centers, so shards overlap.
+   on some SAMPLE nodes of a cluster; every node goes to its OVERLAP nearest centers, so shards overlap (two at the second cut, one at further ones: a node has
+   2 * OVERLAP copies at most).
    A cluster's nodes are dealt over as many tasks as it has SHARDs, whatever their share of the rows.
 3. Each shard builds a graph: a node's POOL nearest are pruned robustly (a candidate goes if an edge that stays is nearer to it
    by ALPHA than the node is), some far nodes are added so that tight groups can be entered and left, and edges get their reverse.
@@ -33,9 +34,9 @@ from ._shared import _contract, components, join_hot, materialize
 
 COSINE = 0.93
 #: vectors of a shard, and clusters of a shard that is cut
-SHARD, CLUSTERS = 4096, 32
+SHARD, CLUSTERS = 4096, 256
 #: vectors of a cluster that its centers are fitted on
-SAMPLE = 2048
+SAMPLE = 4096
 OVERLAP, DEGREE, FAR, POOL, ALPHA, BEAM = 2, 20, 4, 48, 1.2, 16
 #: how far out of range (in cosine) the expansion of a range still goes on
 SLACK = 0.05
@@ -114,7 +115,9 @@ def shards(nodes: DataFrame, overlap: int = OVERLAP, limit: int = SHARD, sample:
     """nodes (node, grp, vec) to (node, shard, vec): overlapping clusters of each group, of ``limit`` nodes at most."""
     done = None
     left = nodes.select("node", F.col("grp").alias("shard"), "vec")
-    for r in range(12):
+    r = 0
+    while True:
+        share = (overlap, min(overlap, 2))[r] if r < 2 else 1
         sizes = materialize(left.groupBy("shard").agg(F.count("*").alias("w")).withColumn("n", F.col("w")), "vectors-sizes", True)
         sized = join_hot(left, sizes, "shard", "w")
         small = sized.where(F.col("n") <= limit).select("node", "shard", "vec")
@@ -123,14 +126,13 @@ def shards(nodes: DataFrame, overlap: int = OVERLAP, limit: int = SHARD, sample:
             return done
         big = materialize(sized.where(F.col("n") > limit), "vectors-big")
         chosen = big.where(F.expr(f"pmod(xxhash64(node, {r}), n) < {sample}"))
-        centers = materialize(chosen.groupBy("shard").applyInArrow(_fit(r, CLUSTERS, limit, overlap), "shard long, centers binary"), "vectors-centers", True)
+        centers = materialize(chosen.groupBy("shard").applyInArrow(_fit(r, CLUSTERS, limit, share), "shard long, centers binary"), "vectors-centers", True)
         salts = F.expr(f"int((n + {limit - 1}) div {limit})")
         dealt = big.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
         copies = sizes.where(F.col("n") > limit).join(centers, "shard").select("shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "centers")
-        cut = dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(_assign(overlap), "node long, shard long, part int, vec binary")
-        # a node that comes from two clusters may come twice into one
+        cut = dealt.groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInArrow(_assign(share), "node long, shard long, part int, vec binary")
         left = materialize(cut.select("node", F.xxhash64("shard", "part").alias("shard"), "vec"), "vectors-cut")
-    return done.unionByName(left)
+        r += 1
 
 
 def _pruned(x: np.ndarray, rows: np.ndarray, pool: np.ndarray, degree: int, alpha: float) -> np.ndarray:

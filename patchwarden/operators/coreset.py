@@ -1,8 +1,7 @@
 """Reference banks from training vectors: (bank_id, features) in order of selection.
 
 Micro-batches reduce in parallel and meet in a tree (merge-reduce). Selections over all rows run in one task if
-the vectors fit a block; beyond it in distributed passes, each of which brings back the farthest rows
-and settles as many picks as these prove. What is inherently sequential streams through one task with
+the vectors fit a block; beyond it in distributed passes over lazily kept distances (``selection``). What is inherently sequential streams through one task with
 the state of K centers, never with a whole group."""
 
 from __future__ import annotations
@@ -17,12 +16,11 @@ from pyspark.sql import functions as F
 from ..functions import arrow as A
 from ..functions import kernels as N
 from ..functions.vectors import sq_norm, vector_dim
+from . import selection as S
+from .selection import BANK
 
-BANK = "bank_id long, features array<double>"
 #: bytes of vectors that one task may hold
 BLOCK_BYTES = 256 << 20
-#: rows that a pass brings to the driver
-CANDIDATES = 1024
 
 
 def _bank(x: np.ndarray) -> pa.Table:
@@ -43,59 +41,16 @@ def one_block(df: DataFrame, column: str, order: str, pick) -> DataFrame:
     return df.select(F.lit(0).alias("g"), order, column).groupBy("g").applyInArrow(lambda t: _bank((x := _in_order(t, order, column))[pick(x)]), BANK)
 
 
-def farthest_first(df: DataFrame, column: str, order: str, k: int) -> DataFrame:
-    """Exact farthest-first of all rows: in one task if the vectors fit a block, else in passes."""
+def farthest_first(df: DataFrame, column: str, order: str, k: int, log: list[S.Pass] | None = None) -> DataFrame:
+    """Exact farthest-first of all rows (all of them in order if there are k or fewer): in one task if the vectors fit a block, else in passes."""
     if _fits(df, column):
         return one_block(df, column, order, lambda x: N.farthest_first(x, k))
     from .moments import fit_moments
 
     m = fit_moments(df, column)
     if k >= m.n:
-        raise ValueError("k is not below the number of rows, which do not fit a block")
-    return _passes(df, column, order, k, lambda x: N.distances(x, m.mean), True)
-
-
-def _passes(df: DataFrame, column: str, order: str, k: int, start, afresh: bool, view=lambda x: x) -> DataFrame:
-    """k rows, each time the one with the largest distance from those picked (ties: the lowest order); start(rows) are the
-    distances to begin with, for the first pick only (afresh) or as a bound on all later ones. view: of
-    the rows that distances are taken on.
-
-    A pass computes the distances of all rows to the picks so far and brings back the CANDIDATES farthest. As
-    distances only shrink, a candidate that is still farther than the last of them was is the next pick,
-    so one pass settles many picks; picks and candidates alone are on the driver."""
-    picks: list[np.ndarray] = []
-    rows = df.select(F.col(order).cast("long").alias("o"), F.col(column).alias("v"))
-
-    def near(chosen: np.ndarray | None):
-        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = A.matrix(b.column(1))
-                z = view(x)
-                d = start(x) if chosen is None or not afresh else np.full(len(x), np.inf)
-                for p in chosen if chosen is not None else ():
-                    d = np.minimum(d, N.distances(z, p))
-                at = np.lexsort((b.column(0).to_numpy(), -d))[:CANDIDATES]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(d[at]), A.lists(x[at])], names=["o", "d", "v"])
-
-        return f
-
-    while len(picks) < k:
-        seen = rows.mapInArrow(near(view(np.array(picks)) if picks else None), "o long, d double, v array<double>")
-        t = seen.orderBy(F.desc("d"), "o").limit(CANDIDATES).toArrow()
-        x, d, o = A.matrix(t.column("v")), t.column("d").to_numpy().copy(), t.column("o").to_numpy()
-        z, bar = view(x), d[-1] if len(d) == CANDIDATES else -np.inf
-        at, first = 0, not picks and afresh
-        while True:
-            picks.append(x[at])
-            if len(picks) == k or first:
-                break
-            d = np.minimum(d, N.distances(z, z[at]))
-            at = int(np.lexsort((o, -d))[0])
-            if d[at] <= bar:
-                break
-    return df.sparkSession.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(picks)], BANK)
+        return S.numbered(df, column, order)
+    return S.farthest_rows(df, column, order, k, lambda x: N.distances(x, m.mean), True, log=log)
 
 
 def _reduce(k: int):
@@ -173,7 +128,7 @@ def budgeted_kcenter(df: DataFrame, column: str, order: str, k: int, threshold:
     return _streamed(df, column, order, lambda: N.Budgeted(k, threshold), lambda s, x: s.update(x), lambda s: s.c)
 
 
-def greedy(df: DataFrame, column: str, order: str, share: float = 0.1, approximate: bool = False, seed: int = 0, dim: int = 128, starts: int = 10) -> DataFrame:
+def greedy(df: DataFrame, column: str, order: str, share: float = 0.1, approximate: bool = False, seed: int = 0, dim: int = 128, starts: int = 10, log: list[S.Pass] | None = None) -> DataFrame:
     """Greedy coreset of int(n * share) rows (offline): always the row farthest from those picked, where all rows
     start with the norm of their row of the distance matrix, or, approximately, with the mean distance to
     some rows chosen by hash, on a random projection."""
@@ -197,7 +152,7 @@ def greedy(df: DataFrame, column: str, order: str, share: float = 0.1, approxima
     k = int(n * share)
     if _fits(df, column):
         return one_block(df, column, order, lambda x: N.greedy_picks(view(x), start(x), k))
-    return _passes(df, column, order, k, start, False, view)
+    return S.farthest_rows(df, column, order, k, start, False, view, log)
 
 
 def kmeans(df: DataFrame, column: str, k: int, seed: int = 0, max_iter: int = 20) -> DataFrame:

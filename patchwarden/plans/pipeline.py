@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import require_finite
+from ..functions.vectors import require_finite, vector_dim
 from ..operators import coreset as B
 from ..operators import knn as J
 from ..operators import scoring as C
@@ -17,8 +17,11 @@ from ..operators import tail as T
 from ..operators.moments import fit_moments, fourth_moment
 from ..operators.reduction import PCAModel, pca_of
 from ..operators.whitening import WhiteningConfig, WhiteningModel, whitening_of
+from ..sources.scratch import written
 from .registry import build_bank, check_bank
 
+#: bytes of a bank that is kept as a local table
+SMALL_BANK = 32 << 20
 IMAGE_MODES = ("GLOBAL_ONLY", "TOPK_SOFT", "TOPP_MEAN")
 
 
@@ -128,6 +131,14 @@ class Model:
         return Model(FitConfig(**c), back(PCAModel, state["pca"]), back(WhiteningModel, state["whitening"]), spark.read.parquet(f"{path}/bank"), state.get("telemetry", {}))
 
 
+def pinned(bank: DataFrame) -> DataFrame:
+    """A bank computed once: written, as a greedy one grows with the rows; a small one then as a local table, whose size later joins know."""
+    table = written(bank, "bank")
+    if table.count() * vector_dim(table, "features") * 8 > SMALL_BANK:
+        return table
+    return bank.sparkSession.createDataFrame(table.orderBy("bank_id").collect(), table.schema)
+
+
 def fit(patches: DataFrame, config: FitConfig, batch: str = "batch", order: str = "vec_id") -> Model:
     """Fit on patches (batch, order, features). Moments are one distributed pass; with PCA the
     reduced moments follow from it without another one."""
@@ -148,12 +159,10 @@ def fit(patches: DataFrame, config: FitConfig, batch: str = "batch", order: str
     z = model.transform(x)
     n = B.cluster_count(c.n_clusters, c.cluster_range, c.contract, 0 if c.contract == "STREAMING" else z.count())
     bank = build_bank(z, c, n, model.telemetry)
-    # the bank is bounded by its budget; pinned as a local table, later joins know its size
-    rows = bank.collect()
-    model.bank = patches.sparkSession.createDataFrame(rows, B.BANK)
-    model.telemetry |= {"rows": len(rows), "budget": n}
-    B.enforce_budget(model.bank, len(rows) if c.bank == "greedy" else n if c.bank != "tail_aware" else c.tail.k, c.enforce, c.contract)
+    model.bank = pinned(bank)
+    size = model.bank.count()
+    model.telemetry |= {"rows": size, "budget": n}
+    B.enforce_budget(model.bank, size if c.bank == "greedy" else n if c.bank != "tail_aware" else c.tail.k, c.enforce, c.contract)
     if c.self_distances:
-        more = J.materialize_bank(model.bank, True)
-        model.bank = patches.sparkSession.createDataFrame(more.collect(), more.schema)
+        model.bank = pinned(J.materialize_bank(model.bank, True))
     return model

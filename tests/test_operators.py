@@ -20,6 +20,7 @@ from patchwarden.operators import moments as MO
 from patchwarden.operators import reduction as R
 from patchwarden.operators import scoring as C
 from patchwarden.operators import segmentation as G
+from patchwarden.operators import selection as S
 from patchwarden.operators import tail as T
 from patchwarden.operators import whitening as W
 
@@ -158,18 +159,44 @@ def test_kcenter_budget(spark):
     assert B.enforce_budget(frame(spark, X), 10, contract="OFFLINE") == 90
 
 
-@pytest.mark.parametrize("candidates", [1, 4, 1000])
-def test_selections_in_passes_equal_those_in_a_block(spark, monkeypatch, candidates):
+@pytest.mark.parametrize("candidates,rows,top,lag", [(2, 13, 2, 2), (1000, 4096, 64, 8)])
+def test_selections_in_passes_equal_those_in_a_block(spark, monkeypatch, candidates, rows, top, lag):
     """With repeated rows, so that distances tie."""
     x = np.concatenate([X, X[:20]])
     df = frame(spark, x).repartition(3).cache()
-    kinds = {"farthest": lambda: B.farthest_first(df, "features", "vec_id", 12), "greedy": lambda: B.greedy(df, "features", "vec_id", 0.1), "approximate": lambda: B.greedy(df, "features", "vec_id", 0.1, True, 3)}
+    kinds = {"farthest": lambda: B.farthest_first(df, "features", "vec_id", 12), "all": lambda: B.farthest_first(df, "features", "vec_id", len(x)), "more": lambda: B.farthest_first(df, "features", "vec_id", 500), "greedy": lambda: B.greedy(df, "features", "vec_id", 0.1), "approximate": lambda: B.greedy(df, "features", "vec_id", 0.1, True, 3)}
     want = {k: bank_of(f()) for k, f in kinds.items()}
-    assert np.allclose(want["farthest"], x[N.farthest_first(x, 12)])
+    assert np.allclose(want["farthest"], x[N.farthest_first(x, 12)]) and np.allclose(want["more"], x)
     monkeypatch.setattr(B, "BLOCK_BYTES", 1)
-    monkeypatch.setattr(B, "CANDIDATES", candidates)
+    for name, value in (("CANDIDATES", candidates), ("BLOCK_ROWS", rows), ("TOP", top), ("LAG", lag)):
+        monkeypatch.setattr(S, name, value)
     for k, f in kinds.items():
-        assert np.allclose(bank_of(f()), want[k]), k
+        assert np.array_equal(bank_of(f()), want[k]), k
+
+
+def test_passes_are_lazy(spark, monkeypatch):
+    """Blocks far below the best candidate are left alone, a row meets each pick once at most, and a pass does not cost more the more picks there are."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(400, 3)) * 0.01, rng.normal(size=(100, 3)) * 5])
+    for name, value in (("CANDIDATES", 4), ("BLOCK_ROWS", 20), ("TOP", 4), ("LAG", 6)):
+        monkeypatch.setattr(S, name, value)
+    monkeypatch.setattr(B, "BLOCK_BYTES", 1)
+    log = []
+    got = bank_of(B.farthest_first(frame(spark, x).coalesce(1), "features", "vec_id", 40, log))
+    assert np.array_equal(got, x[N.farthest_first(x, 40)])
+    assert sum(p.picks for p in log) == 39 and log[0].blocks == 25
+    assert sum(p.distances for p in log) <= 40 * len(x)
+    assert sum(p.blocks for p in log[1:]) < 25 * (len(log) - 1) * 0.6
+    assert max(p.distances for p in log[1:]) <= len(x) * 4 * 6
+
+
+def test_lowered_is_exact():
+    rng = np.random.default_rng(4)
+    z, p = rng.normal(size=(300, 5)) + 100, rng.normal(size=(700, 5)) + 100
+    z[:50] = p[:50]
+    d = np.full(300, np.inf)
+    want = np.min([N.distances(z, q) for q in p], 0)
+    assert np.array_equal(S.lowered(d, z, p), want) and np.array_equal(S.lowered(want, z, p[:9]), want)
 
 
 def test_budgeted_kcenter(spark):

@@ -97,7 +97,8 @@ def _bad_name(name: str, bad: set[str]) -> bool:
     """Whether a class or id has a bad word and else only words of layout and numbers, so that no slug
     of a heading is taken for it."""
     rest = {w for w in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", name) if w and not w.isdigit()} - _LAYOUT_WORDS
-    return bool(rest) and all(w in bad or any(_fused(w[:i], w[i:], bad) for i in range(3, len(w) - 2)) for w in rest)
+    longest = 2 * max(map(len, bad | _LAYOUT_WORDS))  # of a longer one no two parts are listed
+    return bool(rest) and all(w in bad or len(w) <= longest and any(_fused(w[:i], w[i:], bad) for i in range(3, len(w) - 2)) for w in rest)
 
 
 def _fused(a: str, b: str, bad: set[str]) -> bool:

@@ -73,7 +73,7 @@ def _sets(buf: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], k: int, flush: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """(doc_ids, sets) of runs of documents with about ``flush`` shingles."""
+    """(doc_ids, NO_ID for null, and sets) of runs of documents with about ``flush`` shingles."""
     ids: list[int] = []
     sets: list[np.ndarray] = []
     size = 0
@@ -108,19 +108,28 @@ _HEADS = "id long, d1 long, d2 long, n long, tok long, c long"
 
 
 def _heads(k: int):
-    """(doc_id, text) to rows (id, d1, d2, n) of every document, rows (tok, c) of shingles that have 1 / FREQUENT of a
+    """(doc_id, text) to rows (id, d1, d2, n) of every document (id null as it is, n never), rows (tok, c) of shingles that have 1 / FREQUENT of a
     run's distinct sets and occur twice in it, and a row (c) of all shingles counted. A shingle with
     2 / FREQUENT of all occurrences loses less than half of them to runs where it is rarer."""
 
     def batch(m: int, **columns) -> pa.RecordBatch:
         names = [f.split()[0] for f in _HEADS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], pa.int64()) if c in columns else pa.nulls(m, pa.int64()) for c in names], names=names)
+        return pa.RecordBatch.from_arrays([(v if isinstance(v := columns[c], pa.Array) else pa.array(v, pa.int64())) if c in columns else pa.nulls(m, pa.int64()) for c in names], names=names)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
-        for ids, sets in _runs(batches, k, FLUSH):
+        nulls: list[np.ndarray] = []  # as the batches come
+
+        def noted() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                nulls.append(b.column(0).is_null().to_numpy(zero_copy_only=False))
+                yield b
+
+        for ids, sets in _runs(noted(), k, FLUSH):
             n, d1, d2 = _digests(sets)
-            yield batch(len(ids), id=ids, d1=d1, d2=d2, n=n)
+            none = np.concatenate(nulls)
+            yield batch(len(ids), id=pa.array(ids, mask=none[: len(ids)]), d1=d1, d2=d2, n=n)
+            nulls[:] = [none[len(ids) :]]
             x = np.sort(np.concatenate([sets[i] for i in np.unique(d1, return_index=True)[1].tolist()]))
             total += len(x)
             at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
@@ -134,7 +143,7 @@ def _heads(k: int):
 
 def frequent_shingles(heads: DataFrame) -> np.ndarray:
     """Sorted hashes of the shingles with at least 1 / FREQUENT of all occurrences counted; FREQUENT at most."""
-    n = materialize(heads.where("id IS NULL").groupBy("tok").agg(F.sum("c").alias("n")), "ngram-counts", True)
+    n = materialize(heads.where("n IS NULL").groupBy("tok").agg(F.sum("c").alias("n")), "ngram-counts", True)
     total = n.where("tok IS NULL").agg(F.sum("n")).first()[0] or 0
     top = n.where("tok IS NOT NULL").where(F.col("n") >= max(2, -(-total // FREQUENT))).select("tok").toArrow()
     return np.sort(top.column("tok").to_numpy().astype(np.int64).view(np.uint64))
@@ -313,11 +322,11 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     bits = _bits(partitions(spark))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = materialize(rows.mapInArrow(_heads(shingle), _HEADS), "ngram-heads")
-    heads = seen.where("id IS NOT NULL").select("id", "d1", "d2", "n")
+    heads = seen.where("n IS NOT NULL").select("id", "d1", "d2", "n")
     groups = materialize(heads.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("m")), "ngram-groups")
     total = groups.agg(F.sum("m")).first()[0] or 0
     top = groups.where(F.col("m") >= max(2, -(-total // HOT))).select("d1", "d2", "rep").orderBy("d1").toArrow()  # HOT rows at most
-    copies = np.stack([top.column(c).to_numpy().astype(np.int64) for c in ("d1", "d2", "rep")], 1)
+    copies = np.stack([top.column(c).fill_null(K.NO_ID).to_numpy().astype(np.int64) for c in ("d1", "d2", "rep")], 1)
     shared = spark.sparkContext.broadcast((frequent_shingles(seen), copies))
     packed = rows.mapInArrow(_pack(shingle, bits, shared), "bucket int, body binary")
     found = materialize(packed.groupBy("bucket").applyInArrow(lambda t: _bucket(t, bits), _SHARED), "ngram-buckets")
@@ -333,16 +342,15 @@ def ngram_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     moved = join_hot(named, least, "comp", "w").select("d1", "d2", "least")
     labels = groups.join(moved, ["d1", "d2"], "left").where("m > 1 OR least IS NOT NULL").select("d1", "d2", "rep", F.coalesce("least", "rep").alias("least"), F.col("m").alias("w"))
     out = join_hot(heads, materialize(labels, "ngram-labels", True), ["d1", "d2"], "w", "left")
-    null = lambda c: F.when(c != K.NO_ID, c)
-    return out.select(null(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("least", "id")).alias("component_id"), null(F.coalesce("rep", "id")).alias("rep"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"), F.coalesce("rep", "id").alias("rep"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component (that whose doc_id names it), same columns.
-    Rows without shingles stay. Where doc_ids repeat, null ones too, the rows are numbered and
+    Rows without shingles stay. Where doc_ids repeat or one is null, the rows are numbered and
     written first, as doc_id does not tell them apart."""
     ids = docs.groupBy(F.col("doc_id").alias("id")).count()
-    if ids.where("count > 1").limit(1).count():
+    if ids.where("count > 1 OR id IS NULL").limit(1).count():
         return _keep_one_row(docs, shingle, percent)
     drop = materialize(ngram_components(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id")).distinct(), "ngram-drop", True)
     return docs.join(drop, docs["doc_id"] == drop["drop_id"], "left_anti").select(*docs.columns)
@@ -352,8 +360,8 @@ def _keep_one_row(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """keep_one by row numbers: of a component, the row of the smallest doc_id stays, null last."""
     numbered = materialize(docs.select(*docs.columns, F.monotonically_increasing_id().alias("__row")), "ngram-rows")
     comp = ngram_components(numbered.select(F.col("__row").alias("doc_id"), "text"), shingle, percent)
-    rows = numbered.select("__row", F.coalesce(F.col("doc_id").cast("long"), F.lit(K.NO_ID)).alias("id"))
+    rows = numbered.select("__row", F.col("doc_id").cast("long").alias("id"))
     rows = rows.join(comp.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
-    first = rows.groupBy("component_id").agg(F.min(F.struct("id", "__row")).alias("first"))
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first"))
     kept = materialize(first.select(F.col("first.__row").alias("__kept")), "ngram-kept", True)
     return numbered.join(kept, F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)

@@ -92,12 +92,11 @@ def split(text):
 
 def periodic_texts():
     r = random.Random(3)
-    texts = [None, "", " \n", "one", "la " * 6, "la " * 5, "a b " * 4, "a b\n" * 3, "é à x " * 9 + "é", "no\x0brun\x0chere " * 4, "x " * 30000, "A a " * 8, "日本 語 " * 7]
+    texts = [None, "", " \n", "one", "la " * 6, "la " * 5, "a b " * 4, "a b\n" * 3, "é à x " * 9 + "é", "no\x0brun\x0chere " * 4, "x " * 2000, "A a " * 8, "日本 語 " * 7]
     return texts + ["".join(f"w{x}" + r.choice(SPACES) for x in random_words(r)) for _ in range(200)]
 
 
-def test_periodic_runs_rows(spark, monkeypatch):
-    monkeypatch.setattr(periodic_runs.K, "BLOCK_BYTES", 300)
+def test_periodic_runs_rows(spark):
     texts = periodic_texts()
     rows = [(None if i % 50 == 0 else i // 2, t, "x", 1) for i, t in enumerate(texts)]
     got = periodic_runs.periodic_runs(spark.createDataFrame(rows, DOCS).repartition(3))

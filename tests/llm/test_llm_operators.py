@@ -177,10 +177,10 @@ def brute_components(rows):
             if s and t and 100 * len(s & t) >= 75 * len(s | t):
                 p, q = find(a), find(b)
                 parent[p] = q
-    least = collections.defaultdict(lambda: K.NO_ID)
+    least = collections.defaultdict(list)
     for k, (i, s) in enumerate(sets):
-        least[find(k)] = min(least[find(k)], K.NO_ID if i is None else i)
-    out = [(i, len(s), None if least[find(k)] == K.NO_ID else least[find(k)]) for k, (i, s) in enumerate(sets)]
+        least[find(k)] += [] if i is None else [i]
+    out = [(i, len(s), min(least[find(k)], default=None)) for k, (i, s) in enumerate(sets)]
     return sorted(out, key=str)
 
 
@@ -322,7 +322,7 @@ def test_codec_empty(empty):
 def brute_lines(rows):
     """(doc_id, text) after exact dedup of similar lines; rows with equal id and text are one document."""
     low = lambda x: x.translate(LOW)
-    ids = lambda i: K.NO_ID if i is None else i
+    ids = lambda i: (i is None, i or 0)
     docs = {(i, t) for i, t, *_ in rows if t}
     occ = [(ids(i), j, t, low(x)) for i, t in docs for j, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
     shingles = {x: {x[k : k + 6] for k in range(max(len(x) - 5, 1))} for *_, x in occ}
@@ -455,6 +455,10 @@ def test_html_extract_is_linear():
         assert html_extract.extract(page) == want
     assert html_extract.extract("<li><ul>" * n + "x" + "</li>" * n) == "x"
     assert time.perf_counter() - began < 60
+    began = time.perf_counter()
+    for name in ("a" * 1_000_000, "cookie" * 200_000, "nav-" * 250_000):
+        assert html_extract.extract(f'<div class="{name}" id="{name}"><p>text</p></div>') == "text"
+    assert time.perf_counter() - began < 6
 
 
 def test_html_extract_rows(spark):
@@ -749,6 +753,24 @@ def test_rows_of_null_and_repeated_ids(spark):
         assert [x for x in got if x not in two] == sorted([(i, own(1)), (i, "two words"), (i, None), (i, "")], key=str)
 
 
+LAST = 2**63 - 1
+
+
+@pytest.mark.parametrize("ids", [(None, 1), (1, None), (LAST, 5), (5, LAST), (LAST, None), (None, LAST), (None, None), (-LAST - 1, None)])
+def test_one_null_id_and_the_largest_id(spark, ids):
+    """No value of doc_id stands for null: of two copies one stays, the null one goes, and the largest id is an id."""
+    text, line = " ".join(words(40, 800)), " ".join(words(15, 801))
+    d = spark.createDataFrame([(ids[0], text), (ids[1], text), (77, " ".join(words(30, 802)))], "doc_id long, text string").repartition(3)
+    least = min((i for i in ids if i is not None), default=None)
+    got = sorted(((r.doc_id, r.component_id) for r in ngram_join.ngram_components(d).collect()), key=str)
+    assert got == sorted([(i, least) for i in ids] + [(77, 77)], key=str)
+    assert sorted((r.doc_id for r in ngram_join.keep_one(d).collect()), key=str) == sorted([least, 77], key=str)
+    rows = [(ids[0], f"{line}\nfirst of them"), (ids[1], f"{line}\nsecond of them all")]
+    learn_keys(spark, [r[1] for r in rows])
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == brute_lines(rows)
+
+
 # --- 8 -------------------------------------------------------------------------------------
 
 

@@ -91,3 +91,16 @@ def test_odd_rows_through_the_pipeline(spark):
     assert sorted(((r.doc_id, r.text) for r in d.collect()), key=str) == sorted(want, key=str)
     out = P.tokens(spark, d, SF).collect()
     assert len(out) == 7 and all(r.lossless for r in out)
+
+
+def test_one_null_copy_goes_through_the_pipeline(spark, tmp_path):
+    """Of a document and its copy without a number, the copy goes; the largest number is a number."""
+    import random
+
+    r = random.Random(9)
+    text = lambda: "\n".join(" ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9))) for _ in range(30)) + "." for _ in range(4))
+    a, b, c = text(), text(), text()
+    rows = [(3, a, "en", "s", len(a)), (None, a, "en", "s", len(a)), (2**63 - 1, b, "en", "s", len(b)), (None, b, "en", "s", len(b)), (4, c, "en", "s", len(c))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "nothing of this stands in any document, that is for sure")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(x.doc_id for x in P.run(spark, str(tmp_path)).collect()) == [3, 4, 2**63 - 1]

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import arrow as A
-from ..functions import kernels as N
 from ..functions.vectors import bround_vector
+from ..sources.scratch import written
+from .tolerance import first_within
 
 
 def dedup_key(column: str, strategy: str = "exact_row", decimals: int = 6) -> Column:
@@ -31,18 +27,12 @@ def dedup_first(df: DataFrame, column: str, order: str, strategy: str = "exact_r
 
 
 def dedup_tolerance(df: DataFrame, column: str, order: str, eps: float) -> DataFrame:
-    """Rows that stay when each within eps of a kept earlier row goes: greedy in order. Equal vectors go first, in an
-    aggregate with map-side combine, as what keeps or drops the first of them drops the others; the different
-    ones stream through one task, as the definition is sequential. It holds the kept vectors only, sorted by a coordinate."""
-    names = df.columns
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = N.Kept(eps)
-        for b in batches:
-            if b.num_rows and len(i := kept.add(A.matrix(b.column(names.index(column))))):
-                yield b.take(pa.array(i))
-
-    return dedup_first(df, column, order).repartition(1).sortWithinPartitions(order).mapInArrow(keep, df.schema)
+    """Rows that stay when each within eps of a kept earlier row goes, by a whole-number order. Equal vectors go first, in an
+    aggregate with map-side combine, as what keeps or drops the first of them drops the others; the different ones are decided
+    in parallel rounds (``tolerance``)."""
+    once = written(dedup_first(df, column, order).withColumn("__rid", F.monotonically_increasing_id()), "tolerance-rows")
+    kept = first_within(once, "__rid", column, order, eps)
+    return once.join(kept, F.col("__rid") == F.col("rid"), "left_semi").select(*df.columns)
 
 
 def in_pool(df: DataFrame, pool: DataFrame, column: str = "features", strategy: str = "exact_row", decimals: int = 6, eps: float = 0.0) -> DataFrame:

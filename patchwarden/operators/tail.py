@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrow as A
 from ..functions import kernels as N
 from ..functions.vectors import chi2_sf, sq_norm, vector_dim
+from ..sources.scratch import written
 from . import coreset as B
 from . import dedup as D
 from .knn import min_distance
@@ -104,10 +108,80 @@ def tail_scores(x: DataFrame, full: np.ndarray, main: np.ndarray, c: TailConfig)
     return pruning_gap_scores(x, bank(full), bank(full[N.farthest_first(full, min(c.main_budget, len(full)))]))
 
 
+class BestDistinct:
+    """The ``size`` best of different rows: a mergeable state of bounded size. Of equal vectors the first by order counts; the best have the largest scores, ties go
+    by order. Equal vectors have equal scores, so what falls out of a part cannot be among the best of the whole."""
+
+    def __init__(self, size: int):
+        self.size, self.best = size, pa.table({"o": pa.array([], pa.int64()), "s": pa.array([], pa.float64()), "x": pa.array([], pa.binary())})
+
+    def add(self, o: np.ndarray, s: np.ndarray, x: pa.Array) -> None:
+        """More rows: orders, scores, packed vectors."""
+        if self.best.num_rows >= self.size:  # most rows are below the worst of the best
+            ok = np.flatnonzero(s >= self.best.column("s")[-1].as_py())
+            o, s, x = o[ok], s[ok], x.take(pa.array(ok))
+        t = pa.concat_tables([self.best, pa.table({"o": pa.array(o, pa.int64()), "s": pa.array(s, pa.float64()), "x": x.cast(pa.binary())})])
+        by = np.lexsort((t.column("o").to_numpy(), -t.column("s").to_numpy()))
+        seen: set[bytes] = set()
+        keep = []
+        vectors = t.column("x").to_pylist()
+        for k in by.tolist():
+            if vectors[k] not in seen:
+                seen.add(vectors[k])
+                keep.append(k)
+                if len(keep) == self.size:
+                    break
+        self.best = t.take(pa.array(keep, pa.int64()))
+
+
+#: parts that are merged at a time
+FAN_IN = 32
+
+
+def best_distinct(scored: DataFrame, size: int) -> DataFrame:
+    """(o, features, tail_score): the best rows of different vectors. Each partition keeps ``size`` of its rows, the parts merge in a tree of groupings, so what is
+    shuffled is bounded by partitions * size whatever the number of rows."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = BestDistinct(size)
+        for b in batches:
+            if b.num_rows:
+                state.add(b.column(0).to_numpy(), b.column(2).to_numpy(), pa.array([A.pack(r + 0.0) for r in A.matrix(b.column(1))], pa.binary()))
+        t = state.best
+        yield from t.append_column("slot", pa.array(np.full(t.num_rows, TaskContext.get().partitionId()), pa.int64())).combine_chunks().to_batches()
+
+    def merge(t: pa.Table) -> pa.Table:
+        state = BestDistinct(size)
+        state.add(t.column("o").to_numpy(), t.column("s").to_numpy(), t.column("x").combine_chunks())
+        return state.best.append_column("slot", pa.array(np.full(state.best.num_rows, t.column("slot")[0].as_py() // FAN_IN), pa.int64()))
+
+    schema = "o long, s double, x binary, slot long"
+    level = written(scored.select(F.col("o").cast("long").alias("o"), "features", F.col("tail_score").cast("double").alias("s")).mapInArrow(part, schema), "pool-parts")
+    slots = (level.agg(F.max("slot")).first()[0] or 0) + 1
+    while slots > 1:
+        level = level.groupBy(F.floor(F.col("slot") / FAN_IN).alias("to")).applyInArrow(merge, schema)
+        slots = -(-slots // FAN_IN)
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x").to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column("o"), A.lists(np.frombuffer(b"".join(x), "<f8").reshape(len(x), -1)) if x else pa.array([], pa.list_(pa.float64())), b.column("s")], names=["o", "features", "tail_score"])
+
+    return level.mapInArrow(unpacked, "o long, features array<double>, tail_score double")
+
+
 def best_of(scored: DataFrame, c: TailConfig) -> DataFrame:
-    """The pool: the best rows of (o, features, tail_score) without repeats."""
-    once = D.dedup_tolerance(scored, "features", "o", c.eps) if c.dedup == "tolerance" else D.dedup_first(scored, "features", "o", c.dedup, c.decimals)
-    return D.stable_top_k(once.select("o", "features", "tail_score"), "tail_score", "o", c.pool)
+    """The pool: the best rows of (o, features, tail_score) without repeats. Quantized keys travel as hashes with orders and scores, as a key's first row counts and
+    its score need not be the best of the key; only the pool's vectors are fetched."""
+    if c.dedup == "exact_row":
+        return D.stable_top_k(best_distinct(scored, c.pool), "tail_score", "o", c.pool)
+    if c.dedup == "tolerance":
+        once = D.dedup_tolerance(scored, "features", "o", c.eps)
+        return D.stable_top_k(once.select("o", "features", "tail_score"), "tail_score", "o", c.pool)
+    key = F.struct(F.xxhash64(k := D.dedup_key("features", c.dedup, c.decimals)), F.xxhash64(F.lit(1), k))
+    first = scored.groupBy(key.alias("k")).agg(F.min(F.struct("o", "tail_score")).alias("f")).select("f.*")
+    top = D.stable_top_k(first, "tail_score", "o", c.pool).select(F.col("o").alias("__o"))
+    return D.stable_top_k(scored.join(F.broadcast(top), F.col("o") == F.col("__o")).select("o", "features", "tail_score"), "tail_score", "o", c.pool)
 
 
 def chosen(full: np.ndarray, main: np.ndarray, pool: np.ndarray, c: TailConfig) -> tuple[np.ndarray, dict[str, int]]:

@@ -22,6 +22,7 @@ from patchwarden.operators import scoring as C
 from patchwarden.operators import segmentation as G
 from patchwarden.operators import selection as S
 from patchwarden.operators import tail as T
+from patchwarden.operators import tolerance as TO
 from patchwarden.operators import whitening as W
 
 
@@ -305,6 +306,60 @@ def test_density_in_blocks(spark):
         assert np.isclose(lp, want) and d == -lp
 
 
+def test_pool_is_the_best_of_distinct_rows(spark, monkeypatch):
+    """Repeated rows, tied scores, more parts than one merge takes: the pool is that of a dedup of all rows, and what leaves a partition is bounded."""
+    monkeypatch.setattr(T, "FAN_IN", 2)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, (600, 3)).astype(float)
+    x[:5] = -0.0
+    score = np.abs(x).sum(1)
+    rows = [(i, [float(v) for v in r], float(s)) for i, (r, s) in enumerate(zip(x, score))]
+    df = spark.createDataFrame(rows, "o long, features array<double>, tail_score double").repartition(7).cache()
+    for size in (1, 9, 40, 1000):
+        seen, want = set(), []
+        for i in range(600):
+            key = (x[i] + 0.0).tobytes()
+            if key not in seen:
+                seen.add(key)
+                want.append((-score[i], i))
+        got = T.best_of(df, T.TailConfig(k=2, pool=size))
+        assert [(r.o, r.features) for r in got.collect()] == [(i, (x[i] + 0.0).tolist()) for _, i in sorted(want)[:size]]
+        parts = T.best_distinct(df, size)
+        assert parts.count() <= size
+    quantized = T.best_of(df, T.TailConfig(k=2, pool=9, dedup="quantized", decimals=0))
+    assert [r.o for r in quantized.collect()] == [i for _, i in sorted(want)[:9]]
+    assert T.best_of(df.limit(0), T.TailConfig(k=2, pool=9)).count() == 0
+
+
+def tolerance_cases():
+    rng = np.random.default_rng(12)
+    chain = np.stack([np.arange(120) * 0.09, np.zeros(120), np.zeros(120)], 1)
+    crowd = rng.normal(size=(150, 3)) * 0.02
+    return {
+        "spread": (rng.normal(size=(300, 3)), 0.4), "chain": (chain, 0.1), "chain back": (chain[::-1], 0.1), "shuffled chain": (chain[rng.permutation(120)], 0.1), "crowded cell": (crowd, 0.1),
+        "crowd and others": (np.concatenate([crowd, rng.normal(size=(60, 3)), crowd[:20] + 0.05])[rng.permutation(230)], 0.11), "on the edge": (np.arange(60.0)[:, None] * np.array([[0.5, 0.0]]), 0.5), "none": (rng.normal(size=(50, 4)), 0.0), "all": (rng.normal(size=(80, 2)), 100.0),
+    }
+
+
+@pytest.mark.parametrize("case", list(tolerance_cases()))
+def test_tolerance_in_parallel_rounds(spark, monkeypatch, case):
+    """Small blocks, long chains of conflicts over them, one crowded cell: what stays is what stays one after another."""
+    monkeypatch.setattr(TO, "BLOCK_ROWS", 20)
+    x, eps = tolerance_cases()[case]
+    rounds = []
+    got = TO.first_within(frame(spark, x).repartition(3), "vec_id", "features", "vec_id", eps, rounds)
+    assert sorted(r.rid for r in got.collect()) == N.tolerance_kept(x, eps).tolist()
+    assert rounds[-1] == 0 and len(rounds) <= (3 if case in ("none", "all", "crowded cell") else 20)
+
+
+def test_tolerance_without_one_task(spark):
+    df = frame(spark, np.concatenate([X, X]))
+    kept = D.dedup_tolerance(df, "features", "vec_id", 0.05)
+    assert "SinglePartition" not in kept._jdf.queryExecution().toString()
+    assert sorted(r.vec_id for r in kept.collect()) == N.tolerance_kept(np.concatenate([X, X]), 0.05).tolist()
+    assert D.dedup_tolerance(df.limit(0), "features", "vec_id", 0.05).count() == 0
+
+
 def test_tolerance_keeps_in_order():
     r = np.random.default_rng(3)
     x = np.concatenate([r.random((700, 3)), r.random((20, 3)).repeat(5, 0)])

@@ -1,8 +1,8 @@
 """Exact k-nearest-neighbour joins on squared Euclidean distance; ties go to the lowest bank_id.
 
 A bank within ``BANK_BYTES`` (checked) is sent to every worker and queries stream past it in
-blocks, without a shuffle. A larger bank is cut into packed blocks; query blocks meet each of
-them, every pair of blocks gives a partial top k, and a top-k aggregation joins the partials.
+blocks, without a shuffle. A larger bank is cut into balls, and query blocks meet only those that can hold a
+neighbour (``balls``).
 Distances rank by the BLAS expansion and the survivors are computed again from exact differences."""
 
 from __future__ import annotations
@@ -17,27 +17,11 @@ from pyspark.sql import types as T
 
 from ..functions import arrow as A
 from ..functions.vectors import sq_dist
+from .balls import ball_knn, top_k
 
 BANK_BYTES = 256 << 20
-QUERY_CHUNK = 2048
-BANK_CHUNK = 8192
-
-
-def top_k(x: np.ndarray, ids: np.ndarray, bank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bank ids, squared distances) of the k nearest, nearest first; ids ascend in bank order."""
-    k = min(k, len(bank))
-    out_i, out_d = np.empty((len(x), k), np.int64), np.empty((len(x), k))
-    sq = (bank * bank).sum(1)
-    for a in range(0, len(x), QUERY_CHUNK):
-        q = x[a : a + QUERY_CHUNK]
-        d = np.maximum((q * q).sum(1)[:, None] + sq - 2 * q @ bank.T, 0)
-        spare = min(len(bank), k + 8)  # rounding must not cost a neighbour
-        near = np.argpartition(d, spare - 1, 1)[:, :spare] if spare < len(bank) else np.broadcast_to(np.arange(len(bank)), d.shape)
-        exact = ((q[:, None, :] - bank[near]) ** 2).sum(-1)
-        by = np.lexsort((ids[near], exact), axis=1)[:, :k]
-        out_i[a : a + len(q)] = np.take_along_axis(ids[near], by, 1)
-        out_d[a : a + len(q)] = np.take_along_axis(exact, by, 1)
-    return out_i, out_d
+#: rows of a block of queries, of bank rows
+QUERY_CHUNK, BANK_CHUNK = 2048, 8192
 
 
 def _read_bank(bank: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -66,27 +50,10 @@ def knn_join(queries: DataFrame, bank: DataFrame, k: int, column: str = "feature
     return queries.select(*keys, column).mapInArrow(near, schema)
 
 
-def _packed(df: DataFrame, id_: str, column: str, rows: int) -> DataFrame:
-    """(dim, ids, x): rows packed as binary blocks, within partitions."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, rows):
-                p = b.slice(i, rows)
-                x = A.matrix(p.column(1))
-                yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([p.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([A.pack(x)], pa.binary())], names=["dim", "ids", "x"])
-
-    return df.select(F.col(id_).cast("long").alias("id"), column).mapInArrow(pack, "dim int, ids binary, x binary")
-
-
 def _knn_by_blocks(queries: DataFrame, bank: DataFrame, k: int, column: str, keys: list[str]) -> DataFrame:
     named = queries.withColumn("__q", F.xxhash64(*keys, column))
-    left = _packed(named, "__q", column, QUERY_CHUNK).withColumnsRenamed({"ids": "q_ids", "x": "q_x"}).drop("dim")
-    right = _packed(bank, "bank_id", "features", BANK_CHUNK)
-
-    right = right.withColumnsRenamed({"ids": "b_ids", "x": "b_x"})
-    partial = left.crossJoin(right).select("dim", "q_ids", "q_x", "b_ids", "b_x").mapInArrow(_near_blocks(k), "__q long, bank_id long, sq_dist double")
-    return _best(named, partial, k, column, keys)
+    best = ball_knn(named.select(F.col("__q").alias("id"), F.col(column).alias("features")).dropDuplicates(["id"]), bank.select(F.col("bank_id").alias("id"), "features"), k)
+    return named.drop(column).join(best.withColumnRenamed("id", "__q"), "__q").select(*keys, "rank", "bank_id", "sq_dist")
 
 
 def _near_blocks(k: int):
@@ -103,11 +70,6 @@ def _near_blocks(k: int):
     return near
 
 
-def _best(named: DataFrame, partial: DataFrame, k: int, column: str, keys: list[str]) -> DataFrame:
-    best = partial.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("__q").orderBy("sq_dist", "bank_id"))).where(F.col("rank") <= k)
-    return named.drop(column).join(best, "__q").select(*keys, "rank", "bank_id", "sq_dist")
-
-
 def patch_scores(knn: DataFrame, keys: list[str]) -> DataFrame:
     """Mean of the k squared distances."""
     return knn.groupBy(*keys).agg(F.avg("sq_dist").alias("score"))
@@ -153,7 +115,8 @@ def position_knn(queries: DataFrame, bank: DataFrame, position: list[str], k: in
     left = _blocks_by(named, position, "__q", "features", QUERY_CHUNK, "q")
     right = _blocks_by(bank, position, "bank_id", "features", BANK_CHUNK, "b").drop("dim")
     pairs = left.join(right, position).select("dim", "q_ids", "q_x", "b_ids", "b_x").mapInArrow(_near_blocks(k), "__q long, bank_id long, sq_dist double")
-    return _best(named, pairs, k, "features", keys)
+    best = pairs.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("__q").orderBy("sq_dist", "bank_id"))).where(F.col("rank") <= k)
+    return named.drop("features").join(best, "__q").select(*keys, "rank", "bank_id", "sq_dist")
 
 
 def grid_neighbours(cells: DataFrame, kernel: int, exclude_self: bool = False) -> DataFrame:

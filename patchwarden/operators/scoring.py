@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import arrow as A
 from ..functions.vectors import sq_dist
+from ..sources.scratch import written
 from . import knn as J
 
 MIN_VARIANCE = 1e-12
@@ -200,30 +201,108 @@ def _density_block(queries: DataFrame, components: DataFrame, keys: list[str]) -
     return queries.select(*keys, "features").mapInArrow(density, schema)
 
 
-def bhattacharyya(components: DataFrame) -> DataFrame:
-    """(anchor_id, component_id, distance) of diagonal Gaussians; an anchor's distance to itself is -1."""
+def best_components(x: np.ndarray, ids: np.ndarray, mean: np.ndarray, variance: np.ndarray, log_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(component, distance) of each row's nearest component by -log of its weighted density, ties to the lowest id, and how many pairs were evaluated. A component's distance
+    is at least that with its largest variance in all directions, which needs only the distance to its mean: those whose bound is above the exact distance to the component
+    of the lowest bound are left out."""
+    base = log_weight - 0.5 * (np.log(variance).sum(1) + x.shape[1] * math.log(2 * math.pi))
+    inverse, wide, mm = 1 / variance, 0.5 / variance.max(1), (mean * mean).sum(1)
+    out, dist, pairs = np.empty(len(x), ids.dtype), np.empty(len(x)), 0
+
+    def exact(q: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        d, step = np.empty(len(i)), max(1, PIECE // mean.shape[1])
+        for a in range(0, len(i), step):
+            at = slice(a, a + step)
+            d[at] = 0.5 * np.einsum("pd,pd->p", (q[i[at]] - mean[j[at]]) ** 2, inverse[j[at]])
+        return d - base[j]
+
+    for a in range(0, len(x), step := max(1, PIECE // len(mean))):
+        q = x[a : a + step]
+        qq = (q * q).sum(1)[:, None]
+        bound = wide * np.maximum(qq + mm - 2 * q @ mean.T - 1e-9 * (qq + mm), 0) - base
+        every = np.arange(len(q))
+        known = exact(q, every, np.argmin(bound, 1))
+        i, j = np.nonzero(bound <= (known + 1e-9 * (1 + np.abs(known)))[:, None])
+        d = exact(q, i, j)
+        by = np.lexsort((ids[j], d, i))
+        first = by[np.searchsorted(i[by], every)]
+        out[a : a + len(q)], dist[a : a + len(q)] = ids[j[first]], d[first]
+        pairs += len(q) + len(i)
+    return out, dist, pairs
+
+
+def best_component(queries: DataFrame, components: DataFrame, bank_bytes: int = J.BANK_BYTES) -> DataFrame:
+    """queries' other columns, component_id, distance of the nearest component alone: one row a query leaves a block of the mixture, whatever the number of its
+    components. A mixture beyond bank_bytes (checked) comes in blocks, whose best ones are compared."""
+    keys = [c for c in queries.columns if c != "features"]
+    c = log_weights(components)
+    n, size = c.agg(F.count("*"), F.coalesce(F.sum(F.size("mean").cast("long") * 2 + 2), F.lit(0))).first()
+    if not n:
+        raise ValueError("the mixture has no components")
+    parts = -(-size * 8 // bank_bytes)
+    out = None
+    for i in range(parts):
+        part = c if parts == 1 else c.where(F.pmod(F.xxhash64("component_id"), F.lit(parts)) == i)
+        one = _best_block(queries, part, keys)
+        out = one if out is None else out.unionByName(one)
+    if parts == 1:
+        return out
+    return out.groupBy(*keys).agg(F.min(F.struct("distance", "component_id")).alias("m")).select(*keys, "m.component_id", "m.distance")
+
+
+def _best_block(queries: DataFrame, components: DataFrame, keys: list[str]) -> DataFrame:
+    t = components.select(F.col("component_id").cast("long").alias("component_id"), "mean", "variance", "log_weight").toArrow().sort_by("component_id")
+    shared = queries.sparkSession.sparkContext.broadcast((t.column("component_id").to_numpy(), *(A.matrix(t.column(k)) for k in ("mean", "variance")), t.column("log_weight").to_numpy()))
+    schema = T.StructType([*(queries.schema[k] for k in keys), T.StructField("component_id", T.LongType()), T.StructField("distance", T.DoubleType())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows and len(shared.value[0]):
+                ids, d, _ = best_components(A.matrix(b.column(len(keys))), *shared.value)
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), pa.array(ids), pa.array(d)], names=[f.name for f in schema])
+
+    return queries.select(*keys, "features").mapInArrow(best, schema)
+
+
+def pair_density(pairs: DataFrame) -> DataFrame:
+    """pairs (features, mean, variance, log_weight and other columns) to their other columns and distance = -log_prob: one component a row."""
+    keys = [c for c in pairs.columns if c not in ("features", "mean", "variance", "log_weight")]
+    schema = T.StructType([*(pairs.schema[k] for k in keys), T.StructField("distance", T.DoubleType())])
+
+    def density(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, m, v = (A.matrix(b.column(len(keys) + i)) for i in range(3))
+                d = 0.5 * (((x - m) ** 2 / v).sum(1) + np.log(v).sum(1) + x.shape[1] * math.log(2 * math.pi)) - b.column(len(keys) + 3).to_numpy()
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keys))), pa.array(d)], names=[f.name for f in schema])
+
+    return pairs.select(*keys, "features", "mean", "variance", "log_weight").mapInArrow(density, schema)
+
+
+def bhattacharyya(components: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """(anchor_id, component_id, distance) of diagonal Gaussians; an anchor's distance to itself is -1. anchors: a table of anchor_id to which anchors are confined."""
     c = log_weights(components)
-    a = c.select(F.col("component_id").alias("anchor_id"), F.col("mean").alias("am"), F.col("variance").alias("av"))
+    some = c if anchors is None else c.join(anchors.select(F.col("anchor_id").alias("component_id")).distinct(), "component_id", "left_semi")
+    a = some.select(F.col("component_id").alias("anchor_id"), F.col("mean").alias("am"), F.col("variance").alias("av"))
     mid = F.zip_with("av", "variance", lambda p, q: (p + q) / 2)
     mean_term = _sum(F.zip_with(F.zip_with("am", "mean", lambda p, q: (p - q) * (p - q)), mid, lambda d, v: d / F.greatest(v, F.lit(MIN_VARIANCE)))) / 8
     logs = lambda v: _sum(F.transform(v, lambda x: F.log(x)))
     det_term = (logs(mid) - (logs(F.col("av")) + logs(F.col("variance"))) / 2) / 2
     d = F.when(F.col("anchor_id") == F.col("component_id"), F.lit(-1.0)).otherwise(mean_term + det_term)
-    return a.crossJoin(c).select("anchor_id", "component_id", d.alias("distance"))  # all pairs of components are its result
+    return a.crossJoin(c).select("anchor_id", "component_id", d.alias("distance"))  # all pairs of anchors and components are its result
 
 
 def density_eq7(patches: DataFrame, components: DataFrame, b: int = 9) -> DataFrame:
     """Images scored by the mixture: the patch with the largest -log of its best component, reweighted
     over the b components nearest to that one. patches: (image_idx, patch_pos, features)."""
-    d = density_join(patches, components)
-    best = d.groupBy("image_idx", "patch_pos").agg(F.min("distance").alias("score"), F.min_by("component_id", F.struct("distance", "component_id")).alias("anchor_id"))
-    top = _ranked(best).where("r = 1").drop("r")
+    best = best_component(patches.select("image_idx", "patch_pos", "features"), components).select("image_idx", "patch_pos", F.col("distance").alias("score"), F.col("component_id").alias("anchor_id"))
+    top = written(_ranked(best).where("r = 1").drop("r"), "density-top")  # a patch an image
     if b <= 1:
         return top.select("image_idx", "patch_pos", "score")
     w = Window.partitionBy("anchor_id").orderBy("distance", "component_id")
-    near = bhattacharyya(components).withColumn("o", F.row_number().over(w)).where(F.col("o") <= b).select("anchor_id", "component_id", "o")
-    again = density_join(top.select("image_idx", "patch_pos").join(patches, ["image_idx", "patch_pos"]).select("image_idx", "patch_pos", "features"), components)  # a patch an image
-    s = top.join(near, "anchor_id").join(again, ["image_idx", "patch_pos", "component_id"])
+    near = bhattacharyya(components, top).withColumn("o", F.row_number().over(w)).where(F.col("o") <= b).select("anchor_id", "component_id", "o")
+    met = top.join(patches.select("image_idx", "patch_pos", "features"), ["image_idx", "patch_pos"]).join(near, "anchor_id")  # b rows an image
+    s = pair_density(met.join(log_weights(components).select(F.col("component_id").cast("long").alias("component_id"), "mean", "variance", "log_weight"), "component_id"))
     g = s.groupBy("image_idx", "patch_pos").agg(F.max("score").alias("score"), F.max("distance").alias("m"), F.collect_list("distance").alias("ds"), F.max(F.when(F.col("o") == 1, F.col("distance"))).alias("a"), F.count("*").alias("n"))
     den = _sum(F.transform("ds", lambda v: F.exp(v - F.col("m"))))
     return g.withColumn("w", F.when(F.col("n") > 1, _weight(F.col("a"), F.col("m"), den)).otherwise(1.0)).select("image_idx", "patch_pos", (F.col("w") * F.col("score")).alias("score"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from patchwarden.functions import kernels as N
 from patchwarden.functions import linalg as L
 from patchwarden.functions import vectors as V
+from patchwarden.operators import balls as BA
 from patchwarden.operators import calibration as CA
 from patchwarden.operators import coreset as B
 from patchwarden.operators import dedup as D
@@ -295,6 +296,51 @@ def test_position_knn_in_blocks(spark, monkeypatch):
         assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("k", [1, 4, 70])
+def test_ball_knn_skips_balls(spark, monkeypatch, k):
+    """Equal to brute force, ties by id included, with most pairs of balls left out."""
+    monkeypatch.setattr(BA, "QUERY_ROWS", 8)
+    monkeypatch.setattr(BA, "BANK_ROWS", 25)
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(12, 4)) * 8
+    bank = np.round(centers[rng.integers(0, 12, 500)] + rng.normal(size=(500, 4)) * 0.3, 1)
+    bank = np.concatenate([bank, bank[:60]])  # ties
+    query = np.concatenate([bank[:200], centers + 0.1, centers[:1] * 50])
+    frame_ = lambda x: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>").repartition(3)
+    met = []
+    got = {(r.id, r.rank): (r.bank_id, r.sq_dist) for r in BA.ball_knn(frame_(query), frame_(bank), k, met).collect()}
+    d = ((query[:, None] - bank[None]) ** 2).sum(-1)
+    want = {}
+    for q in range(len(query)):
+        for rank, b in enumerate(sorted(range(len(bank)), key=lambda b: (d[q, b], b))[:k], 1):
+            want[q, rank] = (b, d[q, b])
+    assert {x: v[0] for x, v in got.items()} == {x: v[0] for x, v in want.items()}
+    assert np.allclose([got[x][1] for x in want], [v[1] for v in want.values()])
+    compared, pairs = met[0]
+    assert compared < pairs * (0.6 if k < 70 else 1.01)
+
+
+def test_best_components_prunes(spark):
+    """The best component of each row, with ties and narrow and wide components; few pairs are evaluated, and a row a patch comes back."""
+    rng = np.random.default_rng(7)
+    mean = rng.normal(size=(200, 6)) * 5
+    variance = rng.uniform(0.5, 1.5, (200, 6))
+    mean[150], variance[150] = mean[20], variance[20]
+    weight = np.ones(200)
+    x = np.concatenate([mean[rng.integers(0, 200, 300)] + rng.normal(size=(300, 6)) * 0.5, mean[20:21]])
+    ids = np.arange(200)
+    logs = np.log(weight / weight.sum())
+    lp = C._log_prob(x, mean, variance, logs)
+    got, d, pairs = C.best_components(x, ids, mean, variance, logs)
+    assert got.tolist() == [min(np.flatnonzero(np.isclose(r, r.max(), rtol=0, atol=1e-9)).tolist()) for r in lp] and np.allclose(d, -lp.max(1))
+    assert pairs < 0.1 * len(x) * 200 and got[-1] == 20
+    comps = spark.createDataFrame([(i, 1.0, m.tolist(), v.tolist()) for i, (m, v) in enumerate(zip(mean, variance))], "component_id long, weight double, mean array<double>, variance array<double>")
+    q = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "n long, features array<double>").repartition(3)
+    for limit in (1 << 28, 5000):
+        rows = C.best_component(q, comps, limit).orderBy("n").collect()
+        assert [r.component_id for r in rows] == got.tolist() and np.allclose([r.distance for r in rows], d)
+
+
 def test_density_in_blocks(spark):
     c = spark.createDataFrame([(i, float(i + 1), [float(i), 1.0], [1.0 + i, 0.0]) for i in range(5)], "component_id long, weight double, mean array<double>, variance array<double>")
     q = spark.createDataFrame([(k, [float(k), 2.0]) for k in range(7)], "k long, features array<double>")

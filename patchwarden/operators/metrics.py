@@ -55,25 +55,38 @@ def by_score(df: DataFrame, label: str, score: str, keys: list[str] | None = Non
     return _running_totals(counts, keys)
 
 
-def _running_totals(counts: DataFrame, keys: list[str] | None = None, buckets: int = 64) -> DataFrame:
-    """Running totals over the distinct scores of each key without a task that sorts all of a key's: ranges of scores by
-    approximate quantiles, totals within each range of a key, and the sums of its ranges above."""
+def _same(keys: list[str], a: str, b: str) -> Column:
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return same
+
+
+def _ranged(counts: DataFrame, keys: list[str], buckets: int, least: int) -> DataFrame:
+    """counts and ``range``: scores of a key with 1 / buckets of all rows or more (so there are buckets such keys at most) are cut into
+    ranges at the key's own quantiles; those of other keys are one range."""
+    total = counts.count()
+    if total < least:
+        return counts.withColumn("range", F.lit(0))
+    heavy = counts.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= max(least, -(-total // buckets))).select(*keys, F.lit(1).alias("heavy"))
+    rows = counts.alias("x").join(F.broadcast(heavy).alias("h"), _same(keys, "x", "h")).select("x.*")
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
+    x = counts.alias("x").join(F.broadcast(cuts).alias("c"), _same(keys, "x", "c"), "left").select("x.*", "c.cuts")
+    return x.withColumn("range", F.coalesce(F.size(F.filter("cuts", lambda v: F.col("score") > v)), F.lit(0))).drop("cuts")
+
+
+def _running_totals(counts: DataFrame, keys: list[str] | None = None, buckets: int = 64, least: int = 1 << 14) -> DataFrame:
+    """Running totals over the distinct scores of each key without a task that sorts all of a heavy key's: totals within each range of a key, and the
+    sums of its ranges above."""
     keys = keys or []
-    counts = written(counts, "scores")
-    cuts = sorted(set(counts.approxQuantile("score", [i / buckets for i in range(1, buckets)], 0.005)))
-    at = F.lit(0)
-    for c in cuts:
-        at = at + (F.col("score") > F.lit(c)).cast("int")
-    x = counts.withColumn("range", at)
+    x = _ranged(written(counts, "scores"), keys, buckets, least)
     sums = x.groupBy(*keys, "range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))  # buckets rows a key
     parts = keys or [F.lit(0)]
     above = Window.partitionBy(*parts).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parts)
     sums = sums.select(*keys, "range", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("ap"), F.coalesce(F.sum("rn").over(above), F.lit(0)).alias("an"), F.sum("rp").over(whole).alias("P"), F.sum("rn").over(whole).alias("N"))
     down = Window.partitionBy(*keys, "range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    same = F.col("x.range") == F.col("s.range")
-    for k in keys:
-        same = same & F.col(f"x.{k}").eqNullSafe(F.col(f"s.{k}"))
+    same = (F.col("x.range") == F.col("s.range")) & _same(keys, "x", "s")
     y = x.alias("x").join((sums if keys else F.broadcast(sums)).alias("s"), same).select("x.*", "s.ap", "s.an", "s.P", "s.N")
     return y.select(*keys, "score", "pos", "neg", (F.col("ap") + F.sum("pos").over(down)).alias("tp"), (F.col("an") + F.sum("neg").over(down)).alias("fp"), "P", "N")
 
@@ -178,13 +191,27 @@ def image_cells(df: DataFrame, label: str, score: str) -> DataFrame:
     return df.select(F.col(score).cast("double").alias("value"), y.cast("double").alias("weight"), (~y).cast("long").alias("normal"))
 
 
-def metric_row(df: DataFrame, label: str, score: str, keys: list[str], threshold: Column | float, prefix: str = "image") -> DataFrame:
-    """(keys, n, n_anomalous, confusion metrics, best F1, AUROC, AP) for each group."""
-    base = df.groupBy(*keys).agg(F.count("*").alias("num_images"), F.sum((F.col(label) > 0).cast("long")).alias("num_anomalous_images"))
-    for part in (auroc(df, label, score, keys), average_precision(df, label, score, keys), best_f1(df, label, score, keys).withColumnsRenamed({"f1": "best_f1"}), confusion(df, label, score, threshold, keys)):
-        base = base.join(part, keys)
-    named = {c: f"{prefix}_{c}" for c in base.columns if c not in (*keys, "num_images", "num_anomalous_images")}
-    return base.withColumnsRenamed(named)
+def metric_row(df: DataFrame, label: str, score: str, keys: list[str], threshold: float, prefix: str = "image") -> DataFrame:
+    """(keys, n, n_anomalous, confusion metrics, best F1, AUROC, AP) for each group: one sweep, written, and two aggregates of it."""
+    s = written(by_score(df, label, score, keys).withColumn("f1", ratio(2.0 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("P"))), "sweep")
+    over = F.col("score") >= threshold
+    p, n = F.max("P"), F.max("N")
+    both = (p > 0) & (n > 0)
+    one = s.groupBy(*keys).agg(
+        (p + n).alias("num_images"), p.alias("num_anomalous_images"), F.when(both, F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)) / (p * n)).otherwise(F.lit(NAN)).alias("auroc"),
+        F.when(both, F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))) / p).otherwise(F.lit(NAN)).alias("average_precision"),
+        F.sum(F.when(over, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(over, F.col("neg")).otherwise(0)).alias("fp"), F.max("f1").alias("top"),
+    )
+    near = s.alias("s").join(one.select(*keys, "top").alias("o"), _same(keys, "s", "o")).where(F.col("s.f1") >= F.col("o.top") - 1e-12).select("s.*")
+    best = near.groupBy(*keys).agg(F.max("score").alias("threshold"), F.max_by("f1", "score").alias("best_f1"))
+    tp, fp, fn, tn = F.col("tp"), F.col("fp"), F.col("num_anomalous_images") - F.col("tp"), F.col("num_images") - F.col("num_anomalous_images") - F.col("fp")
+    recall = ratio(tp, tp + fn)
+    joined = one.alias("o").join(best.alias("b"), _same(keys, "o", "b")).select("o.*", "b.threshold", "b.best_f1")
+    measured = {
+        "auroc": F.col("auroc"), "average_precision": F.col("average_precision"), "threshold": F.col("threshold"), "best_f1": F.col("best_f1"), "tp": tp, "fp": fp, "fn": fn, "tn": tn, "precision": ratio(tp, tp + fp), "recall": recall,
+        "f1": ratio(2 * tp, 2 * tp + fp + fn), "accuracy": ratio(tp + tn, tp + fp + fn + tn), "balanced_accuracy": (recall + ratio(tn, tn + fp)) / 2,
+    }
+    return joined.select(*keys, "num_images", "num_anomalous_images", *(c.alias(f"{prefix}_{k}") for k, c in measured.items()))
 
 
 def with_mean(rows: DataFrame, key: str, label: str = "MEAN") -> DataFrame:

@@ -39,7 +39,7 @@ from . import _text as K
 from ._shared import materialize
 
 #: bytes of text in a run
-RUN_BYTES = 12 << 20
+RUN_BYTES = 8 << 20
 #: pairs of ids that are broadcast at most: 13 bytes each
 BROADCAST = 1 << 20
 #: The pre-tokenizer's pattern of byte-level BPE files that name no other (a fixed value of that format).

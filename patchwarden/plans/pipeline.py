@@ -14,10 +14,11 @@ from ..operators import coreset as B
 from ..operators import knn as J
 from ..operators import scoring as C
 from ..operators import tail as T
-from ..operators.moments import fit_moments, fourth_moment
+from ..operators.moments import fourth_moment
 from ..operators.reduction import PCAModel, pca_of
 from ..operators.whitening import WhiteningConfig, WhiteningModel, whitening_of
 from ..sources.scratch import written
+from . import stages as S
 from .registry import build_bank, check_bank
 
 #: bytes of a bank that is kept as a local table
@@ -139,30 +140,45 @@ def pinned(bank: DataFrame) -> DataFrame:
     return bank.sparkSession.createDataFrame(table.orderBy("bank_id").collect(), table.schema)
 
 
-def fit(patches: DataFrame, config: FitConfig, batch: str = "batch", order: str = "vec_id") -> Model:
+def fit(patches: DataFrame, config: FitConfig, batch: str = "batch", order: str = "vec_id", folder: str | None = None) -> Model:
     """Fit on patches (batch, order, features). Moments are one distributed pass; with PCA the
-    reduced moments follow from it without another one."""
+    reduced moments follow from it without another one. folder: a shared folder that keeps each fitted stage, so that a fit which
+    stopped goes on at its stage (``stages``)."""
     c = config
+    spark = patches.sparkSession
     x = patches.select(F.col(batch).alias("batch"), F.col(order).alias("seq"), "features")
-    require_finite(x, "features")
-    pca = whitening = None
-    m = fit_moments(x, "features") if c.pca_ratio is not None or c.whitening is not None else None
-    if c.pca_ratio is not None:
-        pca = pca_of(m, c.pca_ratio)
-        w = pca.components
-        m = replace(m, mean=np.zeros(len(w)), m2=w @ m.m2 @ w.T)
-    if c.whitening is not None:
+    staged = S.StagedFit(spark, c, folder)
+
+    def moments() -> S.MomentsStageModel:
+        require_finite(x, "features")
+        return S.MomentsStage().fit(x)
+
+    needs = c.pca_ratio is not None or c.whitening is not None
+    m = staged.step("moments", moments).moments if needs else None
+    if not needs:
+        require_finite(x, "features")
+    pca = staged.step("reduction", lambda: S.ReductionStageModel.of(None if c.pca_ratio is None else pca_of(m, c.pca_ratio))).model
+
+    def whitened() -> S.WhiteningStageModel:
+        if c.whitening is None:
+            return S.WhiteningStageModel.of(None)
+        own = m if pca is None else replace(m, mean=np.zeros(len(w := pca.components)), m2=w @ m.m2 @ w.T)
         reduced = pca.transform(x, "features", "r") if pca is not None else x.withColumn("r", F.col("features"))
-        fourth = fourth_moment(reduced, "r", m.mean) if c.whitening.method == "LEDOIT_WOLF" and c.contract == "OFFLINE" else None
-        whitening = whitening_of(m.repeated(c.epochs), c.whitening, fourth)
+        fourth = fourth_moment(reduced, "r", own.mean) if c.whitening.method == "LEDOIT_WOLF" and c.contract == "OFFLINE" else None
+        return S.WhiteningStageModel.of(whitening_of(own.repeated(c.epochs), c.whitening, fourth))
+
+    whitening = staged.step("whitening", whitened).model
     model = Model(c, pca, whitening, x)
-    z = model.transform(x)
-    n = B.cluster_count(c.n_clusters, c.cluster_range, c.contract, 0 if c.contract == "STREAMING" else z.count())
-    bank = build_bank(z, c, n, model.telemetry)
-    model.bank = pinned(bank)
-    size = model.bank.count()
-    model.telemetry |= {"rows": size, "budget": n}
-    B.enforce_budget(model.bank, size if c.bank == "greedy" else n if c.bank != "tail_aware" else c.tail.k, c.enforce, c.contract)
-    if c.self_distances:
-        model.bank = pinned(J.materialize_bank(model.bank, True))
+
+    def bank() -> S.BankStageModel:
+        z = model.transform(x)
+        n = B.cluster_count(c.n_clusters, c.cluster_range, c.contract, 0 if c.contract == "STREAMING" else z.count())
+        telemetry: dict[str, int] = {}
+        rows = pinned(build_bank(z, c, n, telemetry))
+        size = rows.count()
+        B.enforce_budget(rows, size if c.bank == "greedy" else n if c.bank != "tail_aware" else c.tail.k, c.enforce, c.contract)
+        return S.BankStageModel({"telemetry": telemetry | {"rows": size, "budget": n}}, pinned(J.materialize_bank(rows, True)) if c.self_distances else rows)
+
+    last = staged.step("bank", bank)
+    model.bank, model.telemetry = last.rows if folder is None else pinned(last.rows), last.values["telemetry"]
     return model

@@ -12,14 +12,9 @@ from ..operators.calibration import check_mode
 from ..operators.tail import TailConfig
 from ..operators.whitening import WhiteningConfig
 from ..sources.images import Augmentation, LoaderConfig
+from . import capabilities
 from .pipeline import FitConfig
 
-#: fixed values: slots in order, and the plugins of each
-SLOTS = {
-    "dataloader": ("mvtec_dataloader_augment",), "backbone": ("pretrained_backbone",), "patch_align": ("pc_patchify_align",), "preprocess": ("pc_preprocess",),
-    "feature_agg": ("ipca", "none"), "proj1": ("none",), "transform": ("cholesky", "none"), "proj2": ("none",), "mem_agg": ("kcenter", "kmeans", "greedy", "tail_aware_kcenter"),
-    "materialize": ("greedy", "kcenter", "kmeans"), "distance": ("euclidean_nn",), "scoring": ("paper_eq7", "reference_max"),
-}
 EPOCH_STAGES = ("feature_agg", "proj1", "transform", "proj2", "mem_agg")
 THRESHOLDS = ("best_f1_per_dataset", "fixed_0_5")
 SAVE_MODES = ("all", "anomalous", "top_k")
@@ -116,13 +111,14 @@ def parse(text: str) -> RunConfig:
     training.done()
     slots = pipe.section("slots")
     plugin, params = {}, {}
-    for s, known in SLOTS.items():
+    for s in capabilities.SLOTS:
         one = slots.section(s)
-        plugin[s] = one.take("plugin", kind=str, among=known)
+        plugin[s] = one.take("plugin", kind=str, among=capabilities.plugins(s))
         params[s] = one.section("params")
         one.done()
     slots.done()
     pipe.done()
+    capabilities.check(plugin, contract)
     loader, train_augment = _loader(params["dataloader"], seed)
     b = params["backbone"]
     backbone, layers = b.take("backbone", kind=str), tuple(b.take("embedding_layers", kind=list))

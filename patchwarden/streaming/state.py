@@ -31,15 +31,30 @@ from ..sources.scratch import new_folder
 
 @dataclass(frozen=True)
 class UpdateContext:
-    """Where an update stands: its pass of all passes over the data, and its batch in the pass."""
+    """Where an update stands: its pass of all passes over the data, counted from 1, and its batch in the pass, counted from 0."""
 
-    pass_index: int
+    pass_number: int
     passes: int
     batch_id: int
 
+    def __post_init__(self):
+        for name in ("pass_number", "passes", "batch_id"):
+            v = getattr(self, name)
+            if isinstance(v, bool) or not isinstance(v, int):
+                raise TypeError(f"{name} is a whole number, not {v!r}")
+        if self.passes < 1 or not 1 <= self.pass_number <= self.passes:
+            raise ValueError(f"pass {self.pass_number} of {self.passes}")
+        if self.batch_id < 0:
+            raise ValueError(f"batch {self.batch_id}")
+
     @property
     def last_pass(self) -> bool:
-        return self.pass_index == self.passes - 1
+        return self.pass_number == self.passes
+
+    @property
+    def name(self) -> str:
+        """Names sort as updates follow each other."""
+        return f"{self.pass_number:06d}-{self.batch_id:012d}"
 
 
 class StateTable:
@@ -60,14 +75,55 @@ class StateTable:
         return self.spark.read.parquet(f"{self.folder}/{names[-1]}") if names else None
 
     def write(self, df: DataFrame, context: UpdateContext) -> None:
-        name = self.name(context)
+        name = context.name
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
         for old in [n for n in self._names() if n < name][:-1]:
             self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{old}"), True)
 
-    @staticmethod
-    def name(context: UpdateContext) -> str:
-        return f"{context.pass_index:06d}-{context.batch_id:012d}"
+
+class DeltaState:
+    """The newest row of each key. A batch writes only the keys that it changed, under its own name; after ``every`` such deltas they and the base before them become
+    a new base. What is read is an aggregate of the newest base and the deltas behind it. The base before the newest and all that came
+    behind it stay, so a batch that runs again after a failure replaces its own delta, and base, with the same rows."""
+
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], every: int = 16):
+        if every < 1:
+            raise ValueError("a base is made of one delta at least")
+        self.spark, self.folder, self.keys, self.every = spark, folder, keys, every
+        self.deltas, self.bases = StateTable(spark, f"{folder}/delta"), StateTable(spark, f"{folder}/base")
+
+    def latest(self, until: str | None = None) -> DataFrame | None:
+        """The newest rows, of the batches up to one of this name."""
+        upto = lambda t: [n for n in t._names() if until is None or n <= until]
+        base = ([None, *upto(self.bases)])[-1]
+        paths = [f"{self.deltas.folder}/{n}" for n in upto(self.deltas) if base is None or n > base]
+        parts = ([self.spark.read.parquet(f"{self.bases.folder}/{base}")] if base else []) + ([self.spark.read.parquet(*paths)] if paths else [])
+        if not parts:
+            return None
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        values = [c for c in rows.columns if c not in (*self.keys, "__at")]
+        return rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "__at").alias("v"), F.max("__at").alias("__at")).select(*self.keys, "v.*", "__at")
+
+    def write(self, changed: DataFrame, context: UpdateContext) -> None:
+        """changed: a row for each key that the batch changed."""
+        name = context.name
+        changed.withColumn("__at", F.lit(name)).write.mode("overwrite").parquet(f"{self.deltas.folder}/{name}")
+        bases = [n for n in self.bases._names() if n < name]
+        behind = [n for n in self.deltas._names() if (not bases or n > bases[-1]) and n <= name]
+        if len(behind) < self.every:
+            return
+        rows = self.latest(name) if not self.bases._names() or self.bases._names()[-1] < name else self._before(name)
+        rows.write.mode("overwrite").parquet(f"{self.bases.folder}/{name}")
+        keep = bases[-1] if bases else ""
+        for t in (self.deltas, self.bases):
+            for old in [n for n in t._names() if n < keep or n == keep and t is self.deltas]:
+                t.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{t.folder}/{old}"), True)
+
+    def _before(self, name: str) -> DataFrame:
+        """The rows up to a batch whose base is there already and is made anew: computed from what lies before that base."""
+        path = f"{self.bases.folder}/{name}"
+        self.bases.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        return self.latest(name)
 
 
 Update = Callable[[DataFrame, DataFrame | None, UpdateContext], DataFrame]
@@ -81,15 +137,29 @@ def run_stream(spark: SparkSession, source: Callable[[], DataFrame], update: Upd
     for p in range(passes):
 
         def fold(batch: DataFrame, batch_id: int, p: int = p) -> None:
-            context = UpdateContext(p, passes, batch_id)
+            context = UpdateContext(p + 1, passes, batch_id)
             if not batch.isEmpty():
-                table.write(update(batch, table.last(table.name(context)), context), context)
+                table.write(update(batch, table.last(context.name), context), context)
 
         writer = source().writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress-{p}")
         writer.foreachBatch(fold).trigger(availableNow=True).start().awaitTermination()
     return table.last()
 
 
+def run_keyed_stream(spark: SparkSession, source: Callable[[], DataFrame], keys: list[str], folder: str | None = None, every: int = 16) -> DataFrame | None:
+    """The newest row of each key of a stream in update mode. A micro-batch writes the keys that it changed (``DeltaState``). None without input."""
+    folder = folder or new_folder(spark, "stream")
+    table = DeltaState(spark, f"{folder}/state", keys, every)
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            table.write(batch, UpdateContext(1, 1, batch_id))
+
+    source().writeStream.outputMode("update").option("checkpointLocation", f"{folder}/progress-0").foreachBatch(fold).trigger(availableNow=True).start().awaitTermination()
+    out = table.latest()
+    return None if out is None else out.drop("__at")
+
+
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """A stream of a Parquet file or folder, in micro-batches of some files."""
     schema = spark.read.parquet(path).schema
@@ -116,7 +186,7 @@ def update_moments(key: tuple, frames: Iterable[pd.DataFrame], state: GroupState
     yield pd.DataFrame({"key": [key[0]], "n": [n], "mean": [mean], "std": [math.sqrt(m2 / n) if n else float("nan")]})
 
 
-def stream_scalar_moments(spark: SparkSession, path: str, key: str, value: str, folder: str | None = None) -> DataFrame:
+def stream_scalar_moments(spark: SparkSession, path: str, key: str, value: str, folder: str | None = None, every: int = 16) -> DataFrame:
     """(key, n, mean, std) after all available input: one keyed state across micro-batches."""
     schema = "key string, n long, mean double, std double"
 
@@ -124,10 +194,7 @@ def stream_scalar_moments(spark: SparkSession, path: str, key: str, value: str,
         s = read_stream(spark, path).select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("v"))
         return s.groupBy("key").applyInPandasWithState(update_moments, schema, "n long, mean double, m2 double", "update", GroupStateTimeout.NoTimeout)
 
-    def update(batch: DataFrame, state: DataFrame | None, _: UpdateContext) -> DataFrame:
-        return batch if state is None else batch.unionByName(state.join(batch.select("key"), "key", "left_anti"))
-
-    out = run_stream(spark, source, update, folder, mode="update")
+    out = run_keyed_stream(spark, source, ["key"], folder, every)
     return (spark.createDataFrame([], schema) if out is None else out).withColumnRenamed("key", key)
 
 
@@ -308,7 +375,7 @@ def stream_tail_aware(spark: SparkSession, path: str, column: str, order: str, r
 
     def update(batch: DataFrame, state: DataFrame | None, context: UpdateContext) -> DataFrame:
         full, main = counters(state)
-        if context.pass_index == 0:
+        if context.pass_number == 1:
             for counter in (full, main):
                 _push_blocks(counter, batch, column, order, rows_per_block)
             return packed(full, main)

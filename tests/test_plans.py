@@ -286,12 +286,75 @@ def test_streams_go_on_where_they_stopped(spark, tmp_path):
     x = np.array([r.embedding for r in v.collect()], float)
     assert both.n == len(x) and np.allclose(both.cov, np.cov(x.T))
     table = state.StateTable(spark, f"{folder}/state")
-    again = state.UpdateContext(0, 1, 1)
-    assert table.last(table.name(again)).first().n == half  # what the second batch would start from again
-    assert len(table._names()) == 2 and not state.UpdateContext(0, 2, 5).last_pass
+    again = state.UpdateContext(1, 1, 1)
+    assert table.last(again.name).first().n == half  # what the second batch would start from again
+    assert len(table._names()) == 2 and not state.UpdateContext(1, 2, 5).last_pass
     assert state.stream_vector_moments(spark, str(source), "embedding", passes=2).n == 2 * len(x)
 
 
+def written_bytes(folder):
+    return {p: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder / p) for f in names if f.endswith(".parquet")) for p in sorted(os.listdir(folder))}
+
+
+def test_deltas_follow_the_changed_keys(spark, tmp_path):
+    """Many keys, few of which change in a batch: a batch writes these only; bases are made now and then; a batch that runs again, also the one that made a base, changes nothing."""
+    folder = f"file://{tmp_path}/state"
+    t = state.DeltaState(spark, folder, ["key"], every=4)
+    want: dict = {}
+
+    def batch(k, keys):
+        rows = [(key, k * 1000 + i, float(k)) for i, key in enumerate(keys)]
+        want.update({r[0]: r[1:] for r in rows})
+        t.write(spark.createDataFrame(rows, "key string, n long, mean double").coalesce(1), state.UpdateContext(1, 1, k))
+
+    def rows():
+        return {r.key: (r.n, r.mean) for r in t.latest().collect()}
+
+    batch(0, [f"k{i}" for i in range(20000)])
+    first = written_bytes(tmp_path / "state" / "delta")
+    for k in range(1, 11):
+        batch(k, [f"k{k}", f"k{k + 1}", f"new{k}"])
+        assert rows() == want
+        if k in (3, 4, 7):  # again, as after a failure: 3 and 7 make a base
+            batch(k, [f"k{k}", f"k{k + 1}", f"new{k}"])
+            assert rows() == want
+    sizes = written_bytes(tmp_path / "state" / "delta")
+    assert max(sizes.values()) < 0.05 * max(first.values())  # the first delta is in a base now
+    assert t.bases._names() == ["000001-000000000003", "000001-000000000007"] and min(sizes) > "000001-000000000003"
+    assert {r.key: r.n for r in t.latest("000001-000000000008").collect()}["k10"] == 10  # as it was before
+
+
+def test_keyed_streams_go_on_where_they_stopped(spark, tmp_path):
+    """Compacted after every batch or hardly ever, stopped and started again: the moments of all rows."""
+    e = spark.read.parquet(f"{SF}/events.parquet").select("event_type", "value")
+    parts = e.randomSplit([1.0] * 5, 3)
+    for every in (1, 2, 100):
+        source, folder = tmp_path / f"in{every}", f"file://{tmp_path}/state{every}"
+        for k, p in enumerate(parts):
+            p.coalesce(1).write.mode("append").parquet(str(source))
+            if k in (2, 4):
+                got = {r.event_type: (r.n, r.mean, r["std"]) for r in state.stream_scalar_moments(spark, str(source), "event_type", "value", folder, every).collect()}
+        want = {r[0]: r[1:] for r in e.groupBy(F.col("event_type").cast("string")).agg(F.count("value"), F.avg("value"), F.stddev_pop("value")).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+@pytest.mark.parametrize("bad,kind", [((0, 1, 0), ValueError), ((2, 1, 0), ValueError), ((1, 0, 0), ValueError), ((1, 1, -1), ValueError), ((1.0, 1, 0), TypeError), ((True, 1, 0), TypeError), ((1, 1, None), TypeError)])
+def test_pass_metadata_is_validated(bad, kind):
+    with pytest.raises(kind):
+        state.UpdateContext(*bad)
+
+
+def test_passes_are_counted_from_one(spark, tmp_path):
+    seen = []
+
+    def update(batch, before, context):
+        seen.append((context.pass_number, context.passes, context.batch_id, context.last_pass))
+        return batch.limit(1).select("n_regionkey")
+
+    state.run_stream(spark, lambda: state.read_stream(spark, f"{SF}/nation.parquet"), update, f"file://{tmp_path}/s", 2)
+    assert seen == [(1, 2, 0, False), (2, 2, 0, True)]
+
+
 def test_sequential_streams_equal_batches(spark, tmp_path):
     from patchwarden.operators import coreset as B
     from patchwarden.operators import tail as T

@@ -264,19 +264,54 @@ def _verify_pairs(percent: int, kind: Kind):
             return got
 
         for b in batches:
+            n_a, n_b, one, two = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4), b.column(5)
             if kind.bitmap and b.num_rows:
-                b = b.filter(pa.array(_may_reach(b, percent, kind.bitmap)))
-            keep = []
-            for i, (na, nb, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)))):
-                common = kind.common(read(x), read(y))
-                if 100 * common >= percent * (na + nb - common):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
+                left = pa.array(_may_reach(b, percent, kind.bitmap))
+                b = b.filter(left)
+                n_a, n_b, one, two = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_pylist(), b.column(5).to_pylist()
+                common = _common_counts(one, two, kind)
+                over = 100 * common - percent * (n_a + n_b - common)
+                keep = over >= 0
+                for i in np.flatnonzero(np.abs(over) <= 300).tolist():  # hashes could decide: these are compared as they are
+                    c = kind.common(read(one[i]), read(two[i]))
+                    keep[i] = 100 * c >= percent * (n_a[i] + n_b[i] - c)
+                at = pa.array(np.flatnonzero(keep))
+            else:
+                common = np.array([kind.common(read(x), read(y)) for x, y in zip(one.to_pylist(), two.to_pylist())], np.int64)
+                at = pa.array(np.flatnonzero(100 * common >= percent * (n_a + n_b - common)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
 
     return verify
 
 
+#: elements of sets that are compared at a time
+COMPARED = 1 << 20
+
+
+def _common_counts(one: list[bytes], two: list[bytes], kind: Kind) -> np.ndarray:
+    """Sizes of the intersections of pairs of sets of 44-bit hashes, in whole arrays: the elements of a pair's sets are sorted together."""
+    place: dict[bytes, int] = {}
+    x, y = (np.array([place.setdefault(p, len(place)) for p in side], np.int64) for side in (one, two))
+    if not len(x):
+        return x
+    size, values = kind.many(list(place))
+    start, values = np.cumsum(size) - size, values.astype(np.uint64)
+    work = np.cumsum(size[x] + size[y])
+    out = np.zeros(len(x), np.int64)
+    lo = 0
+    while lo < len(x):
+        hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + COMPARED, "right")))
+        parts = []
+        for s in (x[lo:hi], y[lo:hi]):
+            n = size[s]
+            at = np.repeat(start[s] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            parts.append(np.repeat(np.arange(hi - lo, dtype=np.uint64), n) << np.uint64(44) | values[at])
+        both = np.sort(np.concatenate(parts))
+        out[lo:hi] = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(44)).astype(np.int64), minlength=hi - lo)
+        lo = hi
+    return out
+
+
 def sizes_fit(x: str, y: str, percent: int) -> Column:
     """Whether two sizes allow the threshold: a Jaccard similarity is at most their ratio."""
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)

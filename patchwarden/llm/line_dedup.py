@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,7 +241,7 @@ def _fetch(slots, bits: int):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, compared = (in_bitmap(x, bits) for x in slots.value)
         for b in batches:
-            ids = b.column(0).fill_null(K.NO_ID).to_numpy()
+            ids = b.column(0)
             h1, h2 = b.column(2).to_numpy(), b.column(3).to_numpy()
             for lo, _, buf, off in K.blocks(b.column(1)):
                 ln = _Lines(buf, off)
@@ -257,14 +258,22 @@ def _fetch(slots, bits: int):
                 for k, (i, n) in enumerate(zip(first.tolist(), _distinct(*shingles, len(first))[0].tolist())):
                     texts[i] = marks[k].tobytes() + raw[ln.all.starts[at[i]] : ln.all.ends[at[i]]]
                     sizes[i] = n
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[lo + doc]), pa.array(h1[lo + doc]), pa.array(h2[lo + doc]), pa.array((at - ln.all.first[doc]).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "id", "h1", "h2", "line", "text", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(lo + doc)), pa.array(h1[lo + doc]), pa.array(h2[lo + doc]), pa.array((at - ln.all.first[doc]).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "id", "h1", "h2", "line", "text", "n"])
             K.release()
 
     return fetch
 
 
+_LOW = np.uint64((1 << 44) - 1)
+
+
 def _distinct(line: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of different shingles of n lines, these shingles line by line)."""
+    """(numbers of different shingles of n lines, 44 bits of these shingles' hashes line by line)."""
+    if n < 1 << 20:  # a line's number and a hash sort as one number
+        x = np.sort(line.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20))
+        x = x[np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]])]
+        return np.bincount((x >> np.uint64(44)).astype(np.int64), minlength=n), (x & _LOW).view(np.int64)
+    h = h >> np.uint64(20)
     by = np.lexsort((h, line))
     line, h = line[by], h[by]
     new = np.ones(len(line), bool)
@@ -328,8 +337,8 @@ def _without(schema_names: list[str]):
 
 
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id, h1, h2, drop): for each document that loses lines, their numbers. id is doc_id, NO_ID for
-    null; h1 and h2 are the text's hash."""
+    """(id, h1, h2, drop): for each document that loses lines, their numbers. id is its doc_id, h1 and h2 are the text's
+    hash."""
     spark = docs.sparkSession
     buckets = max(32, min(partitions(spark), 1 << 15))
     h1, h2 = text_key()
@@ -350,20 +359,32 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = again.join(linked, "key", "full").select("key", F.coalesce("comp", "key").alias("g"), F.coalesce("n", F.lit(1)).alias("w"))
     occ = fetched.select("key", "id", "h1", "h2", "line")
     grouped = materialize(join_hot(occ, materialize(labels, "lines-labels", True), "key", "w").select("id", "h1", "h2", "line", "g").distinct(), "lines-groups", True)
-    first = grouped.groupBy("g").agg(F.min(F.struct("id", "line", "h1", "h2")).alias("f")).select("f.*")
-    gone = grouped.join(first, ["id", "h1", "h2", "line"], "left_anti")  # by the whole place: no line's group is a key
+    first = grouped.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "line", "h1", "h2")).alias("f")).select(F.col("f.id").alias("f_id"), *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("line", "h1", "h2")))
+    at = F.col("id").eqNullSafe(F.col("f_id"))
+    for c in ("h1", "h2", "line"):  # by the whole place: no line's group is a key
+        at &= F.col(c) == F.col(f"f_{c}")
+    gone = grouped.join(first, at, "left_anti")
     return gone.groupBy("id", "h1", "h2").agg(F.collect_set("line").alias("drop"))
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs with its lines' duplicates removed, and two more columns: n_lines and n_removed. The last
-    join is a shuffled hash join at every size (the line numbers are hashed, the texts not sorted):
-    the documents that lose lines grow with the input."""
+    """docs with its lines' duplicates removed, and two more columns: n_lines and n_removed. A bitmap of the texts that lose lines, 64 MB at most, lets the
+    other documents pass where they are; only those that lose lines are joined with their line numbers."""
     base = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    drop = removed_lines(docs, percent)
+    drop = materialize(removed_lines(docs, percent), "lines-drop", True)
+    bits = bitmap_bits(drop.count())
+    slots = docs.sparkSession.sparkContext.broadcast(bitmap(drop.select("h1"), bits))
+
+    @F.pandas_udf("boolean")
+    def loses(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(slots.value, bits)(h.to_numpy()))
+
     h1, h2 = text_key()
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(K.NO_ID)) == F.col("__id")) & (h1 == F.col("__h1")) & (h2 == F.col("__h2"))
-    named = drop.select(F.col("id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("drop").alias("__drop"))
-    joined = docs.select(*base).join(named.hint("shuffle_hash"), same, "left").drop("__id", "__h1", "__h2")
+    hashed = docs.select(*base, h1.alias("__h1"))
+    lines = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    others = hashed.where(~loses("__h1")).select(*base, lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__d1")) & (h2 == F.col("__d2"))
+    named = drop.select(F.col("id").alias("__id"), F.col("h1").alias("__d1"), F.col("h2").alias("__d2"), F.col("drop").alias("__drop"))
+    joined = hashed.where(loses("__h1")).join(named, same, "left").select(*base, "__drop")
     schema = T.StructType([*(f for f in docs.schema if f.name in base), T.StructField("__lines", T.LongType()), T.StructField("__removed", T.LongType())])
-    return joined.mapInArrow(_without([f.name for f in schema]), schema).withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"})
+    return joined.mapInArrow(_without([f.name for f in schema]), schema).withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"}).unionByName(others)

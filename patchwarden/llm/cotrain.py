@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as K
+from ._shared import materialize
 from .quality_rules import _block_stats
 
 MAX_LABELLED = 6000
@@ -213,35 +214,56 @@ def _assemble(slots, values, dense, meta, mean, std) -> list:
     return [(idx.astype(np.int64), val, start), (meta.ravel(), np.ones(meta.size), np.arange(0, 4 * n + 1, 4))]
 
 
+_KEY = ("part", "place", "doc_id", "h1", "h2")
+_FEATURES = "part int, place long, doc_id long, h1 long, h2 long, quality int, toxic int, slots binary, vals binary, dense binary, meta binary"
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(quality, toxic, text, lang, source) to the labels with the features of both views."""
+    """(keys, quality, toxic, text, lang, source) to keys and labels with the features of both views."""
+    k = len(_KEY)
     for b in batches:
-        lang, source = b.column(3).to_pylist(), b.column(4).to_pylist()
-        for lo, hi, buf, off in K.blocks(b.column(2)):
+        lang, source = b.column(k + 3).to_pylist(), b.column(k + 4).to_pylist()
+        for lo, hi, buf, off in K.blocks(b.column(k + 2)):
             slots, values, dense = _rows(buf, off)
             meta = _meta_slots(lang[lo:hi], source[lo:hi], np.diff(off))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array([s.astype("<i4").tobytes() for s in slots], pa.binary()), pa.array([v.astype("<f4").tobytes() for v in values], pa.binary()),
+                [*(b.column(i).slice(lo, hi - lo) for i in range(k + 2)), pa.array([s.astype("<i4").tobytes() for s in slots], pa.binary()), pa.array([v.astype("<f4").tobytes() for v in values], pa.binary()),
                  pa.array([r.tobytes() for r in dense], pa.binary()), pa.array([r.astype("<i4").tobytes() for r in meta], pa.binary())],
-                names=["quality", "toxic", "slots", "vals", "dense", "meta"],
+                names=[f.split()[0] for f in _FEATURES.split(", ")],
             )
 
 
 def _first(df: DataFrame, n: int, *cols: str) -> DataFrame:
-    """n rows at most, the first by a hash of cols."""
-    return df.orderBy(F.xxhash64(F.lit("cotrain"), *cols), *cols).limit(n)
+    """n rows at most, the first by a hash of cols, which is their place."""
+    place = F.xxhash64(F.lit("cotrain"), *cols)
+    return df.withColumn("place", place).orderBy("place", *cols).limit(n)
+
+
+def chosen(docs: DataFrame, marks: DataFrame, max_labelled: int, max_pool: int) -> DataFrame:
+    """Keys (part, place, doc_id, h1, h2, quality, toxic) of the rows to fit on: max_labelled of part 0 and max_pool of part 1, without their texts. All rows are told
+    apart by doc_id and text; of equal texts without labels that of the smallest doc_id stands for all."""
+    keys = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")), "cotrain-keys")
+    drawn = F.broadcast(_first(marks, max_labelled, "doc_id").drop("place"))  # max_labelled rows of three numbers
+    marked = _first(keys.join(drawn, "doc_id").dropDuplicates(["doc_id", "h1", "h2"]), max_labelled, "doc_id", "h1", "h2")
+    share = min(1.0, 2 * max_pool / max(keys.select(F.approx_count_distinct("h1", 0.02)).first()[0], 1))
+    some = keys.where(F.pmod(F.xxhash64(F.lit("pool"), "h1"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    pool = _first(some.join(marks.select("doc_id"), "doc_id", "left_anti"), max_pool, "h1", "h2").withColumns({c: F.lit(None).cast("int") for c in LABELS})
+    cols = [*_KEY[1:], *LABELS]
+    return materialize(marked.select(F.lit(0).alias("part"), *cols).unionByName(pool.select(F.lit(1).alias("part"), *cols)), "cotrain-chosen", True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model:
-    """Co-trained classifiers of docs (doc_id, text, lang, source) and labels (doc_id, quality, toxic)."""
+    """Co-trained classifiers of docs (doc_id, text, lang, source) and labels (doc_id, quality, toxic). Texts are read twice, for keys and for the features of the
+    chosen rows, and no task holds more of them than a batch."""
     marks = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.ceil(F.avg(c)).cast("int").alias(c) for c in LABELS))
-    rows = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    drawn = F.broadcast(_first(marks, max_labelled, "doc_id"))  # max_labelled rows of three numbers
-    marked = _first(rows.join(drawn, "doc_id").dropDuplicates(["doc_id", "h1", "h2"]), max_labelled, "doc_id", "h1", "h2")
-    share = min(1.0, 2 * max_pool / max(rows.select(F.approx_count_distinct("h1", 0.02)).first()[0], 1))
-    some = rows.where(F.pmod(F.xxhash64(F.lit("pool"), "h1"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).dropDuplicates(["h1", "h2"])
-    pool = _first(some.join(marks.select("doc_id"), "doc_id", "left_anti"), max_pool, "h1", "h2").withColumns({c: F.lit(None).cast("int") for c in LABELS})
-    got = [x.select(*LABELS, "text", "lang", "source").mapInArrow(_features, "quality int, toxic int, slots binary, vals binary, dense binary, meta binary").toPandas() for x in (marked, pool)]  # bounded by max_labelled and max_pool
+    keys = chosen(docs, marks, max_labelled, max_pool)
+    named = keys.select("part", "place", *(F.col(c).alias(f"k_{c}") for c in ("doc_id", "h1", "h2")), *LABELS)
+    h1, h2 = F.xxhash64("text"), F.xxhash64(F.lit(1), "text")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_doc_id")) & (h1 == F.col("k_h1")) & (h2 == F.col("k_h2"))
+    rows = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(named), same)  # max_labelled + max_pool rows of numbers
+    rows = rows.select("part", "place", *(F.col(f"k_{c}").alias(c) for c in ("doc_id", "h1", "h2")), *LABELS, "text", "lang", "source")
+    every = rows.mapInArrow(_features, _FEATURES).dropDuplicates(list(_KEY)).toPandas().sort_values(list(_KEY))  # bounded by max_labelled and max_pool
+    got = [every[every["part"] == p] for p in (0, 1)]
     parts = []
     for t in got:
         read = lambda c, d: [np.frombuffer(x, d) for x in t[c]]

@@ -448,6 +448,73 @@ def test_html_extract_names_only_weigh():
     assert html_extract.extract(f"<article><header><h1>Title</h1></header><p>{text}</p><p>{text}</p></article>") == want
 
 
+def walked(page):
+    """extract by walks alone: each element gives its points and lengths to each of its ancestors, one by one, and
+    each block asks its ancestors whether it stays."""
+    H = html_extract
+    nodes, blocks = H._parse(page)
+    if not blocks:
+        return ""
+    up = []
+    for n in nodes:
+        path = [n]
+        while path[-1].parent is not None:
+            path.append(path[-1].parent)
+        up.append(path)
+    named = (H.PART, H.COMMENTS)
+    free, plain = [0] * len(nodes), [0] * len(nodes)
+    for n in nodes:
+        hidden = False
+        for m in up[n.index]:
+            free[m.index] += n.chars - n.link_chars
+            plain[m.index] += 0 if hidden else n.chars - n.link_chars
+            hidden = hidden or m.part in named
+    rest, dropped, minus = plain[0], set(), set()
+    for n in nodes:
+        if n.part in named and free[n.index] and not dropped & {m.index for m in up[n.index]}:
+            if rest > 0 if n.part == H.COMMENTS else rest >= H.BESIDE * free[n.index]:
+                dropped.add(n.index)
+            else:
+                rest += plain[n.index]
+                minus.add(n.index)
+    gone = [bool(dropped & {m.index for m in up[n.index]}) for n in nodes]
+    points, chars, links = ([0.0] * len(nodes) for _ in range(3))
+    for n in nodes:
+        if gone[n.index]:
+            continue
+        share = 1.0
+        for m in up[n.index]:
+            points[m.index] += n.points * share
+            chars[m.index] += n.chars
+            links[m.index] += n.link_chars
+            share *= 1.0 if m.tag in H._TEXT else 0.5
+    score = [0.0 if n.tag in H._TEXT or gone[n.index] else points[n.index] for n in nodes]
+    density = [l / max(c, 1) for l, c in zip(links, chars)]
+    rank = lambda n: (chars[n.index] > 0, round((score[n.index] + (n.weight - 25 * (n.index in minus)) * (chars[n.index] > 0)) * (1 - density[n.index]), 6), -n.index)
+    best = max(nodes, key=rank)
+    kept = {best.index}
+    for n in nodes if best.parent is not None else ():
+        if n.parent is best.parent and n is not best and chars[n.index]:
+            least = 0.2 * score[best.index] if best.good and n.good else max(10.0, 0.2 * score[best.index])
+            prose = n.tag in ("h1", "h2", "blockquote", "pre") or n.tag == "p" and chars[n.index] > 80
+            if score[n.index] * (1 - density[n.index]) >= least or prose and density[n.index] < 0.25:
+                kept.add(n.index)
+    return "\n".join(t for t, n in blocks if not gone[n.index] and kept & {m.index for m in up[n.index]})
+
+
+def test_html_scores_by_walks(spark):
+    """Every page of the tables, whole, mixed with each other and in wrappers: the sweep and the walks leave the same text."""
+    import duckdb
+
+    pages = [r[0] or "" for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    r = random.Random(1)
+    wraps = ['<div class="sidebar">{}</div>', '<form>{}</form><p>Some other text, that is rather long, stands beside it, and more of it.</p>', '<div class="comments">{}</div><div><p>Short.</p></div>', "<ul><li>{}</li><li><a href=x>link, text</a></li></ul>", "<table><tr><td>{}</td><td>cell, two</td></tr></table>"]
+    mixed = [wraps[k % 5].format(p) + (r.choice(pages) if k % 3 == 0 else "") for k, p in enumerate(pages[:400])]
+    odd = [PAGE, "", "x", "<p>a<p>b", "<article><p>x</article><aside><p>y</aside>"]
+    wrong = [p for p in pages + mixed + odd if html_extract.extract(p) != walked(p)]
+    assert wrong == [] and len(pages) > 100
+
+
 def test_html_extract_is_linear():
     n = 100_000
     began = time.perf_counter()
@@ -931,3 +998,24 @@ def test_sketch_buckets_bound_the_error(spark):
     b = quality_rules.sketch_bucket(df["v"])
     for r in df.select("v", b.alias("b"), quality_rules.bucket_floor(b).alias("lo")).collect():
         assert r.lo <= r.v <= r.lo * 17 / 16
+
+
+def test_sample_of_the_classifier_is_chosen_without_texts(spark):
+    """Rows to fit on are chosen by their keys; a very long text among them, repeated rows, copies and null ids are one row each."""
+    rows = [(k, " ".join(words(12, k)), "en", "s") for k in range(60)] + [(7, " ".join(words(12, 7)), "en", "s")] * 300 + [(k, "a copy without a label", "en", "s") for k in range(100, 400)] + [(None, "nobody knows", None, None), (None, "nobody knows", None, None), (99, "long " * 2_000_000, "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    marks = spark.createDataFrame([(k, k % 2, 0) for k in range(30)] + [(99, 1, 1)], "doc_id long, quality int, toxic int")
+    got = cotrain.chosen(docs, marks, 100, 100).collect()
+    assert sorted(r.doc_id for r in got if r.part == 0) == [*range(30), 99]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got if r.part == 1) == [*((False, k) for k in range(30, 60)), (False, 100), (True, 0)]
+    assert len(cotrain.chosen(docs, marks, 5, 3).collect()) == 8
+    model = cotrain.fit(docs, marks, 100, 100)
+    assert all(h.share is None or 0 <= h.share <= 1 for h in model.heads)
+    seen = []
+    plain = cotrain._first
+    try:
+        cotrain._first = lambda df, n, *c: seen.append(df.columns) or plain(df, n, *c)
+        cotrain.fit(docs, marks, 10, 10)
+    finally:
+        cotrain._first = plain
+    assert seen and not any("text" in c for c in seen)

@@ -32,8 +32,8 @@ def _in_order(t: pa.Table, order: str, column: str) -> np.ndarray:
     return A.matrix(t.column(column))
 
 
-def _fits(df: DataFrame, column: str) -> bool:
-    return df.count() * vector_dim(df, column) * 8 <= BLOCK_BYTES
+def _fits(df: DataFrame, column: str, block_bytes: int | None) -> bool:
+    return df.count() * vector_dim(df, column) * 8 <= (BLOCK_BYTES if block_bytes is None else block_bytes)
 
 
 def one_block(df: DataFrame, column: str, order: str, pick) -> DataFrame:
@@ -41,9 +41,9 @@ def one_block(df: DataFrame, column: str, order: str, pick) -> DataFrame:
     return df.select(F.lit(0).alias("g"), order, column).groupBy("g").applyInArrow(lambda t: _bank((x := _in_order(t, order, column))[pick(x)]), BANK)
 
 
-def farthest_first(df: DataFrame, column: str, order: str, k: int, log: list[S.Pass] | None = None) -> DataFrame:
+def farthest_first(df: DataFrame, column: str, order: str, k: int, log: list[S.Pass] | None = None, block_bytes: int | None = None) -> DataFrame:
     """Exact farthest-first of all rows (all of them in order if there are k or fewer): in one task if the vectors fit a block, else in passes."""
-    if _fits(df, column):
+    if _fits(df, column, block_bytes):
         return one_block(df, column, order, lambda x: N.farthest_first(x, k))
     from .moments import fit_moments
 
@@ -128,7 +128,7 @@ def budgeted_kcenter(df: DataFrame, column: str, order: str, k: int, threshold:
     return _streamed(df, column, order, lambda: N.Budgeted(k, threshold), lambda s, x: s.update(x), lambda s: s.c)
 
 
-def greedy(df: DataFrame, column: str, order: str, share: float = 0.1, approximate: bool = False, seed: int = 0, dim: int = 128, starts: int = 10, log: list[S.Pass] | None = None) -> DataFrame:
+def greedy(df: DataFrame, column: str, order: str, share: float = 0.1, approximate: bool = False, seed: int = 0, dim: int = 128, starts: int = 10, log: list[S.Pass] | None = None, block_bytes: int | None = None) -> DataFrame:
     """Greedy coreset of int(n * share) rows (offline): always the row farthest from those picked, where all rows
     start with the norm of their row of the distance matrix, or, approximately, with the mean distance to
     some rows chosen by hash, on a random projection."""
@@ -150,7 +150,7 @@ def greedy(df: DataFrame, column: str, order: str, share: float = 0.1, approxima
         total, squares = np.array(list(m)), df.agg(F.sum(sq_norm(F.col(column)))).first()[0]
         start = lambda x: np.sqrt(np.maximum(n * (x * x).sum(1) - 2 * x @ total + squares, 0))
     k = int(n * share)
-    if _fits(df, column):
+    if _fits(df, column, block_bytes):
         return one_block(df, column, order, lambda x: N.greedy_picks(view(x), start(x), k))
     return S.farthest_rows(df, column, order, k, start, False, view, log)
 

@@ -94,6 +94,15 @@ def knn_top3(spark, sf):
     return _near(spark, sf, 3)[2].select("vec_id", "rank", "bank_id", r6("sq_dist").alias("sq_dist"))
 
 
+@query
+def knn_by_balls(spark, sf):
+    """The three vectors nearest to each of all vectors, by balls."""
+    from ..operators.balls import ball_knn
+
+    x = patches(spark, sf).select(F.col("vec_id").alias("id"), "features")
+    return ball_knn(x, x, 3).select(F.col("id").alias("vec_id"), "rank", "bank_id", r6("sq_dist").alias("sq_dist"))
+
+
 @query
 def patch_score_meank(spark, sf):
     return J.patch_scores(_near(spark, sf, 3)[2], ["vec_id"]).select("vec_id", r6("score").alias("score"))
@@ -161,6 +170,13 @@ def density_log_prob(spark, sf):
     return d.select("vec_id", "component_id", F.round("log_prob", 4).alias("log_prob"))
 
 
+@query
+def best_component(spark, sf):
+    """The likeliest component of each vector, by bounds and exact evaluation of what they leave."""
+    d = C.best_component(patches(spark, sf).select("vec_id", "features"), components(spark, sf))
+    return d.select("vec_id", "component_id", F.round("distance", 4).alias("distance"))
+
+
 @query
 def density_eq7(spark, sf):
     return C.density_eq7(patches(spark, sf).select("image_idx", "patch_pos", "features"), components(spark, sf), 5).select("image_idx", "patch_pos", F.round("score", 4).alias("score"))
@@ -315,6 +331,19 @@ def farthest_first(spark, sf):
     return picked.select("bank_id", *(r6(F.col("features")[i]).alias(f"x{i}") for i in range(3)))
 
 
+@query
+def farthest_first_passes(spark, sf):
+    """farthest_first in lazy passes, as for tables beyond a block."""
+    picked = B.farthest_first(patches(spark, sf), "features", "vec_id", 20, block_bytes=0)
+    return picked.select("bank_id", *(r6(F.col("features")[i]).alias(f"x{i}") for i in range(3)))
+
+
+@query
+def greedy_passes(spark, sf):
+    """greedy_exact in lazy passes."""
+    return B.greedy(patches(spark, sf), "features", "vec_id", 0.02, block_bytes=0).select("bank_id", *(r6(F.col("features")[i]).alias(f"x{i}") for i in range(3)))
+
+
 @query
 def merge_reduce_bank(spark, sf):
     return _norms(B.merge_reduce(patches(spark, sf), "features", "batch", "vec_id", 100, 32))
@@ -656,6 +685,24 @@ def stream_bank(spark, sf):
 # --- the flagship ---------------------------------------------------------------------------------------
 
 
+@query
+def staged_scores(spark, sf):
+    """anomaly_scores of a fit whose stages were exported and loaded again."""
+    from ..sources.scratch import new_folder
+    from .pipeline import FitConfig, fit
+
+    p, folder = patches(spark, sf), new_folder(spark, "staged")
+    config = FitConfig(whitening=W.WhiteningConfig(method="FIXED", shrinkage=0.07), n_clusters=100, chunk=64, reweight=5)
+    fit(p, config, folder=folder)
+    return fit(p, config, folder=folder).image_scores(p).select("image_idx", r6("score").alias("score"))
+
+
+@query
+def finite_rows(spark, sf):
+    """How many vectors of each label hold finite numbers only."""
+    return patches(spark, sf).groupBy("label").agg(F.count("*").alias("n"), F.count_if(V.is_finite(F.col("features"))).alias("n_finite"))
+
+
 @query
 def anomaly_scores(spark, sf):
     """Fit and infer end to end: whitening, merge-reduce bank, exact neighbours, reweighted scores."""

@@ -44,9 +44,9 @@ def run_category(spark: SparkSession, c: RunConfig, category: str, folder: str,
     layers = tuple(I.resolve_layers(c.backbone, list(c.layers))) if backbone else c.layers  # the backbone's own names
     embed = lambda x: I.embed_images(x, backbone or I.filter_bank, layers, c.patch, c.stride, c.pre_dim, c.dim)
     e = c.evaluation
-    with Profiler(category) as prof:
+    with Profiler(category, spark=spark) as prof:
         with prof.phase("fit"):
-            patches = embed(I.load_images(spark, loader, "train", c.train_augment)).withColumn("seq", F.col("image_idx") * 1_000_000 + F.col("patch_pos")).persist()
+            patches = embed(I.load_images(spark, loader, "train", c.train_augment)).withColumn("seq", F.shiftleft(F.col("image_idx"), 31) + F.col("patch_pos")).persist()
             model = fit(patches, c.fit, "batch_idx", "seq")
         with prof.phase("calibration"):
             clean = embed(I.load_images(spark, loader, "train")) if e.calibration != "none" else None
@@ -111,16 +111,18 @@ def _artifacts(table: DataFrame, c: RunConfig, folder: str, category: str, size:
 
 
 def run_experiment(spark: SparkSession, c: RunConfig, config_text: str = "", backbone=None) -> str:
-    """Runs every category and writes the five metric files; returns the run's directory."""
+    """Runs every category and writes the five metric files, and what each phase used of driver and executors; returns the run's directory."""
     print(banner(c))
     folder = f"{c.output_root}/{c.name}/{datetime.now().strftime('%Y%m%d_%H%M%S')}"
     began = time.monotonic()
-    rows, images, profiles = [], None, []
+    rows, images, profiles, usage = [], None, [], None
     for category in c.loader.categories:
         row, per_image, prof = run_category(spark, c, category, folder, backbone)
         rows.append(row)
         images = per_image if images is None else images.unionByName(per_image)
         profiles.append(prof.tables(spark))
+        used = prof.usage(spark)
+        usage = used if usage is None else usage.unionByName(used)
     import pandas as pd
 
     per_dataset = spark.createDataFrame(pd.DataFrame(rows).astype({k: float for k in rows[0] if k != "dataset"}))
@@ -132,6 +134,7 @@ def run_experiment(spark: SparkSession, c: RunConfig, config_text: str = "", bac
         for p in profiles[1:]:
             table = table.union(p[i])
         R.write_csv(table, f"{folder}/metrics/{name}.csv")
+    R.write_csv(usage, f"{folder}/metrics/profiling_phases.csv")
     R.reproducibility(folder, config_text)
     print(f"{len(rows)} categories in {time.monotonic() - began:.1f} s -> {folder}")
     return folder

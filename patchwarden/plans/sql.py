@@ -250,6 +250,11 @@ SELECT 1 AS power, round(sum(v), 5) AS total FROM c WHERE i = j UNION ALL SELECT
         "tail_aware_bank": _tail_aware(40, 34, 60, 32),
         "budgeted_kcenter": _BUDGETED.replace("{k}", "20"),
         "anomaly_scores": _ANOMALY,
+        "staged_scores": _ANOMALY,
+        "finite_rows": "SELECT label, count(*) AS n, count(*) FILTER (WHERE len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0) AS n_finite FROM embeddings GROUP BY label",
+        "best_component": f"WITH {P}, {LP} SELECT vec_id, arg_min(component_id, -lp) AS component_id, round(min(-lp), 4) AS distance FROM lp GROUP BY vec_id",
+        "knn_by_balls": """WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS f FROM embeddings), d AS (SELECT a.vec_id, b.vec_id AS bank_id, list_distance(a.f, b.f) ** 2 AS d FROM x a, x b),
+            r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, bank_id) AS rank FROM d) SELECT vec_id, rank::INTEGER AS rank, bank_id, round(d, 6) + 0.0 AS sq_dist FROM r WHERE rank <= 3""",
         "bank_invariants": """SELECT * FROM (VALUES ('greedy_approx', (SELECT floor(count(*) * 0.02)::BIGINT FROM embeddings), true, true), ('kmeans', 10, true, true), ('minibatch_kmeans', 10, true, true)) t(bank, n_rows, from_table, closer_than_mean)""",
         "whitened_total": f"SELECT count(*) AS n, round((count(*) - 1) * {DIM}.0::DOUBLE, 4) AS total FROM embeddings",
         "pca_total_variance": f"{TRACES} SELECT round(t, 8) AS total FROM t",
@@ -258,6 +263,8 @@ SELECT 1 AS power, round(sum(v), 5) AS total FROM c WHERE i = j UNION ALL SELECT
         "stream_moments": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type",
         "farthest_first": _picks("SELECT vec_id, f, list_distance(f, m) AS a FROM x, mu", 20) + "SELECT n::BIGINT AS bank_id, round(f[1], 6) + 0.0 AS x0, round(f[2], 6) + 0.0 AS x1, round(f[3], 6) + 0.0 AS x2 FROM s",
         "greedy_exact": _picks("SELECT a.vec_id, any_value(a.f) AS f, sum(list_distance(a.f, b.f) ** 2) AS a FROM x a, x b GROUP BY a.vec_id", 10) + "SELECT n::BIGINT AS bank_id, round(f[1], 6) + 0.0 AS x0, round(f[2], 6) + 0.0 AS x1, round(f[3], 6) + 0.0 AS x2 FROM s",
+        "farthest_first_passes": _picks("SELECT vec_id, f, list_distance(f, m) AS a FROM x, mu", 20) + "SELECT n::BIGINT AS bank_id, round(f[1], 6) + 0.0 AS x0, round(f[2], 6) + 0.0 AS x1, round(f[3], 6) + 0.0 AS x2 FROM s",
+        "greedy_passes": _picks("SELECT a.vec_id, any_value(a.f) AS f, sum(list_distance(a.f, b.f) ** 2) AS a FROM x a, x b GROUP BY a.vec_id", 10) + "SELECT n::BIGINT AS bank_id, round(f[1], 6) + 0.0 AS x0, round(f[2], 6) + 0.0 AS x1, round(f[3], 6) + 0.0 AS x2 FROM s",
         "tail_residual_topk": f"WITH {P}, {BANK}, {KN} SELECT vec_id, round(sqrt(d), 6) AS tail_score FROM kn WHERE rank = 1 ORDER BY d DESC, vec_id LIMIT 50",
         "tail_pruning_gap": f"WITH {P}, {BANK}, {_bank('mn', 'label')}, a AS (SELECT vec_id, min(list_distance(p.f, bank.f)) AS d FROM p, bank GROUP BY vec_id), b AS (SELECT vec_id, min(list_distance(p.f, mn.f)) AS d FROM p, mn GROUP BY vec_id) SELECT vec_id, round(greatest(0, b.d - a.d), 6) AS tail_score FROM a JOIN b USING (vec_id)",
         "chi2_tail_band": f"""WITH {P}, st AS (SELECT [{", ".join(f"avg(f[{i}])" for i in range(1, DIM + 1))}] AS m, [{", ".join(f"stddev_samp(f[{i}])" for i in range(1, DIM + 1))}] AS s FROM p),

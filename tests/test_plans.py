@@ -1,5 +1,6 @@
 """Pipeline, configuration, sources, sinks, streams and the driver's contract."""
 
+import json
 import math
 import os
 import struct
@@ -229,6 +230,46 @@ def test_profiler(spark):
     assert samples.count() >= 1 and [r.phase for r in timings.collect()] == ["fit", "total"]
 
 
+def test_profiler_names_executors(spark):
+    """A stand-in for Spark's monitoring interface: two executors, one with process metrics, busy in the second phase; the driver's entry is not counted twice."""
+    import http.server
+    import threading
+    import time
+
+    from patchwarden.plans.profiling import Executors
+
+    calls = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            calls.append(self.path)
+            k = len(calls)
+            body = [{"id": "driver", "memoryUsed": 1, "totalDuration": 0}, {"id": "1", "memoryUsed": 7_000_000, "totalDuration": 0}, {"id": "2", "memoryUsed": 1, "totalDuration": 100 * k, "peakMemoryMetrics": {"JVMHeapMemory": 5_000_000, "ProcessTreeJVMRSSMemory": 20_000_000, "ProcessTreePythonRSSMemory": 30_000_000}}]
+            out = json.dumps(body).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with Profiler("d", 0.02, executors=Executors(f"http://127.0.0.1:{server.server_port}/executors")) as p:
+        with p.phase("fit"):
+            time.sleep(0.3)
+        with p.phase("infer"):
+            time.sleep(0.3)
+    server.shutdown()
+    samples, _ = p.tables(spark)
+    assert {r.executor for r in samples.select("executor").distinct().collect()} == {"driver", "1", "2"}
+    got = {(r.phase, r.executor): r for r in p.usage(spark).collect()}
+    assert set(got) == {(a, b) for a in ("fit", "infer") for b in ("driver", "1", "2")}
+    assert got["fit", "1"].max_ram_mb == 7 and got["infer", "2"].max_ram_mb == 50
+    assert got["infer", "1"].mean_cpu_pct == 0 and got["infer", "2"].mean_cpu_pct > 50
+    assert Executors.of(spark).sample(0.0) == [] and Executors("http://127.0.0.1:9/none").sample(0.0) == []  # no interface, no answer
+
+
 def test_artifacts(tmp_path):
     image = np.full((4, 4, 3), 100, np.uint8)
     mask = np.eye(4)

@@ -72,6 +72,15 @@ def byte_side(path: str) -> Side:
     import tiktoken
     from tokenizers import Tokenizer
 
+    @cache
+    def library() -> Tokenizer:
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        return t
+
+    def own(text: str) -> list[int]:
+        return library().encode(text, add_special_tokens=False).ids
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     kind, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -87,10 +96,17 @@ def byte_side(path: str) -> Side:
     single = [k for t, k in ranks.items() if len(t) == 1]
     if pre.get("use_regex", True) and ids == sorted(ids) and len(ids) == len(set(ids)) and len(single) + len(ids) == len(ranks) and max(single) < min(ids):
         fast = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
-        return Side(tokens, lambda text: fast.encode_ordinary(text))
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    return Side(tokens, lambda text: slow.encode(text, add_special_tokens=False).ids)
+        return Side(tokens, lambda text: own(text) if long_space(text) else fast.encode_ordinary(text))
+    return Side(tokens, own)
+
+
+#: white space of twice this length has a block of it
+SPACE_BLOCK = 1 << 15
+
+
+def long_space(text: str) -> bool:
+    """Whether a block of the text is nothing but white space: the faster library's pattern stops at some hundred thousands of it in a row."""
+    return any(text[k].isspace() and text[k : k + SPACE_BLOCK].isspace() for k in range(0, len(text), SPACE_BLOCK))
 
 
 @cache

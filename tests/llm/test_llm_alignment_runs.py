@@ -208,6 +208,20 @@ def test_alignment_against_brute_force(spark, run_bytes, most):
         assert collections.Counter(map(tuple, token_alignment.exploded(docs, *paths).collect())) == collections.Counter(map(tuple, got.collect()))
 
 
+def test_byte_side_is_the_files_own_library():
+    """Also where white space, punctuation, digits, letters or marks stand by the million."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path(queries.BYTE_MODEL)
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    side = token_alignment.byte_side(path)
+    n = 1_000_000
+    many = [" " * n + "a", "x" + "\n" * n, " \n\t" * (n // 3) + "x", "-" * n, "7" * n, "a" * n, "é" * (n // 2), "a\u0301" * (n // 4), "\u3000" * (n // 4) + "b", ("a" * 50 + " " * 50) * 3000, " " * 70_000 + "b" + " " * 40_000]
+    for text in many + [t for t in aligned_texts() if t]:
+        assert side.encode(" " + text) == own.encode(" " + text, add_special_tokens=False).ids
+
+
 def test_alignment_of_an_empty_table(spark):
     paths = [queries.tokenizer_path(x) for x in (queries.BYTE_MODEL, queries.PIECE_MODEL)]
     assert token_alignment.token_alignment(spark.createDataFrame([], DOCS), *paths)[0].count() == 0

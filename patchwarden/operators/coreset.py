@@ -150,6 +150,8 @@ def greedy(df: DataFrame, column: str, order: str, share: float = 0.1, approxima
         total, squares = np.array(list(m)), df.agg(F.sum(sq_norm(F.col(column)))).first()[0]
         start = lambda x: np.sqrt(np.maximum(n * (x * x).sum(1) - 2 * x @ total + squares, 0))
     k = int(n * share)
+    if not k:
+        return df.sparkSession.createDataFrame([], BANK)
     if _fits(df, column, block_bytes):
         return one_block(df, column, order, lambda x: N.greedy_picks(view(x), start(x), k))
     return S.farthest_rows(df, column, order, k, start, False, view, log)

@@ -90,8 +90,8 @@ def _whiten(d: int) -> str:
     return f"WITH {', '.join(out)} SELECT vec_id, round({' + '.join(f'z{i} ** 2' for i in range(1, d + 1))}, 6) AS norm FROM {zp}"
 
 
-def _picks(start: str, k: int) -> str:
-    """Recursive selection: start is the first row's order; then always the row farthest from the chosen."""
+def _picks(start: str, k: int | str) -> str:
+    """Recursive selection of k rows: start is the first row's order; then always the row farthest from the chosen."""
     return f"""WITH RECURSIVE x AS (SELECT vec_id, embedding::DOUBLE[] AS f FROM embeddings),
 mu AS (SELECT list(v ORDER BY i) AS m FROM (SELECT i, avg(f[i]) AS v FROM x, range(1, {DIM + 1}) t(i) GROUP BY i)),
 s(n, vec_id, f) AS (
@@ -101,6 +101,11 @@ s(n, vec_id, f) AS (
 """
 
 
+#: so many of n rows as their share 0.02 holds whole ones
+_SHARE = "(SELECT floor(count(*) * 0.02) FROM embeddings)"
+_GREEDY = _picks("SELECT a.vec_id, any_value(a.f) AS f, sum(list_distance(a.f, b.f) ** 2) AS a FROM x a, x b GROUP BY a.vec_id", _SHARE) + f"SELECT n::BIGINT AS bank_id, round(f[1], 6) + 0.0 AS x0, round(f[2], 6) + 0.0 AS x1, round(f[3], 6) + 0.0 AS x2 FROM s WHERE n < {_SHARE}"
+
+
 def _farthest(name: str, source: str, k: int) -> str:
     """CTEs for farthest-first in every group of source (grp, ord, f) at once: ``name`` (grp, n, f), n from 0; groups of k rows
     or fewer stay in their order."""
@@ -262,9 +267,9 @@ SELECT 1 AS power, round(sum(v), 5) AS total FROM c WHERE i = j UNION ALL SELECT
         "online_moments": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type",
         "stream_moments": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type",
         "farthest_first": _picks("SELECT vec_id, f, list_distance(f, m) AS a FROM x, mu", 20) + "SELECT n::BIGINT AS bank_id, round(f[1], 6) + 0.0 AS x0, round(f[2], 6) + 0.0 AS x1, round(f[3], 6) + 0.0 AS x2 FROM s",
-        "greedy_exact": _picks("SELECT a.vec_id, any_value(a.f) AS f, sum(list_distance(a.f, b.f) ** 2) AS a FROM x a, x b GROUP BY a.vec_id", 10) + "SELECT n::BIGINT AS bank_id, round(f[1], 6) + 0.0 AS x0, round(f[2], 6) + 0.0 AS x1, round(f[3], 6) + 0.0 AS x2 FROM s",
+        "greedy_exact": _GREEDY,
         "farthest_first_passes": _picks("SELECT vec_id, f, list_distance(f, m) AS a FROM x, mu", 20) + "SELECT n::BIGINT AS bank_id, round(f[1], 6) + 0.0 AS x0, round(f[2], 6) + 0.0 AS x1, round(f[3], 6) + 0.0 AS x2 FROM s",
-        "greedy_passes": _picks("SELECT a.vec_id, any_value(a.f) AS f, sum(list_distance(a.f, b.f) ** 2) AS a FROM x a, x b GROUP BY a.vec_id", 10) + "SELECT n::BIGINT AS bank_id, round(f[1], 6) + 0.0 AS x0, round(f[2], 6) + 0.0 AS x1, round(f[3], 6) + 0.0 AS x2 FROM s",
+        "greedy_passes": _GREEDY,
         "tail_residual_topk": f"WITH {P}, {BANK}, {KN} SELECT vec_id, round(sqrt(d), 6) AS tail_score FROM kn WHERE rank = 1 ORDER BY d DESC, vec_id LIMIT 50",
         "tail_pruning_gap": f"WITH {P}, {BANK}, {_bank('mn', 'label')}, a AS (SELECT vec_id, min(list_distance(p.f, bank.f)) AS d FROM p, bank GROUP BY vec_id), b AS (SELECT vec_id, min(list_distance(p.f, mn.f)) AS d FROM p, mn GROUP BY vec_id) SELECT vec_id, round(greatest(0, b.d - a.d), 6) AS tail_score FROM a JOIN b USING (vec_id)",
         "chi2_tail_band": f"""WITH {P}, st AS (SELECT [{", ".join(f"avg(f[{i}])" for i in range(1, DIM + 1))}] AS m, [{", ".join(f"stddev_samp(f[{i}])" for i in range(1, DIM + 1))}] AS s FROM p),

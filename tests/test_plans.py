@@ -47,6 +47,19 @@ def test_query_equals_sql(spark, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
+@pytest.mark.parametrize("name", ["greedy_exact", "greedy_passes"])
+def test_greedy_equals_sql_at_other_sizes(spark, tmp_path, name):
+    """The share of the rows follows the table: 24 of 1200, none of 40."""
+    import duckdb
+
+    for n in (1200, 40):
+        spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where(F.col("vec_id") < n).write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view embeddings as select * from '{tmp_path}/{n}/embeddings.parquet/*.parquet'")
+        got, want = catalog.catalogue()[name](spark, f"{tmp_path}/{n}").toPandas(), con.sql(sql.oracle()[name]).df()
+        assert len(got) == n // 50 and rows_of(got) == rows_of(want)
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as e
 

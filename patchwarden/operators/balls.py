@@ -20,7 +20,8 @@ from ..functions import kernels as N
 from ..sources.scratch import written
 from .moments import fit_moments
 
-QUERY_CHUNK = 2048
+#: rows of queries and of the bank whose product is taken at once, pairs whose differences are, pairs that are held
+QUERY_PIECE, BANK_PIECE, PAIRS, MOST_PAIRS = 512, 4096, 1 << 14, 1 << 20
 #: rows of a block of queries and of the bank, balls that a block meets in the first round (twice as many in each further one)
 QUERY_ROWS, BANK_ROWS, FIRST = 2048, 4096, 2
 _BALL = "blk long, dim int, ids binary, x binary, center binary, radius double"
@@ -28,22 +29,62 @@ _STATE = "blk long, dim int, ids binary, x binary, near binary, dist binary, far
 
 
 def top_k(x: np.ndarray, ids: np.ndarray, bank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bank ids, squared distances) of the k nearest, nearest first; ids ascend in bank order."""
+    """(bank ids, squared distances) of the k nearest, nearest first; ids ascend in bank order. Queries meet the bank in pieces of bounded size, whatever the
+    size of the bank. A product leaves out pairs that are farther than k others by more than its rounding; distances of what is left are taken exactly, so that no tie is lost."""
     k = min(k, len(bank))
     out_i, out_d = np.empty((len(x), k), np.int64), np.empty((len(x), k))
     sq = (bank * bank).sum(1)
-    for a in range(0, len(x), QUERY_CHUNK):
-        q = x[a : a + QUERY_CHUNK]
-        d = np.maximum((q * q).sum(1)[:, None] + sq - 2 * q @ bank.T, 0)
-        spare = min(len(bank), k + 8)  # rounding must not cost a neighbour
-        near = np.argpartition(d, spare - 1, 1)[:, :spare] if spare < len(bank) else np.broadcast_to(np.arange(len(bank)), d.shape)
-        exact = ((q[:, None, :] - bank[near]) ** 2).sum(-1)
-        by = np.lexsort((ids[near], exact), axis=1)[:, :k]
-        out_i[a : a + len(q)] = np.take_along_axis(ids[near], by, 1)
-        out_d[a : a + len(q)] = np.take_along_axis(exact, by, 1)
+    most = sq[np.isfinite(sq)].max(initial=0)
+    todo = [(a, min(a + QUERY_PIECE, len(x))) for a in range(0, len(x), QUERY_PIECE)]
+    while todo and k:
+        lo, hi = todo.pop()
+        q = x[lo:hi]
+        found = _candidates(q, bank, sq, most, k)
+        if found is None:  # large groups of ties
+            todo += [(lo, (lo + hi) // 2), ((lo + hi) // 2, hi)]
+            continue
+        i, j = found
+        exact = np.empty(len(i))
+        for c in range(0, len(i), PAIRS):
+            exact[c : c + PAIRS] = ((q[i[c : c + PAIRS]] - bank[j[c : c + PAIRS]]) ** 2).sum(-1)
+        by = np.lexsort((ids[j], exact, i))
+        by = by[np.searchsorted(i[by], np.arange(len(q)))[:, None] + np.arange(k)]
+        out_i[lo:hi], out_d[lo:hi] = ids[j[by]], exact[by]
     return out_i, out_d
 
 
+def _candidates(q: np.ndarray, bank: np.ndarray, sq: np.ndarray, most: float, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs (row of q, row of the bank) with the k nearest of each row among them; None where they are too many for several rows at once."""
+    qq = (q * q).sum(1)
+    slack = 1e-9 * (qq + most)
+    best = np.full((len(q), k), np.inf)
+    rows, cols, near, n = [], [], [], 0
+    for b in range(0, len(bank), BANK_PIECE):
+        d = q @ bank[b : b + BANK_PIECE].T
+        d *= -2
+        d += sq[b : b + BANK_PIECE]
+        d += qq[:, None]
+        least = d.min(1, keepdims=True) if k == 1 else d if d.shape[1] <= k else np.partition(d, k - 1, 1)[:, :k]
+        best = np.fmin(best, least) if k == 1 else np.partition(np.concatenate([best, least], 1), k - 1, 1)[:, :k]
+        flat = np.flatnonzero(d <= (best.max(1) + slack)[:, None])
+        n += len(flat)
+        if n > MOST_PAIRS and len(q) > 1:
+            return None
+        rows.append(flat // d.shape[1])
+        cols.append(flat % d.shape[1] + b)
+        near.append(d.ravel()[flat])
+    i, j = np.concatenate(rows), np.concatenate(cols)
+    ok = np.concatenate(near) <= (best.max(1) + slack)[i]
+    i, j = i[ok], j[ok]
+    few = np.flatnonzero(np.bincount(i, minlength=len(q)) < k)  # numbers that are not finite: all of the bank
+    if len(few):
+        if len(few) * len(bank) > MOST_PAIRS and len(q) > 1:
+            return None
+        ok = ~np.isin(i, few)
+        i, j = np.concatenate([i[ok], few.repeat(len(bank))]), np.concatenate([j[ok], np.tile(np.arange(len(bank)), len(few))])
+    return i, j
+
+
 def _axes(bank: DataFrame) -> np.ndarray:
     """The two directions of the largest variance."""
     return np.linalg.eigh(fit_moments(bank, "features").m2)[1][:, ::-1][:, :2]

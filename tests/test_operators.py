@@ -296,6 +296,27 @@ def test_position_knn_in_blocks(spark, monkeypatch):
         assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_is_bounded_and_keeps_ties(monkeypatch):
+    """Memory does not grow with the bank; of many equal rows those of the lowest ids come first, in any pieces."""
+    import tracemalloc
+
+    r = np.random.default_rng(7)
+    q, bank = r.normal(size=(1024, 8)), r.normal(size=(60_000, 8))
+    tracemalloc.start()
+    BA.top_k(q, np.arange(len(bank)), bank, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20  # 1024 x 60,000 doubles are 470 MB
+    copies = np.concatenate([r.normal(size=(50, 8)) + 9, np.repeat(r.normal(size=(1, 8)), 400, 0), r.normal(size=(50, 8)) + 9])
+    copies[3] = np.nan
+    for sizes in ((512, 4096, 1 << 14, 1 << 20), (7, 30, 11, 1 << 20), (7, 30, 11, 100)):
+        for name, v in zip(("QUERY_PIECE", "BANK_PIECE", "PAIRS", "MOST_PAIRS"), sizes):
+            monkeypatch.setattr(BA, name, v)
+        i, d = BA.top_k(copies[60:90] + 0.01, np.arange(len(copies)), copies, 3)
+        assert (i == [50, 51, 52]).all() and np.allclose(d, 8 * 1e-4)
+        assert BA.top_k(copies[:5], np.arange(len(copies)), copies, 1)[0][[0, 1, 2, 4], 0].tolist() == [0, 1, 2, 4]
+
+
 @pytest.mark.parametrize("k", [1, 4, 70])
 def test_ball_knn_skips_balls(spark, monkeypatch, k):
     """Equal to brute force, ties by id included, with most pairs of balls left out."""

@@ -127,19 +127,23 @@ def pni_gate(patches: DataFrame, knn: DataFrame, bank: DataFrame, prior: DataFra
     position prior + (1 - gamma) * its share among the nearest prototypes of the patch's
     neighbours reaches the threshold. Only prototypes with some prior can, if the threshold is
     positive; with threshold 0 all are eligible."""
+    nearest = first_neighbours(knn).select("image_idx", "patch_pos", F.col("score").alias("g"))
+    if threshold <= 0:
+        return nearest.select("image_idx", "patch_pos", (scale * F.col("g")).alias("score"))
     label = patches.select("image_idx", "patch_pos", "row", "col").join(first_neighbours(knn).drop("score"), ["image_idx", "patch_pos"])
     near = J.grid_neighbours(patches, kernel, exclude_self)
     votes = near.join(label.select("image_idx", F.col("row").alias("nrow"), F.col("col").alias("ncol"), "bank_id"), ["nrow", "ncol"])
     hood = votes.groupBy("image_idx", "row", "col", "bank_id").agg(F.count("*").alias("n"))
     hood = hood.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("image_idx", "row", "col")))
-    cell = patches.select("image_idx", "patch_pos", "row", "col")
-    parts = hood.select("image_idx", "row", "col", "bank_id", ((1 - gamma) * F.col("share")).alias("v")).union(cell.join(prior, ["row", "col"]).select("image_idx", "row", "col", "bank_id", (gamma * F.col("prior")).alias("v")))
-    eligible = parts.groupBy("image_idx", "row", "col", "bank_id").agg(F.sum("v").alias("mixed")).where(F.col("mixed") >= threshold)
+    known = hood.join(prior, ["row", "col", "bank_id"], "left").withColumn("mixed", gamma * F.coalesce("prior", F.lit(0.0)) + (1 - gamma) * F.col("share"))
+    # without a share the prior alone must reach the threshold: priors of a position add up to 1, so gamma / threshold prototypes can at most
+    heavy = prior.where(gamma * F.col("prior") >= threshold).select("row", "col", "bank_id")
+    alone = patches.select("image_idx", "row", "col").join(F.broadcast(heavy) if gamma / threshold <= 256 else heavy, ["row", "col"])
+    key = ["image_idx", "row", "col", "bank_id"]
+    eligible = known.where(F.col("mixed") >= threshold).select(*key).union(alone.select(*key)).distinct()
     d = patches.join(eligible, ["image_idx", "row", "col"]).join(bank.select("bank_id", F.col("features").alias("__m")), "bank_id")
     best = d.groupBy("image_idx", "patch_pos").agg(F.min(sq_dist(F.col("features"), F.col("__m"))).alias("e"))
-    nearest = first_neighbours(knn).select("image_idx", "patch_pos", F.col("score").alias("g"))
-    free = F.col("e") if threshold > 0 else F.col("g")
-    return nearest.join(best, ["image_idx", "patch_pos"], "left").select("image_idx", "patch_pos", (scale * F.coalesce(free, "g")).alias("score"))
+    return nearest.join(best, ["image_idx", "patch_pos"], "left").select("image_idx", "patch_pos", (scale * F.coalesce("e", "g")).alias("score"))
 
 
 def log_weights(components: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def eq7_topp_mean(spark, sf):
 def pni_gate_score(spark, sf):
     p = patches(spark, sf).select("image_idx", "patch_pos", "row", "col", "features")
     b = prototypes(spark, sf)
-    k = J.knn_join(p.select("image_idx", "patch_pos", "row", "col", "features"), b, 1)
+    k = written(J.knn_join(p.select("image_idx", "patch_pos", "row", "col", "features"), b, 1), "pni-knn")  # read three times
     prior = C.position_prior(k.select("row", "col", "bank_id"))
     return C.pni_gate(p, k.drop("row", "col"), b, prior, gamma=0.4, threshold=0.12, scale=2.0).select("image_idx", "patch_pos", r6("score").alias("score"))
 

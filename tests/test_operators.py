@@ -296,6 +296,37 @@ def test_position_knn_in_blocks(spark, monkeypatch):
         assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("gamma,threshold", [(0.4, 0.12), (0.9, 0.02), (0.0, 0.3), (0.5, 0.0)])
+def test_pni_gate_joins_no_patch_with_all_priors(spark, gamma, threshold):
+    """60 images of 2 x 2 patches, each with prototypes of its own and one that many share: scores are those of all pairs, and no step has a row for
+    each patch and each prototype of its position."""
+    r = np.random.default_rng(6)
+    n, bank = 60, r.normal(size=(61, 3))
+    x = np.where(r.random((n, 4, 1)) < 0.4, bank[60], bank[:60, None]) + r.normal(size=(n, 4, 3)) * 0.01
+    p = spark.createDataFrame([(i, c, c // 2, c % 2, x[i, c].tolist()) for i in range(n) for c in range(4)], "image_idx long, patch_pos long, row long, col long, features array<double>")
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(bank)], "bank_id long, features array<double>")
+    k = J.knn_join(p, b, 1)
+    prior = C.position_prior(k.select("row", "col", "bank_id"))
+    got = C.pni_gate(p, k.drop("row", "col"), b, prior, 3, True, gamma, threshold, 1.0).collect()
+    store = spark._jsparkSession.sharedState().statusStore()
+    last = store.executionsList().last()
+    values, most = store.executionMetrics(last.executionId()), 0
+    for m in range(last.metrics().size()):
+        metric = last.metrics().apply(m)
+        found = values.get(metric.accumulatorId())
+        if metric.name() == "number of output rows" and found.isDefined():
+            most = max(most, int(found.get().split("\n")[-1].split(" ")[0].replace(",", "")))
+    assert 240 <= most <= 2400  # 240 patches, up to 60 prototypes a position
+    d = ((x[:, :, None] - bank) ** 2).sum(-1)
+    label = d.argmin(2)
+    for row in got:
+        share = np.bincount(np.delete(label[row.image_idx], row.patch_pos), minlength=61) / 3
+        mixed = gamma * np.bincount(label[:, row.patch_pos], minlength=61) / n + (1 - gamma) * share
+        of = d[row.image_idx, row.patch_pos]
+        assert abs(row.score - (of[mixed >= threshold].min() if (mixed >= threshold).any() else of.min())) < 1e-9
+    assert len(got) == 240
+
+
 def test_top_k_is_bounded_and_keeps_ties(monkeypatch):
     """Memory does not grow with the bank; of many equal rows those of the lowest ids come first, in any pieces."""
     import tracemalloc

@@ -21,6 +21,8 @@ from .selection import BANK
 
 #: bytes of vectors that one task may hold
 BLOCK_BYTES = 256 << 20
+#: products of rows, picks and dimensions that one task may take for a greedy bank, whose picks grow with the rows
+TASK_WORK = 1 << 32
 
 
 def _bank(x: np.ndarray) -> pa.Table:
@@ -152,7 +154,7 @@ def greedy(df: DataFrame, column: str, order: str, share: float = 0.1, approxima
     k = int(n * share)
     if not k:
         return df.sparkSession.createDataFrame([], BANK)
-    if _fits(df, column, block_bytes):
+    if n * k * (dim if approximate else len(total)) <= TASK_WORK and _fits(df, column, block_bytes):
         return one_block(df, column, order, lambda x: N.greedy_picks(view(x), start(x), k))
     return S.farthest_rows(df, column, order, k, start, False, view, log)
 

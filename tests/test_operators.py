@@ -210,6 +210,15 @@ def test_budgeted_kcenter(spark):
     assert np.allclose(bank_of(B.budgeted_kcenter(frame(spark, X).repartition(4), "features", "vec_id", 5)), c)
 
 
+@pytest.mark.parametrize("approximate", [False, True])
+def test_greedy_leaves_one_task_where_picks_are_many(spark, monkeypatch, approximate):
+    """Rows fit a block, but rows times picks are more than a task may do."""
+    want = bank_of(B.greedy(frame(spark, X), "features", "vec_id", 0.1, approximate, 3))
+    monkeypatch.setattr(B, "TASK_WORK", 1)
+    monkeypatch.setattr(B, "one_block", None)
+    assert np.allclose(bank_of(B.greedy(frame(spark, X), "features", "vec_id", 0.1, approximate, 3)), want)
+
+
 def test_greedy(spark):
     d = np.linalg.norm(X[:, None] - X[None], axis=2)
     anchor, picks = np.linalg.norm(d, axis=1), []

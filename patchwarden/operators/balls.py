@@ -148,7 +148,8 @@ def _partial(k: int):
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for blk, dim, x, ids2, x2 in zip(*(b.column(c).to_pylist() for c in ("blk", "dim", "x", "ids2", "x2"))):
+            for blk, dim, *packed in zip(*(b.column(c) for c in ("blk", "dim", "x", "ids2", "x2"))):
+                blk, dim, (x, ids2, x2) = blk.as_py(), dim.as_py(), (p.as_buffer() for p in packed)  # in place, not a copy of all of the batch
                 ids, y = np.frombuffer(ids2, "<i8"), A.unpack(x2, dim)
                 by = np.argsort(ids, kind="stable")
                 i, d = top_k(A.unpack(x, dim), ids[by], y[by], k)

@@ -33,7 +33,7 @@ def top_k(x: np.ndarray, ids: np.ndarray, bank: np.ndarray, k: int) -> tuple[np.
     size of the bank. A product leaves out pairs that are farther than k others by more than its rounding; distances of what is left are taken exactly, so that no tie is lost."""
     k = min(k, len(bank))
     out_i, out_d = np.empty((len(x), k), np.int64), np.empty((len(x), k))
-    sq = (bank * bank).sum(1)
+    sq = np.einsum("ij,ij->i", bank, bank)  # no second bank
     most = sq[np.isfinite(sq)].max(initial=0)
     todo = [(a, min(a + QUERY_PIECE, len(x))) for a in range(0, len(x), QUERY_PIECE)]
     while todo and k:

@@ -357,6 +357,21 @@ def test_top_k_is_bounded_and_keeps_ties(monkeypatch):
         assert BA.top_k(copies[:5], np.arange(len(copies)), copies, 1)[0][[0, 1, 2, 4], 0].tolist() == [0, 1, 2, 4]
 
 
+def test_top_k_makes_no_second_bank():
+    """A batch of queries takes less memory than the bank, which every worker holds."""
+    import tracemalloc
+
+    r = np.random.default_rng(8)
+    bank = r.normal(size=(120_000, 64))
+    q = bank[[5, 99_999, 70_000]] + 1e-3
+    tracemalloc.start()
+    i, d = BA.top_k(q, np.arange(len(bank)), bank, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert i[:, 0].tolist() == [5, 99_999, 70_000] and np.allclose(d, 64e-6)
+    assert peak < bank.nbytes / 4
+
+
 @pytest.mark.parametrize("k", [1, 4, 70])
 def test_ball_knn_skips_balls(spark, monkeypatch, k):
     """Equal to brute force, ties by id included, with most pairs of balls left out."""

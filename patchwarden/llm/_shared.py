@@ -285,7 +285,7 @@ def _verify_pairs(percent: int, kind: Kind):
 
 
 #: elements of sets that are compared at a time
-COMPARED = 1 << 20
+COMPARED = 1 << 17
 
 
 def _common_counts(one: list[bytes], two: list[bytes], kind: Kind) -> np.ndarray:

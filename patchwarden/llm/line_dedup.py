@@ -39,6 +39,8 @@ BANDS, ROWS, BINS = 10, 6, 64
 BITMAP = 64
 PERCENT = 80
 FLUSH = 100_000
+#: bytes of texts whose shingles are made at a time: 8 bytes each, several times over, stay in a core's cache
+PACKED = 1 << 18
 _COUNT = np.dtype([("key", "<i8"), ("n", "<i4")])
 
 
@@ -48,9 +50,16 @@ class _Lines:
     def __init__(self, buf: np.ndarray, off: np.ndarray):
         self.low = K.LOWER[buf]
         self.all = K.lines(self.low, off)
-        seen = np.zeros(len(self.low) + 1, np.int32 if len(self.low) < 1 << 31 else np.int64)
-        np.cumsum(K.NOT_SPACE[self.low], out=seen[1:])
-        self.at = np.flatnonzero(seen[self.all.ends] > seen[self.all.starts])
+        starts, ends = self.all.starts, self.all.ends
+        holds = starts < ends
+        holds[holds] = K.NOT_SPACE[self.low[starts[holds]]]
+        rest = np.flatnonzero(~holds & (starts < ends))  # lines that begin with white space
+        if len(rest):
+            size = ends[rest] - starts[rest]
+            at = np.cumsum(size) - size
+            word = K.NOT_SPACE[self.low[np.repeat(starts[rest] - at, size) + np.arange(size.sum())]]
+            holds[rest] = np.logical_or.reduceat(word, at)
+        self.at = np.flatnonzero(holds)
         self.starts, self.ends = self.all.starts[self.at], self.all.ends[self.at]
         self.sums = K.prefix_hash(self.low)
         self.key = K.span_hash(self.sums, self.starts, self.ends).view(np.int64)
@@ -60,13 +69,11 @@ class _Lines:
         return _shingles_of(self.low, self.sums, self.starts[rows], self.ends[rows])
 
 
-def _shingles_of(low: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shingles_of(low: np.ndarray, sums: np.ndarray | None, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(line, hash) of the shingles of lines. In lines of ASCII a character is a byte; in others characters are
-    found first. Shingles of up to 8 bytes are hashed as one number, longer ones by running sums."""
-    odd = np.zeros(len(starts), bool)
-    wide = low >= 0x80
-    if wide.any():
-        odd = np.bincount(np.searchsorted(starts, np.flatnonzero(wide), "right"), minlength=len(starts) + 1)[1:] > 0
+    found first. Shingles of up to 8 bytes are hashed as one number, longer ones by running sums (None: made where there are any)."""
+    wide = np.flatnonzero(low >= 0x80)
+    odd = np.searchsorted(wide, ends) > np.searchsorted(wide, starts)  # in any order of lines
     padded = np.ndarray((len(low),), "<u8", np.concatenate([low, np.zeros(8, np.uint8)]), strides=(1,))
     out = []
     for rows, cp in ((np.flatnonzero(~odd), None), (np.flatnonzero(odd), True)):
@@ -82,14 +89,18 @@ def _shingles_of(low: np.ndarray, sums: np.ndarray, starts: np.ndarray, ends: np
         at = np.cumsum(n) - n
         i = np.repeat(first - at, n)
         i += np.arange(len(i))
-        length: np.ndarray | int = WIDTH
-        if (size < WIDTH).any() or cp is not None:
-            stop = i + np.repeat(np.minimum(size, WIDTH), n)
-            i, stop = (i, stop) if cp is None else (cp[i], cp[stop])
-            length = stop - i
-        h = _short_hash(padded[i], length)
-        if cp is not None and (long := np.flatnonzero(length > 8)).size:
-            h[long] = K.span_hash(sums, i[long], stop[long])
+        if cp is None:
+            h = _short_hash(padded[i], WIDTH)
+            short = np.flatnonzero(size < WIDTH)  # one shingle each
+            h[at[short]] = _short_hash(padded[first[short]], size[short])
+        else:
+            length = np.append(cp, [len(low)] * WIDTH)[WIDTH:] - cp  # bytes of the shingle from each character on
+            short = np.flatnonzero(size < WIDTH)
+            length, i = length[i], cp[i]
+            length[at[short]] = ends[rows[short]] - starts[rows[short]]
+            h = _short_hash(padded[i], length)
+            if (long := np.flatnonzero(length > 8)).size:
+                h[long] = K.span_hash(K.prefix_hash(low) if sums is None else sums, i[long], i[long] + length[long])
         out.append((np.repeat(rows, n), h))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
@@ -100,10 +111,11 @@ _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 def _short_hash(eight: np.ndarray, length) -> np.ndarray:
     """Hash of the first length bytes (8 at most count) of each number."""
     x = eight & _MASKS[np.minimum(length, 8)]
+    y = np.empty_like(x)
     x *= np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(32)
+    x ^= np.right_shift(x, np.uint64(32), y)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
+    x ^= np.right_shift(x, np.uint64(29), y)
     return x
 
 
@@ -121,9 +133,10 @@ _TRIES = _tries()
 def signatures(line: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     """One-permutation MinHash (n lines x BINS) of shingles (line, h); an empty bin takes the value of the first
     filled one in its own order, so empty bins do not all copy one neighbour."""
-    cell = line * BINS + (h >> np.uint64(58)).astype(np.int64)
+    cell = line * BINS
+    cell += (h >> np.uint64(58)).view(np.int64)
     sig = np.full(n * BINS, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(sig, cell, ((h >> np.uint64(26)) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+    np.minimum.at(sig, cell, (h >> np.uint64(26)).astype(np.uint32))
     full = np.zeros(n * BINS, bool)
     full[cell] = True
     source = np.arange(n * BINS)
@@ -184,13 +197,15 @@ def _pack(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["bucket", "low", "high", "nodes", "counts"])
 
         for b in batches:
-            for _, _, buf, off in K.blocks(b.column(0)):
+            for _, _, buf, off in K.blocks(b.column(0), PACKED):
                 ln = _Lines(buf, off)
                 if not len(ln.key):
                     continue
-                key, first, n = np.unique(ln.key, return_index=True, return_counts=True)
-                keys.append(key)
-                counts.append(n)
+                _, first, n = np.unique(ln.key, return_index=True, return_counts=True)
+                by = np.argsort(first)  # in the order of the text, which is read faster
+                first = first[by]
+                keys.append(ln.key[first])
+                counts.append(n[by])
                 bands.append(_bands(signatures(*ln.shingles(first), len(first))))
                 seen += len(ln.key)
                 if seen >= FLUSH:
@@ -251,7 +266,7 @@ def _fetch(slots, bits: int):
                 raw = ln.low.tobytes()
                 texts: list = [None] * len(at)
                 sizes: list = [None] * len(at)
-                first = np.unique(key, return_index=True)[1]
+                first = np.sort(np.unique(key, return_index=True)[1])
                 first = first[compared(key[first])]
                 shingles = ln.shingles(hit[first])
                 marks = _bitmaps(*shingles, len(first))
@@ -290,10 +305,15 @@ def _bitmaps(line: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 def _shingles(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The sets of some lines' shingles: sizes, and elements one after another. A payload is a bitmap and the text."""
-    texts = [x[BITMAP:] for x in payloads]
-    ends = np.cumsum([len(x) for x in texts])
-    low = np.frombuffer(b"".join(texts), np.uint8)
-    return _distinct(*_shingles_of(low, K.prefix_hash(low), np.concatenate([[0], ends[:-1]]).astype(np.int64), ends.astype(np.int64)), len(texts))
+    parts, at = [], 0
+    ends = np.cumsum([len(x) - BITMAP for x in payloads])
+    while at < len(payloads):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PACKED, "right")))
+        low = np.frombuffer(b"".join(x[BITMAP:] for x in payloads[at:to]), np.uint8)
+        stop = (ends[at:to] - (ends[at - 1] if at else 0)).astype(np.int64)
+        parts.append(_distinct(*_shingles_of(low, None, np.concatenate([[0], stop[:-1]]).astype(np.int64), stop), to - at))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _line_set(payload: bytes) -> set:

@@ -370,6 +370,38 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.line_dedup(empty).collect() == []
 
 
+def test_line_shingles_are_of_characters_in_any_order():
+    """Lines of wide characters among ASCII ones, some shorter than a shingle or begun by white space: shingles are of their own characters wherever a line stands, and
+    in whatever order lines are asked for, as runs ask for them by key."""
+    lines = [f"строка номер {i} о погоде и море" if i % 3 else f"line {i} of some text on weather" for i in range(60)] + ["é", "日本", "ab", " \t", "  x日", "", "a\u2028\U0001f600bcdef"]
+    sizes = [max(len(x) - line_dedup.WIDTH + 1, 1) for x in lines]
+    buf, off = K.text_buffer(pa.array(["\n".join(lines)]))
+    block = line_dedup._Lines(buf, off)
+    assert block.at.tolist() == [i for i, x in enumerate(lines) if x.strip(" \t")]
+    alone = []
+    for x in (lines[i] for i in block.at):
+        buf, off = K.text_buffer(pa.array([x]))
+        alone.append(line_dedup._Lines(buf, off).shingles(np.array([0]))[1].tolist())
+    rows = np.random.default_rng(4).permutation(len(block.at))
+    line, h = block.shingles(rows)
+    for k, r in enumerate(rows.tolist()):
+        assert h[line == k].tolist() == alone[r] and len(alone[r]) == sizes[block.at[r]]
+    many = line_dedup._shingles([bytes(line_dedup.BITMAP) + lines[i].encode() for i in block.at])
+    assert many[0].tolist() == [len(set(x)) for x in alone]
+
+
+def test_line_bands_do_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(5)
+    texts = pa.array(["\n".join("".join(rng.choice("abc déж日") for _ in range(rng.randint(1, 60))) for _ in range(8)) for _ in range(100)])
+    seen = []
+    for size in (1 << 20, 700):
+        monkeypatch.setattr(line_dedup, "PACKED", size, raising=False)
+        monkeypatch.setattr(K.blocks, "__defaults__", (size,))
+        out = list(line_dedup._pack(4)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])))
+        seen.append({(r["bucket"], *z) for b in out for r in b.to_pylist() for z in zip(np.frombuffer(r["low"], "<u4").tolist(), np.frombuffer(r["high"], "<u2").tolist(), np.frombuffer(r["nodes"], "<i8").tolist())})
+    assert seen[0] == seen[1]
+
+
 def test_line_dedup_odd_rows(spark, monkeypatch):
     """Short lines, blank lines, several null ids, one id with two texts, repeated rows, lines that differ in case, hot keys."""
     monkeypatch.setattr(S, "HOT", 3)

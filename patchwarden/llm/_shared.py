@@ -86,18 +86,29 @@ def bitmap(hashes: DataFrame, bits: int) -> bytes:
     """A one-hash Bloom filter of the long column, 2**bits slots (64 MB at most, whatever the
     input): made in segments on the executors. It only thins rows before an exact join; with more hashes than
     slots it lets all of them pass."""
+    return bitmaps(hashes.select(hashes.columns[0]), bits)[0]
+
+
+def bitmaps(hashes: DataFrame, bits: int) -> tuple[bytes, ...]:
+    """A bitmap of the long column, and one of its rows that each of the further columns is true for, in one pass."""
     size = 1 << 16
+    flags = hashes.columns[1:]
+    names = ["bits", *(f"bits_{k}" for k in range(len(flags)))]
 
     def segment(t: pa.Table) -> pa.Table:
-        x = np.zeros(size, bool)
-        x[t.column("slot").to_numpy() % size] = True
-        return pa.table({"seg": pa.array([t.column("seg")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())})
-
-    slots = hashes.select(F.pmod(hashes.columns[0], F.lit(1 << bits)).alias("slot")).distinct().withColumn("seg", F.expr(f"slot div {size}"))
-    out = bytearray((1 << bits) // 8)
-    for r in slots.groupBy("seg").applyInArrow(segment, "seg long, bits binary").collect():
-        out[r.seg * size // 8 : (r.seg + 1) * size // 8] = r.bits
-    return bytes(out)
+        slot, out = t.column("slot").to_numpy() % size, {"seg": pa.array([t.column("seg")[0].as_py()], pa.int64())}
+        for n, f in zip(names, [None, *flags]):
+            x = np.zeros(size, bool)
+            x[slot if f is None else slot[t.column(f).to_numpy()]] = True
+            out[n] = pa.array([np.packbits(x, bitorder="little").tobytes()], pa.binary())
+        return pa.table(out)
+
+    slots = hashes.groupBy(F.pmod(hashes.columns[0], F.lit(1 << bits)).alias("slot")).agg(F.lit(True).alias("in"), *(F.max(f).alias(f) for f in flags)).drop("in").withColumn("seg", F.expr(f"slot div {size}"))
+    out = tuple(bytearray((1 << bits) // 8) for _ in names)
+    for r in slots.groupBy("seg").applyInArrow(segment, "seg long, " + ", ".join(f"{n} binary" for n in names)).collect():
+        for x, n in zip(out, names):
+            x[r.seg * size // 8 : (r.seg + 1) * size // 8] = r[n]
+    return tuple(map(bytes, out))
 
 
 def in_bitmap(table: bytes, bits: int):

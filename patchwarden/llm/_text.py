@@ -146,7 +146,7 @@ def prefix_hash(buf: np.ndarray) -> np.ndarray:
     for i in range(0, len(buf), SEGMENT):
         part = buf[i : i + SEGMENT]
         out = s[i + 1 : i + 1 + len(part)]
-        np.cumsum(_BYTE[part] * p[: len(part)], out=out)
+        np.cumsum(_BYTE.take(part) * p[: len(part)], out=out)
         if i:
             out += s[i]
     return s
@@ -156,7 +156,7 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     """64-bit hashes of byte spans: equal bytes have equal hashes wherever they stand."""
     p, inv = _powers()
     if len(sums) <= SEGMENT + 1:
-        h = (sums[ends] - sums[starts]) * inv[starts]
+        h = (sums.take(ends) - sums.take(starts)) * inv.take(starts)
     else:
         into = starts % SEGMENT
         stop = starts - into + SEGMENT

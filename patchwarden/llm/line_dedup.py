@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _text as K
-from ._shared import Kind, bitmap, bitmap_bits, in_bitmap, join_hot, link_sets, materialize, partitions, text_key
+from ._shared import Kind, bitmap, bitmap_bits, bitmaps, in_bitmap, join_hot, link_sets, materialize, partitions, text_key
 
 WIDTH = 6
 BANDS, ROWS, BINS = 10, 6, 64
@@ -41,6 +41,8 @@ PERCENT = 80
 FLUSH = 100_000
 #: bytes of texts whose shingles are made at a time: 8 bytes each, several times over, stay in a core's cache
 PACKED = 1 << 18
+#: keys of lines that a task remembers, so that it sends a text once
+SENT = 1 << 16
 _COUNT = np.dtype([("key", "<i8"), ("n", "<i4")])
 
 
@@ -48,7 +50,7 @@ class _Lines:
     """The lines of a block that hold a word: their bytes, lower-cased, their keys and places."""
 
     def __init__(self, buf: np.ndarray, off: np.ndarray):
-        self.low = K.LOWER[buf]
+        self.low = K.LOWER.take(buf)
         self.all = K.lines(self.low, off)
         starts, ends = self.all.starts, self.all.ends
         holds = starts < ends
@@ -74,7 +76,8 @@ def _shingles_of(low: np.ndarray, sums: np.ndarray | None, starts: np.ndarray, e
     found first. Shingles of up to 8 bytes are hashed as one number, longer ones by running sums (None: made where there are any)."""
     wide = np.flatnonzero(low >= 0x80)
     odd = np.searchsorted(wide, ends) > np.searchsorted(wide, starts)  # in any order of lines
-    padded = np.ndarray((len(low),), "<u8", np.concatenate([low, np.zeros(8, np.uint8)]), strides=(1,))
+    # the 8 bytes from each place on, as aligned numbers, which are gathered several times faster
+    padded = np.ndarray((len(low),), "<u8", np.concatenate([low, np.zeros(8, np.uint8)]), strides=(1,)).copy()
     out = []
     for rows, cp in ((np.flatnonzero(~odd), None), (np.flatnonzero(odd), True)):
         if not len(rows):
@@ -90,18 +93,21 @@ def _shingles_of(low: np.ndarray, sums: np.ndarray | None, starts: np.ndarray, e
         i = np.repeat(first - at, n)
         i += np.arange(len(i))
         if cp is None:
-            h = _short_hash(padded[i], WIDTH)
+            h = _short_hash(padded.take(i), WIDTH)
             short = np.flatnonzero(size < WIDTH)  # one shingle each
             h[at[short]] = _short_hash(padded[first[short]], size[short])
         else:
             length = np.append(cp, [len(low)] * WIDTH)[WIDTH:] - cp  # bytes of the shingle from each character on
             short = np.flatnonzero(size < WIDTH)
-            length, i = length[i], cp[i]
+            length, i = length.take(i), cp.take(i)
             length[at[short]] = ends[rows[short]] - starts[rows[short]]
-            h = _short_hash(padded[i], length)
+            h = _short_hash(padded.take(i), length)
             if (long := np.flatnonzero(length > 8)).size:
-                h[long] = K.span_hash(K.prefix_hash(low) if sums is None else sums, i[long], i[long] + length[long])
+                from_ = i.take(long)
+                h[long] = K.span_hash(K.prefix_hash(low) if sums is None else sums, from_, from_ + length.take(long))
         out.append((np.repeat(rows, n), h))
+    if len(out) == 1:
+        return out[0]
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
@@ -110,7 +116,7 @@ _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 def _short_hash(eight: np.ndarray, length) -> np.ndarray:
     """Hash of the first length bytes (8 at most count) of each number."""
-    x = eight & _MASKS[np.minimum(length, 8)]
+    x = eight & _MASKS.take(np.minimum(length, 8))
     y = np.empty_like(x)
     x *= np.uint64(0x9E3779B97F4A7C15)
     x ^= np.right_shift(x, np.uint64(32), y)
@@ -128,6 +134,7 @@ def _tries() -> np.ndarray:
 
 
 _TRIES = _tries()
+_OWN = np.arange(BINS, dtype=np.uint64) * np.uint64(0x1000000000001)
 
 
 def signatures(line: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
@@ -135,21 +142,20 @@ def signatures(line: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     filled one in its own order, so empty bins do not all copy one neighbour."""
     cell = line * BINS
     cell += (h >> np.uint64(58)).view(np.int64)
-    sig = np.full(n * BINS, 0xFFFFFFFF, np.uint32)
-    np.minimum.at(sig, cell, (h >> np.uint64(26)).astype(np.uint32))
-    full = np.zeros(n * BINS, bool)
-    full[cell] = True
-    source = np.arange(n * BINS)
+    low = np.full(n * BINS, 0xFFFFFFFF, np.uint32)
+    np.minimum.at(low, cell, (h >> np.uint64(26)).astype(np.uint32))
+    sig = (low.reshape(n, BINS) + _OWN).ravel()  # a value tells the bin that it is from
+    full = low != 0xFFFFFFFF
     left = np.flatnonzero(~full)
     for t in range(1, BINS):
         if not len(left):
             break
-        at = left - left % BINS + _TRIES[left % BINS, t]
+        own = left & (BINS - 1)
+        at = left - own + _TRIES[own, t]
         got = full[at]
-        source[left[got]] = at[got]
+        sig[left[got]] = sig[at[got]]
         left = left[~got]
-    away = (source % BINS).astype(np.uint64)
-    return (sig[source].astype(np.uint64) + away * np.uint64(0x1000000000001)).reshape(n, BINS)
+    return sig.reshape(n, BINS)
 
 
 def _bands(sig: np.ndarray) -> np.ndarray:
@@ -226,6 +232,13 @@ def _bucket(t: pa.Table) -> pa.Table:
     cat = lambda c, d: np.concatenate([np.frombuffer(x, d) for x in t.column(c).to_pylist()])
     tok = cat("low", "<u4").astype(np.int64) | cat("high", "<u2").astype(np.int64) << 32
     node = cat("nodes", "<i8")
+    by = np.argsort(tok)
+    tok = tok[by]
+    eq = tok[1:] == tok[:-1]
+    met = np.zeros(len(tok), bool)
+    met[1:] = eq
+    met[:-1] |= eq
+    tok, node = tok[met], node[by[met]]  # most bands stand alone: few are left to be ordered by node
     by = np.lexsort((node, tok))
     tok, node = tok[by], node[by]
     new = np.ones(len(tok), bool)
@@ -248,30 +261,45 @@ def _bucket(t: pa.Table) -> pa.Table:
     })
 
 
+def _gathered(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of some lines one after another, and where each begins and ends."""
+    size = ends - starts
+    stop = np.cumsum(size)
+    i = np.repeat(starts - (stop - size), size)
+    i += np.arange(len(i))
+    return low.take(i), stop - size, stop
+
+
 def _fetch(slots, bits: int):
     """(doc_id, text, h1, h2) to (key, id, h1, h2, line, text, n) of the lines whose key passes the first bitmap; the
-    text and the number of its shingles go with the first of a block's equal lines, and only if
+    text and the number of its shingles go with the first of a run's equal lines, and only if
     the key passes the second."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, compared = (in_bitmap(x, bits) for x in slots.value)
+        sent: set[int] = set()  # keys whose text went out lately
         for b in batches:
             ids = b.column(0)
             h1, h2 = b.column(2).to_numpy(), b.column(3).to_numpy()
-            for lo, _, buf, off in K.blocks(b.column(1)):
+            for lo, _, buf, off in K.blocks(b.column(1), PACKED):
                 ln = _Lines(buf, off)
                 hit = np.flatnonzero(wanted(ln.key))
                 key, at = ln.key[hit], ln.at[hit]
                 doc = ln.all.doc[at]
-                raw = ln.low.tobytes()
                 texts: list = [None] * len(at)
                 sizes: list = [None] * len(at)
                 first = np.sort(np.unique(key, return_index=True)[1])
                 first = first[compared(key[first])]
-                shingles = ln.shingles(hit[first])
+                first = first[[k not in sent for k in key[first].tolist()]] if len(first) else first
+                if len(sent) > SENT:
+                    sent.clear()
+                sent.update(key[first].tolist())
+                low, starts, ends = _gathered(ln.low, ln.starts[hit[first]], ln.ends[hit[first]])
+                shingles = _shingles_of(low, None, starts, ends)
                 marks = _bitmaps(*shingles, len(first))
+                raw = low.tobytes()
                 for k, (i, n) in enumerate(zip(first.tolist(), _distinct(*shingles, len(first))[0].tolist())):
-                    texts[i] = marks[k].tobytes() + raw[ln.all.starts[at[i]] : ln.all.ends[at[i]]]
+                    texts[i] = marks[k].tobytes() + raw[starts[k] : ends[k]]
                     sizes[i] = n
                 yield pa.RecordBatch.from_arrays([pa.array(key), ids.take(pa.array(lo + doc)), pa.array(h1[lo + doc]), pa.array(h2[lo + doc]), pa.array((at - ln.all.first[doc]).astype(np.int32)), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "id", "h1", "h2", "line", "text", "n"])
             K.release()
@@ -368,9 +396,9 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     postings = found.where("tok IS NOT NULL").select("tok", F.col("key").alias("node"))
     again = found.where("tok IS NULL").select("key", "n")
     bands = materialize(postings.groupBy(F.col("node").alias("key")).agg(F.collect_list("tok").alias("prefix")), "lines-bands", True)
-    wanted = bands.select("key").union(again.select("key"))
+    wanted = bands.select("key", F.lit(True).alias("compared")).union(again.select("key", F.lit(False)))
     bits = bitmap_bits(wanted.count())
-    slots = spark.sparkContext.broadcast((bitmap(wanted, bits), bitmap(bands.select("key"), bits)))
+    slots = spark.sparkContext.broadcast(bitmaps(wanted, bits))
     fetched = materialize(rows.mapInArrow(_fetch(slots, bits), "key long, id long, h1 long, h2 long, line int, text binary, n long"), "lines-texts")
     texts = fetched.where("text IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"), F.first("n").alias("n"))
     sets = texts.join(bands, "key").select(F.col("key").alias("node"), "n", F.col("text").alias("toks"), F.lit(1).alias("ell"), "prefix", F.lit(0.0).alias("off"))
@@ -378,13 +406,13 @@ def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     linked = comp.select(F.col("node").alias("key"), "comp").union(comp.select("comp", "comp").distinct())
     labels = again.join(linked, "key", "full").select("key", F.coalesce("comp", "key").alias("g"), F.coalesce("n", F.lit(1)).alias("w"))
     occ = fetched.select("key", "id", "h1", "h2", "line")
-    grouped = materialize(join_hot(occ, materialize(labels, "lines-labels", True), "key", "w").select("id", "h1", "h2", "line", "g").distinct(), "lines-groups", True)
-    first = grouped.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "line", "h1", "h2")).alias("f")).select(F.col("f.id").alias("f_id"), *(F.col(f"f.{c}").alias(f"f_{c}") for c in ("line", "h1", "h2")))
-    at = F.col("id").eqNullSafe(F.col("f_id"))
-    for c in ("h1", "h2", "line"):  # by the whole place: no line's group is a key
-        at &= F.col(c) == F.col(f"f_{c}")
-    gone = grouped.join(first, at, "left_anti")
-    return gone.groupBy("id", "h1", "h2").agg(F.collect_set("line").alias("drop"))
+    grouped = materialize(join_hot(occ, materialize(labels, "lines-labels", True), "key", "w").select("id", "h1", "h2", "line", "g"), "lines-groups", True)
+    first = grouped.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "line", "h1", "h2")).alias("f"))
+    # by the whole place, as no line's group is a key: a document's lines and those of them that are first meet once, sets do away with copies of a document
+    place = ("id", "h1", "h2")
+    met = grouped.select(*place, "line", F.lit(None).cast("int").alias("kept")).unionByName(first.select(*(F.col(f"f.{c}").alias(c) for c in place), F.lit(None).cast("int").alias("line"), F.col("f.line").alias("kept")))
+    drop = met.groupBy(*place).agg(F.array_except(F.collect_set("line"), F.collect_set("kept")).alias("drop"))
+    return drop.where(F.size("drop") > 0)
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -405,6 +433,7 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     others = hashed.where(~loses("__h1")).select(*base, lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h1") == F.col("__d1")) & (h2 == F.col("__d2"))
     named = drop.select(F.col("id").alias("__id"), F.col("h1").alias("__d1"), F.col("h2").alias("__d2"), F.col("drop").alias("__drop"))
-    joined = hashed.where(loses("__h1")).join(named, same, "left").select(*base, "__drop")
+    # a document has one row in named, so a hash table of these is small beside the texts, which need not be sorted
+    joined = hashed.where(loses("__h1")).join(named.hint("shuffle_hash"), same, "left").select(*base, "__drop")
     schema = T.StructType([*(f for f in docs.schema if f.name in base), T.StructField("__lines", T.LongType()), T.StructField("__removed", T.LongType())])
     return joined.mapInArrow(_without([f.name for f in schema]), schema).withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"}).unionByName(others)

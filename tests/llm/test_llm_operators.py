@@ -402,6 +402,32 @@ def test_line_bands_do_not_depend_on_blocks(monkeypatch):
     assert seen[0] == seen[1]
 
 
+def test_line_texts_go_out_once_a_task(monkeypatch):
+    """A line of several runs of texts takes its text and bitmap along once; its places all go out, and shingles are made of these lines only."""
+    monkeypatch.setattr(line_dedup, "PACKED", 300, raising=False)
+    monkeypatch.setattr(K.blocks, "__defaults__", (300,))
+    texts = [f"{'other words ' * 12}{i}\nстрока о погоде\nthe same line in every text" for i in range(20)]
+    every = bytes([255]) * (1 << 13)
+    slots = type("Slots", (), {"value": (every, every)})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts), pa.array(range(20)), pa.array(range(20))], names=["doc_id", "text", "h1", "h2"])
+    rows = [r for b in line_dedup._fetch(slots, 16)(iter([batch])) for r in b.to_pylist()]
+    assert collections.Counter((r["id"], r["line"]) for r in rows) == collections.Counter((i, k) for i in range(20) for k in range(3))
+    sent = [r for r in rows if r["text"] is not None]
+    assert sorted(r["text"][line_dedup.BITMAP :].decode() for r in sent) == sorted({x for t in texts for x in t.split("\n")})
+    for r in sent:
+        sizes, _ = line_dedup._shingles([r["text"]])
+        line = r["text"][line_dedup.BITMAP :].decode()
+        assert r["n"] == sizes[0] == len({line[k : k + 6] for k in range(len(line) - 5)})
+
+
+def test_bitmaps_in_one_pass(spark):
+    h = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 500)
+    rows = spark.createDataFrame([(int(x), i % 3 == 0) for i, x in enumerate(h)] + [(int(h[0]), False)], "k long, some boolean")
+    both, some = S.bitmaps(rows, 20)
+    assert both == S.bitmap(rows.select("k"), 20) and some == S.bitmap(rows.where("some").select("k"), 20)
+    assert S.in_bitmap(both, 20)(h).all() and S.in_bitmap(some, 20)(h[::3]).all() and not S.in_bitmap(some, 20)(h).all()
+
+
 def test_line_dedup_odd_rows(spark, monkeypatch):
     """Short lines, blank lines, several null ids, one id with two texts, repeated rows, lines that differ in case, hot keys."""
     monkeypatch.setattr(S, "HOT", 3)

@@ -15,9 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegralType
 
 from ..functions import arrow as A
 from ..functions import kernels as N
@@ -234,6 +235,8 @@ def stream_whitening(spark: SparkSession, path: str, column: str, config: Whiten
 
 
 _LEVELS = "level int, dim int, x binary"
+#: neighbouring blocks that a task merges before the driver gets their coreset
+FAN = 16
 
 
 class BinaryCounter:
@@ -242,8 +245,13 @@ class BinaryCounter:
     def __init__(self, k: int, chunk: int, levels: dict[int, np.ndarray] | None = None):
         self.k, self.cap, self.levels = k, min(k, chunk), levels or {}
 
-    def push(self, block: np.ndarray) -> None:
-        level = 0
+    @property
+    def blocks(self) -> int:
+        """How many blocks are in it."""
+        return sum(1 << level for level in self.levels)
+
+    def push(self, block: np.ndarray, level: int = 0) -> None:
+        """A block, or the coreset of 2^level of them where their number so far is a multiple of that."""
         while level in self.levels:
             block = np.concatenate([self.levels.pop(level), block])
             block = block[N.farthest_first(block, min(self.cap, len(block)))]
@@ -263,16 +271,95 @@ class BinaryCounter:
         return BinaryCounter(k, chunk, {r.level: A.unpack(bytes(r.x), r.dim).copy() for r in rows})
 
 
-def _push_blocks(counter: BinaryCounter, batch: DataFrame, column: str, order: str, rows_per_block: int) -> None:
-    x = batch.select(F.floor(F.col(order) / rows_per_block).alias("b"), F.col(order).alias("o"), F.col(column).cast("array<double>").alias("v"))
+class Waiting:
+    """Rows (b, o, v) of blocks b that cannot be pushed yet. A batch writes its own rows once, under its own name, so a batch that
+    runs again writes them anew; a table whose rows are all pushed is deleted by a batch that started from a state with them."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.table = StateTable(spark, folder)
+
+    def rows(self, pushed: int, context: UpdateContext | None = None) -> DataFrame | None:
+        """The rows behind so many pushed blocks, with the ``name`` of their table, of the batches before a context's or all."""
+        t = self.table
+        paths = [f"{t.folder}/{n}" for n in t._names() if context is None or n < context.name]
+        if not paths:
+            return None
+        rows = t.spark.read.parquet(*paths).select("b", "o", "v", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("name"))
+        return rows.where(F.col("b") >= pushed) if pushed else rows
+
+    def write(self, rows: DataFrame, context: UpdateContext) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.table.folder}/{context.name}")
+
+    def keep(self, names: set[str], context: UpdateContext) -> None:
+        """Delete the other tables of the batches before a context's."""
+        t = self.table
+        for old in [n for n in t._names() if n < context.name and n not in names]:
+            t.fs.delete(t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.folder}/{old}"), True)
+
+
+def _push_blocks(counter: BinaryCounter, x: DataFrame) -> None:
+    """Push the blocks of x (b, o, v), numbered on from those that are pushed. Whole groups of FAN blocks merge in a task."""
+    cap, schema = counter.cap, "b long, level int, dim int, x binary"
+
+    def node(b: int, level: int, m: np.ndarray) -> pa.Table:
+        return pa.table({"b": pa.array([b], pa.int64()), "level": pa.array([level], pa.int32()), "dim": pa.array([m.shape[1]], pa.int32()), "x": pa.array([A.pack(m)], pa.binary())})
 
     def block(t: pa.Table) -> pa.Table:
         m = B._in_order(t, "o", "v")
-        m = m[N.farthest_first(m, min(counter.cap, len(m)))]
-        return pa.table({"b": t.column("b").slice(0, 1), "dim": pa.array([m.shape[1]], pa.int32()), "x": pa.array([A.pack(m)], pa.binary())})
-
-    for r in x.groupBy("b").applyInArrow(block, "b long, dim int, x binary").orderBy("b").toLocalIterator():
-        counter.push(A.unpack(bytes(r.x), r.dim).copy())
+        return node(t.column("b")[0].as_py(), 0, m[N.farthest_first(m, min(cap, len(m)))])
+
+    def merge(t: pa.Table) -> pa.Table:
+        if t.num_rows < FAN:
+            return t
+        whole, rows = BinaryCounter(cap, cap), t.sort_by("b").to_pylist()
+        for r in rows:
+            whole.push(A.unpack(r["x"], r["dim"]))
+        ((level, m),) = whole.levels.items()
+        return node(rows[0]["b"], level, m)
+
+    x = x.select("b", "o", F.col("v").cast("array<double>").alias("v"))
+    nodes = x.groupBy("b").applyInArrow(block, schema).groupBy(F.floor(F.col("b") / FAN)).applyInArrow(merge, schema)
+    for r in nodes.orderBy("b").toLocalIterator():
+        counter.push(A.unpack(bytes(r.x), r.dim).copy(), r.level)
+
+
+def _push_batch(counters: list[BinaryCounter], batch: DataFrame, waiting: Waiting, context: UpdateContext, column: str, order: str, rows_per_block: int) -> None:
+    """Push the blocks floor(order / rows_per_block) of a micro-batch to each counter. Files may cut blocks and come in any order: a block is
+    pushed once all its rows are there and all blocks from 0 up to it are pushed, as no later row can change it then. Other rows wait."""
+    pushed = counters[0].blocks
+    new = batch.select(F.floor(F.col(order) / rows_per_block).alias("b"), F.col(order).alias("o"), F.col(column).alias("v"), F.lit("").alias("name")).where("b IS NOT NULL")
+    old = waiting.rows(pushed, context)
+    rows = new if old is None else new.unionByName(old)
+    firsts = {r.name: r.b for r in rows.groupBy("name").agg(F.min("b").alias("b")).toLocalIterator()}
+    first, end = min(firsts.values(), default=None), pushed
+    if pushed and first is not None and first < pushed:
+        raise ValueError(f"block {first} had all its {rows_per_block} rows and gets another; {order} numbers rows from 0, each once")
+    if first == pushed and isinstance(rows.schema["o"].dataType, IntegralType):
+        full = rows.groupBy("b").agg(F.collect_set("o").alias("o")).where(F.size("o") == rows_per_block).select("b")
+        after = full.select((F.col("b") + 1).alias("b")).union(rows.sparkSession.range(pushed, pushed + 1).toDF("b"))
+        end = after.join(full, "b", "left_anti").agg(F.min("b")).first()[0]
+    if end > pushed:
+        for counter in counters:
+            _push_blocks(counter, rows.where(F.col("b") < end))
+    waiting.write((new.where(F.col("b") >= end) if end > pushed else new).drop("name"), context)
+    waiting.keep(set(firsts), context)
+
+
+def _push_rest(counters: list[BinaryCounter], waiting: Waiting) -> None:
+    """After all input: push what waits, where missing blocks are left out of the count."""
+    pushed = counters[0].blocks
+    rows = waiting.rows(pushed)
+    if rows is None:
+        return
+    ids = rows.select("b").distinct()
+    first, last, count = ids.agg(F.min("b"), F.max("b"), F.count("*")).first()
+    if not count:
+        return
+    if first != pushed or last - first + 1 != count:
+        number = ids.select("b", (F.row_number().over(Window.orderBy("b")) + (pushed - 1)).alias("n"))
+        rows = rows.join(number, "b").select(F.col("n").cast("long").alias("b"), "o", "v")
+    for counter in counters:
+        _push_blocks(counter, rows)
 
 
 def _bank(spark: SparkSession, x: np.ndarray) -> DataFrame:
@@ -280,18 +367,21 @@ def _bank(spark: SparkSession, x: np.ndarray) -> DataFrame:
 
 
 def stream_merge_reduce(spark: SparkSession, path: str, column: str, order: str, rows_per_block: int, k: int, chunk: int, folder: str | None = None) -> DataFrame:
-    """A merge-reduce bank of a stream of vectors: each micro-batch's blocks reduce in parallel, and their
-    coresets fold into a state of log2(blocks) coresets."""
+    """A merge-reduce bank of a stream of vectors: blocks reduce in parallel, and their coresets fold, in the order of blocks, into a
+    state of log2(blocks) coresets. Rows before which others are missing wait in a table."""
+    folder = folder or new_folder(spark, "stream")
+    waiting = Waiting(spark, f"{folder}/waiting")
 
-    def update(batch: DataFrame, state: DataFrame | None, _: UpdateContext) -> DataFrame:
+    def update(batch: DataFrame, state: DataFrame | None, context: UpdateContext) -> DataFrame:
         counter = BinaryCounter.of(k, chunk, state)
-        _push_blocks(counter, batch, column, order, rows_per_block)
+        _push_batch([counter], batch, waiting, context, column, order, rows_per_block)
         return counter.table(spark)
 
-    out = run_stream(spark, lambda: read_stream(spark, path), update, folder)
-    if out is None:
+    counter = BinaryCounter.of(k, chunk, run_stream(spark, lambda: read_stream(spark, path), update, folder))
+    _push_rest([counter], waiting)
+    if not counter.levels:
         raise ValueError("the stream had no rows")
-    return _bank(spark, BinaryCounter.of(k, chunk, out).centers())
+    return _bank(spark, counter.centers())
 
 
 def _stream_fold(spark: SparkSession, path: str, column: str, order: str, make, dump, load, folder: str | None) -> str:
@@ -357,6 +447,7 @@ def stream_tail_aware(spark: SparkSession, path: str, column: str, order: str, r
     if c.strategy == "chi2_band":
         raise ValueError("the band of a stream is not folded; use tail_aware_bank")
     folder = folder or new_folder(spark, "stream")
+    waiting = Waiting(spark, f"{folder}/waiting")
     vectors = lambda b: b.select(F.col(order).alias("o"), F.col(column).cast("array<double>").alias("features"))
     schema = "level int, dim int, x binary, o long, features array<double>, tail_score double"
 
@@ -369,6 +460,15 @@ def stream_tail_aware(spark: SparkSession, path: str, column: str, order: str, r
         x = full.centers()
         return main.centers() if c.main_budget < c.chunk else x[N.farthest_first(x, c.main_budget)] if len(x) > c.main_budget else x
 
+    whole: list[tuple[np.ndarray, np.ndarray]] = []  # the centers after the first pass
+
+    def centers(state: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        if not whole:
+            full, main = counters(state)
+            _push_rest([full, main], waiting)
+            whole.append((full.centers(), main_of(full, main)))
+        return whole[0]
+
     def packed(full: BinaryCounter, main: BinaryCounter) -> DataFrame:
         rows = [((k + 1) * sign, x.shape[1], bytearray(A.pack(x)), None, None, None) for counter, sign in ((full, 1), (main, -1)) for k, x in counter.levels.items()]
         return spark.createDataFrame(rows, schema)
@@ -376,10 +476,9 @@ def stream_tail_aware(spark: SparkSession, path: str, column: str, order: str, r
     def update(batch: DataFrame, state: DataFrame | None, context: UpdateContext) -> DataFrame:
         full, main = counters(state)
         if context.pass_number == 1:
-            for counter in (full, main):
-                _push_blocks(counter, batch, column, order, rows_per_block)
+            _push_batch([full, main], batch, waiting, context, column, order, rows_per_block)
             return packed(full, main)
-        scored = T.tail_scores(vectors(batch), full.centers(), main_of(full, main), c).select("o", "features", "tail_score")
+        scored = T.tail_scores(vectors(batch), *centers(state), c).select("o", "features", "tail_score")
         old = state.where("level IS NULL").select("o", "features", "tail_score")
         pool = T.best_of(scored.unionByName(old), c)
         return packed(full, main).unionByName(pool.select(F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("dim"), F.lit(None).cast("binary").alias("x"), F.col("o").cast("long").alias("o"), "features", "tail_score"))
@@ -387,7 +486,7 @@ def stream_tail_aware(spark: SparkSession, path: str, column: str, order: str, r
     out = run_stream(spark, lambda: read_stream(spark, path), update, folder, 2)
     if out is None:
         raise ValueError("the stream had no rows")
-    full, main = counters(out)
+    full, main = centers(out)
     t = out.where("level IS NULL").orderBy(F.desc("tail_score"), "o").toArrow()  # the pool's bound
-    pool = A.matrix(t.column("features")) if t.num_rows else full.centers()[:0]
-    return _bank(spark, T.chosen(full.centers(), main_of(full, main), pool, c)[0])
+    pool = A.matrix(t.column("features")) if t.num_rows else full[:0]
+    return _bank(spark, T.chosen(full, main, pool, c)[0])

@@ -318,6 +318,64 @@ def test_stream_bank_equals_batch_bank(spark):
     assert len(got) == len(want) and all(np.allclose(a.features, b.features) for a, b in zip(got, want))
 
 
+def _features(bank):
+    return [r.features for r in bank.orderBy("bank_id").collect()]
+
+
+def _files(v, folder, wheres):
+    """A file of rows for each condition, which a stream reads in this order."""
+    for w in wheres:
+        v.where(w).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+@pytest.mark.parametrize("files", [["vec_id < 70", "vec_id BETWEEN 70 AND 202", "vec_id > 202"], ["vec_id > 350", "vec_id < 131", "vec_id BETWEEN 131 AND 350"], ["vec_id % 3 = 2", "vec_id % 3 = 0", "vec_id % 3 = 1"]])
+def test_stream_bank_of_files_that_cut_blocks(spark, tmp_path, files):
+    """Files that end inside blocks and come in any order give the batch's bank, also in two runs; what is pushed waits no longer."""
+    from patchwarden.operators import coreset as B
+    from patchwarden.operators import tail as T
+
+    v, p = spark.read.parquet(f"{SF}/embeddings.parquet"), catalog.patches(spark, SF)
+    source, folder = tmp_path / "in", f"file://{tmp_path}/state"
+    for part in (files[:2], files[2:]):
+        _files(v, source, part)
+        rows = spark.read.parquet(str(source)).selectExpr("vec_id", "vec_id div 8 AS b", "cast(embedding AS array<double>) AS features")
+        want = _features(B.merge_reduce(rows, "features", "b", "vec_id", 20, 6))
+        assert _features(state.stream_merge_reduce(spark, str(source), "embedding", "vec_id", 8, 20, 6, folder)) == want
+    assert spark.read.parquet(*(f"{folder}/waiting/{n}" for n in os.listdir(tmp_path / "state" / "waiting"))).where("b >= 62").count() == 4  # the block that is not full
+    c = T.TailConfig(k=40, pool=60, chunk=32)
+    assert np.allclose(_features(state.stream_tail_aware(spark, str(source), "embedding", "vec_id", 64, c)), _features(T.tail_aware_bank(p, "features", "batch", "vec_id", c)))
+
+
+@pytest.mark.parametrize("key", ["vec_id + 1003", "vec_id - 100", "vec_id + 40 * (vec_id div 50)", "vec_id / 2"])
+def test_stream_bank_of_missing_blocks(spark, tmp_path, key):
+    """Keys that do not begin with 0, have gaps or are no whole numbers: blocks count in their order, as in the batch."""
+    from patchwarden.operators import coreset as B
+
+    v = spark.read.parquet(f"{SF}/embeddings.parquet").withColumn("key", F.expr(key))
+    _files(v, tmp_path / "in", ["vec_id > 299", "vec_id < 90", "vec_id BETWEEN 90 AND 299"])
+    rows = v.selectExpr("key", "floor(key / 8) AS b", "cast(embedding AS array<double>) AS features")
+    assert _features(state.stream_merge_reduce(spark, str(tmp_path / "in"), "embedding", "key", 8, 20, 6)) == _features(B.merge_reduce(rows, "features", "b", "key", 20, 6))
+
+
+def test_pushed_blocks_get_no_more_rows(spark, tmp_path):
+    """A batch that runs again changes nothing; rows of a block that is pushed are refused."""
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    waiting, first = state.Waiting(spark, f"file://{tmp_path}/waiting"), state.BinaryCounter(20, 6)
+    push = lambda c, where, k: state._push_batch([c], v.where(where), waiting, state.UpdateContext(1, 1, k), "embedding", "vec_id", 8)
+    push(first, "vec_id BETWEEN 5 AND 60", 0)
+    assert not first.levels and waiting.rows(0).count() == 56
+    counters = []
+    for _ in range(2):
+        c = state.BinaryCounter(20, 6)
+        push(c, "vec_id < 5", 1)
+        counters.append(c)
+    assert [c.blocks for c in counters] == [7, 7] and all(np.array_equal(counters[1].levels[k], x) for k, x in counters[0].levels.items())
+    push(c, "vec_id = 62", 2)
+    assert waiting.rows(c.blocks).count() == 6 and waiting.table._names() == ["000001-000000000000", "000001-000000000002"]
+    with pytest.raises(ValueError, match="block 0 had all its 8 rows"):
+        push(c, "vec_id = 3", 3)
+
+
 def _parts(spark, folder, n):
     """The embeddings as n files of whole blocks of 64, one a micro-batch."""
     v = spark.read.parquet(f"{SF}/embeddings.parquet").cache()
